@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_file
+from .common import importable, table, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -216,6 +216,7 @@ def tokenize(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """
     import pyarrow as pa
 
+    importable(docs.sparkSession)
     own = docs.drop("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     more = ", ids string, decoded string" if texts else ""
     schema = ", ".join([*[f"`{n}` {t}" for n, t in own.dtypes], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]) + more

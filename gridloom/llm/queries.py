@@ -1,12 +1,13 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, pieces, pii, secret_scan, sketch, url_filter
+from . import decontaminate, pieces, pii, secret_scan, shards, sketch, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_pii": pii.op2_pii,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pieces": pieces.op4_pieces,
+    "op5_token_shards": shards.op5_token_shards,
     "op8_fingerprint": sketch.op8_fingerprint,
     "op9_url_filter": url_filter.op9_url_filter,
 }
