@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, pieces, pii, secret_scan, shards, simhash, sketch, url_filter
+from . import chunks, decontaminate, pieces, pii, secret_scan, shards, simhash, sketch, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -8,9 +8,11 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pieces": pieces.op4_pieces,
     "op5_token_shards": shards.op5_token_shards,
+    "op6_chunks": chunks.op6_chunks,
     "op7_simhash": simhash.op7_simhash,
     "op8_fingerprint": sketch.op8_fingerprint,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
