@@ -97,16 +97,19 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_spans(found: DataFrame) -> DataFrame:
     """find()'s rows with the hit words, and what lies between two of them, cut from text; other text stays as it was."""
-    gaps, whole = F.split(F.coalesce("text", F.lit("")), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    is_hit = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda i: F.array_contains("hit", i))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.size(gaps)),
-        lambda i: F.concat(
-            F.when(F.coalesce(F.get(is_hit, i - 1), F.lit(False)) & F.coalesce(F.get(is_hit, i - 2), F.lit(False)), F.lit("")).otherwise(F.get(gaps, i - 1)),
-            F.when(F.get(is_hit, i - 1) | F.get(whole, i - 1).isNull(), F.lit("")).otherwise(F.get(whole, i - 1)),
-        ),
-    )
-    return found.withColumn("text", F.when(F.size("hit") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    word, text = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", F.coalesce("text", F.lit(""))
+    gaps, words = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    hit = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda i: F.array_contains("hit", i))
+    once = F.array(F.struct(gaps.alias("gaps"), words.alias("words"), hit.alias("hit")))  # bound by the outer transform, not made anew for each word
+
+    def kept(x: Column) -> Column:
+        def piece(gap: Column, i: Column) -> Column:
+            now, before = F.get(x["hit"], i), F.coalesce(F.get(x["hit"], i - 1), F.lit(False))
+            return F.concat(F.when(now & before, F.lit("")).otherwise(gap), F.when(now, F.lit("")).otherwise(F.coalesce(F.get(x["words"], i), F.lit(""))))
+
+        return F.array_join(F.transform(x["gaps"], piece), "")
+
+    return found.withColumn("text", F.when(F.size("hit") > 0, F.element_at(F.transform(once, kept), 1)).otherwise(F.col("text")))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

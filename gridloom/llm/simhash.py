@@ -19,8 +19,9 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import importable, stored, table
+from .common import ascii_lower, importable, stored, table
 
 WORDS, BITS, MAX_BITS, SEED = 3, 64, 2, 42
 #: Bits of a segment, groups of segments, and the most fingerprints of a cell that are paired up.
@@ -145,3 +146,95 @@ def groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> Dat
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The filter takes five words and this likeness; classes of a text, shingles of a class on average, and as above
+#: the most texts of a key that are paired up; of more, each is held against so many leaders.
+NEAR_WORDS, NEAR, CLASSES, CLASS_SHINGLES, PAIRED, LEADERS = 5, 0.8, 16, 4, 16, 3
+
+
+def class_keys(text: str | None, words: int = NEAR_WORDS) -> list[int]:
+    """Keys that two texts of likeness NEAR or more almost surely share: SimHashes of classes of shingles.
+
+    The distinct shingle hashes are dealt into 2^level classes by their low bits, with 4 to 8 in a class at the
+    text's own level and half as many at the next, so texts of like sizes have a level in common. A class is
+    untouched if none of its shingles differs, and then its fingerprint is the same.
+    """
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return []
+    h = np.unique(np.array([xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], np.uint64))
+    own = max(0, (len(h) // CLASS_SHINGLES).bit_length() - 1)
+    out: list[int] = []
+    for level in (own, own + 1):
+        cls = h & np.uint64((1 << level) - 1)
+        some = cls < CLASSES
+        if not some.any():
+            continue
+        order = np.argsort(cls[some], kind="stable")
+        c, x = cls[some][order], h[some][order]
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        size = np.diff(np.append(first, len(c)))
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        fp = np.packbits(np.add.reduceat(bits, first, axis=0, dtype=np.int64) * 2 > size[:, None], axis=1)
+        out += [xxh64_intdigest(bytes([level, int(k)]) + f.tobytes(), SEED) - (1 << 63) for k, f in zip(c[first], fp, strict=True)]
+    return out
+
+
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """a < b: the ids of texts (tid, text; each tid once) with a likeness of NEAR or more in shingles of NEAR_WORDS words.
+
+    Texts with a key in common are held against each other exactly, by their sets of shingle hashes; of a key
+    with more than PAIRED texts, each against the first LEADERS, so of two texts that are near each other but
+    to no leader of any crowded key of theirs the link can be missed.
+    """
+    import pyarrow as pa
+
+    importable(texts.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            keys = [class_keys(t.as_py()) for t in batch.column("text")]
+            tid = np.repeat(batch.column("tid").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array([x for k in keys for x in k], pa.int64())], names=["tid", "key"])
+
+    keyed = stored(texts.select("tid", "text").mapInArrow(run, "tid bigint, key bigint"), "keys")
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("l0")).where("n > 1")
+    few = keyed.join(sized.where(F.col("n") <= PAIRED).select("key"), "key")
+    pairs = few.select("key", F.col("tid").alias("a")).join(few.select("key", F.col("tid").alias("b")), "key").where("a < b").select("a", "b")
+    # leaders: the least ids, one after the other, so no key's texts meet in one task
+    crowd, lead = keyed.join(sized.where(F.col("n") > PAIRED).select("key", "l0"), "key"), "l0"
+    for k in range(1, LEADERS):
+        following = crowd.where(F.col("tid") > F.col(lead)).groupBy("key").agg(F.min("tid").alias(f"l{k}"))
+        crowd, lead = crowd.join(following, "key"), f"l{k}"
+    star = crowd.select("tid", F.explode(F.array(*[F.col(f"l{k}") for k in range(LEADERS)])).alias("l")).where("tid <> l")
+    asked = stored(pairs.union(star.select(F.least("tid", "l").alias("a"), F.greatest("tid", "l").alias("b"))).distinct(), "asked")
+
+    wanted = asked.select(F.col("a").alias("tid")).union(asked.select(F.col("b").alias("tid"))).distinct()
+    words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - NEAR_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, NEAR_WORDS)))
+    sets = stored(texts.join(wanted, "tid", "left_semi").select("tid", words.alias("w")).select("tid", F.array_distinct(shingles).alias("s")), "sets")
+    held = asked.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return held.where(both >= NEAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def drop_near(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each group of texts linked by near_pairs() the least doc_id stays.
+
+    Equal texts are one group, null and empty ones too; of repeated rows one stays, null ids come first.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit("")).cast("string")))
+    texts = stored(marked.groupBy("_tid").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))).alias("m")).select(F.col("_tid").alias("tid"), F.col("m.id").alias("first")), "texts")
+    # each text once, from the row of its first id
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    single = marked.withColumn("_id", key).join(texts.select(F.col("tid").alias("_tid"), F.col("first").alias("_id")), ["_tid", "_id"], "left_semi").select(F.col("_tid").alias("tid"), "text")
+    roots = components(near_pairs(single), "near")
+    grouped = texts.join(roots, texts["tid"] == roots["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("first", "tid")).alias("m")).select(F.col("m.tid").alias("_tid"), F.col("m.first").alias("_id"))
+    one = Window.partitionBy("_tid", "_id").orderBy(F.lit(1))
+    left = marked.withColumn("_id", key).join(best, ["_tid", "_id"], "left_semi")
+    return left.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*columns)
