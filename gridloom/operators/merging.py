@@ -26,7 +26,7 @@ def salvage(old: DataFrame, fresh: DataFrame, key: list[str], frame: list[str],
     """Rows of old whose key fresh lacks, one for each frame, the first in order, and none on a frame of fresh."""
     w = Window.partitionBy(*frame).orderBy(order)
     left = old.join(fresh, key, "left_anti").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-    return left.join(fresh, frame, "left_anti")
+    return left.join(fresh, frame, "left_anti").select(*old.columns)
 
 
 def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

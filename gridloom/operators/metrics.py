@@ -52,8 +52,8 @@ def nearest_rank(df: DataFrame, key: str, value: str, fractions: list[float]) ->
     Equal values are counted once and their places read off a running count, so no key's rows are sorted
     one by one in a task.
     """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("k"))
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_times"))
     w = Window.partitionBy(key).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(key)))
+    ranked = counts.withColumn("_upto", F.sum("_times").over(w)).withColumn("_n", F.sum("_times").over(Window.partitionBy(key)))
     f = F.explode(F.array(*[F.lit(float(x)) for x in fractions]))
-    return ranked.withColumn("fraction", f).where(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("fraction") * F.col("n")))).groupBy(key, "fraction").agg(F.min(value).alias("value"))
+    return ranked.withColumn("fraction", f).where(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("fraction") * F.col("_n")))).groupBy(key, "fraction").agg(F.min(value).alias("value"))
