@@ -24,6 +24,8 @@ LONG_TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"^[A-Za-z]+([_-][A-Za-z]+)*$"
 #: Characters + to z, by code less FIRST.
 FIRST, WIDTH = 43, 80
+#: Weight of the characters' overall shares beside the counts after one character.
+BACKED = 10.0
 #: Natural log of the odds against a long token being a secret: about 160,000 to 1.
 LOG_ODDS = 12.0
 
@@ -51,7 +53,7 @@ def _transitions(token: Column) -> Column:
 
 
 def train(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratio for each of WIDTH x WIDTH transitions, each model smoothed with one of every kind.
+    """Log-likelihood ratio for each of WIDTH x WIDTH transitions.
 
     Reads every text. At most 2 x WIDTH x WIDTH rows of counts come back. No labelled sample: all ratios are 0.
     """
@@ -68,11 +70,18 @@ def train(docs: DataFrame) -> list[float]:
         ).alias("s")
     )
     pairs = tokens.select("s.label", F.explode(_transitions(F.col("s.token"))).alias("pair")).groupBy("label", "pair").count()
-    seen = [[1.0] * (WIDTH * WIDTH) for _ in range(2)]
+    seen = [[[0.0] * WIDTH for _ in range(WIDTH)] for _ in range(2)]
     for label, pair, n in pairs.collect():
-        seen[label][pair] += n
-    rows = [[sum(seen[k][a * WIDTH : (a + 1) * WIDTH]) for a in range(WIDTH)] for k in range(2)]
-    return [round(math.log(seen[1][i] / rows[1][i // WIDTH]) - math.log(seen[0][i] / rows[0][i // WIDTH]), 6) for i in range(WIDTH * WIDTH)]
+        seen[label][pair // WIDTH][pair % WIDTH] += n
+    ordinary, secret = (_log_probabilities(s) for s in seen)
+    return [round(secret[a][b] - ordinary[a][b], 6) for a in range(WIDTH) for b in range(WIDTH)]
+
+
+def _log_probabilities(seen: list[list[float]]) -> list[list[float]]:
+    """Of each character after each other: a row's counts with BACKED of what the characters have overall."""
+    total = [1 + sum(row[b] for row in seen) for b in range(WIDTH)]
+    overall = [t / sum(total) for t in total]
+    return [[math.log((row[b] + BACKED * overall[b]) / (sum(row) + BACKED)) for b in range(WIDTH)] for row in seen]
 
 
 def scan(docs: DataFrame, log_odds: float = LOG_ODDS) -> DataFrame:
