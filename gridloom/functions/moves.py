@@ -1,0 +1,198 @@
+"""One-move steps between positions by the public rules of chess, as a small helper of Arrow-batched functions.
+
+Cells count from a8 to h1; white pieces are 1 to 6 (pawn, knight, bishop, rook, queen, king), black ones 7 to 12.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SYMBOLS = ".PNBRQKpnbrqk"
+STRAIGHT, DIAGONAL = ((1, 0), (-1, 0), (0, 1), (0, -1)), ((1, 1), (1, -1), (-1, 1), (-1, -1))
+LEAPS = ((1, 2), (2, 1), (-1, 2), (-2, 1), (1, -2), (2, -1), (-1, -2), (-2, -1))
+START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
+
+
+class Position(NamedTuple):
+    cells: tuple[int, ...]
+    white: bool = True
+    rights: str = "KQkq"
+    passed: int = -1  # the cell that a pawn has just passed over
+
+
+class Move(NamedTuple):
+    piece: int
+    origin: int
+    target: int
+    promoted: int
+    after: Position
+
+
+def read(placement: str, white: bool = True, rights: str = "KQkq", passed: int = -1) -> Position:
+    cells = [c for rank in placement.split("/") for s in rank for c in ([0] * int(s) if s.isdigit() else [SYMBOLS.index(s)])]
+    return Position(tuple(cells), white, rights, passed)
+
+
+def placement(cells: tuple[int, ...]) -> str:
+    ranks = ("".join(SYMBOLS[c] for c in cells[r : r + 8]) for r in range(0, 64, 8))
+    return "/".join(re.sub(r"\.+", lambda m: str(len(m[0])), r) for r in ranks)
+
+
+def _step(at: int, d: tuple[int, int]) -> int:
+    row, col = at // 8 + d[0], at % 8 + d[1]
+    return row * 8 + col if 0 <= row < 8 and 0 <= col < 8 else -1
+
+
+def _own(piece: int, white: bool) -> bool:
+    return 1 <= piece <= 6 if white else piece >= 7
+
+
+def _ray(cells: tuple[int, ...], at: int, d: tuple[int, int]) -> Iterator[int]:
+    """Cells from at on in one direction, up to and with the first occupied one."""
+    to = _step(at, d)
+    while to >= 0:
+        yield to
+        if cells[to]:
+            return
+        to = _step(to, d)
+
+
+def attacked(cells: tuple[int, ...], at: int, by_white: bool) -> bool:
+    base = 0 if by_white else 6
+    if any((to := _step(at, d)) >= 0 and cells[to] == base + 2 for d in LEAPS) or any((to := _step(at, d)) >= 0 and cells[to] == base + 6 for d in STRAIGHT + DIAGONAL):
+        return True
+    if any((to := _step(at, (1 if by_white else -1, c))) >= 0 and cells[to] == base + 1 for c in (-1, 1)):
+        return True
+    return any(cells[to] in (base + kind, base + 5) for rays, kind in ((STRAIGHT, 4), (DIAGONAL, 3)) for d in rays for to in _ray(cells, at, d))
+
+
+def _targets(p: Position, at: int, kind: int) -> Iterator[int]:
+    cells, free = p.cells, lambda to: to >= 0 and not _own(p.cells[to], p.white)
+    if kind == 1:
+        ahead = -1 if p.white else 1
+        one = _step(at, (ahead, 0))
+        if one >= 0 and not cells[one]:
+            yield one
+            two = _step(one, (ahead, 0))
+            if at // 8 == (6 if p.white else 1) and not cells[two]:
+                yield two
+        yield from (to for c in (-1, 1) if (to := _step(at, (ahead, c))) >= 0 and (to == p.passed or _own(cells[to], not p.white)))
+    elif kind in (2, 6):
+        yield from filter(free, (_step(at, d) for d in (LEAPS if kind == 2 else STRAIGHT + DIAGONAL)))
+    else:
+        rays = (DIAGONAL if kind != 4 else ()) + (STRAIGHT if kind != 3 else ())
+        yield from (to for d in rays for to in _ray(cells, at, d) if free(to))
+
+
+def _after(p: Position, at: int, to: int, piece: int) -> Position:
+    cells, kind = [*p.cells], (p.cells[at] - 1) % 6 + 1
+    cells[at], cells[to] = 0, piece
+    if kind == 1 and to == p.passed:
+        cells[to + (8 if p.white else -8)] = 0
+    if kind == 6 and abs(to - at) == 2:
+        rook, beside = (to + 1, to - 1) if to > at else (to - 2, to + 1)
+        cells[rook], cells[beside] = 0, cells[rook]
+    gone = {60: "KQ", 4: "kq", 63: "K", 56: "Q", 7: "k", 0: "q"}
+    rights = "".join(r for r in p.rights if r not in gone.get(at, "") + gone.get(to, ""))
+    return Position(tuple(cells), not p.white, rights, (at + to) // 2 if kind == 1 and abs(to - at) == 16 else -1)
+
+
+def moves(p: Position) -> Iterator[Move]:
+    """All legal moves."""
+    king = 6 if p.white else 12
+    for at, piece in enumerate(p.cells):
+        if not _own(piece, p.white):
+            continue
+        kind = (piece - 1) % 6 + 1
+        for to in _targets(p, at, kind):
+            last = kind == 1 and to // 8 in (0, 7)
+            for made in [piece - kind + k for k in (2, 3, 4, 5)] if last else [piece]:
+                after = _after(p, at, to, made)
+                if king not in after.cells or not attacked(after.cells, after.cells.index(king), not p.white):
+                    yield Move(piece, at, to, made if last else 0, after)
+        if kind == 6 and at == (60 if p.white else 4) and not attacked(p.cells, at, not p.white):
+            for side, to, between, rook in (("K", at + 2, (at + 1, at + 2), at + 3), ("Q", at - 2, (at - 1, at - 2, at - 3), at - 4)):
+                if (side if p.white else side.lower()) in p.rights and p.cells[rook] == piece - 2 and not any(p.cells[c] for c in between):
+                    if not any(attacked(p.cells, c, not p.white) for c in between[:2]):
+                        yield Move(piece, at, to, 0, _after(p, at, to, piece))
+
+
+_SAN = re.compile(r"^([NBRQK]?)([a-h]?)([1-8]?)x?([a-h][1-8])(?:=?([NBRQ]))?[+#]?$")
+
+
+def play(p: Position, san: str) -> Position:
+    """The position after a move in the usual notation; ValueError if it fits no legal move, or several."""
+    if castle := re.match(r"^[O0]-[O0](-[O0])?[+#]?$", san):
+        fits = [m for m in moves(p) if (m.piece - 1) % 6 == 5 and m.target - m.origin == (-2 if castle[1] else 2)]
+    else:
+        parts = _SAN.match(san)
+        if not parts:
+            raise ValueError(f"no move: {san}")
+        kind, file, rank, to, made = parts.groups()
+        target = (8 - int(to[1])) * 8 + ord(to[0]) - 97
+        fits = [
+            m
+            for m in moves(p)
+            if m.target == target and SYMBOLS[(m.piece - 1) % 6 + 1] == (kind or "P") and (not file or m.origin % 8 == ord(file) - 97) and (not rank or 8 - m.origin // 8 == int(rank)) and (SYMBOLS[(m.promoted - 1) % 6 + 1] if m.promoted else None) == made
+        ]
+    if len({m.after for m in fits}) != 1:
+        raise ValueError(f"{san} fits {len(fits)} moves")
+    return fits[0].after
+
+
+def one_move(before: str, after: str) -> bool:
+    """Whether after is before or one legal move by either side from it. What the placement doesn't say is granted:
+    castling with king and rook at home, and a pawn that may just have moved two cells."""
+    if before == after:
+        return True
+    try:
+        b, a = read(before), read(after)
+    except ValueError:
+        return False
+    if len(b.cells) != 64 or len(a.cells) != 64 or sum(x != y for x, y in zip(b.cells, a.cells, strict=True)) > 4:
+        return False
+    for white in (True, False):
+        rank = 24 if white else 32
+        passed = [c - 8 if white else c + 8 for c in range(rank, rank + 8) if b.cells[c] == (7 if white else 1)]
+        if any(m.after.cells == a.cells for ep in [-1, *passed] for m in moves(Position(b.cells, white, "KQkq", ep))):
+            return True
+    return False
+
+
+def legal_step(before: Column, after: Column) -> Column:
+    """one_move() of two placement columns, null if either is; equal ones don't reach Python."""
+    @F.pandas_udf("boolean")
+    def step(b: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else one_move(x, y) for x, y in zip(b, a, strict=True)], dtype=object)
+
+    return F.when(before == after, F.lit(True)).otherwise(step(F.when(before != after, before), after))
+
+
+def replayed(games: DataFrame) -> DataFrame:
+    """Games with positions: (ply, san, placement), ply 0 the start; from the first move that can't be played on, none, and error says which."""
+
+    def run(frames):
+        for part in frames:
+            out, errors = [], []
+            for list_ in part["moves"]:
+                p, rows, error = read(START), [(0, None, START)], None
+                for m in list_:
+                    try:
+                        p = play(p, m["san"])
+                    except ValueError as e:
+                        error = f"ply {m['ply']}: {e}"
+                        break
+                    rows.append((int(m["ply"]), m["san"], placement(p.cells)))
+                out.append([{"ply": a, "san": s, "placement": q} for a, s, q in rows])
+                errors.append(error)
+            yield part.assign(positions=out, error=errors)
+
+    kept = [c for c in games.columns if c not in ("positions", "error")]
+    schema = ", ".join([f"`{n}` {t}" for n, t in games.select(*kept).dtypes] + ["positions array<struct<ply:int,san:string,placement:string>>", "error string"])
+    return games.select(*kept).mapInPandas(run, schema)

@@ -1,0 +1,34 @@
+"""Move rules against published node counts, and replay of short games."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.functions import moves
+from gridloom.sources import readers
+
+BUSY = "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R"
+
+
+def nodes(p, depth):
+    return 1 if depth == 0 else sum(nodes(m.after, depth - 1) for m in moves.moves(p))
+
+
+@pytest.mark.parametrize("p, depth, count", [(moves.read(moves.START), 3, 8902), (moves.read(BUSY), 2, 2039), (moves.read("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8", rights=""), 3, 2812), (moves.read("r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1", rights="kq"), 2, 264)])
+def test_node_counts(p, depth, count):
+    assert nodes(p, depth) == count
+
+
+def test_steps(spark):
+    after = moves.placement(moves.play(moves.read(moves.START), "e4").cells)
+    castled = BUSY.replace("R3K2R", "R4RK1")
+    rows = [(moves.START, after, True), (after, moves.START, False), (BUSY, BUSY, True), (BUSY, castled, True), (moves.START, BUSY, False), ("bad", BUSY, False), (None, BUSY, None)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", moves.legal_step(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_replay(spark, tmp_path):
+    path = tmp_path / "g.pgn"
+    path.write_text('[Event "A"]\n\n1. e4 d5 2. exd5 e5 3. dxe6 h6 4. exf7+ Ke7 5. fxg8=N+ 1-0\n\n[Event "B"]\n\n1. e4 e5 2. Nf3 Nc6 3. Bc4 Bc5 4. O-O Qf6 5. Ke4 *\n')
+    a, b = moves.replayed(readers.games(spark, str(path))).orderBy("game_no").collect()
+    assert a["error"] is None and a["positions"][-1]["placement"].startswith("rnbq1bNr/")
+    assert b["error"] == "ply 9: Ke4 fits 0 moves" and b["positions"][7]["placement"].split("/")[-1] == "RNBQ1RK1" and len(b["positions"]) == 9
