@@ -22,8 +22,8 @@ from .common import importable, table, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a worker remembers, about 100 MB; it starts anew beyond that.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers, about 70 MB; it starts anew beyond that.
+REMEMBERED = 200_000
 #: Texts are encoded in batches of about so many characters.
 BATCH_CHARS = 4_000_000
 
@@ -230,6 +230,7 @@ def tokenize(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
             made += [pa.array(ids, pa.string()), pa.array(decoded, pa.string())] if texts else []
             names = [n for n in part.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])])
+        enc.known.clear()  # workers live on, and other operators need their memory
 
     return docs.select(*own.columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from .common import importable, table
 
 #: The models are fitted on so many labelled documents of each kind at most, those of the least id hashes.
 MOST_TOXIC, MOST_ORDINARY = 2000, 3000
-DICTIONARY, LEVEL, REMEMBERED = 8192, 9, 400_000
+DICTIONARY, LEVEL, REMEMBERED = 8192, 9, 150_000
 CARRIER = b"0123456789ABCDEF~" * 2
 #: A window belongs to toxic text if at least so many texts have it, so many times as often; to ordinary text up to the last.
 LEAST_TEXTS, TOXIC_ODDS, ORDINARY_ODDS = 3, 3.0, 1.5
@@ -144,8 +144,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            values = pa.array(model.scores(batch.column(batch.schema.names.index("text")).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "score"])
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                values = pa.array(model.scores(some.column(some.schema.names.index("text")).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*some.columns, values], names=[*some.schema.names, "score"])
 
     return own.mapInArrow(run, schema)
 
