@@ -51,8 +51,8 @@ def _bitmap(grams: DataFrame, slots: int) -> list[int]:
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hit (distinct positions of hit words, from 1) and items (ids as sorted strings).
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """docs, or its columns carry, with n_words, hit (distinct positions of hit words, from 1) and items (ids as sorted strings).
 
     A null text and a text without words have no hits; so has every text if items is empty or has no words.
     Rows, repeated ones too, stay as they are; columns named n_words, hit and items are replaced.
@@ -68,7 +68,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         slot = hashed["hash"].bitwiseAND(slots - 1)
         return F.call_function("shiftright", bits[F.shiftright(slot, 6).cast("int")], slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
-    own = [c for c in docs.columns if c not in ("n_words", "hit", "items")]
+    own = [c for c in carry or docs.columns if c not in ("n_words", "hit", "items")]
     split = docs.select(F.struct(*own).alias("doc"), words_of(F.col("text")).alias("w")).withColumn("row", row_key())
     none = F.array().cast("array<struct<start:int,size:int,hash:bigint,gram:string>>")
 
@@ -113,7 +113,7 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
         "doc_id",
         "n_words",
