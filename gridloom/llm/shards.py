@@ -21,8 +21,10 @@ from .common import importable, shared_dir, table, tokenizer_file
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Documents of a shard partition, ids after which a partition begins a further file, words a worker remembers.
-SHARD_DOCS, FILE_IDS, REMEMBERED = 4096, 8_000_000, 400_000
+SHARD_DOCS, FILE_IDS, REMEMBERED = 4096, 8_000_000, 1_000_000
 MAGIC = b"GLW1"
+#: Letters below it lower-case to one letter and have no parts; punctuation that the tokenizer never joins to them.
+LATIN, PUNCTUATION = "\u0130", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WaveletMatrix:
@@ -123,9 +125,9 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """The tokenizer's ids of texts, each distinct word encoded once.
+    """The tokenizer's ids of texts, each distinct word of a batch looked up once and each new one encoded once.
 
-    The tokenizer never joins across white space, nor a Latin letter and a full stop or comma after it, and lower-cases;
+    The tokenizer never joins across white space, nor a Latin letter and the punctuation after it, and lower-cases;
     so words are cut there and ids of the parts are put together.
     """
 
@@ -136,30 +138,61 @@ class WordEncoder:
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.known: dict[str, bytes] = {}
+        # the model knows a byte as the character of its number, or if that isn't printable, as one from 256 on
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in printable]
+        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of self.type."""
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words. Lower-case Latin words go to the model as they stand."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        # only these four are cut at: what else counts as white space is left to the tokenizer
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        alone = {i for i, t in enumerate(texts) if self.special.search(t)}  # a special token may hold a space
-        fresh: dict[str, tuple[str, str]] = {}
-        for i, ws in enumerate(split):
-            if i not in alone:
-                for w in ws:
-                    if w not in known and w not in fresh:
-                        core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "\u0130" else (w, "")
-                        fresh[w] = core.lower() if core.isascii() else core, tail
+        known, fresh = self.known, {}
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core == w or not (core.isalpha() and max(core) < LATIN):
+                fresh[w] = (w.lower() if w and w.isalpha() and max(w) < LATIN else w), ""
+            else:
+                fresh[w] = core.lower(), w[len(core) :]
         parts = [*{p for two in fresh.values() for p in two if p not in known}]
-        known.update(zip(parts, self._ids(parts), strict=True))
+        for p in parts:
+            if p.isalpha() and max(p) < LATIN:
+                shown = p if p.isascii() else "".join([self.shown[b] for b in p.encode()])
+                known[p] = np.array([t.id for t in self.library.model.tokenize(shown)], self.type).tobytes()
+        rest = [p for p in parts if p not in known]
+        known.update(zip(rest, self._ids(rest), strict=True))
         for w, (core, tail) in fresh.items():
             known[w] = known[core] + known[tail]
-        return [self._ids([texts[i]])[0] if i in alone else b"".join([known[w] for w in ws]) for i, ws in enumerate(split)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian numbers of self.type."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # a special token may hold a space
+        alone = {i: self._ids([t])[0] for i, t in enumerate(texts) if self.special.search(t)}
+        column = pa.array(["" if i in alone else t for i, t in enumerate(texts)], pa.large_string())
+        for space in "\n\t\r":  # with the blank all that is cut at: what else counts as white space is left to the tokenizer
+            column = pc.replace_substring(column, space, " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        fresh = [w for w in words if w not in self.known]
+        if fresh:
+            self._learn(fresh)
+            if lost := [w for w in words if w not in self.known]:  # it began anew meanwhile
+                self._learn(lost)
+        held = [self.known[w] for w in words]
+        flat, size = np.frombuffer(b"".join(held), self.type), np.array([len(h) for h in held], np.int64) // self.type.itemsize
+        first, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        count = size[at]
+        ends = np.append(0, np.cumsum(count))
+        tokens = flat[np.repeat(first[at] - ends[:-1], count) + np.arange(ends[-1])]
+        bound = ends[lists.offsets.to_numpy()].tolist()
+        return [alone[i] if i in alone else tokens[bound[i] : bound[i + 1]].tobytes() for i in range(len(texts))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -199,8 +232,8 @@ def write_shards(docs: DataFrame, path: str, end: int = END, folder: str | None
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["partition", "part", "doc_id", "n_tokens", "n", "file"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 names += some.column("doc_id").to_pylist()
                 ids += [i + last for i in enc.encode([t or "" for t in some.column("text").to_pylist()])]
                 if sum(map(len, ids)) > FILE_IDS * enc.type.itemsize:
