@@ -69,9 +69,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of an Arrow batch between Spark and Python; texts may be long, so fewer than Spark's default.
+BATCH_ROWS, DEFAULT_ROWS = "2000", "10000"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets local Python workers import this package however the session was started; clusters ship it with --py-files."""
+    """Lets local Python workers import this package however the session was started; clusters ship it with --py-files.
+
+    Also sets the rows of an Arrow batch to BATCH_ROWS, unless the session names a number of its own.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == DEFAULT_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
