@@ -149,8 +149,9 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 #: The filter takes five words and this likeness; classes of a text, shingles of a class on average, and as above
-#: the most texts of a key that are paired up; of more, each is held against so many leaders.
-NEAR_WORDS, NEAR, CLASSES, CLASS_SHINGLES, PAIRED, LEADERS = 5, 0.8, 16, 4, 16, 3
+#: the most texts of a key that are paired up at once; of more, each is first held against so many leaders. Rows
+#: of a common shingle that meet in one task.
+NEAR_WORDS, NEAR, CLASSES, CLASS_SHINGLES, PAIRED, LEADERS, BLOCK = 5, 0.8, 16, 4, 16, 3, 512
 
 
 def class_keys(text: str | None, words: int = NEAR_WORDS) -> list[int]:
@@ -183,12 +184,42 @@ def class_keys(text: str | None, words: int = NEAR_WORDS) -> list[int]:
     return out
 
 
-def near_pairs(texts: DataFrame) -> DataFrame:
-    """a < b: the ids of texts (tid, text; each tid once) with a likeness of NEAR or more in shingles of NEAR_WORDS words.
+def held(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (a, b) of asked whose sets (tid, s) have a likeness of NEAR or more."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    of = asked.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
+    return of.where(both >= NEAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """a and b of different roots: all pairs of sets (tid, root, s) that can have a likeness of NEAR or more.
+
+    Of two such sets each lacks at most 1 - NEAR of the other's shingles, so with the shingles in one order, rarest
+    first, both have one of their first 1 - NEAR in common, plus one. Shingles of one text alone come first and are
+    only counted. A shingle's rows outside its largest root meet all of its rows, in blocks of BLOCK.
+    """
+    each = stored(sets.select("tid", "root", F.size("s").alias("size"), F.explode("s").alias("x")), "shingles")
+    common = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    first = F.col("size") - F.ceil(F.col("size") * NEAR - 1e-9) + 1 - (F.col("size") - F.size("xs"))
+    own = each.join(common, "x").groupBy("tid", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("xs"))
+    prefix = stored(own.where(first > 0).select("tid", "root", "size", F.explode(F.slice("xs", F.lit(1), first.cast("int"))).alias("p")).select("tid", "root", "size", "p.x"), "prefixes")
+    roots = prefix.groupBy("x", "root").agg(F.count("*").alias("n")).groupBy("x").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k"))
+    mixed = roots.where("k > 1").select("x", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("m.root").alias("main"))
+    dealt = prefix.join(mixed, "x")
+    left = dealt.where("root <> main").select("x", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("tid").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
+    right = dealt.select("x", F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"), F.col("tid").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
+    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
+    met = left.join(right, ["x", "block"]).where((F.col("ra") != F.col("rb")) & once & (F.least("na", "nb") >= NEAR * F.greatest("na", "nb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_roots(texts: DataFrame) -> DataFrame:
+    """node and root of every text (tid, text; each tid once) that is linked: a likeness of NEAR or more in shingles of NEAR_WORDS words.
 
     Texts with a key in common are held against each other exactly, by their sets of shingle hashes; of a key
-    with more than PAIRED texts, each against the first LEADERS, so of two texts that are near each other but
-    to no leader of any crowded key of theirs the link can be missed.
+    with more than PAIRED texts, each against the first LEADERS. Where that leaves more than one group in such a
+    key, all links between the groups are searched by prefix_pairs(), so a crowded key loses none; links
+    within a group change nothing.
     """
     import pyarrow as pa
 
@@ -216,13 +247,20 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - NEAR_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, NEAR_WORDS)))
     sets = stored(texts.join(wanted, "tid", "left_semi").select("tid", words.alias("w")).select("tid", F.array_distinct(shingles).alias("s")), "sets")
-    held = asked.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return held.where(both >= NEAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = stored(held(asked, sets), "links")
+    roots = components(links, "near")
+
+    # crowded keys whose texts are still in more than one group
+    crowded = keyed.join(sized.where(F.col("n") > PAIRED).select("key"), "key", "left_semi")
+    rooted = stored(crowded.join(roots, crowded["tid"] == roots["node"], "left").select("key", "tid", F.coalesce("root", "tid").alias("root")), "rooted")
+    spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    left = rooted.join(spread, "key", "left_semi").select("tid", "root").distinct()
+    more = stored(held(stored(prefix_pairs(left.join(sets, "tid")), "asked_more"), sets), "links_more")
+    return roots if more.isEmpty() else components(links.union(more), "near_all")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each group of texts linked by near_pairs() the least doc_id stays.
+    """The rows of docs without near copies: of each group of texts linked by near_roots() the least doc_id stays.
 
     Equal texts are one group, null and empty ones too; of repeated rows one stays, null ids come first.
     """
@@ -232,7 +270,7 @@ def drop_near(docs: DataFrame) -> DataFrame:
     # each text once, from the row of its first id
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     single = marked.withColumn("_id", key).join(texts.select(F.col("tid").alias("_tid"), F.col("first").alias("_id")), ["_tid", "_id"], "left_semi").select(F.col("_tid").alias("tid"), "text")
-    roots = components(near_pairs(single), "near")
+    roots = near_roots(single)
     grouped = texts.join(roots, texts["tid"] == roots["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("first", "tid")).alias("m")).select(F.col("m.tid").alias("_tid"), F.col("m.first").alias("_id"))
     one = Window.partitionBy("_tid", "_id").orderBy(F.lit(1))

@@ -215,6 +215,37 @@ def test_drop_near(spark, odd):
     assert simhash.drop_near(empty(odd)).count() == 0
 
 
+def test_drop_near_in_a_crowded_family(spark):
+    """300 copies of one text with six edits each: near to the text itself, to few others, so to no leader."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        v = [*base]
+        for at in r.sample(range(300), 6):
+            v[at] = f"new{k}x{at}"
+        texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                i_, j_ = top(i), top(j)
+                root[max(i_, j_)] = min(i_, j_)
+    want = sorted({top(i) for i in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.drop_near(docs).collect())
+    print("kept", len(got), "brute force", len(want))
+    assert got == want
+
+
 def test_sketch(spark, odd):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = sorted(docs.collect())
