@@ -91,8 +91,12 @@ def _dictionary(chosen: list[str]) -> bytes:
     return b"".join(reversed(held)) + b" " + CARRIER
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Dictionaries and thresholds from labelled texts; with one label only, the share of that label is every score."""
+def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Dictionaries and thresholds from labelled texts; with one label only, the share of that label is every score.
+
+    A text of label 0 or 1 weighs as many rows as it stands_for, so scores are likelihoods at the labels' own
+    shares however the sample was taken.
+    """
     y = np.array(labels, float)
     seen = [Counter(), Counter()]
     for t, label in zip(texts, labels, strict=True):
@@ -106,12 +110,14 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         model.weight[-1] = math.log((n[1] + 0.5) / (n[0] + 9.5))
         return model
     x = np.array([model.features(t) for t in texts])
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
+    model.mean = np.average(x, 0, weight)
+    model.scale = np.sqrt(np.average((x - model.mean) ** 2, 0, weight)) + 1e-9
     z = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
     ridge = np.diag([0.1] * len(blank) + [1e-6])
     for _ in range(50):  # Newton's steps
         p = 1 / (1 + np.exp(-np.clip(z @ model.weight, -30, 30)))
-        model.weight = model.weight - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(ridge)), z.T @ (p - y) + ridge @ model.weight)
+        model.weight = model.weight - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(ridge)), z.T @ (weight * (p - y)) + ridge @ model.weight)
     return model
 
 
@@ -124,14 +130,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the documents that labels marks, those held out apart.
 
     The sample has MOST_TOXIC and MOST_ORDINARY rows at most; its ids are found on labels alone, so the driver
-    gets no more than these texts. Of several labels of one id the largest counts; null labels and ids don't.
+    gets no more than these texts; each row of a class weighs as many as the class has in all over its sample.
+    Of several labels of one id the largest counts; null labels and ids don't.
     """
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     some = lambda toxic, most: marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = some(1, MOST_TOXIC).union(some(0, MOST_ORDINARY))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    total = dict(marked.groupBy("toxic").count().collect())
+    stands_for = tuple(max(1.0, total.get(k, 0) / max(1, most)) for k, most in ((0, MOST_ORDINARY), (1, MOST_TOXIC)))
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], stands_for)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

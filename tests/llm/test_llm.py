@@ -318,6 +318,25 @@ def test_toxicity(spark, odd):
     assert all(0 <= s <= 0.5 for s in blank.scores([None, "", "idiot"]))
 
 
+def test_toxicity_at_its_caps(spark, monkeypatch):
+    """Lowered caps, by which half of the sample is toxic and not a tenth, leave the scores nearly as they were."""
+    r = random.Random(3)
+    rows = []
+    for k in range(6000):
+        y = int(k % 10 == 0)
+        # bad words stand in ordinary texts too, so that many likelihoods are neither 0 nor 1
+        w = [r.choice(["scumbag", "moronic", "vile", "idiot"]) if r.random() < (0.08 if y else 0.02) else f"word{r.randrange(80)}" for _ in range(30)]
+        rows.append((k, " ".join(w), y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = [t for _, t, _ in rows]
+    whole = toxicity.train(docs, docs).scores(texts)
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 400)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 400)
+    capped = toxicity.train(docs, docs).scores(texts)
+    print("mean", whole.mean(), capped.mean(), "same", ((whole >= 0.5) == (capped >= 0.5)).mean(), "toxic", (whole >= 0.5).mean(), (capped >= 0.5).mean())
+    assert abs(whole.mean() - capped.mean()) < 0.03 and ((whole >= 0.5) == (capped >= 0.5)).mean() >= 0.95
+
+
 def test_pipeline_on_the_small_tables(spark):
     import corpus_pipeline as cp
 
