@@ -20,6 +20,9 @@ BLOCK, PROBES = 64, 4
 #: The filter may hold so many blocks (4 MB) and the joined rules so many rows before they are shuffled instead.
 MAX_BLOCKS, MAX_BROADCAST_RULES = 1 << 19, 1 << 16
 
+#: Columns that the judgement makes.
+REPLACED = {"host", "path", "rule", "verdict"}
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -63,22 +66,19 @@ def filter_of(rules: DataFrame, rows: int) -> list[int]:
     return out
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict; rules has verdict, rule_host and rule_path.
+def _pages(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """page (a struct of the columns that stay), host, path and keys: the listed keys that may fit, as the filter says.
 
-    The longest fitting rule wins, host and path together; of equally long ones the longer host. No fitting
-    rule, no :// and a null url give default and a null rule. Repeated pages stay repeated. Of rules listed
-    twice, block wins. Columns named host, path, rule and verdict are replaced.
+    No rule has more labels in its host than the longest one, so no longer suffix of a host can be listed.
     """
-    rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
-    sized = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
-    bits = constant(filter_of(rules, sized["n"]), "array<bigint>")
-    blocks = blocks_for(sized["n"])
-    lengths = constant(sorted(sized["lengths"]), "array<int>")
+    sized = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", r"\.", -1))).alias("labels")).first()
+    bits, blocks = constant(filter_of(rules, n_rules), "array<bigint>"), blocks_for(n_rules)
+    lengths, most = constant(sorted(sized["lengths"]), "array<int>"), F.lit(sized["labels"] or 1)
 
-    seen = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("_row", row_key())
+    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in REPLACED]
+    seen = pages.select(F.struct(*own).alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), most)), lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."))
     fitting = F.filter(lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(s.alias("rule_host"), F.left("path", n).alias("rule_path")))))
 
@@ -86,21 +86,37 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         h = F.xxhash64(key["rule_host"], key["rule_path"])
         return bits[_block(h, blocks)].bitwiseAND(_mask(h)) == _mask(h)
 
-    probed = seen.withColumn("_keys", F.when(F.col("host") == "", F.array().cast("array<struct<rule_host:string,rule_path:string>>")).otherwise(F.filter(keys, passes)))
-    listed = F.broadcast(rules) if sized["n"] <= MAX_BROADCAST_RULES else rules
-    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), F.col("says"))
-    page = F.struct(*[c for c in probed.columns if c not in ("_row", "_keys", "rule", "verdict")])
-    return (
-        probed.select("_row", page.alias("page"), F.explode_outer("_keys").alias("k"))
-        .select("_row", "page", F.col("k.rule_host").alias("key_host"), F.col("k.rule_path").alias("key_path"))
-        .join(listed.withColumnRenamed("verdict", "says"), (F.col("key_host") == F.col("rule_host")) & (F.col("key_path") == F.col("rule_path")), "left")
-        .groupBy("_row")
-        .agg(F.first("page").alias("page"), F.max(F.when(F.col("says").isNotNull(), rank)).alias("won"))
-        .select("page.*", F.col("won.rule").alias("rule"), F.coalesce("won.says", F.lit(default)).alias("verdict"))
+    none = F.array().cast("array<struct<rule_host:string,rule_path:string>>")
+    cut = seen.withColumn("labels", labels)
+    return cut.select("page", "host", "path", F.when(F.col("host") == "", none).otherwise(F.filter(keys, passes)).alias("keys"))
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """pages with host, path, rule and verdict; rules has verdict, rule_host and rule_path.
+
+    The longest fitting rule wins, host and path together; of equally long ones the longer host. No fitting
+    rule, no :// and a null url give default and a null rule. Repeated pages stay repeated, in no order. Of rules
+    listed twice, block wins. Columns named host, path, rule and verdict, in any case, are replaced; others stay,
+    whatever their names. Pages that the filter rules out are neither joined nor shuffled.
+    """
+    rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
+    n_rules = rules.count()
+    probed = _pages(pages, rules, n_rules)
+    listed = F.broadcast(rules) if n_rules <= MAX_BROADCAST_RULES else rules
+    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict"))
+    free = probed.where(F.size("keys") == 0).select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    met = probed.where(F.size("keys") > 0).withColumn("row", row_key()).select("row", "page", "host", "path", F.explode("keys").alias("k"))
+    judged = (
+        met.join(listed, (F.col("k.rule_host") == F.col("rule_host")) & (F.col("k.rule_path") == F.col("rule_path")), "left")
+        .groupBy("row")
+        .agg(F.first("page").alias("page"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("verdict").isNotNull(), rank)).alias("won"))
+        .select("page.*", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
     )
+    return free.unionByName(judged)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page, by RULES; a null url has an empty host and path."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
