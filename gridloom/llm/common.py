@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,13 @@ def importable(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == DEFAULT_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
+
+
+def slices(frames: Iterator, chars: int) -> Iterator:
+    """Slices of Arrow record batches of about so many characters of text; a longer text stands alone."""
+    for batch in frames:
+        sizes = np.cumsum(batch.column("text").to_pandas().str.len().fillna(0).to_numpy()) // chars
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(sizes)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, table, tokenizer_file
+from .common import importable, slices, table, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -199,16 +199,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _batches(frames: Iterator, chars: int = BATCH_CHARS) -> Iterator:
-    """Slices of Arrow record batches of about so many characters; a longer text stands alone."""
-    for batch in frames:
-        sizes = np.cumsum(batch.column("text").to_pandas().str.len().fillna(0).to_numpy()) // chars
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(sizes)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def tokenize(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and with ids and decoded if texts; without its text.
 
@@ -223,7 +213,7 @@ def tokenize(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
 
     def run(frames: Iterator) -> Iterator:
         enc = encoder(path)
-        for part in _batches(frames):
+        for part in slices(frames, BATCH_CHARS):
             ids, decoded = zip(*enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True)
             sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
             made = [pa.array([i.count(" ") + 1 for i in ids], pa.int64()), sha(ids), sha(decoded)]
