@@ -4,13 +4,14 @@ A window is a word in lower case without its punctuation. Held between two copie
 dictionaries, so that even four letters can be matched, it is compressed with either; the difference of the
 two lengths in bytes is its distance. A text's counts of windows beyond each distance go through thresholds
 calibrated by logistic regression. Windows that both kinds of text share say nothing, so each dictionary is
-trained on the windows that its own kind has more often.
+trained on the windows that its own kind has more often. Windows of several words were measured too and do far
+worse where toxic words stand alone in ordinary prose: what an eight-word window saves by one word is less than
+what chance matches in the other seven save (figures in README.md).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, table
+from .common import importable, stored, table
 
 #: The models are fitted on so many labelled documents of each kind at most, those of the least id hashes.
 MOST_TOXIC, MOST_ORDINARY = 2000, 3000
@@ -27,6 +28,8 @@ CARRIER = b"0123456789ABCDEF~" * 2
 #: A window belongs to toxic text if at least so many texts have it, so many times as often; to ordinary text up to the last.
 LEAST_TEXTS, TOXIC_ODDS, ORDINARY_ODDS = 3, 3.0, 1.5
 DISTANCES = range(1, 9)
+#: Characters of the longest window that a dictionary may have.
+LONGEST = 64
 
 
 def windows(text: str | None) -> list[str]:
@@ -91,60 +94,92 @@ def _dictionary(chosen: list[str]) -> bytes:
     return b"".join(reversed(held)) + b" " + CARRIER
 
 
-def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Dictionaries and thresholds from labelled texts; with one label only, the share of that label is every score.
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """model with thresholds from the features x and labels y; with one label only, the share of that label is every score.
 
-    A text of label 0 or 1 weighs as many rows as it stands_for, so scores are likelihoods at the labels' own
-    shares however the sample was taken.
+    A row of label 0 or 1 weighs as many as it stands_for, so scores are likelihoods at the labels' own shares however
+    the sample was taken.
     """
-    y = np.array(labels, float)
-    seen = [Counter(), Counter()]
-    for t, label in zip(texts, labels, strict=True):
-        seen[label].update(set(windows(t)))
-    n = [len(labels) - int(y.sum()), int(y.sum())]
-    odds = lambda w: (seen[1][w] + 0.5) / (n[1] + 1) / ((seen[0][w] + 0.5) / (n[0] + 1))
-    most = lambda label, fits: sorted((w for w, k in seen[label].items() if w and k >= LEAST_TEXTS and fits(odds(w))), key=lambda w: (-seen[label][w], w))
-    blank = np.zeros(2 * len(DISTANCES) + 2)
-    model = Model(_dictionary(most(1, lambda o: o >= TOXIC_ODDS)), _dictionary(most(0, lambda o: o <= ORDINARY_ODDS)), blank, blank + 1, np.zeros(len(blank) + 1))
+    n = [len(y) - int(y.sum()), int(y.sum())]
     if min(n) == 0:
         model.weight[-1] = math.log((n[1] + 0.5) / (n[0] + 9.5))
         return model
-    x = np.array([model.features(t) for t in texts])
     weight = np.where(y == 1, stands_for[1], stands_for[0])
     model.mean = np.average(x, 0, weight)
     model.scale = np.sqrt(np.average((x - model.mean) ** 2, 0, weight)) + 1e-9
     z = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
-    ridge = np.diag([0.1] * len(blank) + [1e-6])
+    ridge = np.diag([0.1] * x.shape[1] + [1e-6])
     for _ in range(50):  # Newton's steps
         p = 1 / (1 + np.exp(-np.clip(z @ model.weight, -30, 30)))
         model.weight = model.weight - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(ridge)), z.T @ (weight * (p - y)) + ridge @ model.weight)
     return model
 
 
+def _seen(sample: DataFrame) -> DataFrame:
+    """window, and how many toxic and ordinary texts of sample have it."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for t, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                own = sorted({w for w in windows(t) if 0 < len(w) <= LONGEST})
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], names=["window", "toxic"])
+
+    each = sample.select("text", "toxic").mapInArrow(run, "window string, toxic int")
+    return each.groupBy("window").agg(F.sum("toxic").alias("in_toxic"), F.sum(1 - F.col("toxic")).alias("in_ordinary"))
+
+
+def _chosen(seen: DataFrame, n: dict[int, int], label: int) -> list[str]:
+    """The windows of one dictionary, most frequent first; no more than it has room for reach the driver."""
+    odds = (F.col("in_toxic") + 0.5) / (n.get(1, 0) + 1) / ((F.col("in_ordinary") + 0.5) / (n.get(0, 0) + 1))
+    k, fits = (F.col("in_toxic"), odds >= TOXIC_ODDS) if label else (F.col("in_ordinary"), odds <= ORDINARY_ODDS)
+    rows = seen.where((k >= LEAST_TEXTS) & fits).orderBy(k.desc(), "window").select("window").limit(DICTIONARY // 2).collect()
+    return [r["window"] for r in rows]
+
+
 def held_out(doc_id: str) -> Column:
     """Rows that no model learns from: crc32 of the id as text divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY) -> Model:
     """A model from the documents that labels marks, those held out apart.
 
-    The sample has MOST_TOXIC and MOST_ORDINARY rows at most; its ids are found on labels alone, so the driver
-    gets no more than these texts; each row of a class weighs as many as the class has in all over its sample.
-    Of several labels of one id the largest counts; null labels and ids don't.
+    The sample has most_toxic and most_ordinary rows at most, those of the least id hashes; each row of a class weighs
+    as many as the class has in all over its sample. No text reaches the driver: it gets the two dictionaries' windows
+    and the sample's features. Of several labels of one id the largest counts; null labels and ids don't; of several
+    texts of one id the least. Empty tables give a model that scores every text alike.
     """
+    import pyarrow as pa
+
+    importable(docs.sparkSession)
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     some = lambda toxic, most: marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = some(1, MOST_TOXIC).union(some(0, MOST_ORDINARY))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    ids = some(1, most_toxic).union(some(0, most_ordinary))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = stored(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
+    n = dict(sample.groupBy("toxic").count().collect())
+    seen = stored(_seen(sample), "windows")
+    blank = np.zeros(2 * len(DISTANCES) + 2)
+    model = Model(_dictionary(_chosen(seen, n, 1)), _dictionary(_chosen(seen, n, 0)), blank, blank + 1, np.zeros(len(blank) + 1))
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            x = [model.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id string, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     total = dict(marked.groupBy("toxic").count().collect())
-    stands_for = tuple(max(1.0, total.get(k, 0) / max(1, most)) for k, most in ((0, MOST_ORDINARY), (1, MOST_TOXIC)))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], stands_for)
+    stands_for = tuple(max(1.0, total.get(k, 0) / max(1, most)) for k, most in ((0, most_ordinary), (1, most_toxic)))
+    return calibrated(model, np.array([r["x"] for r in rows]).reshape(len(rows), len(blank)), np.array([r["toxic"] for r in rows], float), stands_for)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score. Null and empty texts have a score too, that of no windows; every row gives one row."""
+    """docs with score. Null and empty texts have a score too, that of no windows; every row gives one row.
+
+    A column named score is replaced; others stay, whatever their names.
+    """
     import pyarrow as pa
 
     importable(docs.sparkSession)
@@ -167,6 +202,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; null and empty texts score as no windows do."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
