@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions import board
+from gridloom.functions import board, text
 
 
 def oriented_else_unordered(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -28,3 +28,45 @@ def hamming_nearest(obs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     best = met.groupBy("obs_id").agg(F.min(F.struct("diff", "known_id")).alias("b"))
     found = obs.select("obs_id").join(best, "obs_id", "left").select("obs_id", F.col("b.known_id").alias("known_id"), F.col("b.diff").alias("diff"))
     return found.withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("diff") / (most + 1.0)))
+
+
+def _grams(name: Column) -> Column:
+    """Distinct runs of three letters; a shorter text is its own."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3)))
+    return F.array_distinct(runs)
+
+
+def names_in(names: DataFrame, name: str, blobs: DataFrame, blob: str) -> DataFrame:
+    """Pairs (name, blob) of distinct names and blobs in which name_in() reads the name.
+
+    A name within a blob has its first three letters in common with it, a word within a name its own first three, so
+    pairs come from equal joins on these; names and words of fewer letters must be words of the blob, or are looked up as
+    they stand.
+    """
+    n, b = names.select(name).distinct(), blobs.select(blob).distinct()
+    words = F.filter(F.split(blob, r"\s+"), lambda w: w != "")
+    short = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(blob) - k + 1, F.lit(1))), lambda i: F.substring(blob, i, k))))
+    first = n.select(name, F.substring(name, 1, 3).alias("_g")).join(b.select(blob, F.explode(F.array_distinct(F.concat(_grams(F.col(blob)), short))).alias("_g")), "_g")
+    inside = n.select(name, F.explode(_grams(F.col(name))).alias("_g")).join(b.select(blob, F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("_g")), "_g")
+    pairs = first.select(name, blob).union(inside.select(name, blob))
+    return pairs.where(text.name_in(F.col(name), F.col(blob))).distinct()
+
+
+def best_oriented(df: DataFrame, by: str, key: str, side: str, value: str, within: int) -> DataFrame:
+    """key with match, oriented and matches: the least other key of its group with the same side, or else the nearest by value.
+
+    Where no other row of the group has the side, rows within `within` of its value count, the nearest first, the one
+    below on a tie. Windows over the group give both, so no pairs are made.
+    """
+    w = Window.partitionBy(by, side)
+    least = F.min(key).over(w)
+    second = F.min(F.when(F.col(key) != F.col("_l"), F.col(key))).over(w)
+    placed = df.withColumn("_l", least).withColumn("_s", second).withColumn("_n", F.count("*").over(w) - 1)
+    near = Window.partitionBy(by).orderBy(value, key)
+    around = Window.partitionBy(by).orderBy(F.col(value)).rangeBetween(-within, within)
+    placed = placed.withColumn("_b", F.lag(F.struct(key, value)).over(near)).withColumn("_a", F.lead(F.struct(key, value)).over(near)).withColumn("_m", F.count("*").over(around) - 1)
+    below, above = F.col(value) - F.col(f"_b.{value}"), F.col(f"_a.{value}") - F.col(value)
+    fallback = F.when((below <= within) & (above.isNull() | (below <= above)), F.col(f"_b.{key}")).when(above <= within, F.col(f"_a.{key}"))
+    oriented = F.col("_n") > 0
+    match = F.when(oriented, F.when(F.col(key) == F.col("_l"), F.col("_s")).otherwise(F.col("_l"))).otherwise(fallback)
+    return placed.select(key, match.alias("match"), oriented.alias("oriented"), F.when(oriented, F.col("_n")).otherwise(F.col("_m")).alias("matches"))

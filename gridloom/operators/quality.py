@@ -49,3 +49,31 @@ def audit(spark, checks: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def overlaps(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """one, other and shared: how many keys each pair of sets shares; disjoint ones give no row."""
+    parts = [df.select(key).distinct().select(key, F.lit(name).alias("part")) for name, df in sets.items()]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    held = all_.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("in")).where(F.size("in") > 1)
+    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    return held.select(F.inline(pairs)).groupBy("one", "other").agg(F.count("*").alias("shared"))
+
+
+def issues(found: dict[str, DataFrame]) -> DataFrame:
+    """issue and what, as text: every row of every frame of one column under its name."""
+    parts = [df.select(F.lit(name).alias("issue"), F.col(df.columns[0]).cast("string").alias("what")) for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def manifest_counts(records: DataFrame, video: str, group: str) -> DataFrame:
+    """videos, groups, pairs of both, and groups of more than one video."""
+    pairs = records.select(video, group).distinct()
+    per = pairs.groupBy(group).agg(F.count("*").alias("n"))
+    counts = per.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count_if(F.col("n") > 1).alias("cross_video"))
+    return pairs.agg(F.count_distinct(video).alias("videos")).join(F.broadcast(counts))

@@ -9,30 +9,55 @@ from pyspark.sql.window import Window
 SPLITS = ("train", "val", "test")
 
 
-def turns(n: int, ratio: tuple[int, int, int], have: tuple[int, int, int] = (0, 0, 0)) -> list[str]:
-    """Split of each of n fresh groups in turn: where most is lacking of ratio percent, the first on a tie.
+def pattern(ratio: tuple[int, int, int], have: tuple[int, int, int] = (0, 0, 0)) -> tuple[list[int], list[int]]:
+    """Splits of fresh groups in turn, by number: those that come once, then those that come again and again.
 
-    Whole numbers throughout, so ties are ties.
+    Each goes where most is lacking of ratio percent, the first on a tie. What is lacking decides all that follows,
+    so the turns repeat as soon as it does: at most 100 apart, once what have holds too much of is made up for. Whole numbers
+    throughout, so ties are ties.
     """
     if any(r < 0 for r in ratio) or sum(ratio) != 100:
         raise ValueError("three shares of 100 in all are needed")
-    held, out = list(have), []
-    for k in range(1, n + 1):
-        total = sum(have) + k
-        lack = [r * total - 100 * h for r, h in zip(ratio, held, strict=True)]
+    lack = [r * sum(have) - 100 * h for r, h in zip(ratio, have, strict=True)]
+    seen: dict[tuple, int] = {}
+    out: list[int] = []
+    while tuple(lack) not in seen:
+        seen[tuple(lack)] = len(out)
+        lack = [x + r for x, r in zip(lack, ratio, strict=True)]
         at = lack.index(max(lack))
-        held[at] += 1
-        out.append(SPLITS[at])
-    return out
+        lack[at] -= 100
+        out.append(at)
+    start = seen[tuple(lack)]
+    return out[:start], out[start:]
+
+
+def turns(n: int, ratio: tuple[int, int, int], have: tuple[int, int, int] = (0, 0, 0)) -> list[str]:
+    """Split of each of n fresh groups in turn."""
+    once, again = pattern(ratio, have)
+    return [SPLITS[once[k] if k < len(once) else again[(k - len(once)) % len(again)]] for k in range(n)]
+
+
+def numbered(df: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
+    """df with name: the place, from 0, of each row by order, a whole number that names it.
+
+    Rows are placed within ranges of order, at most `parts`, and the ranges by their counts: no task sees all rows.
+    """
+    bounds = df.agg(F.percentile_approx(F.col(order).cast("long"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    edges = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
+    dealt = df.withColumn("_part", F.size(F.filter(edges, lambda b: b <= F.col(order))))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `parts` rows
+    w = Window.partitionBy("_part").orderBy(order)
+    return dealt.withColumn("_k", F.row_number().over(w) - 1).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
 
 
-def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int, int] = (60, 20, 20), existing: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int, int] = (60, 20, 20), existing: DataFrame | None = None) -> DataFrame:
     """key and split of every row, whole groups to a split.
 
     existing (key, split) stays as it is; a group with a member there is pinned to its most frequent split, the
-    first of SPLITS on a tie. Fresh groups go in order of size, then of a seeded hash, in turns(). Up to `most`
-    fresh groups take turns in that order; of more, each thousandth part by hash does so apart, which gives the
-    same shares. One row a group is ordered, not one a row.
+    first of SPLITS on a tie. Fresh groups go in order of size, then of a seeded hash, by pattern(). One row a group is
+    ordered, not one a row: within cells of one size and the first two digits of the hash, and the cells by their
+    counts.
     """
     groups = df.groupBy(group).agg(F.count("*").alias("_size"))
     rank = F.expr("case split when 'train' then 0 when 'val' then 1 else 2 end")
@@ -44,15 +69,16 @@ def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int,
         counted = dict(pinned.groupBy("_pinned").count().collect())
     else:
         fresh, counted = groups, {}
-    n = fresh.count()
-    have = tuple(counted.get(s, 0) for s in SPLITS)
-    parts = max(1, -(-n // most))
-    jitter = F.xxhash64(F.col(group), F.lit(seed))
-    w = Window.partitionBy("_part").orderBy("_size", jitter, group)
-    numbered = fresh.withColumn("_part", F.pmod(jitter, F.lit(parts))).withColumn("_turn", F.row_number().over(w) - 1)
-    order = turns(min(n, 2 * most), ratio, have)
-    named = F.get(F.split(F.lit(",".join(order)), ","), F.pmod("_turn", F.lit(max(1, len(order)))).cast("int"))
-    chosen = numbered.select(group, named.alias("split"))
+    once, again = pattern(ratio, tuple(counted.get(s, 0) for s in SPLITS))
+    jitter = F.sha2(F.concat(F.col(group).cast("string"), F.lit(f"-{seed}")), 256)
+    dealt = fresh.withColumn("_j", jitter).withColumn("_cell", F.substring("_j", 1, 2))
+    counts = dealt.groupBy("_size", "_cell").agg(F.count("*").alias("_n"))
+    before = counts.select("_size", "_cell", (F.sum("_n").over(Window.orderBy("_size", "_cell")) - F.col("_n")).alias("_before"))  # cells, not groups
+    placed = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_size", "_cell").orderBy("_j", group)) - 1).join(before, ["_size", "_cell"])
+    turn = F.col("_before") + F.col("_k")
+    digit = lambda held, at: F.substring(F.lit("".join(map(str, held))), (at + 1).cast("int"), F.lit(1)).cast("int")
+    number = F.when(turn < len(once), digit(once, turn)).otherwise(digit(again, F.pmod(turn - len(once), F.lit(len(again)))))
+    chosen = placed.select(group, F.get(F.array(*[F.lit(s) for s in SPLITS]), number).alias("split"))
     if pinned is not None:
         chosen = chosen.unionByName(pinned.select(group, F.col("_pinned").alias("split")))
     out = df.select(key, group).join(chosen, group).select(key, group, "split")

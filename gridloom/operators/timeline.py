@@ -71,6 +71,31 @@ def round_robin(df: DataFrame, by: str, order: list[str], limit: int) -> DataFra
     return df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit).orderBy("turn", by).limit(limit)
 
 
+def spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with place (from 1) in an order of which any beginning is spread out: the ends, then the middles, breadth first.
+
+    The depth at which halving an interval meets a row gives its turn: no list of a group is made.
+    """
+    w = Window.partitionBy(*by)
+    placed = df.withColumn("_i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+
+    def halved(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2)
+        there = acc["done"] | (F.col("_i") == mid)
+        return F.struct(
+            F.when(there | (F.col("_i") < mid), acc["lo"]).otherwise(mid).alias("lo"),
+            F.when(there | (F.col("_i") > mid), acc["hi"]).otherwise(mid).alias("hi"),
+            F.when(there, acc["depth"]).otherwise(acc["depth"] + 1).alias("depth"),
+            there.alias("done"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("lo"), (F.col("_n") - 1).alias("hi"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+    depth = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.col("_n") + 1)).cast("int") + 1), start, halved, lambda acc: acc["depth"])
+    ends = (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)
+    turned = placed.withColumn("_d", F.when(ends, -1).otherwise(depth))
+    return turned.withColumn("place", F.row_number().over(w.orderBy("_d", "_i"))).drop("_i", "_n", "_d")
+
+
 def nearest_of(df: DataFrame, points: DataFrame, value: str, point: str, key: str) -> DataFrame:
     """Each row with key and point of the nearest of a few points (broadcast), the least key on a tie."""
     listed = points.agg(F.array_sort(F.collect_list(F.struct(key, point))).alias("_points"))

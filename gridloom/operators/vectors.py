@@ -11,9 +11,6 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.text import dot, unit
 
-#: Vectors are summed and centroids compared in rows of so many at a time.
-ROWS = 2048
-
 
 def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """key and centroid: the unit vector along the sum of a key's vectors; one row a key reaches each task's sum."""
@@ -34,80 +31,111 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, key: str, vector: str = "e
     return df.join(F.broadcast(listed)).withColumn("_b", best).withColumn("best", F.struct((-F.col("_b.minus")).alias("similarity"), F.col(f"_b.{key}").alias(key))).drop("_c", "_b")
 
 
-def leader_clusters(df: DataFrame, group: str, order: str, vector: str, most: float) -> DataFrame:
-    """group, order and cluster: in order, a vector joins the nearest running unit mean within most, or leads anew.
-
-    The result depends on the order, so a group is one task's work: groups are the pieces of one source, of
-    bounded size. A vector without length belongs to no cluster (-1).
+def _led(items: list[tuple[np.ndarray, int, int]], most: float) -> list[tuple[np.ndarray, int, int]]:
+    """(sum, count, first) of the clusters of such items, taken in turn: each joins the nearest cluster within most, or leads."""
+    sums: list[np.ndarray] = []
+    counts, firsts = [], []
+    for v, n, first in items:
+        size = np.linalg.norm(v)
+        near = np.array([v @ s / np.linalg.norm(s) / size for s in sums])
+        best = int(near.argmax()) if len(near) else -1
+        if len(near) and 1 - near[best] <= most:
+            sums[best], counts[best] = sums[best] + v, counts[best] + n
+        else:
+            sums.append(v)
+            counts.append(n)
+            firsts.append(first)
+    return list(zip(sums, counts, firsts, strict=True))
+
+
+def leader_clusters(df: DataFrame, order: str, vector: str, most: float, rows: int = 512, fan: int = 16) -> DataFrame:
+    """cluster (the least order in it), centroid and n of the clusters of unit vectors by greedy leaders.
+
+    order is a whole number and names a row. Pieces of rows consecutive numbers are clustered in order, a vector joining the
+    nearest running mean within most or leading anew; then the clusters' sums of fan pieces at a time are, and so on
+    until one piece is left. Up to `rows` numbers that is one pass over all; of more, every level is the same rule
+    on the sums below it. A task holds one piece's vectors, or fan pieces' clusters. A vector without length
+    belongs to no cluster.
     """
-    kind = dict(df.dtypes)
-
-    def run(part):
-        part = part.sort_values(order)
-        sums: list[np.ndarray] = []
-        out = []
-        for x in part[vector]:
-            v = np.asarray(x, float)
-            size = np.linalg.norm(v)
-            if size < 1e-6:
-                out.append(-1)
-                continue
-            v = v / size
-            near = [float(v @ (s / np.linalg.norm(s))) for s in sums]
-            best = int(np.argmax(near)) if near else -1
-            if near and 1 - near[best] <= most:
-                sums[best] = sums[best] + v
-            else:
-                best = len(sums)
-                sums.append(v)
-            out.append(best)
-        return part.assign(cluster=out)[[group, order, "cluster"]]
-
-    return df.select(group, order, vector).groupBy(group).applyInPandas(run, f"`{group}` {kind[group]}, `{order}` {kind[order]}, cluster int")
-
-
-def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "label", id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    last = df.agg(F.max(F.floor(F.col(order) / rows))).first()[0]
+    kind = "piece long, first long, n long, total array<double>"
+
+    def lead(part):
+        import pandas as pd
+
+        part = part.sort_values("first")
+        done = _led([(np.asarray(v, float), int(n), int(f)) for v, n, f in zip(part["total"], part["n"], part["first"], strict=True)], most)
+        return pd.DataFrame({"piece": part["piece"].iloc[0], "first": [f for *_, f in done], "n": [n for _, n, _ in done], "total": [v.tolist() for v, *_ in done]})
+
+    size = F.sqrt(dot(F.col(vector), F.col(vector)))
+    start = df.where(size >= 1e-6).select(F.floor(F.col(order) / rows).alias("piece"), F.col(order).cast("long").alias("first"), F.lit(1).cast("long").alias("n"), unit(F.col(vector)).alias("total"))
+    now, pieces = start.groupBy("piece").applyInPandas(lead, kind), (last or 0) + 1
+    while pieces > 1:
+        now = now.withColumn("piece", F.floor(F.col("piece") / fan)).groupBy("piece").applyInPandas(lead, kind)
+        pieces = -(-pieces // fan)
+    return now.select(F.col("first").alias("cluster"), unit(F.col("total")).alias("centroid"), "n")
+
+
+def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "label", id_: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """id, neighbours and score: the mean label of the k nearest rows by cosine, weighted by it where positive.
 
-    The queries, a stated set, are held in blocks against all rows; every block keeps its k best, so a task
-    gives at most k rows a query. Without a positive weight the plain mean is the score.
+    The queries, a stated set, are held in blocks against all rows in blocks: a task holds `block` of either on average
+    and gives at most k rows a query. Without a positive weight the plain mean is the score. A query isn't its own
+    neighbour; the least id wins a tie.
     """
-    asked = [(r[0], np.asarray(r[1], float)) for r in queries.select(id_, vector).collect()]
-    if not asked:
-        return rows.sparkSession.createDataFrame([], f"`{id_}` bigint, neighbours bigint, score double")
-    ids, block = np.array([a[0] for a in asked]), np.stack([a[1] for a in asked])
-
-    def run(frames: Iterator) -> Iterator:
+    parts = lambda df: max(1, -(-df.count() // block))
+    asked, held = parts(queries), parts(rows)
+    place = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v"), place(asked).alias("qb"), every(held).alias("rb"))
+    r = rows.select(F.col(id_).cast("long").alias("other"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), every(asked).alias("qb"), place(held).alias("rb"))
+
+    def near(left, right):
         import pandas as pd
 
-        for part in frames:
-            part = part.sort_values(id_)  # the least id first on a tie
-            v, own = np.stack(part[vector].to_numpy()).astype(float), part[id_].to_numpy()
-            for at in range(0, len(ids), ROWS):
-                sim = np.round(block[at : at + ROWS] @ v.T, 6)
-                sim[ids[at : at + ROWS, None] == own[None, :]] = -2
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                take = np.arange(len(sim))[:, None]
-                frame = pd.DataFrame({"q": np.repeat(ids[at : at + ROWS], best.shape[1]), "sim": sim[take, best].ravel(), "other": own[best].ravel(), "y": part[label].to_numpy()[best].ravel().astype(float)})
-                yield frame[frame["sim"] > -2]
-
-    found = rows.select(id_, vector, label).mapInPandas(run, "q bigint, sim double, other bigint, y double")
+        if left.empty or right.empty:
+            return pd.DataFrame({"q": [], "sim": [], "other": [], "y": []})
+        right = right.sort_values("other")  # the least id first on a tie
+        own, ids = right["other"].to_numpy(), left["q"].to_numpy()
+        sim = np.round(np.stack(left["v"].to_numpy()).astype(float) @ np.stack(right["v"].to_numpy()).astype(float).T, 6)
+        sim[ids[:, None] == own[None, :]] = -2
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        frame = pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "sim": np.take_along_axis(sim, best, 1).ravel(), "other": own[best].ravel(), "y": right["y"].to_numpy()[best].ravel()})
+        return frame[frame["sim"] > -2]
+
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(near, "q bigint, sim double, other bigint, y double")
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k)
     weight = F.greatest(F.col("sim"), F.lit(0.0))
     return top.groupBy("q").agg(F.count("*").alias("neighbours"), F.round(F.when(F.sum(weight) > 0, F.sum(weight * F.col("y")) / F.sum(weight)).otherwise(F.avg("y")), 4).alias("score")).withColumnRenamed("q", id_)
 
 
 def principal_axes(df: DataFrame, k: int, vector: str = "embedding") -> tuple[list[float], list[list[float]]]:
-    """Mean and first k right singular vectors, from sums of products: d x d numbers reach the driver, no rows."""
-    x = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    n = df.count()
-    d = int(df.agg(F.max(F.size(vector))).first()[0] or 0)
-    second, first = np.zeros((d, d)), np.zeros(d)
-    for i, j, s in x.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double"))).collect():
-        second[i, j] = s
-    for i, s in df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double"))).collect():
-        first[i] = s / max(1, n)
-    values, axes = np.linalg.eigh(second / max(1, n) - np.outer(first, first))
+    """Mean and first k right singular vectors, in one pass: each task sums its vectors and their products.
+
+    d x (d + 1) numbers of each task are added up on Spark; as many reach the driver, no rows.
+    """
+
+    def sums(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        n, total = 0, None
+        for part in frames:
+            if len(part):
+                x = np.stack(part[vector].to_numpy()).astype(float)
+                here = np.vstack([x.T @ x, x.sum(0)[None]])
+                n, total = n + len(x), here if total is None else total + here
+        if n:
+            yield pd.DataFrame({"i": np.repeat(np.arange(len(total)), total.shape[1]), "j": np.tile(np.arange(total.shape[1]), len(total)), "s": total.ravel(), "n": n})
+
+    got = df.select(vector).where(F.col(vector).isNotNull()).mapInPandas(sums, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s"), F.sum("n")).collect()
+    if not got:
+        return [], []
+    d, n = max(r[1] for r in got) + 1, got[0][3]
+    total = np.zeros((d + 1, d))
+    for i, j, s, _ in got:
+        total[i, j] = s / n
+    first = total[d]
+    values, axes = np.linalg.eigh(total[:d] - np.outer(first, first))
     top = axes[:, np.argsort(-values)[:k]].T
     top *= np.where(top[np.arange(len(top)), np.abs(top).argmax(1)] < 0, -1, 1)[:, None]  # the greatest part of an axis is positive
     return first.tolist(), top.tolist()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text
-from gridloom.operators import merging, timeline, vectors
+from gridloom.operators import merging, splits, timeline, vectors
 from gridloom.plans.registry import query, table
 
 
@@ -30,7 +30,7 @@ def label_enrichment(spark, sf_dir):
     """Lines of the last order of each customer, with the customer and nation: later records of a key replace earlier ones."""
     o = table(spark, sf_dir, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
     last = merging.last_write(o, ["o_custkey"], "at").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
     people = last.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return table(spark, sf_dir, "lineitem").join(people, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "c_name", "n_name")
 
@@ -88,17 +88,11 @@ def name_scores(spark, sf_dir):
 WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, 'tpl' || CAST(n + (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) AS VARCHAR) AS fresh FROM r
 """)
 def fresh_ids(spark, sf_dir):
-    """New ids counted up from the size of the registry, in order of the keys.
-
-    Ranks come from counts of ranges of keys, so no task numbers all rows.
-    """
+    """New ids counted up from the size of the registry, in order of the keys."""
     c = table(spark, sf_dir, "customer")
     have = c.where("c_custkey % 2 = 1").count()
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.floor(F.col("c_custkey") / 500).alias("part"))
-    sizes = new.groupBy("part").agg(F.count("*").alias("k"))
-    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("c_custkey")) - 1
-    return new.withColumn("place", place).join(F.broadcast(before), "part").select("c_custkey", F.concat(F.lit("tpl"), (F.col("before") + F.col("place") + have).cast("string")).alias("fresh"))
+    new = splits.numbered(c.where("c_custkey % 2 = 0").select("c_custkey"), "c_custkey", "place")
+    return new.select("c_custkey", F.concat(F.lit("tpl"), (F.col("place") + have).cast("string")).alias("fresh"))
 
 
 @query("""
@@ -120,14 +114,15 @@ def worst_first(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1) SELECT source, coalesce(n, 0) AS n, coalesce(sha256(ids), '') AS ids_sha256 FROM (SELECT DISTINCT source FROM documents) LEFT JOIN s USING (source)
+WITH f AS (SELECT source, doc_id // 10000 AS part, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT source, part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT source, part, coalesce(n, 0) AS n, coalesce(sha256(ids), '') AS ids_sha256 FROM (SELECT DISTINCT source FROM documents) LEFT JOIN g USING (source)
 """)
 def sets_by_source(spark, sf_dir):
-    """Ids flagged in each source, empty where there are none."""
+    """Ids flagged in each source by ranges of 10,000 ids, so no list is longer; a source without any has one empty row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     flagged = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    held = flagged.groupBy("source").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count("*").alias("n"))
-    return d.select("source").distinct().join(held, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.sha2(F.array_join("ids", ","), 256), F.lit("")).alias("ids_sha256"))
+    held = flagged.groupBy("source", F.floor(F.col("doc_id") / 10000).alias("part")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count("*").alias("n"))
+    return d.select("source").distinct().join(held, "source", "left").select("source", "part", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.sha2(F.array_join("ids", ","), 256), F.lit("")).alias("ids_sha256"))
 
 
 @query("""
@@ -161,14 +156,21 @@ def spread_order(spark, sf_dir):
 
 @query()
 def suppressed_clusters(spark, sf_dir):
-    """Leader clusters of pieces of vectors whose mean lies at a known centroid are left out, the others counted."""
-    e = table(spark, sf_dir, "embeddings").withColumn("piece", F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 64).cast("string")))
-    member = vectors.leader_clusters(e, "piece", "vec_id", "embedding", 0.9)
-    named = e.join(member, ["piece", "vec_id"]).withColumn("name", F.concat_ws("#", "piece", F.col("cluster").cast("string")))
-    means = vectors.centroids(named, "name").withColumnRenamed("centroid", "embedding")
-    met = vectors.nearest_centroid(means, vectors.centroids(e, "label"), "label")
-    sizes = named.groupBy("name").agg(F.count("*").alias("n"))
-    return met.where(F.col("best.similarity") < 0.95).join(sizes, "name").select("name", "n", F.round("best.similarity", 4).alias("similarity"))
+    """Tallies of the assignment of all vectors, and clusters of all unmatched ones together.
+
+    A cluster whose mean lies at a known centroid is left out, and its vectors are taken off the tally of the unmatched.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    known = vectors.centroids(e, "label")
+    b = F.col("best")
+    outcome = F.when((b["label"] >= 3) & (b["similarity"] >= 0.3), "match").when((b["label"] < 3) & (b["similarity"] >= 0.4), "absorb").otherwise("unmatched")
+    named = vectors.nearest_centroid(e, known, "label").withColumn("outcome", outcome).drop("best")
+    led = vectors.leader_clusters(named.where("outcome = 'unmatched'"), "vec_id", "embedding", 0.8)
+    met = vectors.nearest_centroid(led.withColumnRenamed("centroid", "embedding"), known, "label").withColumn("similarity", F.round("best.similarity", 4))
+    gone = met.where("similarity >= 0.5").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gone"))
+    tallies = named.groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(gone))
+    left = tallies.select(F.lit("tally").alias("kind"), F.col("outcome").alias("name"), F.when(F.col("outcome") == "unmatched", F.col("n") - F.col("gone")).otherwise(F.col("n")).alias("n"), F.lit(None).cast("double").alias("similarity"))
+    return left.union(met.where("similarity < 0.5").select(F.lit("cluster"), F.col("cluster").cast("string"), "n", "similarity"))
 
 
 @query("""

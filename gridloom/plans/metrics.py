@@ -106,15 +106,15 @@ def piece_counts(spark, sf_dir):
 
 
 @query(f"""
-WITH {BOARDS_SQL}, o AS (SELECT vec_id AS a, cell, p FROM cells WHERE vec_id % 10 = 0), k AS (SELECT vec_id AS b, cell, t FROM cells),
+WITH {BOARDS_SQL}, o AS (SELECT vec_id AS a, cell, p FROM cells WHERE vec_id % 100 = 0), k AS (SELECT vec_id AS b, cell, t FROM cells),
 d AS (SELECT a, b, sum(CAST(p <> t AS BIGINT))::BIGINT AS diff FROM o JOIN k USING (cell) GROUP BY 1, 2),
 w AS (SELECT a, b, diff, row_number() OVER (PARTITION BY a ORDER BY diff, b) AS n FROM d WHERE diff <= 8)
-SELECT v.vec_id AS obs_id, b AS known_id, diff, round(1 - diff / 9e0, 6) AS confidence FROM (SELECT DISTINCT vec_id FROM cells WHERE vec_id % 10 = 0) v LEFT JOIN w ON a = vec_id AND n = 1
+SELECT v.vec_id AS obs_id, b AS known_id, diff, round(1 - diff / 9e0, 6) AS confidence FROM (SELECT DISTINCT vec_id FROM cells WHERE vec_id % 100 = 0) v LEFT JOIN w ON a = vec_id AND n = 1
 """)
 def hamming_nearest(spark, sf_dir):
-    """Every tenth board as read, against all known boards; the query set is given."""
+    """Boards as read whose id is divisible by 100, a stated query set, against all known boards."""
     b = boards(spark, sf_dir)
-    obs = b.where("vec_id % 10 = 0").select(F.col("vec_id").alias("obs_id"), F.col("pred").alias("cells"))
+    obs = b.where("vec_id % 100 = 0").select(F.col("vec_id").alias("obs_id"), F.col("pred").alias("cells"))
     out = matching.hamming_nearest(obs, b.select(F.col("vec_id").alias("known_id"), F.col("truth").alias("cells")), 8)
     return out.select("obs_id", "known_id", F.col("diff").cast("long").alias("diff"), F.round("confidence", 6).alias("confidence"))
 
@@ -166,7 +166,9 @@ def charged_to_first(spark, sf_dir):
 SELECT event_type, median(value) AS median, min(value) AS least, max(value) AS most, coalesce(round(avg(CASE WHEN value > 1 THEN 1e0 ELSE 0e0 END), 6), 0) AS over_one FROM events GROUP BY 1
 """)
 def latency_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("over_one"))
+    e = table(spark, sf_dir, "events")
+    rest = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("over_one"))
+    return metrics.medians(e, "event_type", "value").join(rest, "event_type").select("event_type", "median", "least", "most", "over_one")
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text
-from gridloom.operators import merging, splits
+from gridloom.operators import matching, merging, metrics, splits
 from gridloom.plans.registry import query, table
 
 
@@ -36,7 +36,7 @@ def fuzzy_name(spark, sf_dir):
     """Last words of part names read in all part names; both lists are the distinct names, not the rows."""
     p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
     names = p.select(F.split("p_name", " ")[1].alias("name")).distinct()
-    return p.join(F.broadcast(names), text.name_in(F.col("name"), F.col("p_name"))).groupBy("name").agg(F.sum("n").alias("parts"))
+    return matching.names_in(names, "name", p, "p_name").join(p, "p_name").groupBy("name").agg(F.sum("n").alias("parts"))
 
 
 @query(r"""
@@ -53,14 +53,6 @@ def compact_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.dashed_date(compact).alias("day"), text.dashed_date(F.concat(F.lit("x"), compact)).alias("bad"))
 
 
-@query("""
-SELECT CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'document' ELSE 'other' END AS kind, count(*) AS n, CAST(0 AS BIGINT) AS media FROM pages GROUP BY 1
-""")
-def media_sniff(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.groupBy(F.when(F.startswith("html", F.lit("<!DOCTYPE")), "document").otherwise("other").alias("kind")).agg(F.count("*").alias("n"), F.count(text.media_kind(F.col("html").cast("binary"))).alias("media"))
-
-
 @query("""
 SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 """)
@@ -188,7 +180,7 @@ SELECT n_name, r_name, count(c_custkey) AS customers, coalesce(round(sum(c_acctb
 """)
 def every_key_kept(spark, sf_dir):
     """Pieces joined to categories and boards: every board stays, with no piece too."""
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("k"), F.sum("c_acctbal").alias("s"))
     return n.join(c, "n_nationkey", "left").select("n_name", "r_name", F.coalesce("k", F.lit(0).cast("long")).alias("customers"), F.coalesce(F.round("s", 2), F.lit(0.0)).alias("balance"))
 
@@ -201,7 +193,7 @@ def rounds_of_videos(spark, sf_dir):
     """Explicit ids, or else all ids of the group."""
     n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("all"))
     v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderkey") % 25)).alias("rounds"), (F.col("o_custkey") % 5).cast("int").alias("region"))
-    return v.join(F.broadcast(n), "region", "left").select("video", F.explode(F.coalesce("rounds", "all")).alias("round"))
+    return v.join(n, "region", "left").select("video", F.explode(F.coalesce("rounds", "all")).alias("round"))
 
 
 @query("""
@@ -228,7 +220,9 @@ SELECT l_suppkey, CAST(round_even(median(l_quantity), 0) AS BIGINT) AS x, CAST(r
 """)
 def default_rect(spark, sf_dir):
     """Median of each coordinate, rounded half to even."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bround(F.median("l_quantity"), 0).cast("long").alias("x"), F.bround(F.median("l_extendedprice"), 0).cast("long").alias("y"))
+    li = table(spark, sf_dir, "lineitem")
+    x, y = metrics.medians(li, "l_suppkey", "l_quantity"), metrics.medians(li, "l_suppkey", "l_extendedprice").withColumnRenamed("median", "other")
+    return x.join(y, "l_suppkey").select("l_suppkey", F.bround("median", 0).cast("long").alias("x"), F.bround("other", 0).cast("long").alias("y"))
 
 
 @query("""
@@ -260,7 +254,14 @@ def support_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.row_number().over(w).alias("k")).where("k <= 5").drop("k")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, source || '/' || lang AS grp FROM documents), v AS (SELECT grp, count(*) AS n FROM d WHERE doc_id % 997 = 0 GROUP BY 1),
+f AS (SELECT grp, row_number() OVER (ORDER BY count(*), sha256(grp || '-7'), grp) AS k FROM d WHERE grp NOT IN (SELECT grp FROM v) GROUP BY 1), h AS (SELECT count(*) AS h FROM v),
+t(k, a, b, c, split) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), h, CAST(0 AS BIGINT), '' FROM h UNION ALL
+  SELECT k + 1, a + CAST(x >= y AND x >= z AS INT), b + CAST(y > x AND y >= z AS INT), c + CAST(z > x AND z > y AS INT), CASE WHEN x >= y AND x >= z THEN 'train' WHEN y >= z THEN 'val' ELSE 'test' END
+  FROM (SELECT *, 60 * (a + b + c + 1) - 100 * a AS x, 20 * (a + b + c + 1) - 100 * b AS y, 20 * (a + b + c + 1) - 100 * c AS z FROM t WHERE k < (SELECT count(*) FROM f)))
+SELECT doc_id, d.grp, CASE WHEN v.grp IS NOT NULL THEN 'val' ELSE split END AS split FROM d LEFT JOIN v USING (grp) LEFT JOIN f USING (grp) LEFT JOIN t ON t.k = f.k
+""")
 def split_plan(spark, sf_dir):
     """Documents of one source and language stay together; some ids are assigned before."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("grp"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("metrics", "timeline", "quality", "records", "vectors", "inventory")
+MODULES = ("metrics", "timeline", "alignment", "quality", "records", "review", "values", "vectors", "inventory")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text
-from gridloom.operators import matching, timeline
+from gridloom.operators import matching, metrics, timeline
 from gridloom.plans.registry import query, table
 
 
@@ -69,7 +69,7 @@ SELECT event_id, event_type, nearest, event_type <> nearest AS outlier FROM d WH
 """)
 def chronology_outliers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    med = e.where("value >= 0.8").groupBy(F.col("event_type").alias("of")).agg(F.median("value").alias("med"))
+    med = metrics.medians(e.where("value >= 0.8"), "event_type", "value").select(F.col("event_type").alias("of"), F.col("median").alias("med"))
     out = timeline.nearest_of(e, med, "value", "med", "of")
     return out.select("event_id", "event_type", F.col("nearest.of").alias("nearest"), (F.col("event_type") != F.col("nearest.of")).alias("outlier"))
 
@@ -145,18 +145,16 @@ def time_control(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 7 = 0),
-p AS (SELECT g.o_custkey AS k, a.o_orderkey AS a, b.o_orderkey AS b, substr(a.o_orderpriority, 1, 1) = substr(b.o_orderpriority, 1, 1) AS oriented, abs(a.o_totalprice - b.o_totalprice) < 100000 AS unordered
-      FROM g a JOIN g b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey JOIN g ON g.o_orderkey = a.o_orderkey),
-f AS (SELECT *, max(CAST(oriented AS INT)) OVER (PARTITION BY a) AS any_oriented FROM p)
-SELECT a, b, oriented FROM f WHERE oriented OR (any_oriented = 0 AND unordered)
+WITH g AS (SELECT o_custkey AS c, o_orderkey AS k, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v FROM orders),
+o AS (SELECT *, min(k) OVER (PARTITION BY c, p) AS l, count(*) OVER (PARTITION BY c, p) - 1 AS n, lag(k) OVER x AS bk, v - lag(v) OVER x AS bd, lead(k) OVER x AS ak, lead(v) OVER x - v AS ad,
+      count(*) OVER (PARTITION BY c ORDER BY v RANGE BETWEEN 100000 PRECEDING AND 100000 FOLLOWING) - 1 AS m FROM g WINDOW x AS (PARTITION BY c ORDER BY v, k)),
+s AS (SELECT *, min(CASE WHEN k <> l THEN k END) OVER (PARTITION BY c, p) AS s FROM o)
+SELECT k AS o_orderkey, CASE WHEN n > 0 THEN CASE WHEN k = l THEN s ELSE l END WHEN bd <= 100000 AND (ad IS NULL OR bd <= ad) THEN bk WHEN ad <= 100000 THEN ak END AS match, n > 0 AS oriented, CASE WHEN n > 0 THEN n ELSE m END AS matches FROM s
 """)
 def best_match_with_fallback(spark, sf_dir):
-    """Orders of one customer as two records of one game: oriented matches, or unordered ones where there are none."""
-    g = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select("o_custkey", "o_orderkey", "o_totalprice", F.substring("o_orderpriority", 1, 1).alias("p"))
-    b = g.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_totalprice").alias("price_b"), F.col("p").alias("p_b"))
-    pairs = g.withColumnRenamed("o_orderkey", "a").join(b, "o_custkey").where("a <> b").withColumn("oriented", F.col("p") == F.col("p_b")).withColumn("unordered", F.abs(F.col("o_totalprice") - F.col("price_b")) < 100000)
-    return matching.oriented_else_unordered(pairs, ["a"]).select("a", "b", "oriented")
+    """Orders of one customer as records of one game: a match of the same priority, or the nearest price where there is none."""
+    g = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.substring("o_orderpriority", 1, 1).alias("p"))
+    return matching.best_oriented(g, "o_custkey", "o_orderkey", "p", "o_totalprice", 100000)
 
 
 @query(f"""

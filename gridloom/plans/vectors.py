@@ -40,7 +40,7 @@ WITH {CENTS}, own AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s
 def cluster_representative(spark, sf_dir):
     """Of each label the vector nearest to its centroid."""
     e = table(spark, sf_dir, "embeddings")
-    own = e.join(F.broadcast(vectors.centroids(e, "label")), "label").select("label", "vec_id", F.round(text.dot(F.col("embedding"), F.col("centroid")), 6).alias("s"))
+    own = e.join(vectors.centroids(e, "label"), "label").select("label", "vec_id", F.round(text.dot(F.col("embedding"), F.col("centroid")), 6).alias("s"))
     return own.groupBy("label").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("m"))).alias("b")).select("label", (-F.col("b.m")).alias("vec_id"))
 
 
@@ -57,9 +57,11 @@ def knn_weighted_score(spark, sf_dir):
 
 @query()
 def leader_clusters(spark, sf_dir):
-    """Clusters within pieces of 64 neighbouring ids of a label, each the work of one source."""
-    e = table(spark, sf_dir, "embeddings").withColumn("piece", F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 64).cast("string")))
-    return vectors.leader_clusters(e, "piece", "vec_id", "embedding", 0.7)
+    """Every vector with the nearest cluster of greedy leaders over all, and its size."""
+    e = table(spark, sf_dir, "embeddings")
+    led = vectors.leader_clusters(e, "vec_id", "embedding", 0.7)
+    met = vectors.nearest_centroid(e, led.select("cluster", "centroid"), "cluster")
+    return met.select("vec_id", F.col("best.cluster").alias("cluster"), F.round("best.similarity", 4).alias("similarity"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Operators on hand-made rows; order of the input and number of partitions change nothing."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,8 +146,8 @@ def test_vectors(spark):
     cents = vectors.centroids(df, "label")
     got = {r["vec_id"]: r["best"]["label"] for r in vectors.nearest_centroid(df, cents, "label").collect()}
     assert got[0] == 0 and got[2] == 1 and got[3] == 0  # a tie goes to the least key
-    clusters = {r["vec_id"]: r["cluster"] for r in vectors.leader_clusters(df.withColumn("g", F.lit(1)), "g", "vec_id", "embedding", 0.3).collect()}
-    assert clusters == {0: 0, 1: 0, 2: 1, 3: -1}
+    clusters = {r["cluster"]: r["n"] for r in vectors.leader_clusters(df, "vec_id", "embedding", 0.3).collect()}
+    assert clusters == {0: 2, 2: 1}
     score = {r["vec_id"]: (r["neighbours"], r["score"]) for r in vectors.neighbour_score(df.where("vec_id = 0"), df, 2).collect()}
     assert score == {0: (2, 0.0)}
 
@@ -159,3 +160,185 @@ def test_principal_axes(spark):
     assert mean == pytest.approx(x.mean(0).tolist())
     want = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
     assert np.abs(np.sum(want * axes, axis=1)) == pytest.approx([1, 1])
+
+
+def led(items, most):
+    """Greedy leaders over (vector sum, count, first), one after the other."""
+    import numpy as np
+
+    out = []
+    for v, n, first in items:
+        near = [v @ s / np.linalg.norm(s) / np.linalg.norm(v) for s, _, _ in out]
+        at = int(np.argmax(near)) if near else -1
+        if near and 1 - near[at] <= most:
+            out[at] = (out[at][0] + v, out[at][1] + n, out[at][2])
+        else:
+            out.append((v, n, first))
+    return out
+
+
+def led_by_levels(vectors_, most, rows, fan):
+    """vectors_ {id: vector}: pieces of consecutive ids, then pieces of pieces."""
+    import numpy as np
+
+    pieces = {}
+    for k in sorted(vectors_):
+        pieces.setdefault(k // rows, []).append((np.array(vectors_[k]) / np.linalg.norm(vectors_[k]), 1, k))
+    n = max(vectors_) // rows + 1
+    now = {p: led(items, most) for p, items in pieces.items()}
+    while n > 1:
+        up = {}
+        for p in sorted(now):
+            up.setdefault(p // fan, []).extend(now[p])
+        now, n = {p: led(sorted(items, key=lambda x: x[2]), most) for p, items in up.items()}, -(-n // fan)
+    return {first: (n, (s / np.linalg.norm(s)).tolist()) for s, n, first in now[0]}
+
+
+@pytest.mark.parametrize("rows, fan", [(512, 16), (16, 2), (7, 3)])
+def test_leader_clusters_by_plain_python(spark, rows, fan):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(6, 8))
+    held = {k: (centres[k % 6] + 0.5 * r.normal(size=8)).tolist() for k in range(150)}
+    df = spark.createDataFrame([*held.items(), (150, [0.0] * 8)], "vec_id long, embedding array<double>")
+    got = {r["cluster"]: (r["n"], r["centroid"]) for r in vectors.leader_clusters(df, "vec_id", "embedding", 0.3, rows, fan).collect()}
+    want = led_by_levels(held, 0.3, rows, fan)
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and sum(n for n, _ in got.values()) == 150
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in got)
+
+
+def test_registered_cluster_queries_by_plain_python(spark):
+    """leader_clusters and suppressed_clusters on a given table: assignment, tallies and clusters worked out here."""
+    import numpy as np
+
+    from gridloom.plans.registry import load
+
+    folder, queries = "/root/testdata/sf0.001", load()[0]
+    e = {r["vec_id"]: (r["label"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    want = led_by_levels({k: v for k, (_, v) in e.items()}, 0.7, 512, 16)
+    got = {r["vec_id"]: (r["cluster"], r["similarity"]) for r in queries["leader_clusters"](spark, folder).collect()}
+    for k, (_, v) in e.items():
+        sims = {c: round(float(v @ np.array(m)), 6) for c, (_, m) in want.items()}
+        assert abs(got[k][1] - max(sims.values())) < 2e-4 and abs(sims[got[k][0]] - max(sims.values())) < 2e-4
+    sums = {}
+    for label, v in e.values():
+        sums[label] = sums.get(label, 0) + v
+    cents = {label: s / np.linalg.norm(s) for label, s in sums.items()}
+    outcome = {}
+    for k, (_, v) in e.items():
+        best = max(sorted(cents), key=lambda c: round(float(v @ cents[c]), 6))
+        s = round(float(v @ cents[best]), 6)
+        outcome[k] = "match" if best >= 3 and s >= 0.3 else "absorb" if best < 3 and s >= 0.4 else "unmatched"
+    tallies = {o: list(outcome.values()).count(o) for o in outcome.values()}
+    clusters = {}
+    if "unmatched" in tallies:
+        for first, (n, m) in led_by_levels({k: v for k, (_, v) in e.items() if outcome[k] == "unmatched"}, 0.8, 512, 16).items():
+            near = max(float(np.array(m) @ c) for c in cents.values())
+            if near >= 0.5:
+                tallies["unmatched"] -= n
+            else:
+                clusters[str(first)] = n
+    rows_ = queries["suppressed_clusters"](spark, folder).collect()
+    assert {r["name"]: r["n"] for r in rows_ if r["kind"] == "tally"} == tallies and {r["name"]: r["n"] for r in rows_ if r["kind"] == "cluster"} == clusters
+
+
+def test_principal_scores_by_numpy(spark):
+    import numpy as np
+
+    from gridloom.plans.registry import load
+
+    folder = "/root/testdata/sf0.001"
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    x = np.stack(list(e.values()))
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:3]
+    got = {r["vec_id"]: np.array([r["pc1"], r["pc2"], r["pc3"]]) for r in load()[0]["principal_scores"](spark, folder).collect()}
+    want = {k: (v - x.mean(0)) @ axes.T for k, v in e.items()}
+    want = {k: w / (np.linalg.norm(w) + 1e-9) for k, w in want.items()}
+    for a in range(3):  # an axis may point either way
+        dot = sum(got[k][a] * want[k][a] for k in e)
+        assert all(abs(got[k][a] - np.sign(dot) * want[k][a]) < 1e-3 for k in e)
+
+
+def test_pattern_is_the_greedy_turn():
+    for ratio, have in (((60, 20, 20), (0, 0, 0)), ((60, 30, 10), (7, 0, 900)), ((33, 33, 34), (5, 400, 1)), ((100, 0, 0), (0, 9, 0))):
+        held = list(have)
+        for s in splits.turns(3000, ratio, have):
+            lack = [r * (sum(held) + 1) - 100 * h for r, h in zip(ratio, held, strict=True)]
+            assert s == splits.SPLITS[lack.index(max(lack))]
+            held[lack.index(max(lack))] += 1
+
+
+def test_numbered_and_medians(spark):
+    r = random.Random(6)
+    ids = r.sample(range(10**6), 900)
+    df = spark.createDataFrame([(i, i % 5, float(r.choice([0, 1, r.gauss(0, 9)])) if i % 7 else None) for i in ids], "k long, g long, v double")
+    got = {x["k"]: x["p"] for x in splits.numbered(df, "k", "p", 16).collect()}
+    assert [got[k] for k in sorted(ids)] == list(range(900))
+    import statistics
+
+    from gridloom.operators import metrics
+
+    held = {}
+    for _, g, v in df.collect():
+        if v is not None:
+            held.setdefault(g, []).append(v)
+    for parts in (1024, 3, 1):
+        got = {x["g"]: x["median"] for x in metrics.medians(df, "g", "v", parts).collect()}
+        assert got == {g: pytest.approx(statistics.median(v)) for g, v in held.items()}
+    assert splits.numbered(df.where("false"), "k", "p").count() == 0 and metrics.medians(df.where("false"), "g", "v").count() == 0
+
+
+def test_names_in_is_name_in(spark):
+    from gridloom.functions import text
+
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    names = spark.createDataFrame([(word(r.randrange(1, 7)),) for _ in range(60)] + [("",)], "name string")
+    blobs = spark.createDataFrame([(" ".join(word(r.randrange(1, 8)) for _ in range(3)),) for _ in range(80)] + [("",), (" ",)], "blob string")
+    got = rows(matching.names_in(names, "name", blobs, "blob"))
+    want = rows(names.distinct().join(blobs.distinct(), text.name_in(F.col("name"), F.col("blob"))))
+    assert got == want and len(want) > 100
+
+
+def test_identify(spark):
+    """A still and a running clock, swapped clocks, clocks repeated over places, missing ones, and names that fit no game."""
+    from gridloom.operators import alignment
+
+    places = [(0, 10, 0, "white", 600, 600), (0, 10, 1, "black", 590, 600), (0, 10, 2, "white", 590, 570), (0, 10, 3, "black", 590, 570), (0, 10, 4, "white", 590, None), (0, 11, 0, "black", 590, 600)]
+    p = spark.createDataFrame(places, "g int, game int, ply int, turn string, white_clk int, black_clk int").withColumn("increment", F.lit(5))
+    o = spark.createDataFrame([(1, 0, 591, 580, False), (2, 0, 580, 591, False), (3, 0, 590, 571, False), (4, 0, None, 571, False), (5, 0, 591, 580, True), (6, 0, 591, 598, True)], "obs_id int, g int, white_obs int, black_obs int, names_read boolean")
+    met = sorted((m["obs_id"], m["game"], m["ply"], m["side"], m["residual"]) for m in alignment.clock_matches(o, p, ["g"]).collect())
+    want = []
+    for i, _, w, b, _ in o.collect():
+        for _, game, ply, turn, wc, bc in places:
+            if None in (w, b, wc, bc):
+                continue
+            following = [x for x in places if x[1] == game and x[2] == ply + 1]
+            still, rec, run, now, at = (w, wc, b, bc, 5) if turn == "black" else (b, bc, w, wc, 4)
+            nxt = following[0][at] if following else None
+            if abs(still - rec) <= 2 and (nxt - 5 if nxt is not None else 0) - 3 <= run <= now + 3:
+                want.append((i, game, ply, "white" if turn == "black" else "black", float(abs(still - rec))))
+    assert met == sorted(want) and len(want) >= 4
+    named = spark.createDataFrame([(6, 11)], "obs_id int, game int")
+    got = {r["obs_id"]: (r["game"], r["ply"], r["confidence"]) for r in alignment.identify(o, p, ["g"], named).collect()}
+    assert got[2] == (None, None, None) and got[4] == (None, None, None) and got[5] == (None, None, None)
+    assert got[1] == (10, 1, 0.25) and got[6] == (11, 0, 0.75)
+
+
+def test_best_oriented(spark):
+    df = spark.createDataFrame([("c", 1, "x", 10.0), ("c", 2, "x", 90.0), ("c", 3, "y", 12.0), ("c", 4, "z", 500.0), ("d", 5, "x", 1.0)], "c string, k int, p string, v double")
+    assert rows(matching.best_oriented(df, "c", "k", "p", "v", 50)) == [(1, 2, True, 1), (2, 1, True, 1), (3, 1, False, 1), (4, None, False, 0), (5, None, False, 0)]
+
+
+def test_review(spark):
+    from gridloom.operators import review
+
+    data = spark.createDataFrame([(1, 5, False), (2, 6, False), (3, 7, True), (4, 8, False)], "k int, v int, verified boolean")
+    decided = spark.createDataFrame([(1, "reject"), (2, "correct"), (4, "accept")], "k int, decision string")
+    fixes = spark.createDataFrame([(2, 60)], "k int, v int")
+    assert rows(review.applied(data, decided, fixes, "k", ["v"]).select("k", "v", "verified")) == [(2, 60, True), (3, 7, True), (4, 8, True)]
+    steps = spark.createDataFrame([("a", k, s, 0) for k, s in enumerate([1, 3, 2, 2, 9])] + [("b", k, k, 0) for k in range(4)], "r string, step int, s int, t int")
+    assert rows(review.patient(steps, "r", "step", ["s", "t"], 2)) == [("a", 1, 3, True), ("b", 3, 3, False)]
+    with pytest.raises(ValueError):
+        review.grouping_unit("match", F.lit(1), F.lit(1), F.lit(1))
