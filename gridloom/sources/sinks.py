@@ -9,28 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The list of a release's files, and files that are no part of it.
+INVENTORY, HIDDEN = "inventory", r"(^|/)[._]"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def replace(df: DataFrame, target: str, check: Callable[[DataFrame], None] | None = None, backup: bool = False) -> None:
-    """Writes beside the target, checks what was written, then renames; a failure leaves the target as it was.
+def _swap(spark: SparkSession, stage: str, target: str, backup: bool = False) -> None:
+    """stage in the place of target; a failure leaves the target as it was and no stage.
 
-    With backup the former table stays at target.bak, one generation. Stores without an atomic rename have a
-    moment without the target between the two renames.
+    With backup the former one stays at target.bak, one generation. Stores without an atomic rename have a moment
+    without the target between the two renames.
     """
-    spark = df.sparkSession
-    stage, old = f"{target}.stage-{uuid.uuid4().hex}", f"{target}.bak" if backup else f"{target}.old-{uuid.uuid4().hex}"
+    old = f"{target}.bak" if backup else f"{target}.old-{uuid.uuid4().hex}"
     fs, at = _fs(spark, target)
     staged, former = _fs(spark, stage)[1], _fs(spark, old)[1]
-    try:
-        df.write.parquet(stage)
-        if check:
-            check(spark.read.parquet(stage))
-    except BaseException:
-        fs.delete(staged, True)
-        raise
     had = fs.exists(at)
     if had:
         fs.delete(former, True)
@@ -46,6 +42,75 @@ def replace(df: DataFrame, target: str, check: Callable[[DataFrame], None] | Non
         fs.delete(former, True)
 
 
+def replace(df: DataFrame, target: str, check: Callable[[DataFrame], None] | None = None, backup: bool = False) -> None:
+    """Writes beside the target, checks what was written, then renames; a failure leaves the target as it was."""
+    spark, stage = df.sparkSession, f"{target}.stage-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(stage)
+        if check:
+            check(spark.read.parquet(stage))
+    except BaseException:
+        _fs(spark, stage)[0].delete(_fs(spark, stage)[1], True)
+        raise
+    _swap(spark, stage, target, backup)
+
+
+def replace_json(df: DataFrame, target: str) -> None:
+    """A small frame as one file of JSON lines at target, whole or not at all."""
+    spark, stage = df.sparkSession, f"{target}.stage-{uuid.uuid4().hex}"
+    fs, staged = _fs(spark, stage)
+    try:
+        df.coalesce(1).write.json(stage)
+        part = [f.getPath() for f in fs.listStatus(staged) if f.getPath().getName().startswith("part-")]
+        single = f"{target}.one-{uuid.uuid4().hex}"
+        if part:
+            fs.rename(part[0], _fs(spark, single)[1])
+        else:
+            fs.create(_fs(spark, single)[1]).close()
+        _swap(spark, single, target)
+    finally:
+        fs.delete(staged, True)
+
+
+def bundle(spark: SparkSession, tables: dict[str, DataFrame], target: str, problems: Callable[[dict[str, DataFrame]], DataFrame], resume: str | None = None) -> None:
+    """Tables as one release below target: all staged, checked as written, listed with their digests, then swapped in.
+
+    problems gives rows of issue and what from the staged tables. If there are any, the target stays as it was, what was
+    staged goes to resume if that is given, for a later run to go on from, and the job ends with an error that names the
+    issues. After the swap the files are read again and held against the list.
+    """
+    stage = f"{target}.stage-{uuid.uuid4().hex}"
+    fs, staged = _fs(spark, stage)
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{stage}/{name}")
+        found = problems({name: spark.read.parquet(f"{stage}/{name}") for name in tables}).groupBy("issue").count().collect()
+        if not found:
+            checksums(spark, stage, HIDDEN).coalesce(1).write.parquet(f"{stage}/{INVENTORY}")
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    if found:
+        if resume:
+            _swap(spark, stage, resume)
+        fs.delete(staged, True)
+        raise ValueError("not released: " + ", ".join(sorted(f"{r['issue']} ({r['count']})" for r in found)))
+    _swap(spark, stage, target)
+    if wrong := bundle_differences(spark, target).limit(3).collect():
+        raise ValueError(f"released files differ from their list: {wrong}")
+
+
+def bundle_differences(spark: SparkSession, target: str) -> DataFrame:
+    """path and status of the files of a release that aren't as its list says."""
+    return verify(spark, target, spark.read.parquet(f"{target}/{INVENTORY}"), f"{HIDDEN}|^{INVENTORY}/")
+
+
+def resumed(spark: SparkSession, resume: str, name: str) -> DataFrame | None:
+    """A table that an incomplete run left, if there is one."""
+    fs, at = _fs(spark, f"{resume}/{name}")
+    return spark.read.parquet(f"{resume}/{name}") if fs.exists(at) else None
+
+
 def scored_pair(metrics: DataFrame, predictions: DataFrame, truth: DataFrame, key: str, target: str) -> None:
     """Metrics and predictions, written only if predictions has each key of truth once and no other."""
     if predictions.groupBy(key).count().where("count > 1").limit(1).count():

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import board, text
+from gridloom.functions import board, text, values
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
 
@@ -52,7 +52,7 @@ def test_squares(spark):
     assert (got["a8"], got["h1"], got["bad"], got["name"], got["light"], got["dark"]) == (0, 63, None, "h1", True, False)
 
 
-@pytest.mark.parametrize("read, seconds", [("25:17", 1517), ("0:25:17", 1517), ("1.23", 83), ("0:19.05", 1145), ("0:00", 0), ("12 5:17", 1517), ("garbage", None), ("", None)])
+@pytest.mark.parametrize("read, seconds", [("31:08", 1868), ("0:31:08", 1868), ("2.41", 161), ("0:47.09", 2829), ("0:00", 0), ("1 9:06", 1146), ("7:5", None), ("no clock", None), ("", None)])
 def test_read_clock(spark, read, seconds):
     assert one(spark, c=text.read_clock(F.lit(read)))["c"] == seconds
 
@@ -89,3 +89,18 @@ def test_media_and_paths(spark):
 def test_unit_and_band(spark):
     got = one(spark, z=text.unit(F.array(F.lit(0.0), F.lit(0.0))), u=text.unit(F.array(F.lit(3.0), F.lit(4.0))), lo=text.band(F.lit(1.0), [2.0, 5.0]), at=text.band(F.lit(2.0), [2.0, 5.0]), hi=text.band(F.lit(9.0), [2.0, 5.0]))
     assert got["z"] == [0.0, 0.0] and got["u"] == pytest.approx([0.6, 0.8]) and (got["lo"], got["at"], got["hi"]) == (0, 1, 2)
+
+
+def test_values(spark):
+    rect = lambda *v: F.struct(*[F.lit(x).alias(n) for n, x in zip("xywh", v, strict=True)])
+    spec = {n: values.size_spec(F.lit(v)) for n, v in (("native", "native"), ("plain", "644"), ("zero", "0"), ("less", "-3"), ("word", "big"), ("none", None))}
+    got = one(spark, **{f"{n}_{k}": c for n, two in spec.items() for k, c in zip("vs", two, strict=True)})
+    assert (got["native_v"], got["native_s"], got["plain_s"]) == (True, None, 644) and not any(got[f"{n}_v"] for n in ("zero", "less", "word", "none"))
+    got = one(spark, ok=values.rect_ok(rect(0, 0, 1, 1)), flat=values.rect_ok(rect(0, 0, 0, 5)), off=values.rect_ok(rect(-1, 0, 3, 5)), cut=values.clipped(rect(-2, 5, 6, 90), 10, 20), out=values.clipped(rect(40, 0, 5, 5), 10, 20))
+    assert (got["ok"], got["flat"], got["off"]) == (True, False, False) and tuple(got["cut"]) == (0, 5, 4, 15) and got["out"]["w"] == 0
+    board_of = lambda *c: F.array(*[F.lit(x) for x in c])
+    got = one(spark, ok=values.labels_ok(board_of(*[3] * 64)), high=values.labels_ok(board_of(*[13] * 64)), few=values.labels_ok(board_of(*[3] * 63)), unit=values.direction_ok(board_of(0.6, -0.8)), long=values.direction_ok(board_of(0.6, -0.81)), nan=values.direction_ok(board_of(float("nan"), 1.0)))
+    assert tuple(got) == (True, False, False, True, False, False)
+    assert [tuple(r) for r in values.classes(spark).orderBy("label").collect()] == [(0, 0, 0), *[(k, (k - 1) % 6 + 1, 1 if k <= 6 else 2) for k in range(1, 13)]]
+    got = one(spark, a=values.round_trip(F.lit('{"odd": 1, "kind": "x", "in": {"k": 2, "z": 3}}'), "kind string, in struct<k:int>", {"kind": ["x"]}), b=values.round_trip(F.lit('{"kind": "y"}'), "kind string, in struct<k:int>", {"kind": ["x"]}))
+    assert tuple(got) == ('{"kind":"x","in":{"k":2}}', "{}")

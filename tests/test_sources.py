@@ -95,6 +95,33 @@ def test_scored_pair_and_checksums(spark, tmp_path):
     assert [tuple(r) for r in sinks.verify(spark, root, before).collect()] == [("x.txt", "changed")]
 
 
+def test_json_file_is_replaced_whole(spark, tmp_path):
+    target = str(tmp_path / "list.json")
+    sinks.replace_json(spark.range(3), target)
+    sinks.replace_json(spark.range(2).where("id > 0"), target)
+    assert [r["id"] for r in spark.read.json(target).collect()] == [1] and (tmp_path / "list.json").is_file()
+    sinks.replace_json(spark.range(0), target)
+    assert (tmp_path / "list.json").read_text() == "" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["list.json"]
+
+
+def test_bundle(spark, tmp_path):
+    """A release is whole or not there; what an incomplete run staged is kept to go on from; changed files are found."""
+    target, resume = str(tmp_path / "release"), str(tmp_path / "resume")
+    records = spark.createDataFrame([("a", "train"), ("b", "val")], "id string, split string")
+    problems = lambda t: t["records"].join(t["images"], "id", "left_anti").select(F.lit("no image").alias("issue"), F.col("id").alias("what"))
+    sinks.bundle(spark, {"records": records, "images": records.select("id")}, target, problems, resume)
+    assert spark.read.parquet(f"{target}/records").count() == 2 and sinks.bundle_differences(spark, target).count() == 0 and sinks.resumed(spark, resume, "images") is None
+    with pytest.raises(ValueError, match=r"no image \(1\)"):
+        sinks.bundle(spark, {"records": records, "images": records.select("id").where("id = 'a'")}, target, problems, resume)
+    assert spark.read.parquet(f"{target}/images").count() == 2 and sinks.resumed(spark, resume, "images").count() == 1
+    part = next((tmp_path / "release/images").glob("part-*"))
+    part.write_bytes(b"x" + part.read_bytes()[1:])
+    for crc in (tmp_path / "release/images").glob(".*.crc"):
+        crc.unlink()
+    assert [r["status"] for r in sinks.bundle_differences(spark, target).collect()] == ["changed"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["release", "resume"]
+
+
 def test_registry():
     r = readers.Registry()
     r.add("a")(lambda: 1)
