@@ -1,10 +1,12 @@
 """Personal data in texts: fixed formats, and boosted trees over the candidates of high-recall generators.
 
-The generators propose overlapping spans. Format and context of a candidate are a few small numbers, packed
-into one key, so the labelled candidates of all texts count up to a table no larger than the grid of keys.
-The trees are fitted on that table (label: the candidate overlaps a span of the fixed formats), the threshold
-is the least one that reaches PRECISION on the fold held back, and a key above it is selected wherever it
-occurs. Built-in functions and Spark's own trees only.
+The generators propose overlapping spans. Shape and context of a candidate are a few small numbers, packed into one
+key, so the labelled candidates of all texts count up to a table no larger than the grid of keys. The label is that
+the candidate overlaps a span of the fixed formats, and what defines these formats (an at sign, a plus, the check
+digit, numbers of at most 255) is not among the features: the trees learn where and in which shapes personal data
+stands, and find what is written otherwise there, such as a spelled-out at, a telephone number without its plus or
+a mistyped card number. For each generator the threshold is the least one that reaches PRECISION on the fold held
+back; a key at or above it is selected wherever it occurs. Built-in functions and Spark's own trees only.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import constant, ensure_checkpoint_dir, table
+from .common import constant, documents, stored
 
 #: Possessive forms of the four formats: same matches, no recursion in long runs. A run of an address's
 #: characters is tried once, at its start or where the last match ended.
@@ -25,15 +27,21 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 #: High recall: addresses with a spelled-out at, three or more dotted numbers, seven or more digits in groups.
+AT = r"\x20?(?:@|\(at\)|\[at\])\x20?"
 GENERATORS = [
-    ("address", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9.-]++"),
+    ("address", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++" + AT + "[A-Za-z0-9.-]++"),
     ("dotted", r"[0-9]++(?:\.[0-9]++){2,}+"),
     ("digits", r"\+?\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+"),
 ]
-CUES = r"(?i)(mail|phone|tel|call|mobile|fax|card|visa|account|iban|addr|host|\bip\b)\W*$"
+#: A country's number with its plus, which the fixed format of telephone numbers asks for: no feature looks at it.
+COUNTRY = r"^\+[0-9]{1,3}[ .-]?(?=[0-9(])"
+#: Words close before a candidate, by what they announce.
+CUES = [r"(?i)mail[^\p{L}]*$", r"(?i)(phone|tel|call|mobile|fax)[^\p{L}]*$", r"(?i)(card|visa|credit|account|iban)[^\p{L}]*$", r"(?i)(\bip|host|server|addr|address)[^\p{L}]*$"]
 #: Name and number of values of each feature, lowest digit of the key first.
-FEATURES = [("generator", 3), ("n_digits", 25), ("n_groups", 9), ("space", 2), ("dash", 2), ("dot", 2), ("paren", 2), ("plus", 2), ("luhn", 2), ("before", 4), ("after", 4), ("cue", 2)]
-PRECISION, TREES, DEPTH = 0.98, 10, 3
+FEATURES = [("generator", 3), ("shape", 8), ("n_digits", 25), ("n_groups", 9), ("before", 4), ("after", 4), ("cue", 5)]
+PRECISION, LEAST_HELD, TREES, DEPTH = 0.9, 20, 10, 4
+#: Rank of the first generator's spans, after those of the fixed formats.
+FIRST_RANK = 4
 
 
 def luhn(body: Column) -> Column:
@@ -58,7 +66,7 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    return F.concat(*[spans.find(text, p, name, 4 + i, lambda b: F.lit(True)) for i, (name, p) in enumerate(GENERATORS)])
+    return F.concat(*[spans.find(text, p, name, FIRST_RANK + i, lambda b: F.lit(True)) for i, (name, p) in enumerate(GENERATORS)])
 
 
 def _kind(c: Column) -> Column:
@@ -66,22 +74,29 @@ def _kind(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*$"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
+def _shape(c: Column) -> Column:
+    """Of an address: a dot after the at, a last part of letters, digits before the at. Of the others: separators."""
+    domain = F.regexp_extract(c["body"], AT + "(.*)$", 1)
+    bit = lambda test, n: test.cast("int") * n
+    address = bit(F.contains(domain, F.lit(".")), 1) + bit(domain.rlike(r"(^|\.)[A-Za-z]{2,}\.?$"), 2) + bit(c["body"].rlike("^[^@( \\[]*[0-9]"), 4)
+    others = bit(c["body"].rlike("[ -]"), 1) + bit(F.contains(c["body"], F.lit(".")), 2) + bit(F.contains(c["body"], F.lit("(")), 4)
+    return F.when(c["rank"] == FIRST_RANK, address).otherwise(others)
+
+
 def _key(text: Column, c: Column) -> Column:
-    body, has = c["body"], lambda what: F.contains(c["body"], F.lit(what)).cast("int")
+    body, address = F.regexp_replace(c["body"], COUNTRY, ""), c["rank"] == FIRST_RANK
     before = F.substring(text, F.greatest(c["start"] - 15, F.lit(1)), F.least(c["start"], F.lit(16)))
+    cue = F.lit(0)
+    for k, pattern in enumerate(CUES):
+        cue = F.when(before.rlike(pattern), k + 1).otherwise(cue)
     values = [
-        c["rank"] - 4,
-        F.least(_n_digits(body), F.lit(24)),
-        F.least(F.size(F.regexp_extract_all(body, F.lit("[0-9]+"), F.lit(0))), F.lit(8)),
-        has(" "),
-        has("-"),
-        has("."),
-        has("("),
-        has("+"),
-        F.when(_n_digits(body) > 0, luhn(body)).otherwise(F.lit(False)).cast("int"),
+        c["rank"] - FIRST_RANK,
+        _shape(c),
+        F.when(address, 0).otherwise(F.least(_n_digits(body), F.lit(24))),
+        F.when(address, 0).otherwise(F.least(F.size(F.regexp_extract_all(body, F.lit("[0-9]+"), F.lit(0))), F.lit(8))),
         F.when(c["start"] == 0, 0).otherwise(_kind(F.right(before, F.lit(1)))),
         _kind(F.substring(text, c["end"] + 1, F.lit(1))),
-        before.rlike(CUES).cast("int"),
+        cue,
     ]
     key, unit = F.lit(0).cast("long"), 1
     for value, (_, n) in zip(values, FEATURES, strict=True):
@@ -89,23 +104,38 @@ def _key(text: Column, c: Column) -> Column:
     return key
 
 
-def fit(docs: DataFrame) -> list[int]:
+def _labelled(docs: DataFrame) -> DataFrame:
+    """fold, key and label of every candidate of every text; equal texts are in one fold."""
+    text, given = F.coalesce("text", F.lit("")), F.col("given")
+    found = docs.select(text.alias("given"), candidates(text).alias("c"), (F.pmod(F.xxhash64(text), F.lit(5)) == 0).cast("int").alias("fold"))
+    seen = found.where(F.size("c") > 0).withColumn("base", base_spans(given))
+    meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).cast("double")
+    return seen.select("fold", F.inline(F.transform("c", lambda c: F.struct(_key(given, c).alias("key"), meets(c).alias("label")))))
+
+
+def _calibrated(scored: list, precision: float, least: int) -> list[int]:
+    """Keys of one generator from the least score on that has the precision, and enough labelled rows, on the fold held back."""
+    threshold, hit, all_ = None, 0.0, 0.0
+    held = sorted((r for r in scored if r["fold"] == 1), key=lambda r: -r["p"])
+    for k, r in enumerate(held):
+        hit, all_ = hit + r["n"] * r["label"], all_ + r["n"]
+        if (k + 1 == len(held) or held[k + 1]["p"] < r["p"]) and hit >= least and hit / all_ >= precision:
+            threshold = r["p"]
+    return [r["key"] for r in scored if threshold is not None and r["p"] >= threshold]
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST_HELD) -> list[int]:
     """Keys of the candidates to select beside the fixed formats, found from every text.
 
-    At most one row for each key of the grid, label and fold reaches the trees. Without both labels in the
-    fitted fold, or if no threshold is precise enough in the other, none is selected.
+    At most one row for each key of the grid, label and fold reaches the trees, and the scores of as many the driver.
+    Without both labels in the fitted fold, or for a generator of which no threshold is precise enough in the other,
+    none is selected.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    text = F.coalesce("text", F.lit(""))
-    base, given = F.col("base"), F.col("given")
-    found = docs.select(text.alias("given"), candidates(text).alias("c"), (F.pmod(F.xxhash64(text), F.lit(5)) == 0).cast("int").alias("fold"))
-    seen = found.where(F.size("c") > 0).withColumn("base", base_spans(given))
-    labelled = seen.select("fold", F.explode(F.transform("c", lambda c: F.struct(_key(given, c).alias("key"), F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).cast("double").alias("label")))).alias("x"))
-    ensure_checkpoint_dir(docs.sparkSession)
-    counted = labelled.select("fold", "x.*").groupBy("fold", "key", "label").agg(F.count("*").cast("double").alias("n")).coalesce(1).checkpoint()
+    counted = stored(_labelled(docs).groupBy("fold", "key", "label").agg(F.count("*").cast("double").alias("n")).coalesce(1), "candidates")
     if counted.where("fold = 0").select("label").distinct().count() < 2:
         return []
     unit, names = 1, [name for name, _ in FEATURES]
@@ -113,14 +143,9 @@ def fit(docs: DataFrame) -> list[int]:
         counted, unit = counted.withColumn(name, F.floor(F.col("key") / unit) % n), unit * n
     data = VectorAssembler(inputCols=names, outputCol="features").transform(counted)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n", maxBins=32, cacheNodeIds=False).fit(data.where("fold = 0"))
-    scored = trees.transform(data).select("fold", "key", "label", "n", F.round(vector_to_array("probability")[1], 6).alias("p")).collect()
-    threshold, hit, all_ = None, 0.0, 0.0
-    for p in sorted({r["p"] for r in scored if r["fold"] == 1}, reverse=True):
-        hit += sum(r["n"] for r in scored if r["fold"] == 1 and r["p"] == p and r["label"] == 1)
-        all_ += sum(r["n"] for r in scored if r["fold"] == 1 and r["p"] == p)
-        if hit / all_ >= PRECISION:
-            threshold = p
-    return sorted({r["key"] for r in scored if threshold is not None and r["p"] >= threshold})
+    scored = trees.transform(data).select("fold", "key", "label", "n", "generator", F.round(vector_to_array("probability")[1], 6).alias("p")).collect()
+    chosen = [_calibrated([r for r in scored if r["generator"] == g], precision, least) for g in range(len(GENERATORS))]
+    return sorted({k for keys in chosen for k in keys})
 
 
 def scan(docs: DataFrame, selected: list[int] | None = None) -> DataFrame:
@@ -158,6 +183,7 @@ def redact(docs: DataFrame, mark: str = "[private]") -> DataFrame:
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Counts and places of personal data in every text: fixed formats, and what the trees select; null counts as empty."""
+    found = scan(documents(spark, sf_dir))
     counts = [spans.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
