@@ -83,7 +83,10 @@ def safe_path(path: Column) -> Column:
 
 def dashed_date(text: Column) -> Column:
     """YYYYMMDD with dashes, else empty."""
-    return F.when(text.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))).otherwise("")
+    return (
+        F.when(text.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
+        .otherwise("")
+    )
 
 
 #: First bytes of media files, in hex, and their kinds.
@@ -112,7 +115,11 @@ def cost(tokens: dict[str, Column], price: dict[str, Column], batch: Column) ->
 def learning_rate(step: Column, start: int, warm: int, total: int, peak: float, floor: float) -> Column:
     """0 before start, then linear to peak, then a half cosine down to floor."""
     done = F.least(F.greatest((step - start - warm) / F.lit(float(max(1, total - start - warm))), F.lit(0.0)), F.lit(1.0))
-    return F.when(step < start, 0.0).when(step < start + warm, (step - start + 1) * peak / warm).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(done * F.pi())))
+    return (
+        F.when(step < start, 0.0)
+        .when(step < start + warm, (step - start + 1) * peak / warm)
+        .otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(done * F.pi())))
+    )
 
 
 def unit(vector: Column) -> Column:

@@ -47,7 +47,10 @@ def clock_matches(obs: DataFrame, positions: DataFrame, on: list[str], still: in
     )
     rec = rec.withColumn("low", F.col("recorded") - still).withColumn("high", F.col("recorded") + still)
     read = _sides(obs.where("white_obs is not null and black_obs is not null"), "white_obs", "black_obs", ["obs_id", *on])
-    met = range_join(read, rec, [*on, "side"], "still", "low", "high", 4.0 * still + 2).where(F.col("running").between(F.col("least"), F.col("most")))
+    met = (
+        range_join(read, rec, [*on, "side"], "still", "low", "high", 4.0 * still + 2)
+        .where(F.col("running").between(F.col("least"), F.col("most")))
+    )
     return met.select("obs_id", "game", "ply", "side", F.abs(F.col("still") - F.col("recorded")).alias("residual"))
 
 
@@ -67,4 +70,14 @@ def identify(obs: DataFrame, positions: DataFrame, on: list[str], named: DataFra
         met = met.where(~F.col("names_read"))
     sure = 0.5 * F.greatest(F.lit(0.0), 1 - F.col("residual") / max(still, 1)) + F.when(F.col("names_read"), 0.5).otherwise(0.0)
     best = met.groupBy("obs_id").agg(F.min(F.struct((-sure).alias("minus"), "game", "residual", "ply")).alias("b"))
-    return obs.select("obs_id").join(best, "obs_id", "left").select("obs_id", F.col("b.game").alias("game"), F.col("b.ply").alias("ply"), F.col("b.residual").alias("residual"), (-F.col("b.minus")).alias("confidence"))
+    return (
+        obs.select("obs_id")
+        .join(best, "obs_id", "left")
+        .select(
+            "obs_id",
+            F.col("b.game").alias("game"),
+            F.col("b.ply").alias("ply"),
+            F.col("b.residual").alias("residual"),
+            (-F.col("b.minus")).alias("confidence"),
+        )
+    )

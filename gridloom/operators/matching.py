@@ -24,9 +24,18 @@ def hamming_nearest(obs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     parts = most + 1
     edges = [64 * k // parts for k in range(parts + 1)]
     keyed = lambda df, id_, name: df.select(id_, F.col("cells").alias(name), F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("cells", a + 1, b - a)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])).alias("part"))
-    met = keyed(obs, "obs_id", "o").join(keyed(known, "known_id", "k"), "part").select("obs_id", "known_id", board.hamming(F.col("o"), F.col("k")).alias("diff")).where(F.col("diff") <= most)
+    met = (
+        keyed(obs, "obs_id", "o")
+        .join(keyed(known, "known_id", "k"), "part")
+        .select("obs_id", "known_id", board.hamming(F.col("o"), F.col("k")).alias("diff"))
+        .where(F.col("diff") <= most)
+    )
     best = met.groupBy("obs_id").agg(F.min(F.struct("diff", "known_id")).alias("b"))
-    found = obs.select("obs_id").join(best, "obs_id", "left").select("obs_id", F.col("b.known_id").alias("known_id"), F.col("b.diff").alias("diff"))
+    found = (
+        obs.select("obs_id")
+        .join(best, "obs_id", "left")
+        .select("obs_id", F.col("b.known_id").alias("known_id"), F.col("b.diff").alias("diff"))
+    )
     return found.withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("diff") / (most + 1.0)))
 
 
@@ -45,9 +54,20 @@ def names_in(names: DataFrame, name: str, blobs: DataFrame, blob: str) -> DataFr
     """
     n, b = names.select(name).distinct(), blobs.select(blob).distinct()
     words = F.filter(F.split(blob, r"\s+"), lambda w: w != "")
-    short = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(blob) - k + 1, F.lit(1))), lambda i: F.substring(blob, i, k))))
-    first = n.select(name, F.substring(name, 1, 3).alias("_g")).join(b.select(blob, F.explode(F.array_distinct(F.concat(_grams(F.col(blob)), short))).alias("_g")), "_g")
-    inside = n.select(name, F.explode(_grams(F.col(name))).alias("_g")).join(b.select(blob, F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("_g")), "_g")
+    short = F.flatten(
+        F.transform(
+            F.array(F.lit(1), F.lit(2)),
+            lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(blob) - k + 1, F.lit(1))), lambda i: F.substring(blob, i, k)),
+        ),
+    )
+    first = (
+        n.select(name, F.substring(name, 1, 3).alias("_g"))
+        .join(b.select(blob, F.explode(F.array_distinct(F.concat(_grams(F.col(blob)), short))).alias("_g")), "_g")
+    )
+    inside = (
+        n.select(name, F.explode(_grams(F.col(name))).alias("_g"))
+        .join(b.select(blob, F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("_g")), "_g")
+    )
     pairs = first.select(name, blob).union(inside.select(name, blob))
     return pairs.where(text.name_in(F.col(name), F.col(blob))).distinct()
 
@@ -64,9 +84,18 @@ def best_oriented(df: DataFrame, by: str, key: str, side: str, value: str, withi
     placed = df.withColumn("_l", least).withColumn("_s", second).withColumn("_n", F.count("*").over(w) - 1)
     near = Window.partitionBy(by).orderBy(value, key)
     around = Window.partitionBy(by).orderBy(F.col(value)).rangeBetween(-within, within)
-    placed = placed.withColumn("_b", F.lag(F.struct(key, value)).over(near)).withColumn("_a", F.lead(F.struct(key, value)).over(near)).withColumn("_m", F.count("*").over(around) - 1)
+    placed = (
+        placed.withColumn("_b", F.lag(F.struct(key, value)).over(near))
+        .withColumn("_a", F.lead(F.struct(key, value)).over(near))
+        .withColumn("_m", F.count("*").over(around) - 1)
+    )
     below, above = F.col(value) - F.col(f"_b.{value}"), F.col(f"_a.{value}") - F.col(value)
     fallback = F.when((below <= within) & (above.isNull() | (below <= above)), F.col(f"_b.{key}")).when(above <= within, F.col(f"_a.{key}"))
     oriented = F.col("_n") > 0
     match = F.when(oriented, F.when(F.col(key) == F.col("_l"), F.col("_s")).otherwise(F.col("_l"))).otherwise(fallback)
-    return placed.select(key, match.alias("match"), oriented.alias("oriented"), F.when(oriented, F.col("_n")).otherwise(F.col("_m")).alias("matches"))
+    return placed.select(
+        key,
+        match.alias("match"),
+        oriented.alias("oriented"),
+        F.when(oriented, F.col("_n")).otherwise(F.col("_m")).alias("matches"),
+    )

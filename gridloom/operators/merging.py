@@ -32,4 +32,7 @@ def salvage(old: DataFrame, fresh: DataFrame, key: list[str], frame: list[str],
 def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key and added, dropped or kept."""
     a, b = old.select(key).distinct().withColumn("_o", F.lit(1)), new.select(key).distinct().withColumn("_n", F.lit(1))
-    return a.join(b, key, "full").select(key, F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "dropped").otherwise("kept").alias("change"))
+    return (
+        a.join(b, key, "full")
+        .select(key, F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "dropped").otherwise("kept").alias("change"))
+    )

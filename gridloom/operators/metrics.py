@@ -16,7 +16,12 @@ def within(wrong: Column) -> list[Column]:
 
 def with_overall(df: DataFrame, key: str, *measures: Column, overall: str = "overall") -> DataFrame:
     """Measures of each key and of all rows together, by one grouping-sets aggregation."""
-    return df.groupingSets([[key], []], key).agg(*measures, F.grouping(key).alias("_all")).withColumn(key, F.when(F.col("_all") == 1, overall).otherwise(F.col(key))).drop("_all")
+    return (
+        df.groupingSets([[key], []], key)
+        .agg(*measures, F.grouping(key).alias("_all"))
+        .withColumn(key, F.when(F.col("_all") == 1, overall).otherwise(F.col(key)))
+        .drop("_all")
+    )
 
 
 def board_measures() -> list[Column]:
@@ -36,7 +41,10 @@ def board_measures() -> list[Column]:
 
 def error_decomposition(boards: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """Per cell: boards, occupied, occupancy_wrong and type_wrong counts. Sums of parts give the whole."""
-    cells = boards.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(truth).alias("t"))).alias("cell", "v")).select("cell", F.col("v.p").alias("p"), F.col("v.t").alias("t"))
+    cells = (
+        boards.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(truth).alias("t"))).alias("cell", "v"))
+        .select("cell", F.col("v.p").alias("p"), F.col("v.t").alias("t"))
+    )
     both = (F.col("p") > 0) & (F.col("t") > 0)
     return cells.groupBy("cell").agg(
         F.count("*").alias("boards"),
@@ -56,7 +64,12 @@ def nearest_rank(df: DataFrame, key: str, value: str, fractions: list[float]) ->
     w = Window.partitionBy(key).orderBy(value)
     ranked = counts.withColumn("_upto", F.sum("_times").over(w)).withColumn("_n", F.sum("_times").over(Window.partitionBy(key)))
     f = F.explode(F.array(*[F.lit(float(x)) for x in fractions]))
-    return ranked.withColumn("fraction", f).where(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("fraction") * F.col("_n")))).groupBy(key, "fraction").agg(F.min(value).alias("value"))
+    return (
+        ranked.withColumn("fraction", f)
+        .where(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("fraction") * F.col("_n"))))
+        .groupBy(key, "fraction")
+        .agg(F.min(value).alias("value"))
+    )
 
 
 def medians(df: DataFrame, by: str, value: str, parts: int = 1024) -> DataFrame:
@@ -68,14 +81,27 @@ def medians(df: DataFrame, by: str, value: str, parts: int = 1024) -> DataFrame:
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull()).select(by, v.alias("v"))
     reach = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(F.lit(0))
+    part = (
+        F.when(
+            F.col("hi") > F.col("lo"),
+            F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1)),
+        )
+        .otherwise(F.lit(0))
+    )
     dealt = rows.join(reach, by).select(by, "v", "n", part.cast("int").alias("part"))
     counts = dealt.groupBy(by, "part").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     w = Window.partitionBy(by).orderBy("part")
     upto = counts.withColumn("upto", F.sum("k").over(w))
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    hit = upto.where((F.col("upto") > low) & (F.col("upto") - F.col("k") <= high)).select(by, "part", (F.col("upto") - F.col("k")).alias("before"))
-    each = dealt.join(hit, [by, "part"]).groupBy(by, "part", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    hit = (
+        upto.where((F.col("upto") > low) & (F.col("upto") - F.col("k") <= high))
+        .select(by, "part", (F.col("upto") - F.col("k")).alias("before"))
+    )
+    each = (
+        dealt.join(hit, [by, "part"])
+        .groupBy(by, "part", "v")
+        .agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    )
     ends = each.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy(by, "part").orderBy("v")))
     holds = lambda at: F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col("v")))
     return ends.groupBy(by).agg(((holds(low) + holds(high)) / 2).alias("median"))

@@ -18,13 +18,22 @@ def straddling(df: DataFrame, group: str, split: str) -> DataFrame:
 def completeness(expected: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:
     """Per value of by: expected, available and missing keys, and whether the set is partial."""
     seen = found.select(key).distinct().withColumn("_seen", F.lit(1))
-    return expected.join(seen, key, "left").groupBy(by).agg(F.count("*").alias("expected"), F.count("_seen").alias("available"), F.count_if(F.col("_seen").isNull()).alias("missing")).withColumn("partial", F.col("missing") > 0)
+    return (
+        expected.join(seen, key, "left")
+        .groupBy(by)
+        .agg(F.count("*").alias("expected"), F.count("_seen").alias("available"), F.count_if(F.col("_seen").isNull()).alias("missing"))
+        .withColumn("partial", F.col("missing") > 0)
+    )
 
 
 def difference(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """Key and status of what isn't the same in both: missing (left only), unexpected (right only), changed."""
     a, b = left.select(key, F.col(value).alias("_a"), F.lit(True).alias("_l")), right.select(key, F.col(value).alias("_b"), F.lit(True).alias("_r"))
-    status = F.when(F.col("_r").isNull(), "missing").when(F.col("_l").isNull(), "unexpected").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    status = (
+        F.when(F.col("_r").isNull(), "missing")
+        .when(F.col("_l").isNull(), "unexpected")
+        .when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    )
     return a.join(b, key, "full").select(key, status.alias("status")).where("status is not null")
 
 
@@ -58,7 +67,9 @@ def overlaps(sets: dict[str, DataFrame], key: str) -> DataFrame:
     for p in parts[1:]:
         all_ = all_.unionByName(p)
     held = all_.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("in")).where(F.size("in") > 1)
-    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    pairs = F.flatten(
+        F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("one"), b.alias("other")))),
+    )
     return held.select(F.inline(pairs)).groupBy("one", "other").agg(F.count("*").alias("shared"))
 
 

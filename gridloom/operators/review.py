@@ -17,7 +17,12 @@ def bucketed(candidates: DataFrame, timelines: DataFrame, key: str, fit_limit: f
     met = candidates.join(timelines.select(key, "fit", "margin", F.lit(True).alias("_t")), key, "left")
     fits, clear = F.col("fit") <= fit_limit, F.coalesce(F.col("margin") >= margin_limit, F.lit(True))
     bucket = F.when(F.col("_t").isNull(), "review").when(fits & clear, "accept").when(fits | clear, "review").otherwise("quarantine")
-    return met.select(key, bucket.alias("bucket"), F.when(F.col("_t").isNull(), F.lit(-1).cast("long")).otherwise(F.col("fit")).alias("fit"), "margin")
+    return met.select(
+        key,
+        bucket.alias("bucket"),
+        F.when(F.col("_t").isNull(), F.lit(-1).cast("long")).otherwise(F.col("fit")).alias("fit"),
+        "margin",
+    )
 
 
 def applied(rows: DataFrame, decisions: DataFrame, corrections: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -36,7 +41,11 @@ def applied(rows: DataFrame, decisions: DataFrame, corrections: DataFrame, key:
 
 def preseeded(candidates: DataFrame, verified: DataFrame, key: str) -> DataFrame:
     """candidates with verified: whether their key was verified before."""
-    return candidates.join(verified.select(key).distinct().withColumn("_v", F.lit(True)), key, "left").withColumn("verified", F.coalesce("_v", F.lit(False))).drop("_v")
+    return (
+        candidates.join(verified.select(key).distinct().withColumn("_v", F.lit(True)), key, "left")
+        .withColumn("verified", F.coalesce("_v", F.lit(False)))
+        .drop("_v")
+    )
 
 
 def rebuilt(old: DataFrame, fresh: DataFrame, scope: Column, key: str) -> DataFrame:
@@ -44,7 +53,11 @@ def rebuilt(old: DataFrame, fresh: DataFrame, scope: Column, key: str) -> DataFr
     inside = old.where(F.coalesce(scope, F.lit(False)))
     outside = old.where(~F.coalesce(scope, F.lit(False)))
     mark = lambda df, change: df.withColumn("change", F.lit(change))
-    return mark(outside, "kept").unionByName(mark(fresh, "built")).unionByName(mark(inside.join(fresh.select(key), key, "left_anti"), "dropped"))
+    return (
+        mark(outside, "kept")
+        .unionByName(mark(fresh, "built"))
+        .unionByName(mark(inside.join(fresh.select(key), key, "left_anti"), "dropped"))
+    )
 
 
 def batch_state(requests: DataFrame, answers: DataFrame, key: str, error: str) -> DataFrame:
@@ -65,7 +78,14 @@ def patient(steps: DataFrame, by: str, step: str, score: list[str], patience: in
     seen = steps.withColumn("_better", better).withColumn("_best", F.max(F.when(F.col("_better"), F.col(step))).over(w))
     stop = F.min(F.when(F.col(step) - F.col("_best") >= patience, F.col(step))).over(Window.partitionBy(by))
     run = seen.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col(step) <= F.col("_stop")))
-    return run.groupBy(by).agg(F.max("_best").alias("best_step"), F.max(step).alias("last_step"), F.bool_or(F.col("_stop").isNotNull()).alias("stopped_early"))
+    return (
+        run.groupBy(by)
+        .agg(
+            F.max("_best").alias("best_step"),
+            F.max(step).alias("last_step"),
+            F.bool_or(F.col("_stop").isNotNull()).alias("stopped_early"),
+        )
+    )
 
 
 def grouping_unit(split_by: str, game: Column, video: Column, frame: Column) -> Column:
@@ -77,7 +97,12 @@ def grouping_unit(split_by: str, game: Column, video: Column, frame: Column) ->
 
 def with_splits(rows: DataFrame, dataset: str, split: str, needed: list[str]) -> DataFrame:
     """Datasets that have every one of the needed splits."""
-    return rows.groupBy(dataset).agg(*[F.bool_or(F.col(split) == s).alias(s) for s in needed]).where(" and ".join(f"`{s}`" for s in needed)).select(dataset)
+    return (
+        rows.groupBy(dataset)
+        .agg(*[F.bool_or(F.col(split) == s).alias(s) for s in needed])
+        .where(" and ".join(f"`{s}`" for s in needed))
+        .select(dataset)
+    )
 
 
 def sharpest(views: DataFrame, by: list[str], sharpness: str, order: str) -> DataFrame:
@@ -95,15 +120,34 @@ def layout(board: Column, clock: Column, plates: Column) -> Column:
 def engine_scores(rows: DataFrame, engines: list[str]) -> DataFrame:
     """n, shares of white, black and both read, and mean secs of each engine; 0 for one without rows."""
     share = lambda c: F.avg(c.cast("double"))
-    got = rows.groupBy("engine").agg(F.count("*").alias("n"), share(F.col("white")).alias("white"), share(F.col("black")).alias("black"), share(F.col("white") & F.col("black")).alias("pair"), F.avg("secs").alias("secs"))
+    got = (
+        rows.groupBy("engine")
+        .agg(
+            F.count("*").alias("n"),
+            share(F.col("white")).alias("white"),
+            share(F.col("black")).alias("black"),
+            share(F.col("white") & F.col("black")).alias("pair"),
+            F.avg("secs").alias("secs"),
+        )
+    )
     all_ = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(e) for e in engines])).alias("engine"))
     none = F.lit(0.0)
-    return all_.join(got, "engine", "left").select("engine", F.coalesce("n", F.lit(0).cast("long")).alias("n"), *[F.round(F.coalesce(c, none), 6).alias(c) for c in ("white", "black", "pair", "secs")])
+    return (
+        all_.join(got, "engine", "left")
+        .select(
+            "engine",
+            F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+            *[F.round(F.coalesce(c, none), 6).alias(c) for c in ("white", "black", "pair", "secs")],
+        )
+    )
 
 
 def inserted(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
     """key and inserted of every row that goes in only where its key is absent."""
-    return rows.join(held.select(key).distinct().withColumn("_h", F.lit(True)), key, "left").select(key, F.col("_h").isNull().alias("inserted"))
+    return (
+        rows.join(held.select(key).distinct().withColumn("_h", F.lit(True)), key, "left")
+        .select(key, F.col("_h").isNull().alias("inserted"))
+    )
 
 
 def paired(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:

@@ -48,7 +48,12 @@ def numbered(df: DataFrame, order: str, name: str, parts: int = 256) -> DataFram
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `parts` rows
     w = Window.partitionBy("_part").orderBy(order)
-    return dealt.withColumn("_k", F.row_number().over(w) - 1).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+    return (
+        dealt.withColumn("_k", F.row_number().over(w) - 1)
+        .join(F.broadcast(before), "_part")
+        .withColumn(name, F.col("_before") + F.col("_k"))
+        .drop("_part", "_k", "_before")
+    )
 
 
 def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int, int] = (60, 20, 20), existing: DataFrame | None = None) -> DataFrame:
@@ -64,7 +69,11 @@ def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int,
     pinned = None
     if existing is not None:
         votes = existing.join(df.select(key, group), key).groupBy(group, "split").agg(F.count("*").alias("_v"))
-        pinned = votes.groupBy(group).agg(F.max(F.struct(F.col("_v"), (-rank).alias("_r"), F.col("split").alias("_s"))).alias("_p")).select(group, F.col("_p._s").alias("_pinned"))
+        pinned = (
+            votes.groupBy(group)
+            .agg(F.max(F.struct(F.col("_v"), (-rank).alias("_r"), F.col("split").alias("_s"))).alias("_p"))
+            .select(group, F.col("_p._s").alias("_pinned"))
+        )
         fresh = groups.join(pinned, group, "left_anti")
         counted = dict(pinned.groupBy("_pinned").count().collect())
     else:
@@ -74,7 +83,10 @@ def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int,
     dealt = fresh.withColumn("_j", jitter).withColumn("_cell", F.substring("_j", 1, 2))
     counts = dealt.groupBy("_size", "_cell").agg(F.count("*").alias("_n"))
     before = counts.select("_size", "_cell", (F.sum("_n").over(Window.orderBy("_size", "_cell")) - F.col("_n")).alias("_before"))  # cells, not groups
-    placed = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_size", "_cell").orderBy("_j", group)) - 1).join(before, ["_size", "_cell"])
+    placed = (
+        dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_size", "_cell").orderBy("_j", group)) - 1)
+        .join(before, ["_size", "_cell"])
+    )
     turn = F.col("_before") + F.col("_k")
     digit = lambda held, at: F.substring(F.lit("".join(map(str, held))), (at + 1).cast("int"), F.lit(1)).cast("int")
     number = F.when(turn < len(once), digit(once, turn)).otherwise(digit(again, F.pmod(turn - len(once), F.lit(len(again)))))
@@ -83,7 +95,10 @@ def plan(df: DataFrame, group: str, key: str, seed: int, ratio: tuple[int, int,
         chosen = chosen.unionByName(pinned.select(group, F.col("_pinned").alias("split")))
     out = df.select(key, group).join(chosen, group).select(key, group, "split")
     if existing is not None:
-        out = out.join(existing.select(key, F.col("split").alias("_old")), key, "left").select(key, group, F.coalesce("_old", "split").alias("split"))
+        out = (
+            out.join(existing.select(key, F.col("split").alias("_old")), key, "left")
+            .select(key, group, F.coalesce("_old", "split").alias("split"))
+        )
     return out
 
 

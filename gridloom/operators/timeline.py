@@ -48,14 +48,20 @@ def spaced(df: DataFrame, by: list[str], order: list[str], limit: int) -> DataFr
     w = Window.partitionBy(*by)
     placed = df.withColumn("_p", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     nearest = F.ceil(F.col("_p") * limit / F.col("_n"))
-    return placed.where((F.col("_n") <= limit) | ((nearest < limit) & (F.floor(nearest * F.col("_n") / limit) == F.col("_p")))).drop("_p", "_n")
+    return (
+        placed.where((F.col("_n") <= limit) | ((nearest < limit) & (F.floor(nearest * F.col("_n") / limit) == F.col("_p"))))
+        .drop("_p", "_n")
+    )
 
 
 def sample_frames(df: DataFrame, start: str, end: str, interval: int, least: int) -> DataFrame:
     """frame: mid-bin places of max(least, ceil(span / interval)) bins, at most span; one bin: the floor of the middle."""
     span = F.col(end) - F.col(start)
     n = F.least(F.greatest(F.lit(least), F.ceil(span / interval)), span).cast("int")
-    bins = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: (F.col(start) + F.floor(span / F.greatest(n, F.lit(1)) * (k + 0.5))).cast("long"))
+    bins = F.transform(
+        F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
+        lambda k: (F.col(start) + F.floor(span / F.greatest(n, F.lit(1)) * (k + 0.5))).cast("long"),
+    )
     return df.withColumn("frame", F.explode(F.when(n <= 1, F.array(F.floor((F.col(start) + F.col(end)) / 2).cast("long"))).otherwise(bins)))
 
 

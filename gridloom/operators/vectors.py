@@ -15,7 +15,11 @@ from gridloom.functions.text import dot, unit
 def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """key and centroid: the unit vector along the sum of a key's vectors; one row a key reaches each task's sum."""
     parts = df.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select(key, unit(F.transform("v", lambda p: p["x"])).alias("centroid"))
+    return (
+        parts.groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
+        .select(key, unit(F.transform("v", lambda p: p["x"])).alias("centroid"))
+    )
 
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, key: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
@@ -28,7 +32,12 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, key: str, vector: str = "e
     listed = cents.agg(F.array_sort(F.collect_list(F.struct(key, "centroid"))).alias("_c"))
     scored = F.transform("_c", lambda c: F.struct(F.round(-dot(F.col(vector), c["centroid"]), 6).alias("minus"), c[key].alias(key)))
     best = F.array_min(scored)
-    return df.join(F.broadcast(listed)).withColumn("_b", best).withColumn("best", F.struct((-F.col("_b.minus")).alias("similarity"), F.col(f"_b.{key}").alias(key))).drop("_c", "_b")
+    return (
+        df.join(F.broadcast(listed))
+        .withColumn("_b", best)
+        .withColumn("best", F.struct((-F.col("_b.minus")).alias("similarity"), F.col(f"_b.{key}").alias(key)))
+        .drop("_c", "_b")
+    )
 
 
 def _led(items: list[tuple[np.ndarray, int, int]], most: float) -> list[tuple[np.ndarray, int, int]]:
@@ -65,10 +74,20 @@ def leader_clusters(df: DataFrame, order: str, vector: str, most: float, rows: i
 
         part = part.sort_values("first")
         done = _led([(np.asarray(v, float), int(n), int(f)) for v, n, f in zip(part["total"], part["n"], part["first"], strict=True)], most)
-        return pd.DataFrame({"piece": part["piece"].iloc[0], "first": [f for *_, f in done], "n": [n for _, n, _ in done], "total": [v.tolist() for v, *_ in done]})
+        return pd.DataFrame(
+            {"piece": part["piece"].iloc[0], "first": [f for *_, f in done], "n": [n for _, n, _ in done], "total": [v.tolist() for v, *_ in done]},
+        )
 
     size = F.sqrt(dot(F.col(vector), F.col(vector)))
-    start = df.where(size >= 1e-6).select(F.floor(F.col(order) / rows).alias("piece"), F.col(order).cast("long").alias("first"), F.lit(1).cast("long").alias("n"), unit(F.col(vector)).alias("total"))
+    start = (
+        df.where(size >= 1e-6)
+        .select(
+            F.floor(F.col(order) / rows).alias("piece"),
+            F.col(order).cast("long").alias("first"),
+            F.lit(1).cast("long").alias("n"),
+            unit(F.col(vector)).alias("total"),
+        )
+    )
     now, pieces = start.groupBy("piece").applyInPandas(lead, kind), (last or 0) + 1
     while pieces > 1:
         now = now.withColumn("piece", F.floor(F.col("piece") / fan)).groupBy("piece").applyInPandas(lead, kind)
@@ -88,7 +107,13 @@ def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "l
     place = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v"), place(asked).alias("qb"), every(held).alias("rb"))
-    r = rows.select(F.col(id_).cast("long").alias("other"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), every(asked).alias("qb"), place(held).alias("rb"))
+    r = rows.select(
+        F.col(id_).cast("long").alias("other"),
+        F.col(vector).alias("v"),
+        F.col(label).cast("double").alias("y"),
+        every(asked).alias("qb"),
+        place(held).alias("rb"),
+    )
 
     def near(left, right):
         import pandas as pd
@@ -100,13 +125,22 @@ def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "l
         sim = np.round(np.stack(left["v"].to_numpy()).astype(float) @ np.stack(right["v"].to_numpy()).astype(float).T, 6)
         sim[ids[:, None] == own[None, :]] = -2
         best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        frame = pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "sim": np.take_along_axis(sim, best, 1).ravel(), "other": own[best].ravel(), "y": right["y"].to_numpy()[best].ravel()})
+        frame = pd.DataFrame(
+            {"q": np.repeat(ids, best.shape[1]), "sim": np.take_along_axis(sim, best, 1).ravel(), "other": own[best].ravel(), "y": right["y"].to_numpy()[best].ravel()},
+        )
         return frame[frame["sim"] > -2]
 
     found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(near, "q bigint, sim double, other bigint, y double")
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k)
     weight = F.greatest(F.col("sim"), F.lit(0.0))
-    return top.groupBy("q").agg(F.count("*").alias("neighbours"), F.round(F.when(F.sum(weight) > 0, F.sum(weight * F.col("y")) / F.sum(weight)).otherwise(F.avg("y")), 4).alias("score")).withColumnRenamed("q", id_)
+    return (
+        top.groupBy("q")
+        .agg(
+            F.count("*").alias("neighbours"),
+            F.round(F.when(F.sum(weight) > 0, F.sum(weight * F.col("y")) / F.sum(weight)).otherwise(F.avg("y")), 4).alias("score"),
+        )
+        .withColumnRenamed("q", id_)
+    )
 
 
 def principal_axes(df: DataFrame, k: int, vector: str = "embedding") -> tuple[list[float], list[list[float]]]:
@@ -125,9 +159,18 @@ def principal_axes(df: DataFrame, k: int, vector: str = "embedding") -> tuple[li
                 here = np.vstack([x.T @ x, x.sum(0)[None]])
                 n, total = n + len(x), here if total is None else total + here
         if n:
-            yield pd.DataFrame({"i": np.repeat(np.arange(len(total)), total.shape[1]), "j": np.tile(np.arange(total.shape[1]), len(total)), "s": total.ravel(), "n": n})
-
-    got = df.select(vector).where(F.col(vector).isNotNull()).mapInPandas(sums, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s"), F.sum("n")).collect()
+            yield pd.DataFrame(
+                {"i": np.repeat(np.arange(len(total)), total.shape[1]), "j": np.tile(np.arange(total.shape[1]), len(total)), "s": total.ravel(), "n": n},
+            )
+
+    got = (
+        df.select(vector)
+        .where(F.col(vector).isNotNull())
+        .mapInPandas(sums, "i int, j int, s double, n long")
+        .groupBy("i", "j")
+        .agg(F.sum("s"), F.sum("n"))
+        .collect()
+    )
     if not got:
         return [], []
     d, n = max(r[1] for r in got) + 1, got[0][3]

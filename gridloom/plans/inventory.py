@@ -12,7 +12,8 @@ from gridloom.plans.registry import query, table
 
 @query("""
 WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R')
-SELECT CAST(coalesce(a.k, b.k) % 100 AS BIGINT) AS stem, CASE WHEN bool_and(a.k IS NOT NULL AND b.k IS NOT NULL) THEN count(*) ELSE -1 END AS pairs FROM a FULL JOIN b ON a.k = b.k GROUP BY 1
+SELECT CAST(coalesce(a.k, b.k) % 100 AS BIGINT) AS stem, CASE WHEN bool_and(a.k IS NOT NULL AND b.k IS NOT NULL) THEN count(*) ELSE -1 END AS pairs FROM a FULL
+    JOIN b ON a.k = b.k GROUP BY 1
 """)
 def paired_files(spark, sf_dir):
     """Number of pairs of each folder if every file has its partner, else -1."""
@@ -24,24 +25,39 @@ def paired_files(spark, sf_dir):
 
 @query("""
 WITH g AS (SELECT o_custkey AS k, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
-SELECT l_orderkey, l_linenumber, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_orderkey IN (SELECT o_orderkey FROM g WHERE n = 1)
+SELECT l_orderkey, l_linenumber, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON
+    c_nationkey = n_nationkey WHERE l_orderkey IN (SELECT o_orderkey FROM g WHERE n = 1)
 """)
 def label_enrichment(spark, sf_dir):
     """Lines of the last order of each customer, with the customer and nation: later records of a key replace earlier ones."""
     o = table(spark, sf_dir, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
     last = merging.last_write(o, ["o_custkey"], "at").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+    c = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("c_custkey", "c_name", "n_name")
+    )
     people = last.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return table(spark, sf_dir, "lineitem").join(people, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "c_name", "n_name")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(people, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("l_orderkey", "l_linenumber", "c_name", "n_name")
+    )
 
 
 @query("""
-SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_committed' WHEN quality = 0 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN n_chars < 200 THEN 'advisory' END AS advice FROM documents LEFT JOIN labels l USING (doc_id)
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_committed' WHEN quality = 0 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN n_chars < 200 THEN
+    'advisory' END AS advice FROM documents LEFT JOIN labels l USING (doc_id)
 """)
 def outcome_status(spark, sf_dir):
     l = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(1).alias("has"))
     status = F.when(F.col("has").isNull(), "not_committed").when(F.col("quality") == 0, "partial").otherwise("complete")
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(l, "doc_id", "left").select("doc_id", status.alias("status"), F.when(F.col("n_chars") < 200, "advisory").alias("advice"))
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "n_chars")
+        .join(l, "doc_id", "left")
+        .select("doc_id", status.alias("status"), F.when(F.col("n_chars") < 200, "advisory").alias("advice"))
+    )
 
 
 @query("""
@@ -50,10 +66,16 @@ FROM (SELECT event_type, value - 50 AS x, CAST(event_id % 101 AS DOUBLE) - 50 AS
 """)
 def orientation(spark, sf_dir):
     """Direction as a unit vector, zero as (1, 0); Black if its cosine is below that of 100 degrees."""
-    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") - 50).alias("x"), ((F.col("event_id") % 101).cast("double") - 50).alias("y"))
+    e = (
+        table(spark, sf_dir, "events")
+        .select("event_type", (F.col("value") - 50).alias("x"), ((F.col("event_id") % 101).cast("double") - 50).alias("y"))
+    )
     length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     cosine = F.when(length == 0, 1.0).otherwise(F.col("x") / F.nullif(length, F.lit(0.0)))
-    return e.groupBy("event_type", F.when(cosine < F.cos(F.radians(F.lit(100.0))), "black").otherwise("white").alias("side")).agg(F.count("*").alias("n"))
+    return (
+        e.groupBy("event_type", F.when(cosine < F.cos(F.radians(F.lit(100.0))), "black").otherwise("white").alias("side"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query("""
@@ -71,21 +93,32 @@ SELECT conv_id, substr(sha256(string_agg(text, '' ORDER BY turn)), 1, 16) AS dig
 def timeline_digest(spark, sf_dir):
     """First 16 hex digits over the ordered parts of each timeline."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return t.select("conv_id", F.substring(F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), ""), 256), 1, 16).alias("digest"), F.size("t").cast("long").alias("turns"))
+    return t.select(
+        "conv_id",
+        F.substring(F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), ""), 256), 1, 16).alias("digest"),
+        F.size("t").cast("long").alias("turns"),
+    )
 
 
 @query("""
-SELECT c_mktsegment, CAST(sum(CASE WHEN contains(c_name, '00') THEN 1 ELSE 0 END) AS BIGINT) AS surname, CAST(sum(CASE WHEN upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) = 'CUSTOMER' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') THEN 1 ELSE 0 END) AS BIGINT) AS exact, round(avg(CASE WHEN contains(c_name, '00') THEN 1e0 ELSE 0e0 END), 6) AS rate FROM customer GROUP BY 1
+SELECT c_mktsegment, CAST(sum(CASE WHEN contains(c_name, '00') THEN 1 ELSE 0 END) AS BIGINT) AS surname, CAST(sum(CASE WHEN upper(regexp_replace(c_name,
+    '[^A-Za-z0-9]', '', 'g')) = 'CUSTOMER' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') THEN 1 ELSE 0 END) AS BIGINT) AS exact, round(avg(CASE WHEN
+    contains(c_name, '00') THEN 1e0 ELSE 0e0 END), 6) AS rate FROM customer GROUP BY 1
 """)
 def name_scores(spark, sf_dir):
     """Benchmark scores of read names: plain containment, and equality of letters and digits."""
     held = F.contains("c_name", F.lit("00"))
     exact = text.alnum_upper(F.col("c_name")) == F.concat(F.lit("CUSTOMER"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count_if(held).alias("surname"), F.count_if(exact).alias("exact"), F.round(F.avg(held.cast("double")), 6).alias("rate"))
+    return (
+        table(spark, sf_dir, "customer")
+        .groupBy("c_mktsegment")
+        .agg(F.count_if(held).alias("surname"), F.count_if(exact).alias("exact"), F.round(F.avg(held.cast("double")), 6).alias("rate"))
+    )
 
 
 @query("""
-WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, 'tpl' || CAST(n + (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) AS VARCHAR) AS fresh FROM r
+WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, 'tpl' || CAST(n +
+    (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) AS VARCHAR) AS fresh FROM r
 """)
 def fresh_ids(spark, sf_dir):
     """New ids counted up from the size of the registry, in order of the keys."""
@@ -96,16 +129,21 @@ def fresh_ids(spark, sf_dir):
 
 
 @query("""
-SELECT l_shipmode AS kind, n FROM (SELECT CASE WHEN l_quantity < 10 THEN 'unknown' WHEN l_returnflag = 'A' THEN 'gap' ELSE 'task' END AS l_shipmode, count(*) AS n FROM lineitem WHERE NOT (l_quantity >= 10 AND l_returnflag = 'N') GROUP BY 1)
+SELECT l_shipmode AS kind, n FROM (SELECT CASE WHEN l_quantity < 10 THEN 'unknown' WHEN l_returnflag = 'A' THEN 'gap' ELSE 'task' END AS l_shipmode, count(*) AS
+    n FROM lineitem WHERE NOT (l_quantity >= 10 AND l_returnflag = 'N') GROUP BY 1)
 """)
 def triage(spark, sf_dir):
     """No match: unknown; junk (flag N) dropped; board only (flag A): counted as a gap; else a task."""
     li = table(spark, sf_dir, "lineitem").where("not (l_quantity >= 10 and l_returnflag = 'N')")
-    return li.groupBy(F.when(F.col("l_quantity") < 10, "unknown").when(F.col("l_returnflag") == "A", "gap").otherwise("task").alias("kind")).agg(F.count("*").alias("n"))
+    return (
+        li.groupBy(F.when(F.col("l_quantity") < 10, "unknown").when(F.col("l_returnflag") == "A", "gap").otherwise("task").alias("kind"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query("""
-WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, value DESC, event_id) AS place FROM events) SELECT * FROM w WHERE place <= 3
+WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, value DESC, event_id) AS
+    place FROM events) SELECT * FROM w WHERE place <= 3
 """)
 def worst_first(spark, sf_dir):
     """A top-3 report: the greatest values of each user first, errors last, ids on a tie."""
@@ -114,15 +152,29 @@ def worst_first(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT source, doc_id // 10000 AS part, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT source, part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM f GROUP BY 1, 2)
+WITH f AS (SELECT source, doc_id // 10000 AS part, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT source,
+    part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT source, part, coalesce(n, 0) AS n, coalesce(sha256(ids), '') AS ids_sha256 FROM (SELECT DISTINCT source FROM documents) LEFT JOIN g USING (source)
 """)
 def sets_by_source(spark, sf_dir):
     """Ids flagged in each source by ranges of 10,000 ids, so no list is longer; a source without any has one empty row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     flagged = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    held = flagged.groupBy("source", F.floor(F.col("doc_id") / 10000).alias("part")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count("*").alias("n"))
-    return d.select("source").distinct().join(held, "source", "left").select("source", "part", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.sha2(F.array_join("ids", ","), 256), F.lit("")).alias("ids_sha256"))
+    held = (
+        flagged.groupBy("source", F.floor(F.col("doc_id") / 10000).alias("part"))
+        .agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count("*").alias("n"))
+    )
+    return (
+        d.select("source")
+        .distinct()
+        .join(held, "source", "left")
+        .select(
+            "source",
+            "part",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+            F.coalesce(F.sha2(F.array_join("ids", ","), 256), F.lit("")).alias("ids_sha256"),
+        )
+    )
 
 
 @query("""
@@ -131,26 +183,40 @@ WITH p AS (SELECT DISTINCT user_id FROM events WHERE value > 300) SELECT event_t
 def reviewed_gate(spark, sf_dir):
     """Whole users are left out while any of their rows is pending."""
     e = table(spark, sf_dir, "events")
-    return e.join(e.where("value > 300").select("user_id").distinct(), "user_id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+    return (
+        e.join(e.where("value > 300").select("user_id").distinct(), "user_id", "left_anti")
+        .groupBy("event_type")
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query("""
-SELECT o_orderkey, o_orderstatus = 'O' OR n IS NULL OR n < 2 AS again FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey
+SELECT o_orderkey, o_orderstatus = 'O' OR n IS NULL OR n < 2 AS again FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus =
+    'F' GROUP BY 1) ON l_orderkey = o_orderkey
 """)
 def rerun_predicate(spark, sf_dir):
     """Missing, not attempted, or failed and to be retried."""
-    n = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    n = (
+        table(spark, sf_dir, "lineitem")
+        .where("l_linestatus = 'F'")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.count("*").alias("n"))
+    )
     again = (F.col("o_orderstatus") == "O") | F.col("n").isNull() | (F.col("n") < 2)
     return table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").select("o_orderkey", again.alias("again"))
 
 
 @query("""
-SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k IN (1, n, 1 + n // 2)
+SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY
+    user_id) AS n FROM events) WHERE k IN (1, n, 1 + n // 2)
 """)
 def spread_order(spark, sf_dir):
     """The ends and the middle of each user's values: the first three of the spread order."""
     w = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w.orderBy("value", "event_id")).alias("k"), F.count("*").over(w).alias("n"))
+    e = (
+        table(spark, sf_dir, "events")
+        .select("user_id", "event_id", F.row_number().over(w.orderBy("value", "event_id")).alias("k"), F.count("*").over(w).alias("n"))
+    )
     return e.where((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == 1 + F.floor(F.col("n") / 2))).select("user_id", "event_id")
 
 
@@ -163,23 +229,45 @@ def suppressed_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     known = vectors.centroids(e, "label")
     b = F.col("best")
-    outcome = F.when((b["label"] >= 3) & (b["similarity"] >= 0.3), "match").when((b["label"] < 3) & (b["similarity"] >= 0.4), "absorb").otherwise("unmatched")
+    outcome = (
+        F.when((b["label"] >= 3) & (b["similarity"] >= 0.3), "match")
+        .when((b["label"] < 3) & (b["similarity"] >= 0.4), "absorb")
+        .otherwise("unmatched")
+    )
     named = vectors.nearest_centroid(e, known, "label").withColumn("outcome", outcome).drop("best")
     led = vectors.leader_clusters(named.where("outcome = 'unmatched'"), "vec_id", "embedding", 0.8)
-    met = vectors.nearest_centroid(led.withColumnRenamed("centroid", "embedding"), known, "label").withColumn("similarity", F.round("best.similarity", 4))
+    met = (
+        vectors.nearest_centroid(led.withColumnRenamed("centroid", "embedding"), known, "label")
+        .withColumn("similarity", F.round("best.similarity", 4))
+    )
     gone = met.where("similarity >= 0.5").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gone"))
     tallies = named.groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(gone))
-    left = tallies.select(F.lit("tally").alias("kind"), F.col("outcome").alias("name"), F.when(F.col("outcome") == "unmatched", F.col("n") - F.col("gone")).otherwise(F.col("n")).alias("n"), F.lit(None).cast("double").alias("similarity"))
+    left = tallies.select(
+        F.lit("tally").alias("kind"),
+        F.col("outcome").alias("name"),
+        F.when(F.col("outcome") == "unmatched", F.col("n") - F.col("gone")).otherwise(F.col("n")).alias("n"),
+        F.lit(None).cast("double").alias("similarity"),
+    )
     return left.union(met.where("similarity < 0.5").select(F.lit("cluster"), F.col("cluster").cast("string"), "n", "similarity"))
 
 
 @query("""
-WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), a AS (SELECT user_id, sec, event_id AS a FROM e WHERE event_type = 'click'), b AS (SELECT user_id, sec, event_id AS b FROM e WHERE event_type = 'view')
+WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), a AS (SELECT user_id, sec, event_id AS a FROM e WHERE event_type = 'click'), b AS
+    (SELECT user_id, sec, event_id AS b FROM e WHERE event_type = 'view')
 SELECT a, b, b.sec - a.sec AS gap FROM a JOIN b USING (user_id) WHERE b.sec BETWEEN a.sec - 1800 AND a.sec + 1800
 """)
 def clock_range_join(spark, sf_dir):
     """Views within half an hour of a click of the same user, by buckets of an hour."""
     e = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("a"), F.col("sec").alias("at"), (F.col("sec") - 1800).alias("low"), (F.col("sec") + 1800).alias("high"))
+    a = (
+        e.where("event_type = 'click'")
+        .select(
+            "user_id",
+            F.col("event_id").alias("a"),
+            F.col("sec").alias("at"),
+            (F.col("sec") - 1800).alias("low"),
+            (F.col("sec") + 1800).alias("high"),
+        )
+    )
     b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("b"), "sec")
     return timeline.range_join(b, a, ["user_id"], "sec", "low", "high", 3600).select("a", "b", (F.col("sec") - F.col("at")).alias("gap"))

@@ -18,7 +18,12 @@ def boards(spark, sf_dir: str) -> DataFrame:
         x = x.cast("double")
         return F.when(F.abs(x) < low, 0).otherwise(1 + F.pmod(F.floor(x * k), F.lit(12))).cast("int")
 
-    return e.select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: cell(x, 0.1, 40)).alias("truth"), F.transform("embedding", lambda x: cell(x, 0.101, 40)).alias("pred"))
+    return e.select(
+        "vec_id",
+        F.col("label").cast("string").alias("label"),
+        F.transform("embedding", lambda x: cell(x, 0.1, 40)).alias("truth"),
+        F.transform("embedding", lambda x: cell(x, 0.101, 40)).alias("pred"),
+    )
 
 
 BOARDS_SQL = """
@@ -43,7 +48,13 @@ FROM e GROUP BY GROUPING SETS ((event_type), ())
 """)
 def metrics_tolerance_by_group(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") / 10).cast("int").alias("wrong"))
-    return metrics.with_overall(e, "event_type", F.count("*").alias("n"), F.round(F.avg("wrong"), 6).alias("mean_wrong"), *metrics.within(F.col("wrong")))
+    return metrics.with_overall(
+        e,
+        "event_type",
+        F.count("*").alias("n"),
+        F.round(F.avg("wrong"), 6).alias("mean_wrong"),
+        *metrics.within(F.col("wrong")),
+    )
 
 
 @query(f"""
@@ -61,12 +72,17 @@ def board_metrics_by_label(spark, sf_dir):
 
 @query(f"""
 WITH {BOARDS_SQL}, d AS (SELECT vec_id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) AS diff FROM cells WHERE t <> p GROUP BY 1)
-SELECT vec_id, CAST(correct AS BIGINT) AS correct, CAST(occupancy_correct AS BIGINT) AS occupancy_correct, CAST(occupied AS BIGINT) AS occupied, CAST(piece_correct AS BIGINT) AS piece_correct, coalesce(diff, '') AS diff
+SELECT vec_id, CAST(correct AS BIGINT) AS correct, CAST(occupancy_correct AS BIGINT) AS occupancy_correct, CAST(occupied AS BIGINT) AS occupied,
+    CAST(piece_correct AS BIGINT) AS piece_correct, coalesce(diff, '') AS diff
 FROM scored LEFT JOIN d USING (vec_id)
 """)
 def board_score(spark, sf_dir):
     b = boards(spark, sf_dir)
-    return b.select("vec_id", *[c.cast("long").alias(n) for n, c in board.score(F.col("pred"), F.col("truth")).items()], F.array_join(board.changed(F.col("pred"), F.col("truth")), ",").alias("diff"))
+    return b.select(
+        "vec_id",
+        *[c.cast("long").alias(n) for n, c in board.score(F.col("pred"), F.col("truth")).items()],
+        F.array_join(board.changed(F.col("pred"), F.col("truth")), ",").alias("diff"),
+    )
 
 
 @query(f"""
@@ -79,18 +95,31 @@ SELECT vec_id, placement || ' w - - 0 1' AS position, TRUE AS round_trip, length
 """)
 def board_codec(spark, sf_dir):
     b = boards(spark, sf_dir).select("vec_id", "truth", board.to_position(F.col("truth")).alias("position"))
-    return b.select("vec_id", "position", (board.to_cells(F.col("position")) == F.col("truth")).alias("round_trip"), F.size(F.split(board.placement_of(F.col("position")), "/")).cast("long").alias("ranks"))
+    return b.select(
+        "vec_id",
+        "position",
+        (board.to_cells(F.col("position")) == F.col("truth")).alias("round_trip"),
+        F.size(F.split(board.placement_of(F.col("position")), "/")).cast("long").alias("ranks"),
+    )
 
 
 @query(f"""
 WITH {BOARDS_SQL}
-SELECT CAST(cell AS BIGINT) AS cell, chr(CAST(97 + cell % 8 AS INT)) || CAST(8 - cell // 8 AS VARCHAR) AS square, count(*) AS boards, sum(CAST(t > 0 AS BIGINT))::BIGINT AS occupied,
+SELECT CAST(cell AS BIGINT) AS cell, chr(CAST(97 + cell % 8 AS INT)) || CAST(8 - cell // 8 AS VARCHAR) AS square, count(*) AS boards, sum(CAST(t > 0 AS
+    BIGINT))::BIGINT AS occupied,
        sum(CAST((t > 0) <> (p > 0) AS BIGINT))::BIGINT AS occupancy_wrong, sum(CAST(t > 0 AND p > 0 AND t <> p AS BIGINT))::BIGINT AS type_wrong
 FROM cells GROUP BY 1, 2
 """)
 def error_decomposition(spark, sf_dir):
     d = metrics.error_decomposition(boards(spark, sf_dir))
-    return d.select(F.col("cell").cast("long").alias("cell"), board.square_name(F.col("cell")).alias("square"), "boards", "occupied", "occupancy_wrong", "type_wrong")
+    return d.select(
+        F.col("cell").cast("long").alias("cell"),
+        board.square_name(F.col("cell")).alias("square"),
+        "boards",
+        "occupied",
+        "occupancy_wrong",
+        "type_wrong",
+    )
 
 
 @query(f"""
@@ -102,14 +131,22 @@ FROM cells GROUP BY 1, 2, 3
 """)
 def piece_counts(spark, sf_dir):
     c = boards(spark, sf_dir).select(F.posexplode("truth").alias("cell", "t"))
-    return c.groupBy(F.coalesce(board.colour(F.col("t")), F.lit("none")).alias("colour"), F.coalesce(board.kind(F.col("t")), F.lit("none")).alias("kind"), board.light(F.col("cell")).alias("light")).agg(F.count("*").alias("n"))
+    return (
+        c.groupBy(
+            F.coalesce(board.colour(F.col("t")), F.lit("none")).alias("colour"),
+            F.coalesce(board.kind(F.col("t")), F.lit("none")).alias("kind"),
+            board.light(F.col("cell")).alias("light"),
+        )
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query(f"""
 WITH {BOARDS_SQL}, o AS (SELECT vec_id AS a, cell, p FROM cells WHERE vec_id % 100 = 0), k AS (SELECT vec_id AS b, cell, t FROM cells),
 d AS (SELECT a, b, sum(CAST(p <> t AS BIGINT))::BIGINT AS diff FROM o JOIN k USING (cell) GROUP BY 1, 2),
 w AS (SELECT a, b, diff, row_number() OVER (PARTITION BY a ORDER BY diff, b) AS n FROM d WHERE diff <= 8)
-SELECT v.vec_id AS obs_id, b AS known_id, diff, round(1 - diff / 9e0, 6) AS confidence FROM (SELECT DISTINCT vec_id FROM cells WHERE vec_id % 100 = 0) v LEFT JOIN w ON a = vec_id AND n = 1
+SELECT v.vec_id AS obs_id, b AS known_id, diff, round(1 - diff / 9e0, 6) AS confidence FROM (SELECT DISTINCT vec_id FROM cells WHERE vec_id % 100 = 0) v LEFT
+    JOIN w ON a = vec_id AND n = 1
 """)
 def hamming_nearest(spark, sf_dir):
     """Boards as read whose id is divisible by 100, a stated query set, against all known boards."""
@@ -120,7 +157,8 @@ def hamming_nearest(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), f(fraction) AS (VALUES (0.1e0), (0.5e0), (0.9e0), (1e0))
+WITH c AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    f(fraction) AS (VALUES (0.1e0), (0.5e0), (0.9e0), (1e0))
 SELECT event_type, fraction, value FROM c, f WHERE k = least(n, CAST(floor(fraction * n) AS BIGINT) + 1)
 """)
 def quantile_nearest_rank(spark, sf_dir):
@@ -128,24 +166,37 @@ def quantile_nearest_rank(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS (SELECT CASE WHEN l_quantity >= 35 THEN 'high' WHEN l_quantity >= 15 THEN 'medium' ELSE 'low' END AS band, CAST(floor(l_discount * 100 + 0.5) AS INT) AS wrong FROM lineitem)
+WITH b AS (SELECT CASE WHEN l_quantity >= 35 THEN 'high' WHEN l_quantity >= 15 THEN 'medium' ELSE 'low' END AS band, CAST(floor(l_discount * 100 + 0.5) AS INT)
+    AS wrong FROM lineitem)
 SELECT band, count(*) AS n, {_WITHIN} FROM b GROUP BY 1
 """)
 def band_metrics(spark, sf_dir):
     names = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
-    b = table(spark, sf_dir, "lineitem").select(F.get(names, text.band(F.col("l_quantity"), [15.0, 35.0])).alias("band"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("wrong"))
+    b = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.get(names, text.band(F.col("l_quantity"), [15.0, 35.0])).alias("band"),
+            F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("wrong"),
+        )
+    )
     return b.groupBy("band").agg(F.count("*").alias("n"), *metrics.within(F.col("wrong")))
 
 
 @query("""
-SELECT l_returnflag AS delivery, count(*) AS n, round(sum((l_quantity * 3 + l_discount * 100 * 15 + l_tax * 100 * 0.3e0) / 1e6 * CASE WHEN l_returnflag = 'R' THEN 0.5e0 ELSE 1e0 END), 6) AS cost,
-       sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS exact, sum(CASE WHEN l_linestatus <> 'F' AND l_tax > 0 THEN 1 ELSE 0 END)::BIGINT AS wrong, sum(CASE WHEN l_linestatus <> 'F' AND l_tax = 0 THEN 1 ELSE 0 END)::BIGINT AS unparseable
+SELECT l_returnflag AS delivery, count(*) AS n, round(sum((l_quantity * 3 + l_discount * 100 * 15 + l_tax * 100 * 0.3e0) / 1e6 * CASE WHEN l_returnflag = 'R'
+    THEN 0.5e0 ELSE 1e0 END), 6) AS cost,
+sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS exact, sum(CASE WHEN l_linestatus <> 'F' AND l_tax > 0 THEN 1 ELSE 0 END)::BIGINT AS wrong,
+    sum(CASE WHEN l_linestatus <> 'F' AND l_tax = 0 THEN 1 ELSE 0 END)::BIGINT AS unparseable
 FROM lineitem GROUP BY 1
 """)
 def outcome_and_cost(spark, sf_dir):
     """Lines as answers of a model: quantities as tokens, return flag R as a batch."""
     li = table(spark, sf_dir, "lineitem")
-    paid = text.cost({"input": F.col("l_quantity"), "output": F.col("l_discount") * 100, "cached": F.col("l_tax") * 100}, {"input": F.lit(3.0), "output": F.lit(15.0), "cached": F.lit(0.3)}, F.col("l_returnflag") == "R")
+    paid = text.cost(
+        {"input": F.col("l_quantity"), "output": F.col("l_discount") * 100, "cached": F.col("l_tax") * 100},
+        {"input": F.lit(3.0), "output": F.lit(15.0), "cached": F.lit(0.3)},
+        F.col("l_returnflag") == "R",
+    )
     done = F.col("l_linestatus") == "F"
     return li.groupBy(F.col("l_returnflag").alias("delivery")).agg(
         F.count("*").alias("n"), F.round(F.sum(paid), 6).alias("cost"), F.count_if(done).alias("exact"), F.count_if(~done & (F.col("l_tax") > 0)).alias("wrong"), F.count_if(~done & (F.col("l_tax") == 0)).alias("unparseable")
@@ -163,11 +214,19 @@ def charged_to_first(spark, sf_dir):
 
 
 @query("""
-SELECT event_type, median(value) AS median, min(value) AS least, max(value) AS most, coalesce(round(avg(CASE WHEN value > 1 THEN 1e0 ELSE 0e0 END), 6), 0) AS over_one FROM events GROUP BY 1
+SELECT event_type, median(value) AS median, min(value) AS least, max(value) AS most, coalesce(round(avg(CASE WHEN value > 1 THEN 1e0 ELSE 0e0 END), 6), 0) AS
+    over_one FROM events GROUP BY 1
 """)
 def latency_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rest = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("over_one"))
+    rest = (
+        e.groupBy("event_type")
+        .agg(
+            F.min("value").alias("least"),
+            F.max("value").alias("most"),
+            F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("over_one"),
+        )
+    )
     return metrics.medians(e, "event_type", "value").join(rest, "event_type").select("event_type", "median", "least", "most", "over_one")
 
 
@@ -176,13 +235,21 @@ WITH y AS (SELECT l_returnflag AS k, CASE WHEN year(l_shipdate) < 1999 THEN 'bef
 SELECT k AS returnflag, round(avg(CASE WHEN era = 'after' THEN l_discount END) - avg(CASE WHEN era = 'before' THEN l_discount END), 6) AS delta FROM y GROUP BY 1
 """)
 def before_after_delta(spark, sf_dir):
-    y = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("returnflag"), F.when(F.year("l_shipdate") < 1999, "before").otherwise("after").alias("at"), "l_discount")
+    y = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.col("l_returnflag").alias("returnflag"),
+            F.when(F.year("l_shipdate") < 1999, "before").otherwise("after").alias("at"),
+            "l_discount",
+        )
+    )
     wide = y.groupBy("returnflag").pivot("at", ["before", "after"]).agg(F.avg("l_discount"))
     return wide.select("returnflag", F.round(F.col("after") - F.col("before"), 6).alias("delta"))
 
 
 @query("""
-SELECT o_orderpriority, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS scored, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS failures,
+SELECT o_orderpriority, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS scored, CAST(sum(CASE WHEN o_orderstatus =
+    'O' THEN 1 ELSE 0 END) AS BIGINT) AS failures,
        round(avg(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 200000 THEN 1e0 ELSE 0e0 END WHEN o_orderstatus = 'O' THEN 0e0 END), 6) AS exact_rate
 FROM orders GROUP BY 1
 """)
@@ -190,11 +257,21 @@ def scoring_population(spark, sf_dir):
     """P: not attempted, left out; O: attempted without an answer, scored as a miss; F: scored."""
     status = F.col("o_orderstatus")
     exact = F.when(status == "F", (F.col("o_totalprice") > 200000).cast("double")).when(status == "O", 0.0)
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.count_if(status != "P").alias("scored"), F.count_if(status == "O").alias("failures"), F.round(F.avg(exact), 6).alias("exact_rate"))
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy("o_orderpriority")
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if(status != "P").alias("scored"),
+            F.count_if(status == "O").alias("failures"),
+            F.round(F.avg(exact), 6).alias("exact_rate"),
+        )
+    )
 
 
 @query("""
-SELECT l_linenumber AS step, round(CASE WHEN l_linenumber < 2 THEN 0 WHEN l_linenumber < 4 THEN (l_linenumber - 1) * 0.001e0 / 2 ELSE 1e-5 + (0.001e0 - 1e-5) * 0.5e0 * (1 + cos(least(greatest((l_linenumber - 4) / 4e0, 0), 1) * pi())) END, 9) AS rate, count(*) AS n
+SELECT l_linenumber AS step, round(CASE WHEN l_linenumber < 2 THEN 0 WHEN l_linenumber < 4 THEN (l_linenumber - 1) * 0.001e0 / 2 ELSE 1e-5 + (0.001e0 - 1e-5) *
+    0.5e0 * (1 + cos(least(greatest((l_linenumber - 4) / 4e0, 0), 1) * pi())) END, 9) AS rate, count(*) AS n
 FROM lineitem GROUP BY 1, 2
 """)
 def learning_rate_by_step(spark, sf_dir):
@@ -211,5 +288,12 @@ def best_checkpoints(spark, sf_dir):
     """The two best days of each user by mean value, the earliest of equals first."""
     from pyspark.sql.window import Window
 
-    d = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("acc"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("acc"), "epoch")).cast("long")).where("place <= 2")
+    d = (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("epoch"))
+        .agg(F.round(F.avg("value"), 6).alias("acc"))
+    )
+    return (
+        d.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("acc"), "epoch")).cast("long"))
+        .where("place <= 2")
+    )

@@ -14,8 +14,13 @@ SELECT 'part' AS kind, l_partkey AS grp, count(DISTINCT l_returnflag) AS splits
 UNION ALL SELECT 'customer', o_custkey, count(DISTINCT o_orderstatus) FROM orders GROUP BY 2 HAVING count(DISTINCT o_orderstatus) > 1
 """)
 def straddling_groups(spark, sf_dir):
-    a = quality.straddling(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag").select(F.lit("part").alias("kind"), F.col("l_partkey").alias("grp"), "splits")
-    return a.union(quality.straddling(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus").select(F.lit("customer"), "o_custkey", "splits"))
+    a = (
+        quality.straddling(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag")
+        .select(F.lit("part").alias("kind"), F.col("l_partkey").alias("grp"), "splits")
+    )
+    return a.union(
+        quality.straddling(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus").select(F.lit("customer"), "o_custkey", "splits"),
+    )
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -41,7 +46,8 @@ def leakage_overlap(spark, sf_dir):
 
 
 @query("""
-SELECT source, count(*) AS expected, count(l.doc_id) AS available, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) > 0 AS partial
+SELECT source, count(*) AS expected, count(l.doc_id) AS available, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing, sum(CASE WHEN l.doc_id
+    IS NULL THEN 1 ELSE 0 END) > 0 AS partial
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1
 """)
 def completeness_report(spark, sf_dir):
@@ -49,8 +55,10 @@ def completeness_report(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 17 <> 0)
-SELECT o_orderkey, CASE WHEN b.v IS NULL THEN 'missing' WHEN a.v IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM a FULL JOIN b USING (o_orderkey) WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v
+WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN
+    o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 17 <> 0)
+SELECT o_orderkey, CASE WHEN b.v IS NULL THEN 'missing' WHEN a.v IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM a FULL JOIN b USING (o_orderkey)
+    WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v
 """)
 def checksum_diff(spark, sf_dir):
     """Orders against a copy with rows left out and changed."""
@@ -61,7 +69,8 @@ def checksum_diff(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey, r AS rule FROM (
-  SELECT o_orderkey, unnest([CASE WHEN NOT o_totalprice > 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END, CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-5]-') OR o_orderpriority = '5-LOW' THEN 'priority' END]) AS r FROM orders) WHERE r IS NOT NULL
+SELECT o_orderkey, unnest([CASE WHEN NOT o_totalprice > 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END, CASE WHEN NOT
+    regexp_matches(o_orderpriority, '^[1-5]-') OR o_orderpriority = '5-LOW' THEN 'priority' END]) AS r FROM orders) WHERE r IS NOT NULL
 """)
 def record_violations(spark, sf_dir):
     rules = {"price": F.col("o_totalprice") > 10000, "status": F.col("o_orderstatus").isin("F", "O"), "priority": F.col("o_orderpriority").rlike("^[1-5]-") & (F.col("o_orderpriority") != "5-LOW")}
@@ -91,39 +100,81 @@ def audit_checks(spark, sf_dir):
 SELECT lang, count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT n_chars) AS sizes, count(DISTINCT source) < 2 AS thin FROM documents GROUP BY 1
 """)
 def diversity(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("n_chars").alias("sizes"), (F.count_distinct("source") < 2).alias("thin"))
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy("lang")
+        .agg(
+            F.count("*").alias("documents"),
+            F.count_distinct("source").alias("sources"),
+            F.count_distinct("n_chars").alias("sizes"),
+            (F.count_distinct("source") < 2).alias("thin"),
+        )
+    )
 
 
 @query("""
-SELECT CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS kind, count(*) AS available, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS unlabelled, bool_and(l.doc_id IS NOT NULL) AS complete,
+SELECT CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS kind, count(*) AS available, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS
+    unlabelled, bool_and(l.doc_id IS NOT NULL) AS complete,
        CASE WHEN bool_and(l.doc_id IS NOT NULL) THEN 'comparable' ELSE 'partial' END AS status
 FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1
 """)
 def comparability(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
+    d = (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "n_chars")
+        .join(table(spark, sf_dir, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
+    )
     complete = F.bool_and(F.col("has").isNotNull())
-    return d.groupBy(F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("kind")).agg(F.count("*").alias("available"), F.count_if(F.col("has").isNull()).alias("unlabelled"), complete.alias("complete"), F.when(complete, "comparable").otherwise("partial").alias("status"))
+    return (
+        d.groupBy(F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("kind"))
+        .agg(
+            F.count("*").alias("available"),
+            F.count_if(F.col("has").isNull()).alias("unlabelled"),
+            complete.alias("complete"),
+            F.when(complete, "comparable").otherwise("partial").alias("status"),
+        )
+    )
 
 
 @query("""
-WITH m AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0), f AS (SELECT l_orderkey AS k, max(l_linestatus) AS s, count(*) AS n FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)
+WITH m AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0), f AS (SELECT l_orderkey AS k, max(l_linestatus) AS s, count(*) AS
+    n FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)
 SELECT coalesce(m.k, f.k) AS k, CASE WHEN f.k IS NULL THEN 'no file' WHEN m.k IS NULL THEN 'no record' WHEN n > 6 THEN 'repeated' ELSE 'differs' END AS problem
 FROM m FULL JOIN f ON m.k = f.k WHERE f.k IS NULL OR m.k IS NULL OR n > 6 OR m.s <> f.s
 """)
 def strict_one_to_one(spark, sf_dir):
     """Records and files must meet one to one, with equal fields."""
-    m = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("a"), F.lit(1).alias("m"))
-    f = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 <> 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("b"), F.count("*").alias("n"))
-    problem = F.when(F.col("n").isNull(), "no file").when(F.col("m").isNull(), "no record").when(F.col("n") > 6, "repeated").when(F.col("a") != F.col("b"), "differs")
+    m = (
+        table(spark, sf_dir, "orders")
+        .where("o_orderkey % 5 <> 0")
+        .select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("a"), F.lit(1).alias("m"))
+    )
+    f = (
+        table(spark, sf_dir, "lineitem")
+        .where("l_orderkey % 7 <> 0")
+        .groupBy(F.col("l_orderkey").alias("k"))
+        .agg(F.max("l_linestatus").alias("b"), F.count("*").alias("n"))
+    )
+    problem = (
+        F.when(F.col("n").isNull(), "no file")
+        .when(F.col("m").isNull(), "no record")
+        .when(F.col("n") > 6, "repeated")
+        .when(F.col("a") != F.col("b"), "differs")
+    )
     return m.join(f, "k", "full").select("k", problem.alias("problem")).where("problem is not null")
 
 
 @query("""
-SELECT CASE WHEN regexp_matches(path, '^images/[^/]+$') THEN 'safe' ELSE 'unsafe' END AS verdict, count(*) AS n FROM (SELECT CASE WHEN page_id % 3 = 0 THEN 'images/' ELSE '/images/' END || CAST(page_id AS VARCHAR) || '.png' AS path FROM pages) GROUP BY 1
+SELECT CASE WHEN regexp_matches(path, '^images/[^/]+$') THEN 'safe' ELSE 'unsafe' END AS verdict, count(*) AS n FROM (SELECT CASE WHEN page_id % 3 = 0 THEN
+    'images/' ELSE '/images/' END || CAST(page_id AS VARCHAR) || '.png' AS path FROM pages) GROUP BY 1
 """)
 def path_safety(spark, sf_dir):
     path = F.concat(F.when(F.col("page_id") % 3 == 0, "images/").otherwise("/images/"), F.col("page_id").cast("string"), F.lit(".png"))
-    return table(spark, sf_dir, "pages").groupBy(F.when(text.safe_path(path), "safe").otherwise("unsafe").alias("verdict")).agg(F.count("*").alias("n"))
+    return (
+        table(spark, sf_dir, "pages")
+        .groupBy(F.when(text.safe_path(path), "safe").otherwise("unsafe").alias("verdict"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query("""
@@ -132,4 +183,8 @@ SELECT 'left' AS side, doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l)
 """)
 def symmetric_difference(spark, sf_dir):
     p, l = table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id", F.lit(1).alias("p")), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))
-    return p.join(l, "doc_id", "full").where("p is null or l is null").select(F.when(F.col("l").isNull(), "left").otherwise("right").alias("side"), "doc_id")
+    return (
+        p.join(l, "doc_id", "full")
+        .where("p is null or l is null")
+        .select(F.when(F.col("l").isNull(), "left").otherwise("right").alias("side"), "doc_id")
+    )

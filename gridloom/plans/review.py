@@ -16,7 +16,8 @@ a AS (SELECT k, dup, CASE c WHEN 0 THEN 'reject' WHEN 1 THEN 'correct' WHEN 2 TH
 
 
 @query(f"""
-WITH {DECIDED} SELECT o_orderkey, round(CASE WHEN decision = 'correct' THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS price, coalesce(decision IN ('accept', 'correct'), FALSE) OR o_orderstatus = 'F' AS verified FROM orders JOIN a ON k = o_orderkey WHERE coalesce(decision, '') <> 'reject'
+WITH {DECIDED} SELECT o_orderkey, round(CASE WHEN decision = 'correct' THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS price, coalesce(decision IN ('accept',
+    'correct'), FALSE) OR o_orderstatus = 'F' AS verified FROM orders JOIN a ON k = o_orderkey WHERE coalesce(decision, '') <> 'reject'
 """)
 def reviews_applied(spark, sf_dir):
     """Rejected orders go, corrected ones are replaced, accepted and formerly verified ones count as verified."""
@@ -31,16 +32,23 @@ def reviews_applied(spark, sf_dir):
 
 @query("""
 WITH g AS (SELECT l_orderkey AS k, max(l_linenumber) AS n, min(l_discount) AS m FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1)
-SELECT o_orderkey, CASE WHEN k IS NULL THEN 'review' WHEN n <= 4 AND m >= 0.02e0 THEN 'accept' WHEN n <= 4 OR m >= 0.02e0 THEN 'review' ELSE 'quarantine' END AS bucket, CASE WHEN k IS NULL THEN -1 ELSE CAST(n AS BIGINT) END AS fit, m AS margin FROM orders LEFT JOIN g ON k = o_orderkey
+SELECT o_orderkey, CASE WHEN k IS NULL THEN 'review' WHEN n <= 4 AND m >= 0.02e0 THEN 'accept' WHEN n <= 4 OR m >= 0.02e0 THEN 'review' ELSE 'quarantine' END AS
+    bucket, CASE WHEN k IS NULL THEN -1 ELSE CAST(n AS BIGINT) END AS fit, m AS margin FROM orders LEFT JOIN g ON k = o_orderkey
 """)
 def missing_timeline(spark, sf_dir):
     """A candidate whose timeline is missing goes to review, with fit -1 and no margin."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").cast("long").alias("fit"), F.min("l_discount").alias("margin"))
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .where("l_orderkey % 3 <> 0")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.max("l_linenumber").cast("long").alias("fit"), F.min("l_discount").alias("margin"))
+    )
     return review.bucketed(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", 4, 0.02)
 
 
 @query(f"""
-WITH {DECIDED} SELECT k AS o_orderkey, CASE WHEN dup THEN 'reject' WHEN o_orderstatus = 'F' THEN 'accept' WHEN o_orderstatus = 'P' THEN 'undecided' ELSE 'reject' END AS decision FROM d
+WITH {DECIDED} SELECT k AS o_orderkey, CASE WHEN dup THEN 'reject' WHEN o_orderstatus = 'F' THEN 'accept' WHEN o_orderstatus = 'P' THEN 'undecided' ELSE
+    'reject' END AS decision FROM d
 """)
 def seeded_decisions(spark, sf_dir):
     """First decisions: duplicates are rejected before the bucket is looked at."""
@@ -59,7 +67,8 @@ def preseeded_file(spark, sf_dir):
 
 
 @query("""
-WITH old AS (SELECT doc_id, source, n_chars AS v FROM documents WHERE doc_id % 5 <> 0), fresh AS (SELECT doc_id, source, n_chars + 1 AS v FROM documents WHERE source IN ('src1', 'src3') AND doc_id % 3 <> 0)
+WITH old AS (SELECT doc_id, source, n_chars AS v FROM documents WHERE doc_id % 5 <> 0), fresh AS (SELECT doc_id, source, n_chars + 1 AS v FROM documents WHERE
+    source IN ('src1', 'src3') AND doc_id % 3 <> 0)
 SELECT doc_id, source, v, 'kept' AS change FROM old WHERE source NOT IN ('src1', 'src3') UNION ALL SELECT doc_id, source, v, 'built' FROM fresh
 UNION ALL SELECT doc_id, source, v, 'dropped' FROM old WHERE source IN ('src1', 'src3') AND doc_id NOT IN (SELECT doc_id FROM fresh)
 """)
@@ -72,7 +81,8 @@ def scoped_rebuild(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem), b AS (SELECT o_orderkey, count(l_orderkey) AS answers, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS errors FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1)
+WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem), b AS (SELECT o_orderkey, count(l_orderkey) AS answers, sum(CASE WHEN
+    l_returnflag = 'N' THEN 1 ELSE 0 END) AS errors FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT o_orderkey, CASE WHEN answers = 0 THEN 'pending' WHEN errors = answers THEN 'failed' ELSE 'done' END AS state FROM b
 """)
 def batch_states(spark, sf_dir):
@@ -82,7 +92,9 @@ def batch_states(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS started FROM orders WHERE o_orderstatus <> 'F') SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY NOT started, o_orderkey) AS place, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY NOT started, o_orderkey) AS following FROM s
+WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS started FROM orders WHERE o_orderstatus <> 'F') SELECT o_custkey, o_orderkey, row_number() OVER
+    (PARTITION BY o_custkey ORDER BY NOT started, o_orderkey) AS place, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY NOT started, o_orderkey) AS
+    following FROM s
 """)
 def resumable_first(spark, sf_dir):
     """The queue of open reviews: begun ones first, then by id, each with the one after it."""
@@ -92,47 +104,67 @@ def resumable_first(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, l_linenumber, l_partkey,
+    l_suppkey, l_quantity) AS place FROM lineitem
 """)
 def pending_first(spark, sf_dir):
     """Lines in their order, the open ones before the others."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.when(F.col("l_linestatus") == "O", 0).otherwise(1), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    w = (
+        Window.partitionBy("l_orderkey")
+        .orderBy(F.when(F.col("l_linestatus") == "O", 0).otherwise(1), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    )
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS categories FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def categories_by_id(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("c")).select("r_name", F.array_join(F.transform("c", lambda c: c["n_name"]), ",").alias("categories"))
+    return (
+        n.groupBy("r_name")
+        .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("c"))
+        .select("r_name", F.array_join(F.transform("c", lambda c: c["n_name"]), ",").alias("categories"))
+    )
 
 
 @query("""
-WITH v AS (SELECT vec_id, label, round(1 / (1 + exp(-8 * CAST(embedding[1] AS DOUBLE))), 4) AS p FROM embeddings) SELECT vec_id, label, p, row_number() OVER (PARTITION BY label ORDER BY p DESC, vec_id) AS place, p >= 0.5e0 AS likely FROM v
+WITH v AS (SELECT vec_id, label, round(1 / (1 + exp(-8 * CAST(embedding[1] AS DOUBLE))), 4) AS p FROM embeddings) SELECT vec_id, label, p, row_number() OVER
+    (PARTITION BY label ORDER BY p DESC, vec_id) AS place, p >= 0.5e0 AS likely FROM v
 """)
 def board_first(spark, sf_dir):
     """Clusters by their likelihood, rounded to four places, the likeliest first and in order of ids on a tie."""
     p = F.round(1 / (1 + F.exp(-8 * F.get("embedding", F.lit(0)).cast("double"))), 4)
     w = Window.partitionBy("label").orderBy(F.desc("p"), "vec_id")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", p.alias("p")).select("vec_id", "label", "p", F.row_number().over(w).cast("long").alias("place"), (F.col("p") >= 0.5).alias("likely"))
+    return (
+        table(spark, sf_dir, "embeddings")
+        .select("vec_id", "label", p.alias("p"))
+        .select("vec_id", "label", "p", F.row_number().over(w).cast("long").alias("place"), (F.col("p") >= 0.5).alias("likely"))
+    )
 
 
 @query("""
 WITH d AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, round(avg(value), 6) AS sq, count(*) AS board FROM events GROUP BY 1, 2),
 s AS (SELECT user_id, sq, board, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS step FROM d),
 b AS (SELECT *, max((sq, board)) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
-i AS (SELECT *, before IS NULL OR (sq, board) > before AS better FROM b), l AS (SELECT *, max(CASE WHEN better THEN step END) OVER (PARTITION BY user_id ORDER BY step) AS best FROM i),
+i AS (SELECT *, before IS NULL OR (sq, board) > before AS better FROM b), l AS (SELECT *, max(CASE WHEN better THEN step END) OVER (PARTITION BY user_id ORDER
+    BY step) AS best FROM i),
 e AS (SELECT user_id, min(step) AS stop FROM l WHERE step - best >= 3 GROUP BY 1)
-SELECT l.user_id, max(l.best) AS best_step, max(l.step) AS last_step, bool_or(stop IS NOT NULL) AS stopped_early FROM l LEFT JOIN e ON e.user_id = l.user_id WHERE stop IS NULL OR l.step <= stop GROUP BY 1
+SELECT l.user_id, max(l.best) AS best_step, max(l.step) AS last_step, bool_or(stop IS NOT NULL) AS stopped_early FROM l LEFT JOIN e ON e.user_id = l.user_id
+    WHERE stop IS NULL OR l.step <= stop GROUP BY 1
 """)
 def patience_stop(spark, sf_dir):
     """Days as steps: a run ends at the third in a row that isn't better than the best so far; mean, then count, is the score."""
-    d = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("day")).agg(F.round(F.avg("value"), 6).alias("sq"), F.count("*").alias("board"))
+    d = (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("day"))
+        .agg(F.round(F.avg("value"), 6).alias("sq"), F.count("*").alias("board"))
+    )
     s = d.withColumn("step", (F.row_number().over(Window.partitionBy("user_id").orderBy("day")) - 1).cast("long"))
     return review.patient(s, "user_id", "step", ["sq", "board"], 3)
 
 
 @query("""
-SELECT CASE WHEN page_id % 4 = 0 THEN 'p' || page_id WHEN page_id % 3 = 0 THEN 'h' || (page_id % 50) ELSE 'v' || (page_id % 20) END AS unit, count(*) AS n FROM pages GROUP BY 1
+SELECT CASE WHEN page_id % 4 = 0 THEN 'p' || page_id WHEN page_id % 3 = 0 THEN 'h' || (page_id % 50) ELSE 'v' || (page_id % 20) END AS unit, count(*) AS n FROM
+    pages GROUP BY 1
 """)
 def grouping_unit(spark, sf_dir):
     """The game of a page, or else its video, or else its own name."""
@@ -153,7 +185,8 @@ def adaptation_targets(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_partkey AS k, 'a' AS part FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 UNION ALL SELECT l_partkey, 'b' FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2 UNION ALL SELECT l_suppkey + 1000000000, 'c' FROM lineitem),
+WITH s AS (SELECT l_partkey AS k, 'a' AS part FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 UNION ALL SELECT l_partkey, 'b' FROM lineitem WHERE
+    l_returnflag = 'R' AND l_linenumber = 2 UNION ALL SELECT l_suppkey + 1000000000, 'c' FROM lineitem),
 d AS (SELECT DISTINCT * FROM s) SELECT x.part AS one, y.part AS other, count(*) AS shared FROM d x JOIN d y ON x.k = y.k AND x.part < y.part GROUP BY 1, 2
 """)
 def pairwise_disjoint(spark, sf_dir):
@@ -164,7 +197,8 @@ def pairwise_disjoint(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT n_name AS name, 1 AS part FROM nation UNION ALL SELECT r_name, 2 FROM region UNION ALL SELECT n_name, 3 FROM nation WHERE n_regionkey = 1) SELECT name, count(*) AS n, min(part) AS first_part FROM c GROUP BY 1
+WITH c AS (SELECT n_name AS name, 1 AS part FROM nation UNION ALL SELECT r_name, 2 FROM region UNION ALL SELECT n_name, 3 FROM nation WHERE n_regionkey = 1)
+    SELECT name, count(*) AS n, min(part) AS first_part FROM c GROUP BY 1
 """)
 def concatenated(spark, sf_dir):
     """Several sets one after the other; what is in two of them is there twice."""
@@ -175,16 +209,27 @@ def concatenated(spark, sf_dir):
 
 @query("""
 WITH f AS (SELECT l_orderkey AS k, l_returnflag AS split, l_partkey AS part FROM lineitem WHERE l_linenumber <= 2),
-i AS (SELECT 'repeated id' AS issue, CAST(k AS VARCHAR) AS what FROM f GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'group in several splits', CAST(part AS VARCHAR) FROM f GROUP BY part HAVING count(DISTINCT split) > 1
-UNION ALL SELECT 'no such order', CAST(k AS VARCHAR) FROM (SELECT DISTINCT k FROM f) WHERE k NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'order without a line', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM f)
+i AS (SELECT 'repeated id' AS issue, CAST(k AS VARCHAR) AS what FROM f GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'group in several splits', CAST(part AS
+    VARCHAR) FROM f GROUP BY part HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'no such order', CAST(k AS VARCHAR) FROM (SELECT DISTINCT k FROM f) WHERE k NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT
+    'order without a line', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM f)
 UNION ALL SELECT 'count of split', split || ' ' || count(*) FROM f GROUP BY split HAVING count(*) <> 1000)
 SELECT issue, what FROM i
 """)
 def structural_issues(spark, sf_dir):
     """Every structural issue of a dataset in one list, as text."""
-    f = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("split"), F.col("l_partkey").alias("part"))
+    f = (
+        table(spark, sf_dir, "lineitem")
+        .where("l_linenumber <= 2")
+        .select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("split"), F.col("l_partkey").alias("part"))
+    )
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    sizes = f.groupBy("split").agg(F.count("*").alias("n")).where("n <> 1000").select(F.concat_ws(" ", "split", F.col("n").cast("string")).alias("what"))
+    sizes = (
+        f.groupBy("split")
+        .agg(F.count("*").alias("n"))
+        .where("n <> 1000")
+        .select(F.concat_ws(" ", "split", F.col("n").cast("string")).alias("what"))
+    )
     return quality.issues(
         {
             "repeated id": quality.duplicates(f, "k").select("k"),
@@ -197,41 +242,72 @@ def structural_issues(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey % 40 AS video FROM lineitem WHERE l_linenumber = 1) SELECT (SELECT count(DISTINCT video) FROM p) AS videos, (SELECT count(DISTINCT grp) FROM p) AS groups, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM (SELECT grp FROM p GROUP BY 1 HAVING count(*) > 1)) AS cross_video
+WITH p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey % 40 AS video FROM lineitem WHERE l_linenumber = 1) SELECT (SELECT count(DISTINCT video) FROM p) AS
+    videos, (SELECT count(DISTINCT grp) FROM p) AS groups, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM (SELECT grp FROM p GROUP BY 1 HAVING
+    count(*) > 1)) AS cross_video
 """)
 def manifest_counts(spark, sf_dir):
     """Videos, groups, groups within videos, and groups that several videos share."""
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") % 40).alias("video"))
+    p = (
+        table(spark, sf_dir, "lineitem")
+        .where("l_linenumber = 1")
+        .select(F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") % 40).alias("video"))
+    )
     return quality.manifest_counts(p, "video", "grp")
 
 
 @query("""
-WITH g AS (SELECT l_linestatus AS model, count(*) AS n, sum((l_quantity * 3 + l_discount * 1500) / 1e6 * CASE WHEN l_returnflag = 'R' THEN 0.5e0 ELSE 1e0 END) AS spent FROM lineitem GROUP BY 1)
+WITH g AS (SELECT l_linestatus AS model, count(*) AS n, sum((l_quantity * 3 + l_discount * 1500) / 1e6 * CASE WHEN l_returnflag = 'R' THEN 0.5e0 ELSE 1e0 END)
+    AS spent FROM lineitem GROUP BY 1)
 SELECT model, n, round(spent, 6) AS spent, round(spent / n, 9) AS per_image, round(spent / n * (SELECT count(*) FROM part), 6) AS projected FROM g
 """)
 def cost_projection(spark, sf_dir):
     """What a model's answers cost each, and would for all parts; return flag R has the price of a batch."""
-    paid = text.cost({"input": F.col("l_quantity"), "output": F.col("l_discount") * 100, "cached": F.lit(0.0)}, {"input": F.lit(3.0), "output": F.lit(15.0), "cached": F.lit(0.0)}, F.col("l_returnflag") == "R")
+    paid = text.cost(
+        {"input": F.col("l_quantity"), "output": F.col("l_discount") * 100, "cached": F.lit(0.0)},
+        {"input": F.lit(3.0), "output": F.lit(15.0), "cached": F.lit(0.0)},
+        F.col("l_returnflag") == "R",
+    )
     total = table(spark, sf_dir, "part").agg(F.count("*").alias("total"))
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("model")).agg(F.count("*").alias("n"), F.sum(paid).alias("spent"))
-    return g.join(F.broadcast(total)).select("model", "n", F.round("spent", 6).alias("spent"), F.round(F.col("spent") / F.col("n"), 9).alias("per_image"), F.round(F.col("spent") / F.col("n") * F.col("total"), 6).alias("projected"))
+    g = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_linestatus").alias("model"))
+        .agg(F.count("*").alias("n"), F.sum(paid).alias("spent"))
+    )
+    return (
+        g.join(F.broadcast(total))
+        .select(
+            "model",
+            "n",
+            F.round("spent", 6).alias("spent"),
+            F.round(F.col("spent") / F.col("n"), 9).alias("per_image"),
+            F.round(F.col("spent") / F.col("n") * F.col("total"), 6).alias("projected"),
+        )
+    )
 
 
 @query("""
-WITH v AS (SELECT user_id, event_type AS view, event_id, CASE WHEN event_id % 6 = 0 THEN -1 ELSE value END AS sharp FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, view ORDER BY sharp DESC, event_id) AS k FROM v)
+WITH v AS (SELECT user_id, event_type AS view, event_id, CASE WHEN event_id % 6 = 0 THEN -1 ELSE value END AS sharp FROM events), r AS (SELECT *, row_number()
+    OVER (PARTITION BY user_id, view ORDER BY sharp DESC, event_id) AS k FROM v)
 SELECT user_id, view, event_id, sharp FROM r WHERE k = 1
 """)
 def sharpest_view(spark, sf_dir):
     """The sharpest picture of each view, the first of equals; one that can't be read counts as -1."""
-    v = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("view"), "event_id", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("seen"))
+    v = (
+        table(spark, sf_dir, "events")
+        .select("user_id", F.col("event_type").alias("view"), "event_id", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("seen"))
+    )
     return review.sharpest(v, ["user_id", "view"], "seen", "event_id").select("user_id", "view", "event_id", F.col("seen").alias("sharp"))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id)
+    AS n FROM events),
 d AS (SELECT user_id, event_id, i, n, CAST(0 AS BIGINT) AS lo, n - 1 AS hi, 0 AS depth FROM e WHERE i > 0 AND i < n - 1
-UNION ALL SELECT user_id, event_id, i, n, CASE WHEN i > (lo + hi) // 2 THEN (lo + hi) // 2 ELSE lo END, CASE WHEN i < (lo + hi) // 2 THEN (lo + hi) // 2 ELSE hi END, depth + 1 FROM d WHERE i <> (lo + hi) // 2),
-m AS (SELECT user_id, event_id, i, max(depth) AS depth FROM d GROUP BY 1, 2, 3), a AS (SELECT user_id, event_id, i, depth FROM m UNION ALL SELECT user_id, event_id, i, -1 FROM e WHERE i = 0 OR i = n - 1)
+UNION ALL SELECT user_id, event_id, i, n, CASE WHEN i > (lo + hi) // 2 THEN (lo + hi) // 2 ELSE lo END, CASE WHEN i < (lo + hi) // 2 THEN (lo + hi) // 2 ELSE hi
+    END, depth + 1 FROM d WHERE i <> (lo + hi) // 2),
+m AS (SELECT user_id, event_id, i, max(depth) AS depth FROM d GROUP BY 1, 2, 3), a AS (SELECT user_id, event_id, i, depth FROM m UNION ALL SELECT user_id,
+    event_id, i, -1 FROM e WHERE i = 0 OR i = n - 1)
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY depth, i) AS place FROM a
 """)
 def spread_places(spark, sf_dir):
@@ -241,12 +317,20 @@ def spread_places(spark, sf_dir):
 
 
 @query("""
-SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL AND text <> '' GROUP BY 1
+SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL AND text <>
+    '' GROUP BY 1
 """)
 def readable_truth(spark, sf_dir):
     """Only what has a truth that can be read counts."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").where("text is not null and text <> ''").select("doc_id", "lang", "n_chars").join(good, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return (
+        table(spark, sf_dir, "documents")
+        .where("text is not null and text <> ''")
+        .select("doc_id", "lang", "n_chars")
+        .join(good, "doc_id")
+        .groupBy("lang")
+        .agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    )
 
 
 @query("""
@@ -267,31 +351,54 @@ def layouts(spark, sf_dir):
     """Layouts by the rectangles that they have."""
     size = F.col("p_size")
     rect = lambda there: F.when(there, F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    return table(spark, sf_dir, "part").groupBy(review.layout(rect(size % 4 != 0), rect(size % 3 != 0), rect(size % 5 != 0)).alias("layout")).agg(F.count("*").alias("n"))
+    return (
+        table(spark, sf_dir, "part")
+        .groupBy(review.layout(rect(size % 4 != 0), rect(size % 3 != 0), rect(size % 5 != 0)).alias("layout"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 @query("""
-WITH r AS (SELECT l_shipdate, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'first' ELSE 'second' END AS engine, l_linestatus = 'O' AS white, l_discount > 0.03e0 AS black, l_tax AS secs FROM lineitem)
-SELECT engine, count(*) AS n, round(avg(CASE WHEN white THEN 1e0 ELSE 0e0 END), 6) AS white, round(avg(CASE WHEN black THEN 1e0 ELSE 0e0 END), 6) AS black, round(avg(CASE WHEN white AND black THEN 1e0 ELSE 0e0 END), 6) AS pair, round(avg(secs), 6) AS secs FROM r GROUP BY 1
+WITH r AS (SELECT l_shipdate, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'first' ELSE 'second' END AS engine, l_linestatus = 'O' AS white, l_discount >
+    0.03e0 AS black, l_tax AS secs FROM lineitem)
+SELECT engine, count(*) AS n, round(avg(CASE WHEN white THEN 1e0 ELSE 0e0 END), 6) AS white, round(avg(CASE WHEN black THEN 1e0 ELSE 0e0 END), 6) AS black,
+    round(avg(CASE WHEN white AND black THEN 1e0 ELSE 0e0 END), 6) AS pair, round(avg(secs), 6) AS secs FROM r GROUP BY 1
 UNION ALL SELECT 'third', 0, 0, 0, 0, 0
 """)
 def engine_scores(spark, sf_dir):
     """Shares of names read, of pairs read, and mean seconds of each engine; one without rows scores 0."""
-    li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "N", "first").otherwise("second").alias("engine"), (F.col("l_linestatus") == "O").alias("white"), (F.col("l_discount") > 0.03).alias("black"), F.col("l_tax").alias("secs"))
+    li = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.when(F.col("l_returnflag") == "N", "first").otherwise("second").alias("engine"),
+            (F.col("l_linestatus") == "O").alias("white"),
+            (F.col("l_discount") > 0.03).alias("black"),
+            F.col("l_tax").alias("secs"),
+        )
+    )
     return review.engine_scores(li, ["first", "second", "third"])
 
 
 @query("""
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS turns, length(text) AS size FROM conversations
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS turns, length(text) AS size
+    FROM conversations
 """)
 def rows_of_group(spark, sf_dir):
     """The rows of each group in order, handed back with their places."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").cast("long").alias("size")))).alias("r"))
-    return c.select("conv_id", F.size("r").cast("long").alias("turns"), F.posexplode("r").alias("place", "x")).select("conv_id", "x.turn", F.col("place").cast("long").alias("place"), "turns", "x.size")
+    c = (
+        table(spark, sf_dir, "conversations")
+        .groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").cast("long").alias("size")))).alias("r"))
+    )
+    return (
+        c.select("conv_id", F.size("r").cast("long").alias("turns"), F.posexplode("r").alias("place", "x"))
+        .select("conv_id", "x.turn", F.col("place").cast("long").alias("place"), "turns", "x.size")
+    )
 
 
 @query("""
-WITH n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), h AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) SELECT n.k, h.k IS NULL AS inserted FROM n LEFT JOIN h ON n.k = h.k
+WITH n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), h AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+    SELECT n.k, h.k IS NULL AS inserted FROM n LEFT JOIN h ON n.k = h.k
 """)
 def insert_report(spark, sf_dir):
     """Of rows to insert where their key is absent, which ones were."""
@@ -300,23 +407,35 @@ def insert_report(spark, sf_dir):
 
 
 @query("""
-SELECT CASE WHEN p.k IS NULL THEN 'missing' WHEN t.k IS NULL THEN 'unexpected' ELSE 'paired' END AS status, count(*) AS n, CAST(sum(CASE WHEN p.s = t.s THEN 1 ELSE 0 END) AS BIGINT) AS equal
-FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 9 <> 0) p FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS s FROM lineitem GROUP BY 1) t ON p.k = t.k GROUP BY 1
+SELECT CASE WHEN p.k IS NULL THEN 'missing' WHEN t.k IS NULL THEN 'unexpected' ELSE 'paired' END AS status, count(*) AS n, CAST(sum(CASE WHEN p.s = t.s THEN 1
+    ELSE 0 END) AS BIGINT) AS equal
+FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 9 <> 0) p FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS s FROM
+    lineitem GROUP BY 1) t ON p.k = t.k GROUP BY 1
 """)
 def predictions_and_truth(spark, sf_dir):
     """Predictions joined to truths by id; ids of one side alone are counted, not lost."""
-    p = table(spark, sf_dir, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p"))
+    p = (
+        table(spark, sf_dir, "orders")
+        .where("o_orderkey % 9 <> 0")
+        .select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p"))
+    )
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("t"))
     return review.paired(p, t, "k").groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("t")).alias("equal"))
 
 
 @query("""
-WITH c AS (SELECT source, count(*) AS found, sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS empty FROM documents GROUP BY 1), l AS (SELECT source, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY 1)
-SELECT source, found, CAST(empty AS BIGINT) AS empty, coalesce(labelled, 0) AS labelled, coalesce(labelled, 0) = found AND empty = 0 AS strict FROM c LEFT JOIN l USING (source)
+WITH c AS (SELECT source, count(*) AS found, sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS empty FROM documents GROUP BY 1), l AS (SELECT
+    source, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT source, found, CAST(empty AS BIGINT) AS empty, coalesce(labelled, 0) AS labelled, coalesce(labelled, 0) = found AND empty = 0 AS strict FROM c LEFT JOIN
+    l USING (source)
 """)
 def strict_inventory(spark, sf_dir):
     """Whether every document of a source is there and has its label."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.col("text") == "", F.lit(True)).alias("empty"))
     l = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))
-    c = d.join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("found"), F.count_if("empty").alias("empty"), F.count("l").alias("labelled"))
+    c = (
+        d.join(l, "doc_id", "left")
+        .groupBy("source")
+        .agg(F.count("*").alias("found"), F.count_if("empty").alias("empty"), F.count("l").alias("labelled"))
+    )
     return c.withColumn("strict", (F.col("labelled") == F.col("found")) & (F.col("empty") == 0))

@@ -24,30 +24,46 @@ def vector_top1(spark, sf_dir):
 
 
 @query(f"""
-WITH {CENTS} SELECT vec_id, CASE WHEN near >= 3 AND similarity >= 0.3e0 THEN 'match' WHEN near < 3 AND similarity >= 0.4e0 THEN 'absorb' ELSE 'unmatched' END AS outcome FROM best WHERE k = 1
+WITH {CENTS} SELECT vec_id, CASE WHEN near >= 3 AND similarity >= 0.3e0 THEN 'match' WHEN near < 3 AND similarity >= 0.4e0 THEN 'absorb' ELSE 'unmatched' END AS
+    outcome FROM best WHERE k = 1
 """)
 def vector_assign_3way(spark, sf_dir):
     """Labels below 3 count as junk; a vector without length is neither matched nor unmatched."""
     e = table(spark, sf_dir, "embeddings")
     b = F.col("best")
-    outcome = F.when(text.dot(F.col("embedding"), F.col("embedding")) < 1e-12, "blank").when((b["label"] >= 3) & (b["similarity"] >= 0.3), "match").when((b["label"] < 3) & (b["similarity"] >= 0.4), "absorb").otherwise("unmatched")
+    outcome = (
+        F.when(text.dot(F.col("embedding"), F.col("embedding")) < 1e-12, "blank")
+        .when((b["label"] >= 3) & (b["similarity"] >= 0.3), "match")
+        .when((b["label"] < 3) & (b["similarity"] >= 0.4), "absorb")
+        .otherwise("unmatched")
+    )
     return vectors.nearest_centroid(e, vectors.centroids(e, "label"), "label").select("vec_id", outcome.alias("outcome"))
 
 
 @query(f"""
-WITH {CENTS}, own AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS n FROM sim WHERE near = label) SELECT label, vec_id FROM own WHERE n = 1
+WITH {CENTS}, own AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS n FROM sim WHERE near = label) SELECT label, vec_id
+    FROM own WHERE n = 1
 """)
 def cluster_representative(spark, sf_dir):
     """Of each label the vector nearest to its centroid."""
     e = table(spark, sf_dir, "embeddings")
-    own = e.join(vectors.centroids(e, "label"), "label").select("label", "vec_id", F.round(text.dot(F.col("embedding"), F.col("centroid")), 6).alias("s"))
-    return own.groupBy("label").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("m"))).alias("b")).select("label", (-F.col("b.m")).alias("vec_id"))
+    own = (
+        e.join(vectors.centroids(e, "label"), "label")
+        .select("label", "vec_id", F.round(text.dot(F.col("embedding"), F.col("centroid")), 6).alias("s"))
+    )
+    return (
+        own.groupBy("label")
+        .agg(F.max(F.struct("s", (-F.col("vec_id")).alias("m"))).alias("b"))
+        .select("label", (-F.col("b.m")).alias("vec_id"))
+    )
 
 
 @query("""
-WITH q AS (SELECT vec_id AS a, embedding AS u FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT a, vec_id AS b, label % 2 AS y, round(list_dot_product(CAST(u AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM q, embeddings WHERE a <> vec_id),
+WITH q AS (SELECT vec_id AS a, embedding AS u FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT a, vec_id AS b, label % 2 AS y,
+    round(list_dot_product(CAST(u AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM q, embeddings WHERE a <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM d)
-SELECT a AS vec_id, count(*) AS neighbours, round(CASE WHEN sum(greatest(s, 0)) > 0 THEN sum(greatest(s, 0) * y) / sum(greatest(s, 0)) ELSE avg(CAST(y AS DOUBLE)) END, 4) AS score FROM r WHERE k <= 15 GROUP BY 1
+SELECT a AS vec_id, count(*) AS neighbours, round(CASE WHEN sum(greatest(s, 0)) > 0 THEN sum(greatest(s, 0) * y) / sum(greatest(s, 0)) ELSE avg(CAST(y AS
+    DOUBLE)) END, 4) AS score FROM r WHERE k <= 15 GROUP BY 1
 """)
 def knn_weighted_score(spark, sf_dir):
     """The rows whose id is divisible by 100 against all."""
@@ -71,40 +87,65 @@ def principal_scores(spark, sf_dir):
     mean, axes = vectors.principal_axes(e, 3)
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
     centred = F.zip_with("embedding", lit(mean), lambda x, m: x - m)
-    parts = e.select("vec_id", F.array(*[text.dot(centred, lit(a)) for a in axes]).alias("p")).select("vec_id", text.unit(F.col("p")).alias("p"))
+    parts = (
+        e.select("vec_id", F.array(*[text.dot(centred, lit(a)) for a in axes]).alias("p"))
+        .select("vec_id", text.unit(F.col("p")).alias("p"))
+    )
     return parts.select("vec_id", *[F.round(F.get("p", F.lit(k)), 5).alias(f"pc{k + 1}") for k in range(3)])
 
 
 @query("""
-WITH v AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 14)) AS i FROM embeddings)), m AS (SELECT vec_id, max(x) AS top, ln(sum(exp(x))) AS z FROM v GROUP BY 1)
+WITH v AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 14)) AS i FROM embeddings)), m AS (SELECT vec_id,
+    max(x) AS top, ln(sum(exp(x))) AS z FROM v GROUP BY 1)
 SELECT vec_id, min(i) - 1 AS label, (min(i) - 1 + 5) % 13 AS permuted, round(min(top) - min(z), 6) AS log_prob FROM v JOIN m USING (vec_id) WHERE x = top GROUP BY 1
 """)
 def class_of_scores(spark, sf_dir):
     """The first 13 numbers as class scores: argmax, its class in another order, its log probability."""
     s = F.transform(F.slice("embedding", 1, 13), lambda x: x.cast("double"))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", s.alias("s")).select("vec_id", board.argmax(F.col("s")).alias("label"), F.array_max(board.log_softmax(F.col("s"))).alias("log_prob"))
+    e = (
+        table(spark, sf_dir, "embeddings")
+        .select("vec_id", s.alias("s"))
+        .select("vec_id", board.argmax(F.col("s")).alias("label"), F.array_max(board.log_softmax(F.col("s"))).alias("log_prob"))
+    )
     to = board.permuted(F.array("label"), [(k + 5) % 13 for k in range(13)])
-    return e.select("vec_id", F.col("label").cast("long").alias("label"), F.get(to, F.lit(0)).cast("long").alias("permuted"), F.round("log_prob", 6).alias("log_prob"))
+    return e.select(
+        "vec_id",
+        F.col("label").cast("long").alias("label"),
+        F.get(to, F.lit(0)).cast("long").alias("permuted"),
+        F.round("log_prob", 6).alias("log_prob"),
+    )
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS k, l_linenumber AS ply, l_returnflag AS placement, max(l_discount * 100) AS score, min(l_suppkey % 8) AS fit FROM lineitem GROUP BY 1, 2, 3),
+WITH c AS (SELECT l_orderkey AS k, l_linenumber AS ply, l_returnflag AS placement, max(l_discount * 100) AS score, min(l_suppkey % 8) AS fit FROM lineitem GROUP
+    BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY k, placement ORDER BY score DESC, ply) AS n, count(*) OVER (PARTITION BY k, placement) AS plies FROM c),
-t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, ply, fit DESC, placement DESC) AS m, lead(score) OVER (PARTITION BY k ORDER BY score DESC, ply, fit DESC, placement DESC) AS rival FROM b WHERE n = 1)
+t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, ply, fit DESC, placement DESC) AS m, lead(score) OVER (PARTITION BY k ORDER BY score
+    DESC, ply, fit DESC, placement DESC) AS rival FROM b WHERE n = 1)
 SELECT k, CAST(ply AS BIGINT) AS ply, CAST(fit AS BIGINT) AS fit, round(score - rival, 6) AS margin, plies > 1 AS repetition,
-       CASE WHEN fit <= 4 AND coalesce(score - rival >= 2.5, TRUE) THEN 'accept' WHEN fit <= 4 OR coalesce(score - rival >= 2.5, TRUE) THEN 'review' ELSE 'quarantine' END AS bucket
+CASE WHEN fit <= 4 AND coalesce(score - rival >= 2.5, TRUE) THEN 'accept' WHEN fit <= 4 OR coalesce(score - rival >= 2.5, TRUE) THEN 'review' ELSE 'quarantine'
+    END AS bucket
 FROM t WHERE m = 1
 """)
 def pair_gate(spark, sf_dir):
     """Lines as candidates of their order, return flags as placements."""
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ply"), F.col("l_returnflag").alias("placement")).agg(F.max(F.col("l_discount") * 100).alias("score"), F.min(F.col("l_suppkey") % 8).alias("fit"))
-    return consensus.gate(c, "k", margin_limit=2.5).select("k", F.col("ply").cast("long").alias("ply"), F.col("fit").cast("long").alias("fit"), "margin", "repetition", "bucket")
+    c = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ply"), F.col("l_returnflag").alias("placement"))
+        .agg(F.max(F.col("l_discount") * 100).alias("score"), F.min(F.col("l_suppkey") % 8).alias("fit"))
+    )
+    return (
+        consensus.gate(c, "k", margin_limit=2.5)
+        .select("k", F.col("ply").cast("long").alias("ply"), F.col("fit").cast("long").alias("fit"), "margin", "repetition", "bucket")
+    )
 
 
 @query("""
 WITH e AS (SELECT vec_id, label, i - 1 AS j, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
-c AS (SELECT vec_id, ply, j // 13 AS cell, CASE WHEN j // 13 = ply THEN (label + ply) % 13 ELSE label % 13 END AS want, j % 13 AS cls, x FROM e, range(3) t(ply) WHERE j < 52),
-d AS (SELECT vec_id, cell, min(want) <> max(want) AS differs FROM c GROUP BY 1, 2), m AS (SELECT vec_id, cell, ply, any_value(want) AS want, arg_max(cls, (x, -cls)) AS top FROM c GROUP BY 1, 2, 3)
+c AS (SELECT vec_id, ply, j // 13 AS cell, CASE WHEN j // 13 = ply THEN (label + ply) % 13 ELSE label % 13 END AS want, j % 13 AS cls, x FROM e, range(3) t(ply)
+    WHERE j < 52),
+d AS (SELECT vec_id, cell, min(want) <> max(want) AS differs FROM c GROUP BY 1, 2), m AS (SELECT vec_id, cell, ply, any_value(want) AS want, arg_max(cls, (x,
+    -cls)) AS top FROM c GROUP BY 1, 2, 3)
 SELECT vec_id, m.ply, sum(CASE WHEN top <> m.want THEN 1 ELSE 0 END)::BIGINT AS fit, round(round(sum(CASE WHEN differs THEN x ELSE 0 END), 6), 4) AS score
 FROM m JOIN d USING (vec_id, cell) JOIN c ON c.vec_id = m.vec_id AND c.cell = m.cell AND c.ply = m.ply AND c.cls = m.want GROUP BY 1, 2
 """)
@@ -113,6 +154,12 @@ def score_window(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 13 + 1, 13), lambda x: x.cast("double")))
     frames = e.select("vec_id", cut.alias("log_probs"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == F.col("ply"), (F.col("label") + F.col("ply")) % 13).otherwise(F.col("label") % 13))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(3)),
+        lambda k: F.when(k == F.col("ply"), (F.col("label") + F.col("ply")) % 13).otherwise(F.col("label") % 13),
+    )
     candidates = e.select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ply")).select("vec_id", "ply", cells.alias("cells"))
-    return consensus.score_window(frames, candidates, "vec_id").select("vec_id", F.col("ply").cast("long").alias("ply"), F.col("fit").alias("fit"), F.round("score", 4).alias("score"))
+    return (
+        consensus.score_window(frames, candidates, "vec_id")
+        .select("vec_id", F.col("ply").cast("long").alias("ply"), F.col("fit").alias("fit"), F.round("score", 4).alias("score"))
+    )

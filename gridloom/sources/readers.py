@@ -32,29 +32,77 @@ def annotated_boards(spark: SparkSession, path: str, split: str, piece_of: dict[
     ids = d.select(F.explode(F.get(F.map_values(F.map_filter("splits", lambda k, v: k == split)), F.lit(0))["image_ids"]).alias("id"))
     images = d.select(F.explode("images").alias("i")).select("i.id", F.col("i.file_name").alias("image")).join(ids, "id", "left_semi")
     classes = F.create_map(*[F.lit(x) for kv in piece_of.items() for x in kv]) if piece_of else F.create_map().cast("map<int,int>")
-    pieces = d.select(F.posexplode("annotations.pieces").alias("pos", "p")).select("pos", F.col("p.image_id").alias("id"), board.square_index(F.col("p.chessboard_position")).alias("cell"), F.try_element_at(classes, F.col("p.category_id")).alias("piece"))
-    last = pieces.join(ids, "id", "left_semi").where("cell is not null and piece is not null").groupBy("id", "cell").agg(F.max_by("piece", "pos").alias("piece"))
+    pieces = (
+        d.select(F.posexplode("annotations.pieces").alias("pos", "p"))
+        .select(
+            "pos",
+            F.col("p.image_id").alias("id"),
+            board.square_index(F.col("p.chessboard_position")).alias("cell"),
+            F.try_element_at(classes, F.col("p.category_id")).alias("piece"),
+        )
+    )
+    last = (
+        pieces.join(ids, "id", "left_semi")
+        .where("cell is not null and piece is not null")
+        .groupBy("id", "cell")
+        .agg(F.max_by("piece", "pos").alias("piece"))
+    )
     held = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "piece"))).alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
-    return images.join(held, "id", "left").select(F.col("id").cast("string").alias("sample_id"), F.lit(split).alias("split"), "image", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0), 64)).otherwise(cells).alias("cells"))
+    return (
+        images.join(held, "id", "left")
+        .select(
+            F.col("id").cast("string").alias("sample_id"),
+            F.lit(split).alias("split"),
+            "image",
+            F.when(F.col("m").isNull(), F.array_repeat(F.lit(0), 64)).otherwise(cells).alias("cells"),
+        )
+    )
 
 
 def split_directories(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """root/<split>/*.json, one label a file, with split, sample_id and the image beside it, from the path."""
-    d = spark.read.text(f"{root}/*/*.json", wholetext=True).select(F.from_json("value", schema).alias("d"), F.col("_metadata.file_path").alias("path"))
-    return d.select("d.*", F.regexp_extract("path", r"/([^/]+)/[^/]+\.json$", 1).alias("split"), F.regexp_extract("path", r"/([^/]+)\.json$", 1).alias("sample_id"), F.regexp_replace("path", r"\.json$", ".png").alias("image"))
+    d = (
+        spark.read.text(f"{root}/*/*.json", wholetext=True)
+        .select(F.from_json("value", schema).alias("d"), F.col("_metadata.file_path").alias("path"))
+    )
+    return d.select(
+        "d.*",
+        F.regexp_extract("path", r"/([^/]+)/[^/]+\.json$", 1).alias("split"),
+        F.regexp_extract("path", r"/([^/]+)\.json$", 1).alias("sample_id"),
+        F.regexp_replace("path", r"\.json$", ".png").alias("image"),
+    )
 
 
 def manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """samples[] of a manifest; the id falls back to the stem of the image."""
-    s = _documents(spark, path, "samples array<struct<id:string,image:string,gt_fen:string,split:string,video_id:string,game_id:string,ply:int>>").select(F.inline("samples"))
+    s = (
+        _documents(
+            spark,
+            path,
+            "samples array<struct<id:string,image:string,gt_fen:string,split:string,video_id:string,game_id:string,ply:int>>",
+        )
+        .select(F.inline("samples"))
+    )
     s = s if split is None else s.where(F.col("split") == split)
-    return s.select(F.coalesce("id", F.regexp_extract("image", r"([^/]+?)(\.[^./]*)?$", 1)).alias("sample_id"), "image", "split", board.to_cells(F.col("gt_fen")).alias("cells"), "video_id", "game_id", "ply")
+    return s.select(
+        F.coalesce("id", F.regexp_extract("image", r"([^/]+?)(\.[^./]*)?$", 1)).alias("sample_id"),
+        "image",
+        "split",
+        board.to_cells(F.col("gt_fen")).alias("cells"),
+        "video_id",
+        "game_id",
+        "ply",
+    )
 
 
 def label_list(spark: SparkSession, path: str, viewpoints: DataFrame | None = None) -> DataFrame:
     """A list of image and gt_fen, with the viewpoint of each image where one is known."""
-    s = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<image:string,gt_fen:string>>")).alias("s")).select("s.image", board.to_cells(F.col("s.gt_fen")).alias("cells"))
+    s = (
+        spark.read.text(path, wholetext=True)
+        .select(F.explode(F.from_json("value", "array<struct<image:string,gt_fen:string>>")).alias("s"))
+        .select("s.image", board.to_cells(F.col("s.gt_fen")).alias("cells"))
+    )
     return s.withColumn("viewpoint", F.lit(None).cast("string")) if viewpoints is None else s.join(viewpoints.select("image", "viewpoint"), "image", "left")
 
 
@@ -70,13 +118,23 @@ def first_there(spark: SparkSession, *paths: str) -> str:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record a line; blank lines are skipped."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return (
+        spark.read.text(path)
+        .where(F.trim("value") != "")
+        .select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+        .select("r.*")
+    )
 
 
 def append_log(spark: SparkSession, path: str, schema: str, key: str, sequence: str) -> tuple[DataFrame, DataFrame]:
     """The last record of each key by its sequence number, and the number of torn lines."""
     fields = T.StructType.fromDDL(schema).add("_torn", T.StringType())
-    read = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r")).select("r.*")
+    read = (
+        spark.read.text(path)
+        .where(F.trim("value") != "")
+        .select(F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r"))
+        .select("r.*")
+    )
     w = Window.partitionBy(key).orderBy(F.desc(sequence))
     good = read.where(F.col("_torn").isNull() & F.col(key).isNotNull()).drop("_torn")
     return good.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k"), read.agg(F.count_if(F.col("_torn").isNotNull() | F.col(key).isNull()).alias("torn"))
@@ -104,7 +162,13 @@ def video_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries keyed by id; a single tournament of old files becomes a list of one."""
     entry = "struct<title:string,date:string,tournament:string,tournaments:array<string>,round_ids:array<string>>"
     m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("id", "v"))
-    return m.select("id", "v.title", "v.date", F.coalesce("v.tournaments", F.when(F.col("v.tournament").isNotNull(), F.array("v.tournament"))).alias("tournaments"), "v.round_ids")
+    return m.select(
+        "id",
+        "v.title",
+        "v.date",
+        F.coalesce("v.tournaments", F.when(F.col("v.tournament").isNotNull(), F.array("v.tournament"))).alias("tournaments"),
+        "v.round_ids",
+    )
 
 
 def artifacts(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
@@ -120,18 +184,31 @@ def games(spark: SparkSession, path: str) -> DataFrame:
     A game begins with an [Event line. Comments other than clocks, variations, move numbers, glyphs and results
     are left out. Moves are as written: positions are replayed by whoever needs them.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.filter(F.split("value", r"(?m)^(?=\[Event )"), lambda g: F.trim(g) != "")).alias("game_no", "g"))
+    text = (
+        spark.read.text(path, wholetext=True)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.posexplode(F.filter(F.split("value", r"(?m)^(?=\[Event )"), lambda g: F.trim(g) != "")).alias("game_no", "g"),
+        )
+    )
     keys, values = F.regexp_extract_all("g", F.lit(r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]'), F.lit(1)), F.regexp_extract_all("g", F.lit(r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]'), F.lit(2))
     body = F.regexp_replace(F.regexp_replace("g", r'(?m)^\[\w+ "(?:[^"\\]|\\.)*"\]', " "), r"\([^()]*\)", " ")
     marks = F.regexp_extract_all(body, F.lit(r"(?s)\{[^}]*\}|[^\s{}]+"), F.lit(0))
-    kept = F.filter(F.transform(marks, lambda m: F.when(m.startswith("{"), m).otherwise(F.regexp_replace(m, r"^\d+\.+|[!?]+$", ""))), lambda m: (m != "") & ~m.rlike(r"^(\$\d+|1-0|0-1|1/2-1/2|\*)$"))
+    kept = F.filter(
+        F.transform(marks, lambda m: F.when(m.startswith("{"), m).otherwise(F.regexp_replace(m, r"^\d+\.+|[!?]+$", ""))),
+        lambda m: (m != "") & ~m.rlike(r"^(\$\d+|1-0|0-1|1/2-1/2|\*)$"),
+    )
 
     def step(acc, m):
         clock = F.regexp_extract(m, r"%clk\s+(\d+):(\d\d):(\d\d)", 0)
         seconds = F.regexp_extract(m, r"%clk\s+(\d+):(\d\d):(\d\d)", 1).try_cast("int") * 3600 + F.regexp_extract(m, r"%clk\s+(\d+):(\d\d):(\d\d)", 2).try_cast("int") * 60 + F.regexp_extract(m, r"%clk\s+(\d+):(\d\d):(\d\d)", 3).try_cast("int")
         last = F.get(acc, F.size(acc) - 1)
         timed = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["san"].alias("san"), seconds.alias("clock")))
-        return F.when(~m.startswith("{"), F.array_append(acc, F.struct(m.alias("san"), F.lit(None).cast("int").alias("clock")))).when((clock != "") & (F.size(acc) > 0), timed).otherwise(acc)
+        return (
+            F.when(~m.startswith("{"), F.array_append(acc, F.struct(m.alias("san"), F.lit(None).cast("int").alias("clock"))))
+            .when((clock != "") & (F.size(acc) > 0), timed)
+            .otherwise(acc)
+        )
 
     moves = F.aggregate(kept, F.array().cast("array<struct<san:string,clock:int>>"), step)
     plies = F.transform(moves, lambda m, i: F.struct((i + 1).alias("ply"), m["san"].alias("san"), m["clock"].alias("clock")))
