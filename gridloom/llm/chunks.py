@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import importable, row_key, slices, stored, table
+from .common import documents, importable, row_key, slices, stored
 
 #: Bytes that a cut depends on, mean bytes of a chunk, greatest characters of one, least characters of a repeated span.
 WINDOW, MEAN, MOST, MIN_RUN = 16, 40, 1023, 200
@@ -126,11 +126,18 @@ def chunked(docs: DataFrame) -> DataFrame:
             values = [*[some.column(c).to_numpy(zero_copy_only=False)[of] for c in ("row", "doc_id")], begin << 10 | end - begin, *rest]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds.values(), strict=True)], names=[*kinds])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, place bigint, digest bigint, check int, edges bigint")
+    return (
+        docs.select("row", "doc_id", "text")
+        .mapInArrow(run, "row bigint, doc_id bigint, place bigint, digest bigint, check int, edges bigint")
+    )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(
+        row_key().alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    )
 
 
 def _reach(own: Column, other: Column, first: int) -> Column:
@@ -191,14 +198,24 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN, within: bool = True)
     from .pii import cut_out
 
     held = stored(docs.select(row_key().alias("row"), F.struct("*").alias("doc")), "held")  # rows keep their numbers
-    keyed = held.select("row", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    keyed = held.select(
+        "row",
+        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-1)).alias("doc_id"),
+        F.col("doc.text").cast("string").alias("text"),
+    )
     extra = _spans(_runs(keyed, within), min_run, "extra").where("extra = 1")
     found = extra.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    left = held.join(found, "row", "left").withColumn("cut", F.when(F.col("spans").isNotNull(), cut_out(F.col("doc.text"), F.col("spans"), F.lit(""))).otherwise(F.col("doc.text")))
+    left = (
+        held.join(found, "row", "left")
+        .withColumn(
+            "cut",
+            F.when(F.col("spans").isNotNull(), cut_out(F.col("doc.text"), F.col("spans"), F.lit(""))).otherwise(F.col("doc.text")),
+        )
+    )
     return left.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op6_chunks(spark, sf_dir: str, min_run: int = MIN_RUN, within: bool = False) -> DataFrame:
     """doc_id, start, end, chunks, n_extra and first_doc_id of every span that several documents share."""
-    found = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), min_run, within)
+    found = repeated_spans(documents(spark, sf_dir), min_run, within)
     return found.select("doc_id", "start", "end", "chunks", "n_extra", "first_doc_id")

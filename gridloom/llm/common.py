@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -19,16 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of the table, over as many tasks as there are cores at least.
+
+    One file of one row group is one task's whatever its size; only tables of fewer files than cores are looked at, and
+    dealt out anew if fewer tasks than cores have rows.
+    """
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) >= cores or docs.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; one below the warehouse where that is unset."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared checkpoint folder, which is deleted when the application ends.
+
+    Below the warehouse where spark.checkpoint.dir is unset, on a local master only.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder beside the warehouse only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the cluster names it; a folder below the warehouse only where it is unset, as in tests.
+
+    A cluster that names none gets an error: a path of its own choice need not be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"{master} needs a shared folder in spark.checkpoint.dir")
     own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(own)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, constant, row_key, table
+from .common import ascii_lower, constant, documents, row_key, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -34,7 +34,11 @@ def _windows(words: Column, size: Column | int) -> Column:
 
 def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, size, hash and gram of each window of each item; an item of fewer words is one window."""
-    w = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(window)))
+    w = (
+        items.select("item_id", words_of(F.col("text")).alias("w"))
+        .where(F.size("w") > 0)
+        .withColumn("size", F.least(F.size("w"), F.lit(window)))
+    )
     return (
         w.select("item_id", "size", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("i"))
         .select("item_id", "size", F.slice("w", F.col("i"), F.col("size")).alias("gram"))
@@ -74,7 +78,10 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: list[st
 
     def met_by(size: int) -> Column:
         passed = F.filter(_windows(F.col("w"), size), passes)
-        return F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(size).alias("size"), c["hash"].alias("hash"), F.array_join(F.slice("w", c["start"], size), " ").alias("gram")))
+        return F.transform(
+            passed,
+            lambda c: F.struct(c["start"].alias("start"), F.lit(size).alias("size"), c["hash"].alias("hash"), F.array_join(F.slice("w", c["start"], size), " ").alias("gram")),
+        )
 
     possible = reduce(F.concat, [met_by(n) for n in sorted(sized["sizes"])], none)
     met = (
@@ -105,7 +112,10 @@ def remove_spans(found: DataFrame) -> DataFrame:
     def kept(x: Column) -> Column:
         def piece(gap: Column, i: Column) -> Column:
             now, before = F.get(x["hit"], i), F.coalesce(F.get(x["hit"], i - 1), F.lit(False))
-            return F.concat(F.when(now & before, F.lit("")).otherwise(gap), F.when(now, F.lit("")).otherwise(F.coalesce(F.get(x["words"], i), F.lit(""))))
+            return F.concat(
+                F.when(now & before, F.lit("")).otherwise(gap),
+                F.when(now, F.lit("")).otherwise(F.coalesce(F.get(x["words"], i), F.lit(""))),
+            )
 
         return F.array_join(F.transform(x["gaps"], piece), "")
 
@@ -113,7 +123,8 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    """n_words, n_hit, n_items, items_sha256 and contaminated of every document; a null text has no words."""
+    found = find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
         "doc_id",
         "n_words",

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, slices, table, tokenizer_file
+from .common import documents, importable, slices, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -219,12 +219,16 @@ def tokenize(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
             made = [pa.array([i.count(" ") + 1 for i in ids], pa.int64()), sha(ids), sha(decoded)]
             made += [pa.array(ids, pa.string()), pa.array(decoded, pa.string())] if texts else []
             names = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])])
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(n) for n in names], *made],
+                names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])],
+            )
         enc.known.clear()  # workers live on, and other operators need their memory
 
     return docs.select(*own.columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """n_tokens, ids_sha256 and decoded_sha256 of every document; a null text has the end id only."""
+    docs = documents(spark, sf_dir)
     return tokenize(docs, tokenizer_file(MODEL)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

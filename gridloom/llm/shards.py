@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import importable, shared_dir, table, tokenizer_file
+from .common import documents, importable, shared_dir, tokenizer_file
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Documents of a bucket of neighbouring ids, the most buckets, ids after which a bucket begins a further file.
@@ -344,7 +344,10 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], end: int = END) -> Da
                 own = (offsets[at : to + 1] - offsets[at]).astype(np.int32)
                 raw = with_end[bound[at] + at : bound[to] + to].tobytes()
                 ids = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(own.tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at:to], pa.int32()), names.slice(at, to - at), ids], names=["bucket", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[at:to], pa.int32()), names.slice(at, to - at), ids],
+                    names=["bucket", "doc_id", "ids"],
+                )
                 at = to
         enc.known.clear()  # workers live on, and other operators need their memory
 
@@ -440,10 +443,14 @@ def look_up(spark, folder: str, token: int) -> DataFrame:
             for before, data in zip(batch.column("before").to_pylist(), batch.column("file").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(WaveletMatrix(data).occurrences(token) + before, pa.int64())], names=["place"])
 
-    return files.join(F.broadcast(_before(files)), "bucket").select((F.col("before") + F.col("base")).alias("before"), "file").mapInArrow(run, "place bigint")
+    return (
+        files.join(F.broadcast(_before(files)), "bucket")
+        .select((F.col("before") + F.col("base")).alias("before"), "file")
+        .mapInArrow(run, "place bigint")
+    )
 
 
 def op5_token_shards(spark, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files written; null text has the end id only."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return read_shards(spark, write_shards(docs, tokenizer_file(MODEL)))

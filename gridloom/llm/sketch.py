@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import constant, table
+from .common import constant, documents
 from .decontaminate import words_of
 
 WORDS, SCALE = 5, 8
@@ -39,7 +39,10 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     hashed = F.transform(words_of(text), lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]).bitwiseAND(TOP - 1))
+        many = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]).bitwiseAND(TOP - 1),
+        )
         return F.when(F.size(h) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
     # each array is bound once, by a transform over an array of one
@@ -122,14 +125,21 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses; a null text counts as empty."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ready = with_next(docs, {"given": F.col("text"), "s": sketch(F.col("text"))})
     n = F.char_length("given")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("given", n - half), F.left("next.given", half))
     made = ready.select("doc_id", n.cast("long").alias("n_chars"), "s", F.col("next.s").alias("next_s"), edited.alias("edited"))
     # the sketch of the edited text serves twice
-    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "s", "next_s", F.explode(F.array(sketch(F.col("edited")))).alias("e"))
+    made = made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "s",
+        "next_s",
+        F.explode(F.array(sketch(F.col("edited")))).alias("e"),
+    )
     return made.select(
         "doc_id",
         "n_chars",

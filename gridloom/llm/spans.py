@@ -26,20 +26,37 @@ def find(text: Column, pattern: str, kind: str, rank: int, keep, group: int = 0)
     def walked(block: Column, at: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
             start = acc["at"] + F.length(p["gap"])
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(p["whole"])).alias("end"), F.lit(kind).alias("kind"), p["body"].alias("body"))
+            span = F.struct(
+                start.alias("start"),
+                F.lit(rank).alias("rank"),
+                (start + F.length(p["whole"])).alias("end"),
+                F.lit(kind).alias("kind"),
+                p["body"].alias("body"),
+            )
             found = F.when(p["whole"].isNotNull() & keep(p["body"]), F.array_append(acc["found"], span)).otherwise(acc["found"])
             return F.struct((acc["at"] + size(p)).alias("at"), found.alias("found"))
 
         return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
     def in_blocks(all_: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")),
+            lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)),
+        )
 
     def summed(blocks: Column) -> Column:
-        return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, p: n + size(p))))
+        return F.aggregate(
+            blocks,
+            F.array(F.lit(0)),
+            lambda acc,
+            b: F.array_append(acc, F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, p: n + size(p))),
+        )
 
     def joined(blocks: Column) -> Column:
-        return F.element_at(F.transform(F.array(summed(blocks)), lambda at: F.flatten(F.transform(blocks, lambda b, i: walked(b, F.get(at, i))))), 1)
+        return F.element_at(
+            F.transform(F.array(summed(blocks)), lambda at: F.flatten(F.transform(blocks, lambda b, i: walked(b, F.get(at, i))))),
+            1,
+        )
 
     # each array is bound once, by a transform over an array of one
     bound = F.transform(F.transform(F.array(parts), in_blocks), joined)

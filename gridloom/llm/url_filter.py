@@ -27,7 +27,11 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(
+        F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1),
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        "abcdefghijklmnopqrstuvwxyz",
+    )
 
 
 def path_of(url: Column) -> Column:
@@ -59,7 +63,12 @@ def filter_of(rules: DataFrame, rows: int) -> list[int]:
     """The blocks of the filter over rules' keys; at most MAX_BLOCKS numbers reach the driver."""
     blocks = blocks_for(rows)
     h = F.xxhash64("rule_host", "rule_path")
-    filled = rules.select(_block(h, blocks).alias("block"), _mask(h).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask")).collect()
+    filled = (
+        rules.select(_block(h, blocks).alias("block"), _mask(h).alias("mask"))
+        .groupBy("block")
+        .agg(F.bit_or("mask").alias("mask"))
+        .collect()
+    )
     out = [0] * blocks
     for block, mask in filled:
         out[block] = mask
@@ -71,16 +80,27 @@ def _pages(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
 
     No rule has more labels in its host than the longest one, so no longer suffix of a host can be listed.
     """
-    sized = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", r"\.", -1))).alias("labels")).first()
+    sized = (
+        rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", r"\.", -1))).alias("labels"))
+        .first()
+    )
     bits, blocks = constant(filter_of(rules, n_rules), "array<bigint>"), blocks_for(n_rules)
     lengths, most = constant(sorted(sized["lengths"]), "array<int>"), F.lit(sized["labels"] or 1)
 
     own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in REPLACED]
     seen = pages.select(F.struct(*own).alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), most)), lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."))
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.least(F.size("labels"), most)),
+        lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."),
+    )
     fitting = F.filter(lengths, lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(s.alias("rule_host"), F.left("path", n).alias("rule_path")))))
+    keys = F.flatten(
+        F.transform(
+            suffixes,
+            lambda s: F.transform(fitting, lambda n: F.struct(s.alias("rule_host"), F.left("path", n).alias("rule_path"))),
+        ),
+    )
 
     def passes(key: Column) -> Column:
         h = F.xxhash64(key["rule_host"], key["rule_path"])
@@ -103,8 +123,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     n_rules = rules.count()
     probed = _pages(pages, rules, n_rules)
     listed = F.broadcast(rules) if n_rules <= MAX_BROADCAST_RULES else rules
-    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict"))
-    free = probed.where(F.size("keys") == 0).select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    rank = F.struct(
+        (F.length("rule_host") + F.length("rule_path")).alias("size"),
+        F.length("rule_host").alias("host_size"),
+        F.concat("rule_host", "rule_path").alias("rule"),
+        F.col("verdict"),
+    )
+    free = (
+        probed.where(F.size("keys") == 0)
+        .select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    )
     met = probed.where(F.size("keys") > 0).withColumn("row", row_key()).select("row", "page", "host", "path", F.explode("keys").alias("k"))
     judged = (
         met.join(listed, (F.col("k.rule_host") == F.col("rule_host")) & (F.col("k.rule_path") == F.col("rule_path")), "left")
@@ -117,7 +145,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page, by RULES; a null url has an empty host and path."""
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return (
+        judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark))
+        .select("page_id", "host", "path", "rule", "verdict")
+    )
 
 
 OP9_SQL = r"""
