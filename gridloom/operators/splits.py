@@ -9,6 +9,14 @@ from pyspark.sql.window import Window
 SPLITS = ("train", "val", "test")
 
 
+def ratio_of(text: str) -> tuple[int, int, int]:
+    """Three whole shares of 100, none negative, from text such as 60,20,20 or 60/20/20; anything else is an error."""
+    parts = [p.strip() for p in text.replace("/", ",").split(",")]
+    if len(parts) != 3 or not all(p.isascii() and p.isdigit() for p in parts) or sum(map(int, parts)) != 100:
+        raise ValueError(f"three whole shares of 100 are needed, not {text!r}")
+    return int(parts[0]), int(parts[1]), int(parts[2])
+
+
 def pattern(ratio: tuple[int, int, int], have: tuple[int, int, int] = (0, 0, 0)) -> tuple[list[int], list[int]]:
     """Splits of fresh groups in turn, by number: those that come once, then those that come again and again.
 

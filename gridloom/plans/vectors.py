@@ -58,6 +58,16 @@ def cluster_representative(spark, sf_dir):
     )
 
 
+@query(f"""
+WITH {CENTS} SELECT vec_id, near, round(similarity, 4) AS similarity FROM best WHERE k = 1 AND near % 4 <> 0 AND similarity >= 0.3e0
+""")
+def processable_matches(spark, sf_dir):
+    """Nearest templates that are processable (three labels in four) and similar enough."""
+    e = table(spark, sf_dir, "embeddings")
+    best = vectors.nearest_centroid(e, vectors.centroids(e, "label"), "label").select("vec_id", F.col("best.label").alias("near"), F.col("best.similarity").alias("s"))
+    return best.where("near % 4 <> 0 and s >= 0.3").select("vec_id", "near", F.round("s", 4).alias("similarity"))
+
+
 @query("""
 WITH q AS (SELECT vec_id AS a, embedding AS u FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT a, vec_id AS b, label % 2 AS y,
     round(list_dot_product(CAST(u AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM q, embeddings WHERE a <> vec_id),

@@ -260,6 +260,13 @@ def test_principal_scores_by_numpy(spark):
         assert all(abs(got[k][a] - np.sign(dot) * want[k][a]) < 1e-3 for k in e)
 
 
+def test_ratio_of():
+    assert splits.ratio_of("60,20, 20") == (60, 20, 20) and splits.ratio_of("100/0/0") == (100, 0, 0)
+    for bad in ("60,20", "60,20,21", "120,-20,0", "a,b,c", "33.3,33.3,33.4", ""):
+        with pytest.raises(ValueError):
+            splits.ratio_of(bad)
+
+
 def test_pattern_is_the_greedy_turn():
     for ratio, have in (((60, 20, 20), (0, 0, 0)), ((60, 30, 10), (7, 0, 900)), ((33, 33, 34), (5, 400, 1)), ((100, 0, 0), (0, 9, 0))):
         held = list(have)
