@@ -22,22 +22,48 @@ def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     )
 
 
-def nearest_centroid(df: DataFrame, cents: DataFrame, key: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
+def nearest_centroid(
+    df: DataFrame, cents: DataFrame, key: str, vector: str = "embedding", most: int = 10_000, block: int = 4096
+) -> DataFrame:
     """df with best, a struct of similarity and key of the centroid nearest by cosine; the least key on a tie.
 
-    The centroids, most at most, travel as one broadcast array.
+    Up to `most` centroids travel as one broadcast array; more are held against the rows in blocks of both, with
+    the same result. A column named best is replaced.
     """
-    if cents.count() > most:
-        raise ValueError(f"more than {most} centroids")
+    n = cents.count()
+    if n > most:
+        return _nearest_in_blocks(df, cents, key, vector, -(-n // block))
     listed = cents.agg(F.array_sort(F.collect_list(F.struct(key, "centroid"))).alias("_c"))
     scored = F.transform("_c", lambda c: F.struct(F.round(-dot(F.col(vector), c["centroid"]), 6).alias("minus"), c[key].alias(key)))
-    best = F.array_min(scored)
-    return (
-        df.join(F.broadcast(listed))
-        .withColumn("_b", best)
-        .withColumn("best", F.struct((-F.col("_b.minus")).alias("similarity"), F.col(f"_b.{key}").alias(key)))
-        .drop("_c", "_b")
-    )
+    met = df.join(F.broadcast(listed)).withColumn("_b", F.array_min(scored))
+    return met.withColumn("best", F.struct((-F.col("_b.minus")).alias("similarity"), F.col(f"_b.{key}").alias(key))).drop("_c", "_b")
+
+
+def _nearest_in_blocks(df: DataFrame, cents: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
+    """Every row meets every block of centroids; the best of each block reaches the row again."""
+    size = 4096
+    held = max(1, -(-df.count() // size))
+    rows = df.select(F.struct("*").alias("row"), F.col(vector).alias("v")).withColumn("rb", F.pmod(F.xxhash64("v"), F.lit(held)))
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    asked = rows.select("id", "v", "rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+    place = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("cb")
+    offered = cents.select(F.col(key).alias("k"), F.col("centroid").alias("c"), place, F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("rb"))
+    kind = dict(cents.dtypes)[key]
+
+    def near(left, right):
+        import pandas as pd
+
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "s": [], "k": []})
+        right = right.sort_values("k")
+        sim = np.round(np.stack(left["v"].to_numpy()).astype(float) @ np.stack(right["c"].to_numpy()).astype(float).T, 6)
+        best = sim.argmax(1)
+        return pd.DataFrame({"id": left["id"], "s": sim[np.arange(len(sim)), best], "k": right["k"].to_numpy()[best]})
+
+    found = asked.groupBy("rb", "cb").cogroup(offered.groupBy("rb", "cb")).applyInPandas(near, f"id long, s double, k {kind}")
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("minus"), "k")).alias("b"))
+    made = F.struct((-F.col("b.minus")).alias("similarity"), F.col("b.k").alias(key)).alias("best")
+    return rows.select("id", "row").join(best, "id").select(*[F.col(f"row.`{c}`") for c in df.columns if c != "best"], made)
 
 
 def _led(items: list[tuple[np.ndarray, int, int]], most: float) -> list[tuple[np.ndarray, int, int]]:

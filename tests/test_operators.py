@@ -152,6 +152,16 @@ def test_vectors(spark):
     assert score == {0: (2, 0.0)}
 
 
+def test_nearest_centroid_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, r.normal(size=6).tolist(), k) for k in range(90)], "vec_id long, embedding array<double>, row int")
+    cents = spark.createDataFrame([(k, v) for k, v in enumerate(np.eye(6).tolist())] + [(9, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])], "label int, centroid array<double>")
+    want = rows(vectors.nearest_centroid(df, cents, "label").select("vec_id", "row", "best.similarity", "best.label"))
+    assert rows(vectors.nearest_centroid(df, cents, "label", most=3, block=2).select("vec_id", "row", "best.similarity", "best.label")) == want
+
+
 def test_principal_axes(spark):
     import numpy as np
 

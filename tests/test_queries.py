@@ -1,6 +1,7 @@
 """Every registered query beside its SQL on the small tables."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -39,3 +40,11 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    """Whatever keeps llm or the pipeline from being imported, the other queries stay."""
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "gridloom.llm.queries", None)
+    assert e.queries().keys() == QUERIES.keys() and e.oracle_sql() == ORACLES
