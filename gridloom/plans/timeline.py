@@ -113,15 +113,18 @@ def frame_sampling(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)
+WITH RECURSIVE e AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+d AS (SELECT source, doc_id, i, CAST(0 AS BIGINT) AS lo, n - 1 AS hi, 0 AS depth FROM e WHERE i > 0 AND i < n - 1 UNION ALL
+  SELECT source, doc_id, i, CASE WHEN i > (lo + hi) // 2 THEN (lo + hi) // 2 ELSE lo END, CASE WHEN i < (lo + hi) // 2 THEN (lo + hi) // 2 ELSE hi END, depth + 1
+  FROM d WHERE i <> (lo + hi) // 2),
+a AS (SELECT source, doc_id, i, max(depth) AS depth FROM d GROUP BY 1, 2, 3 UNION ALL SELECT source, doc_id, i, -1 FROM e WHERE i = 0 OR i = n - 1),
+r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY depth, i) AS turn FROM a)
 SELECT source, doc_id, turn FROM (SELECT * FROM r ORDER BY turn, source LIMIT 50)
 """)
 def round_robin_diversify(spark, sf_dir):
-    """A top-50 report: one document of each source in turn."""
-    return (
-        timeline.round_robin(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"], 50)
-        .select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
-    )
+    """A top-50 report: one document of each source in turn, each source's in its spread order."""
+    placed = timeline.spread(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    return timeline.round_robin(placed, "source", ["place"], 50).select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
 
 
 @query("""
