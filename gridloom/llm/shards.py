@@ -356,7 +356,9 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], end: int = END) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, end: int = END, folder: str | None = None) -> str:
-    """Writes the shards of docs, by doc_id and then ids, and returns their folder, new in the shared one unless given.
+    """Writes the shards of docs, by doc_id and then ids, and returns their folder.
+
+    Unless given, it is a new one in the shared folder, which goes when the application ends.
 
     Texts are encoded where they are read, and their ids go to buckets of neighbouring doc_ids. One row for each file:
     bucket and part put the files in order, base is the number of ids before it in its bucket; doc_id and n_tokens
