@@ -46,7 +46,11 @@ FIRST_RANK = 4
 
 def luhn(body: Column) -> Column:
     digits = F.split(F.reverse(F.regexp_replace(body, "[^0-9]", "")), "")
-    worth = F.transform(digits, lambda c, i: F.when(i % 2 == 0, F.ascii(c) - 48).otherwise((F.ascii(c) - 48) * 2 - F.when(F.ascii(c) > 52, 9).otherwise(0)))
+    worth = F.transform(
+        digits,
+        lambda c,
+        i: F.when(i % 2 == 0, F.ascii(c) - 48).otherwise((F.ascii(c) - 48) * 2 - F.when(F.ascii(c) > 52, 9).otherwise(0)),
+    )
     return F.aggregate(worth, F.lit(0), lambda a, w: a + w) % 10 == 0
 
 
@@ -142,8 +146,15 @@ def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST_HELD)
     for name, n in FEATURES:
         counted, unit = counted.withColumn(name, F.floor(F.col("key") / unit) % n), unit * n
     data = VectorAssembler(inputCols=names, outputCol="features").transform(counted)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n", maxBins=32, cacheNodeIds=False).fit(data.where("fold = 0"))
-    scored = trees.transform(data).select("fold", "key", "label", "n", "generator", F.round(vector_to_array("probability")[1], 6).alias("p")).collect()
+    trees = (
+        GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n", maxBins=32, cacheNodeIds=False)
+        .fit(data.where("fold = 0"))
+    )
+    scored = (
+        trees.transform(data)
+        .select("fold", "key", "label", "n", "generator", F.round(vector_to_array("probability")[1], 6).alias("p"))
+        .collect()
+    )
     chosen = [_calibrated([r for r in scored if r["generator"] == g], precision, least) for g in range(len(GENERATORS))]
     return sorted({k for keys in chosen for k in keys})
 
@@ -161,7 +172,10 @@ def scan(docs: DataFrame, selected: list[int] | None = None) -> DataFrame:
         return out.withColumn("spans", base)
     keys = constant(selected, "array<bigint>")
     chosen = F.filter(spans.clear_of(candidates(text), base), lambda c: F.array_contains(keys, _key(text, c)))
-    named = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), F.lit("boost").alias("kind"), c["body"].alias("body")))
+    named = F.transform(
+        chosen,
+        lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), F.lit("boost").alias("kind"), c["body"].alias("body")),
+    )
     return out.withColumn("spans", spans.ordered(F.concat(base, named)))
 
 
@@ -173,17 +187,33 @@ def cut_out(text: Column, found: Column, mark: Column) -> Column:
         fresh = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), mark)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.aggregate(
+        found,
+        start,
+        step,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))),
+    )
+
+
+def marked(docs: DataFrame, scan, mark: str) -> DataFrame:
+    """docs with every span that scan finds in text replaced by mark; columns of any name stay."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    text = F.when(F.size("spans") > 0, cut_out(F.col("text"), F.col("spans"), F.lit(mark))).otherwise(F.col("text"))
+    return scan(held).select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def redact(docs: DataFrame, mark: str = "[private]") -> DataFrame:
-    """docs with every span of scan() replaced by mark; texts without one stay as they are, null ones too."""
-    found = scan(docs)
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut_out(F.col("text"), F.col("spans"), F.lit(mark))).otherwise(F.col("text"))).drop("base", "spans")
+    """docs with every span of scan() replaced by mark, overlapping spans as one; texts without one, null ones too, stay."""
+    return marked(docs, scan, mark)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     """Counts and places of personal data in every text: fixed formats, and what the trees select; null counts as empty."""
     found = scan(documents(spark, sf_dir))
     counts = [spans.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
+        spans.written(F.col("spans")).alias("spans"),
+    )

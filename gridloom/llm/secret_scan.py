@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import constant, stored, table
+from .common import constant, documents, stored
+from .pii import marked
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A maximal run is found either way, so the least length may stand in the pattern.
@@ -53,14 +54,22 @@ def _codes(token: Column) -> Column:
 def _transitions(token: Column) -> Column:
     """Index of each neighbouring character pair in the table of the model; others than FIRST.. are left out."""
     codes = F.filter(_codes(token), lambda c: (c >= 0) & (c < WIDTH))
-    return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * WIDTH + b)
+    return F.zip_with(
+        F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))),
+        F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))),
+        lambda a,
+        b: a * WIDTH + b,
+    )
 
 
 def samples(docs: DataFrame) -> DataFrame:
     """label (1 secret, 0 ordinary), token and n of every labelled sample of every text."""
     text = F.col("text")
     secret = F.transform(base_spans(text), lambda s: F.struct(F.lit(1).alias("label"), s["body"].alias("token")))
-    ordinary = F.transform(F.filter(F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0)), lambda t: t.rlike(ORDINARY)), lambda t: F.struct(F.lit(0).alias("label"), t.alias("token")))
+    ordinary = F.transform(
+        F.filter(F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0)), lambda t: t.rlike(ORDINARY)),
+        lambda t: F.struct(F.lit(0).alias("label"), t.alias("token")),
+    )
     each = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.inline(F.concat(secret, ordinary)))
     return each.groupBy("label", "token").agg(F.count("*").alias("n"))
 
@@ -82,7 +91,12 @@ def _ratios(samples: DataFrame) -> list[float]:
 def _threshold(held: DataFrame, ratio: list[float]) -> float | None:
     """From the distinct samples held back; None, by which nothing exceeds it, with too few of them."""
     value = F.round(score(F.col("token"), constant(ratio, "array<double>")) * 2) / 2
-    rows = held.where(F.length("token") >= LEAST_TOKEN).groupBy("label", F.least(F.greatest(value, F.lit(-500.0)), F.lit(500.0)).alias("score")).count().collect()
+    rows = (
+        held.where(F.length("token") >= LEAST_TOKEN)
+        .groupBy("label", F.least(F.greatest(value, F.lit(-500.0)), F.lit(500.0)).alias("score"))
+        .count()
+        .collect()
+    )
     n = [sum(r["count"] for r in rows if r["label"] == k) for k in (0, 1)]
     if min(n) < LEAST_HELD:
         return None
@@ -129,16 +143,13 @@ def scan(docs: DataFrame, log_odds: float | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", log_odds: float | None = None) -> DataFrame:
-    """docs with every span of scan() replaced by mark; overlapping spans are replaced as one."""
-    from .pii import cut_out
-
-    found = scan(docs, log_odds)
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut_out(F.col("text"), F.col("spans"), F.lit(mark))).otherwise(F.col("text"))).drop("base", "spans")
+    """docs with every span of scan() replaced by mark, overlapping spans as one; texts without one, null ones too, stay."""
+    return marked(docs, lambda held: scan(held, log_odds), mark)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Counts and places of secrets in every text: fixed formats, and what the models add; null counts as empty."""
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(documents(spark, sf_dir))
     return found.select(
         "doc_id",
         spans.count_of(F.col("base"), "assign").alias("n_assign"),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, importable, stored, table
+from .common import ascii_lower, documents, importable, stored
 
 WORDS, BITS, MAX_BITS, SEED = 3, 64, 2, 42
 #: Bits of a segment, groups of segments, and the most fingerprints of a cell that are paired up.
@@ -53,7 +53,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = pa.array([text_fingerprint(t.as_py(), words) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(run, "doc_id bigint, fp bigint")
+    )
 
 
 def _counts(fp: Column, segments: range) -> Column:
@@ -83,22 +86,34 @@ def cells(fps: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> Dat
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a and b, for which following links leads from each distinct fp to all that are reachable in steps of max_bits bits.
+    """a and b, for which following links leads from each distinct fp to all that are reachable in steps of max_bits bits (0 to 2).
 
-    Crowded cells meet at flipped bits if max_bits is 2; at other distances all cells are paired up.
+    Crowded cells meet at flipped bits: members within two bits have a flip in common, those within one are flips of each
+    other.
     """
+    if max_bits not in (0, 1, 2):
+        raise ValueError("fingerprints link at 0, 1 or 2 differing bits")
     placed = stored(cells(fps, max_bits), "cells")
     sized = placed.groupBy("cell").count().where("count > 1")
-    limit = CROWDED if max_bits == 2 else 1 << 62
-    few = placed.join(sized.where(F.col("count") <= limit).select("cell"), "cell")
+    few = placed.join(sized.where(F.col("count") <= CROWDED).select("cell"), "cell")
     left, right = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
-    pairs = left.join(right, "cell").where((F.col("a") < F.col("b")) & (manhattan(F.col("a"), F.col("b")) <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    pairs = (
+        left.join(right, "cell")
+        .where(
+            (F.col("a") < F.col("b")) & (manhattan(F.col("a"), F.col("b")) <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits),
+        )
+    )
     pairs = pairs.select("a", "b").distinct()
-    if max_bits != 2:
+    if max_bits == 0:  # distinct fingerprints differ
         return pairs
-    crowd = placed.join(sized.where(F.col("count") > limit).select("cell"), "cell", "left_semi").select("fp").distinct()
+    crowd = placed.join(sized.where(F.col("count") > CROWDED).select("cell"), "cell", "left_semi").select("fp").distinct()
     flips = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(BITS)])
-    near = crowd.select(F.col("fp").alias("a"), F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("x")).select("a", F.col("a").bitwiseXOR(F.col("x")).alias("b"))
+    near = (
+        crowd.select(F.col("fp").alias("a"), F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("x"))
+        .select("a", F.col("a").bitwiseXOR(F.col("x")).alias("b"))
+    )
+    if max_bits == 1:
+        return pairs.union(near.where("a < b").join(crowd.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
     # only those that two members share lead anywhere
     shared = near.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a < z").select("b", F.col("a").alias("least"))
     met = near.join(shared, "b").where(F.col("a") != F.col("least")).select("a", F.col("least").alias("b")).distinct()
@@ -120,7 +135,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: a node and its smaller ones go to the least of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = (
+            down.join(least, "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .union(least.select("a", F.col("m").alias("b")))
+            .where("a <> b")
+            .distinct()
+        )
         now = stored(small, name)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -144,7 +165,8 @@ def groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> Dat
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    out = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, fingerprint and component_id of every document; null and empty texts have fingerprint zero."""
+    out = groups(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -187,7 +209,10 @@ def class_keys(text: str | None, words: int = NEAR_WORDS) -> list[int]:
 def held(asked: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows (a, b) of asked whose sets (tid, s) have a likeness of NEAR or more."""
     both = F.size(F.array_intersect("sa", "sb"))
-    of = asked.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
+    of = (
+        asked.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a")
+        .join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
+    )
     return of.where(both >= NEAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
@@ -202,12 +227,38 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     common = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
     first = F.col("size") - F.ceil(F.col("size") * NEAR - 1e-9) + 1 - (F.col("size") - F.size("xs"))
     own = each.join(common, "x").groupBy("tid", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("xs"))
-    prefix = stored(own.where(first > 0).select("tid", "root", "size", F.explode(F.slice("xs", F.lit(1), first.cast("int"))).alias("p")).select("tid", "root", "size", "p.x"), "prefixes")
-    roots = prefix.groupBy("x", "root").agg(F.count("*").alias("n")).groupBy("x").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k"))
+    prefix = stored(
+        own.where(first > 0)
+        .select("tid", "root", "size", F.explode(F.slice("xs", F.lit(1), first.cast("int"))).alias("p"))
+        .select("tid", "root", "size", "p.x"),
+        "prefixes",
+    )
+    roots = (
+        prefix.groupBy("x", "root")
+        .agg(F.count("*").alias("n"))
+        .groupBy("x")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k"))
+    )
     mixed = roots.where("k > 1").select("x", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("m.root").alias("main"))
     dealt = prefix.join(mixed, "x")
-    left = dealt.where("root <> main").select("x", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("tid").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
-    right = dealt.select("x", F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"), F.col("tid").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
+    left = (
+        dealt.where("root <> main")
+        .select(
+            "x",
+            "main",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+            F.col("tid").alias("a"),
+            F.col("root").alias("ra"),
+            F.col("size").alias("na"),
+        )
+    )
+    right = dealt.select(
+        "x",
+        F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"),
+        F.col("tid").alias("b"),
+        F.col("root").alias("rb"),
+        F.col("size").alias("nb"),
+    )
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
     met = left.join(right, ["x", "block"]).where((F.col("ra") != F.col("rb")) & once & (F.least("na", "nb") >= NEAR * F.greatest("na", "nb")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -229,7 +280,10 @@ def near_roots(texts: DataFrame) -> DataFrame:
         for batch in batches:
             keys = [class_keys(t.as_py()) for t in batch.column("text")]
             tid = np.repeat(batch.column("tid").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array([x for k in keys for x in k], pa.int64())], names=["tid", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tid, pa.int64()), pa.array([x for k in keys for x in k], pa.int64())],
+                names=["tid", "key"],
+            )
 
     keyed = stored(texts.select("tid", "text").mapInArrow(run, "tid bigint, key bigint"), "keys")
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("l0")).where("n > 1")
@@ -246,33 +300,54 @@ def near_roots(texts: DataFrame) -> DataFrame:
     wanted = asked.select(F.col("a").alias("tid")).union(asked.select(F.col("b").alias("tid"))).distinct()
     words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - NEAR_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, NEAR_WORDS)))
-    sets = stored(texts.join(wanted, "tid", "left_semi").select("tid", words.alias("w")).select("tid", F.array_distinct(shingles).alias("s")), "sets")
+    sets = stored(
+        texts.join(wanted, "tid", "left_semi").select("tid", words.alias("w")).select("tid", F.array_distinct(shingles).alias("s")),
+        "sets",
+    )
     links = stored(held(asked, sets), "links")
     roots = components(links, "near")
 
     # crowded keys whose texts are still in more than one group
     crowded = keyed.join(sized.where(F.col("n") > PAIRED).select("key"), "key", "left_semi")
-    rooted = stored(crowded.join(roots, crowded["tid"] == roots["node"], "left").select("key", "tid", F.coalesce("root", "tid").alias("root")), "rooted")
+    rooted = stored(
+        crowded.join(roots, crowded["tid"] == roots["node"], "left").select("key", "tid", F.coalesce("root", "tid").alias("root")),
+        "rooted",
+    )
     spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     left = rooted.join(spread, "key", "left_semi").select("tid", "root").distinct()
     more = stored(held(stored(prefix_pairs(left.join(sets, "tid")), "asked_more"), sets), "links_more")
     return roots if more.isEmpty() else components(links.union(more), "near_all")
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """A text's node (64 bits) and check (32 more): equal texts have equal ones, others not both."""
+    return F.xxhash64(text), F.hash(text)
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each group of texts linked by near_roots() the least doc_id stays.
 
-    Equal texts are one group, null and empty ones too; of repeated rows one stays, null ids come first.
+    Equal texts are one group, null and empty ones too; of repeated rows one stays, null ids come first. Of texts
+    that share a node by chance, which their checks tell apart, the others stay unlinked: none goes as a copy of what it
+    isn't. Columns of any name stay.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit("")).cast("string")))
-    texts = stored(marked.groupBy("_tid").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))).alias("m")).select(F.col("_tid").alias("tid"), F.col("m.id").alias("first")), "texts")
+    given = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tid, check = text_keys(given)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        given.alias("text"),
+        tid.alias("tid"),
+        check.alias("check"),
+        id_.alias("id"),
+    )
+    texts = stored(marked.groupBy("tid", "check").agg(F.min("id").alias("id")), "texts")
+    nodes = texts.groupBy("tid").agg(F.min(F.struct("check", "id")).alias("m")).select("tid", "m.check", "m.id")
     # each text once, from the row of its first id
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    single = marked.withColumn("_id", key).join(texts.select(F.col("tid").alias("_tid"), F.col("first").alias("_id")), ["_tid", "_id"], "left_semi").select(F.col("_tid").alias("tid"), "text")
-    roots = near_roots(single)
-    grouped = texts.join(roots, texts["tid"] == roots["node"], "left").select("tid", "first", F.coalesce("root", "tid").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct("first", "tid")).alias("m")).select(F.col("m.tid").alias("_tid"), F.col("m.first").alias("_id"))
-    one = Window.partitionBy("_tid", "_id").orderBy(F.lit(1))
-    left = marked.withColumn("_id", key).join(best, ["_tid", "_id"], "left_semi")
-    return left.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*columns)
+    roots = near_roots(marked.join(nodes, ["tid", "check", "id"], "left_semi").select("tid", "text"))
+    grouped = nodes.join(roots, nodes["tid"] == roots["node"], "left").select("tid", "check", "id", F.coalesce("root", "tid").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("id", "tid", "check")).alias("m")).select("m.tid", "m.check", "m.id")
+    kept = best.unionByName(texts.join(nodes, ["tid", "check"], "left_anti"))
+    one = Window.partitionBy("tid", "check", "id").orderBy(F.lit(1))
+    left = marked.drop("text").join(kept, ["tid", "check", "id"], "left_semi").withColumn("n", F.row_number().over(one))
+    return left.where("n = 1").select("doc.*")

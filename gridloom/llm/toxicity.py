@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, stored, table
+from .common import documents, importable, stored, table
 
 #: The models are fitted on so many labelled documents of each kind at most, those of the least id hashes.
 MOST_TOXIC, MOST_ORDINARY = 2000, 3000
@@ -59,7 +59,13 @@ class Model:
         import zstandard as z
 
         if self._ready is None:
-            params = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+            params = z.ZstdCompressionParameters.from_level(
+                LEVEL,
+                write_content_size=False,
+                write_checksum=False,
+                write_dict_id=False,
+                format=z.FORMAT_ZSTD1_MAGICLESS,
+            )
             by = lambda d: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
             self._ready = by(self.ordinary), by(self.toxic), {}
         ordinary, toxic, known = self._ready
@@ -123,7 +129,10 @@ def _seen(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for t, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = sorted({w for w in windows(t) if 0 < len(w) <= LONGEST})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], names=["window", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())],
+                    names=["window", "toxic"],
+                )
 
     each = sample.select("text", "toxic").mapInArrow(run, "window string, toxic int")
     return each.groupBy("window").agg(F.sum("toxic").alias("in_toxic"), F.sum(1 - F.col("toxic")).alias("in_ordinary"))
@@ -153,7 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     import pyarrow as pa
 
     importable(docs.sparkSession)
-    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marked = (
+        labels.where("doc_id is not null and toxic is not null")
+        .where(~held_out("doc_id"))
+        .groupBy("doc_id")
+        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    )
     some = lambda toxic, most: marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = some(1, most_toxic).union(some(0, most_ordinary))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
@@ -166,43 +180,54 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             x = [model.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))],
+                names=["doc_id", "toxic", "x"],
+            )
 
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id string, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     total = dict(marked.groupBy("toxic").count().collect())
     stands_for = tuple(max(1.0, total.get(k, 0) / max(1, most)) for k, most in ((0, most_ordinary), (1, most_toxic)))
-    return calibrated(model, np.array([r["x"] for r in rows]).reshape(len(rows), len(blank)), np.array([r["toxic"] for r in rows], float), stands_for)
+    return calibrated(
+        model,
+        np.array([r["x"] for r in rows]).reshape(len(rows), len(blank)),
+        np.array([r["toxic"] for r in rows], float),
+        stands_for,
+    )
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score. Null and empty texts have a score too, that of no windows; every row gives one row.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score of this name. Null and empty texts have one too, that of no windows; every row gives one row.
 
-    A column named score is replaced; others stay, whatever their names.
+    A column of that name, in any case, is replaced; others stay, whatever their names.
     """
     import pyarrow as pa
 
     importable(docs.sparkSession)
-    own = docs.drop("score")
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in own.dtypes], "score double"])
+    own = docs.drop(name)
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in own.dtypes], f"`{name}` double"])
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 values = pa.array(model.scores(some.column(some.schema.names.index("text")).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*some.columns, values], names=[*some.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, values], names=[*some.schema.names, name])
 
     return own.mapInArrow(run, schema)
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score below threshold, as they were."""
-    return score(docs, train(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of docs with a score below threshold, as they were, whatever their columns."""
+    name = "score"
+    while name in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return score(docs, train(docs, labels), name).where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; null and empty texts score as no windows do."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -3,64 +3,16 @@
 import hashlib
 import random
 import re
-import zlib
 
-import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, pieces, pii, secret_scan, simhash, toxicity
+from gridloom.llm import decontaminate, pieces, simhash
 from gridloom.llm.common import tokenizer_file
 
 from .odd import LOWER, ODD, R, empty, prose
 
-def spans_of(found, column="base"):
-    return {r["doc_id"]: [(s["start"], s["rank"], s["end"], s["kind"]) for s in r[column]] for r in found.collect() if r["doc_id"] is not None}
-
-
-def test_secret_base_spans(odd):
-    got = spans_of(secret_scan.scan(odd))
-    for k, t in enumerate(ODD):
-        want = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "") if len(m[2]) >= 8]
-        want += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 16]
-        want += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 32]
-        assert got[k] == sorted(want), k
-    assert secret_scan.scan(empty(odd)).count() == 0 and secret_scan.scan(odd).count() == odd.count()
-
-
-def test_secret_models_tell_random_strings(spark):
-    keys = ["".join(R.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
-    plain = ["_".join(R.choice(["order", "customer", "invoice", "shipment", "total", "account"]) for _ in range(4)) for _ in range(300)]
-    rows = [(k, f"token={x} and " + " ".join(R.sample(plain, 8))) for k, x in enumerate(keys[:50])] + [(100 + k, f"see {x} there") for k, x in enumerate(keys[50:])] + [(200, "see customer_order_total_2024 there")]
-    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(found[100 + k] == ["markov"] for k in range(10)) and found[200] == []
-    left = secret_scan.redact(spark.createDataFrame(rows[50:51], "doc_id long, text string")).first()["text"]
-    assert left == rows[50][1]  # without labelled samples no model adds anything
-
-
-def luhn(digits):
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        x = int(c) * (1 + i % 2)
-        total += x - 9 * (x > 9)
-    return total % 10 == 0
-
-
-def test_pii_base_spans_and_redaction(odd):
-    found = pii.scan(odd)
-    got = spans_of(found)
-    for k, t in enumerate(ODD):
-        t, want = t or "", []
-        want += [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        want += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
-        for kind, rank, pattern, fits in (("card", 2, r"[0-9]([\x20-]?[0-9])+", lambda d: 14 <= len(d) <= 19 and luhn(d)), ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", lambda d: 10 <= len(d) <= 15)):
-            want += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, t) if fits(re.sub("[^0-9]", "", m[0]))]
-        assert got[k] == sorted(want), k
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(odd).collect()}
-    assert clean[0] is None and clean[1] == "" and clean[5] == ODD[5]
-    assert clean[12].startswith("mail [private][private], [private].5 256.1.1.1 [private] [private]")
-    assert pii.scan(empty(odd)).count() == 0
-
 
 def plain_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
@@ -183,47 +135,6 @@ def test_drop_near_in_a_crowded_family(spark):
     assert got == want
 
 
-def test_toxicity(spark, odd):
-    bad = ["scumbag", "moronic", "vile", "idiot"]
-    texts, labels = [], []
-    for k in range(300):
-        w = prose(60).split()
-        for _ in range(4 if k % 3 == 0 else 0):
-            w[R.randrange(60)] = R.choice(bad)
-        texts.append(" ".join(w))
-        labels.append(int(k % 3 == 0))
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    marks = spark.createDataFrame([(k, y, 1) for k, y in enumerate(labels)], "doc_id long, toxic int, quality int")
-    model = toxicity.train(docs, marks)
-    scored = {r["doc_id"]: (r["held"], r["score"]) for r in toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held"), "score").collect()}
-    assert {k for k, (h, _) in scored.items() if h} == {k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0}
-    assert np.mean([(s >= 0.5) == labels[k] for k, (h, s) in scored.items() if h]) >= 0.95
-    odd_scores = toxicity.score(odd, model).collect()
-    assert len(odd_scores) == odd.count() and all(0 <= r["score"] <= 1 for r in odd_scores)
-    assert toxicity.keep_ordinary(docs, marks).columns == ["doc_id", "text"] and toxicity.score(empty(odd), model).count() == 0
-    blank = toxicity.train(docs, marks.where("false"))
-    assert all(0 <= s <= 0.5 for s in blank.scores([None, "", "idiot"]))
-
-
-def test_toxicity_at_its_caps(spark, monkeypatch):
-    """Lowered caps, by which half of the sample is toxic and not a tenth, leave the scores nearly as they were."""
-    r = random.Random(3)
-    rows = []
-    for k in range(6000):
-        y = int(k % 10 == 0)
-        # bad words stand in ordinary texts too, so that many likelihoods are neither 0 nor 1
-        w = [r.choice(["scumbag", "moronic", "vile", "idiot"]) if r.random() < (0.08 if y else 0.02) else f"word{r.randrange(80)}" for _ in range(30)]
-        rows.append((k, " ".join(w), y))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    texts = [t for _, t, _ in rows]
-    whole = toxicity.train(docs, docs).scores(texts)
-    monkeypatch.setattr(toxicity, "MOST_TOXIC", 400)
-    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 400)
-    capped = toxicity.train(docs, docs).scores(texts)
-    print("mean", whole.mean(), capped.mean(), "same", ((whole >= 0.5) == (capped >= 0.5)).mean(), "toxic", (whole >= 0.5).mean(), (capped >= 0.5).mean())
-    assert abs(whole.mean() - capped.mean()) < 0.03 and ((whole >= 0.5) == (capped >= 0.5)).mean() >= 0.95
-
-
 def test_pipeline_on_the_small_tables(spark):
     import corpus_pipeline as cp
 
@@ -237,3 +148,120 @@ def test_pipeline_on_the_small_tables(spark):
     digest = {r["doc_id"]: r["decoded_sha256"] for r in out.collect()}
     kept = docs.where(F.col("doc_id").isin(ids)).collect()
     assert sum(digest[r["doc_id"]] == hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in kept) > len(kept) / 2
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_at_each_distance(spark, monkeypatch, bits):
+    """Groups at 0, 1 and 2 bits, in cells that are paired up and in crowded ones."""
+    r = random.Random(4)
+    seeds = [r.getrandbits(64) for _ in range(12)]
+    prints = sorted({s ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for s in seeds for _ in range(12)})
+    root = {p: p for p in prints}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for p in prints:
+        for q in prints:
+            if p < q and (p ^ q).bit_count() <= bits:
+                root[max(top(p), top(q))] = min(top(p), top(q))
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    groups = {}
+    for p in prints:
+        groups.setdefault(top(p), set()).add(signed(p))
+    for crowded in (32, 1):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        fps = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+        roots = {x["node"]: x["root"] for x in simhash.components(simhash.links(fps, bits)).collect()}
+        got = {}
+        for p in prints:
+            got.setdefault(roots.get(signed(p), signed(p)), set()).add(signed(p))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+    with pytest.raises(ValueError):
+        simhash.links(fps, 3)
+
+
+def test_drop_near_when_nodes_collide(spark, monkeypatch):
+    """Texts that share a node by chance: none goes as a copy of another."""
+    monkeypatch.setattr(simhash, "text_keys", lambda t: (F.length(t).cast("long"), F.hash(t)))
+    rows = [(1, "one two three four"), (2, "two one four three"), (3, "two one four three"), (4, "x"), (5, "y"), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.lit(0)).withColumn("n", F.lit(3))
+    kept = simhash.drop_near(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6] and kept.columns == docs.columns
+
+
+def test_near_copies_recall_on_a_given_table(spark):
+    """The stage against exact likenesses of all pairs, found by an inverted list of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = {}
+    for k, t in sorted((r["doc_id"], r["text"] or "") for r in docs.collect()):
+        first.setdefault(t, k)
+    sets, held = {}, {}
+    for t, k in first.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[k]:
+            held.setdefault(s, []).append(k)
+    common = {}
+    for ks in held.values():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                common[a, b] = common.get((a, b), 0) + 1
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {top(k) for k in sets}
+    got = {r["doc_id"] for r in simhash.drop_near(docs).collect()}
+    print("pairs", len(pairs), "kept", len(got), "brute force", len(want))
+    assert got == want
+
+
+def test_op3_op4_op7_on_the_small_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    want = sorted(con.execute(f"select doc_id, n_words, n_hit, n_items, items_sha256, contaminated from ({decontaminate.OP3_SQL})").fetchall())
+    assert sorted(tuple(r) for r in decontaminate.op3_decontaminate(spark, folder).collect()) == want
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    lib = pieces.encoder(tokenizer_file(pieces.MODEL)).library
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in pieces.op4_pieces(spark, folder).collect():
+        ids = lib.encode(texts[r["doc_id"]], add_eos=True)
+        assert tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op7_simhash(spark, folder).collect()}
+    assert got.keys() == texts.keys()
+    prints = {k: int(f, 16) for k, (f, _) in got.items()}
+    assert all(prints[k] == simhash.text_fingerprint(texts[k], 3) % (1 << 64) for k in texts)
+    assert all(got[k][1] == got[j][1] for k in texts for j in texts if (prints[k] ^ prints[j]).bit_count() <= 2)
+
+
+def test_pipeline_stages_on_odd_documents(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns, and an empty table, through every stage."""
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(8)] + [(None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(ODD[5].split()[10:30])), (2, None)], "item_id long, text string")
+    for n, (docs, marks, bench) in enumerate([(odd, labels, items), (empty(odd), labels.where("false"), items.where("false"))]):
+        folder = f"{tmp_path}/{n}"
+        for name, df in (("documents", docs), ("labels", marks), ("benchmark", bench)):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        stored = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in cp.STAGES:
+            out = stage(spark, stored, folder)
+            kept = out.count()
+            assert out.columns == stored.columns or name == "tokens"
+            same = {"doc_id", "lang", "score", "base", "hit"}  # columns that operators have names of
+            assert {tuple(r) for r in out.select(*sorted(same)).collect()} <= {tuple(r) for r in stored.select(*sorted(same)).collect()}
+            assert kept <= stored.count() and (name not in ("personal data", "tokens") or kept == stored.count())
+        ids = [r["doc_id"] for r in cp.run(spark, folder).collect()]
+        assert len(ids) == len(set(ids)) and (n == 0) == bool(ids)
