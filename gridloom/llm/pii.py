@@ -5,8 +5,8 @@ key, so the labelled candidates of all texts count up to a table no larger than
 the candidate overlaps a span of the fixed formats, and what defines these formats (an at sign, a plus, the check
 digit, numbers of at most 255) is not among the features: the trees learn where and in which shapes personal data
 stands, and find what is written otherwise there, such as a spelled-out at, a telephone number without its plus or
-a mistyped card number. For each generator the threshold is the least one that reaches PRECISION on the fold held
-back; a key at or above it is selected wherever it occurs. Built-in functions and Spark's own trees only.
+a mistyped card number. For each generator the threshold is the least score down to which every score has PRECISION on the
+fold held back; a key at or above it is selected wherever it occurs. Built-in functions and Spark's own trees only.
 """
 
 from __future__ import annotations
@@ -118,13 +118,24 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 
 def _calibrated(scored: list, precision: float, least: int) -> list[int]:
-    """Keys of one generator from the least score on that has the precision, and enough labelled rows, on the fold held back."""
-    threshold, hit, all_ = None, 0.0, 0.0
-    held = sorted((r for r in scored if r["fold"] == 1), key=lambda r: -r["p"])
-    for k, r in enumerate(held):
-        hit, all_ = hit + r["n"] * r["label"], all_ + r["n"]
-        if (k + 1 == len(held) or held[k + 1]["p"] < r["p"]) and hit >= least and hit / all_ >= precision:
-            threshold = r["p"]
+    """Keys of one generator down to the least score of which the fold held back has enough labelled rows.
+
+    Scores are taken from the greatest down, and end before the first that has not the precision for itself: many
+    sure candidates don't make up for a score that stands for as many others as labelled ones.
+    """
+    levels: dict[float, list[float]] = {}
+    for r in scored:
+        if r["fold"] == 1:
+            level = levels.setdefault(r["p"], [0.0, 0.0])
+            level[0] += r["n"] * r["label"]
+            level[1] += r["n"]
+    threshold, hit = None, 0.0
+    for p in sorted(levels, reverse=True):
+        if levels[p][0] < precision * levels[p][1]:
+            break
+        hit += levels[p][0]
+        if hit >= least:
+            threshold = p
     return [r["key"] for r in scored if threshold is not None and r["p"] >= threshold]
 
 
