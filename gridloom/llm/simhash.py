@@ -221,7 +221,9 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 
     Of two such sets each lacks at most 1 - NEAR of the other's shingles, so with the shingles in one order, rarest
     first, both have one of their first 1 - NEAR in common, plus one. Shingles of one text alone come first and are
-    only counted. A shingle's rows outside its largest root meet all of its rows, in blocks of BLOCK.
+    only counted. If a shingle is the first that two sets have in common, they share no more than either has from it on:
+    that must reach what two sets of their sizes need for NEAR. A shingle's rows outside its largest root meet all
+    of its rows, in blocks of BLOCK.
     """
     each = stored(sets.select("tid", "root", F.size("s").alias("size"), F.explode("s").alias("x")), "shingles")
     common = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
@@ -229,8 +231,8 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     own = each.join(common, "x").groupBy("tid", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("xs"))
     prefix = stored(
         own.where(first > 0)
-        .select("tid", "root", "size", F.explode(F.slice("xs", F.lit(1), first.cast("int"))).alias("p"))
-        .select("tid", "root", "size", "p.x"),
+        .select("tid", "root", "size", F.size("xs").alias("n"), F.posexplode(F.slice("xs", F.lit(1), first.cast("int"))).alias("at", "p"))
+        .select("tid", "root", "size", (F.col("n") - F.col("at")).alias("rest"), "p.x"),
         "prefixes",
     )
     roots = (
@@ -250,6 +252,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
             F.col("tid").alias("a"),
             F.col("root").alias("ra"),
             F.col("size").alias("na"),
+            F.col("rest").alias("from_a"),
         )
     )
     right = dealt.select(
@@ -258,9 +261,11 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         F.col("tid").alias("b"),
         F.col("root").alias("rb"),
         F.col("size").alias("nb"),
+        F.col("rest").alias("from_b"),
     )
+    needed = F.ceil((F.col("na") + F.col("nb")) * (NEAR / (1 + NEAR)) - 1e-9)
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["x", "block"]).where((F.col("ra") != F.col("rb")) & once & (F.least("na", "nb") >= NEAR * F.greatest("na", "nb")))
+    met = left.join(right, ["x", "block"]).where((F.col("ra") != F.col("rb")) & once & (F.least("from_a", "from_b") >= needed))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
