@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.text import band
+
 TOLERANCES = (0, 1, 2, 3, 5, 10)
 
 
@@ -54,6 +58,61 @@ def error_decomposition(boards: DataFrame, pred: str = "pred", truth: str = "tru
     )
 
 
+class Features:
+    """Named numbers of a row, each an expression, by which metrics are told apart in bands."""
+
+    def __init__(self):
+        self._made: dict[str, Callable[[], Column]] = {}
+
+    def add(self, name: str) -> Callable:
+        def put(function: Callable[[], Column]) -> Callable[[], Column]:
+            if name in self._made:
+                raise ValueError(f"{name} is there already")
+            self._made[name] = function
+            return function
+
+        return put
+
+    def names(self) -> list[str]:
+        return sorted(self._made)
+
+    def of(self, name: str) -> Column:
+        if name not in self._made:
+            raise KeyError(f"unknown feature {name}; there are {', '.join(self.names())}")
+        return self._made[name]()
+
+
+def band_names(n: int) -> list[str]:
+    """Two or three bands have words, more are numbered, from the lowest."""
+    return {2: ["low", "high"], 3: ["low", "medium", "high"]}.get(n) or [f"band{k}" for k in range(n)]
+
+
+def middle_cuts(df: DataFrame, features: Features, names: list[str]) -> dict[str, list[float]]:
+    """The default cut of each feature: its value at place floor(n / 2) of all, from 0; one value a feature reaches the driver."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), features.of(n).cast("double").alias("value")) for n in names]))
+    values = df.select(each.alias("f")).select("f.feature", "f.value").where("value is not null")
+    return {r["feature"]: [r["value"]] for r in nearest_rank(values, "feature", "value", [0.5]).collect()}
+
+
+def by_bands(df: DataFrame, features: Features, cuts: dict[str, list[float]], measures: list[Column], overall: str = "overall") -> DataFrame:
+    """feature, band, place (of the band, from the lowest) and measures of each band of each feature, and of all rows once.
+
+    One scan and one aggregation by grouping sets serve all features. A value equal to a cut is in the band above it; a
+    null value is in none (band null), so that a feature's bands add up to all rows. Bands without rows have none here.
+    """
+    place = {n: F.when(features.of(n).isNotNull(), band(features.of(n).cast("double"), sorted(c))) for n, c in cuts.items()}
+    keyed = df.select("*", *[p.alias(f"_band_{n}") for n, p in place.items()])
+    keys = [f"_band_{n}" for n in cuts]
+    told = keyed.groupingSets([*[[k] for k in keys], []], *keys).agg(*measures, *[F.grouping(k).alias(f"_free{k}") for k in keys])
+    feature, at, name = F.lit(overall), F.lit(None).cast("int"), F.lit(None).cast("string")
+    for n, k in zip(cuts, keys, strict=True):
+        own = F.col(f"_free{k}") == 0
+        feature, at = F.when(own, n).otherwise(feature), F.when(own, F.col(k)).otherwise(at)
+        name = F.when(own, F.get(F.array(*map(F.lit, band_names(len(cuts[n]) + 1))), F.col(k))).otherwise(name)
+    out = [c for c in told.columns if not c.startswith("_band_") and not c.startswith("_free")]
+    return told.select(feature.alias("feature"), name.alias("band"), at.cast("int").alias("place"), *out)
+
+
 def nearest_rank(df: DataFrame, key: str, value: str, fractions: list[float]) -> DataFrame:
     """Per key, for each fraction f the value at place min(n - 1, floor(f n)) of the sorted values.
 

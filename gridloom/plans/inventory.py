@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text
-from gridloom.operators import merging, splits, timeline, vectors
+from gridloom.operators import merging, nested, splits, timeline, vectors
 from gridloom.plans.registry import query, table
 
 
@@ -101,13 +101,13 @@ def timeline_digest(spark, sf_dir):
 
 
 @query("""
-SELECT c_mktsegment, CAST(sum(CASE WHEN contains(c_name, '00') THEN 1 ELSE 0 END) AS BIGINT) AS surname, CAST(sum(CASE WHEN upper(regexp_replace(c_name,
+SELECT c_mktsegment, CAST(sum(CASE WHEN contains(c_name, lpad(CAST(c_custkey % 97 AS VARCHAR), 2, '0')) THEN 1 ELSE 0 END) AS BIGINT) AS surname, CAST(sum(CASE WHEN upper(regexp_replace(c_name,
     '[^A-Za-z0-9]', '', 'g')) = 'CUSTOMER' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') THEN 1 ELSE 0 END) AS BIGINT) AS exact, round(avg(CASE WHEN
-    contains(c_name, '00') THEN 1e0 ELSE 0e0 END), 6) AS rate FROM customer GROUP BY 1
+    contains(c_name, lpad(CAST(c_custkey % 97 AS VARCHAR), 2, '0')) THEN 1e0 ELSE 0e0 END), 6) AS rate FROM customer GROUP BY 1
 """)
 def name_scores(spark, sf_dir):
     """Benchmark scores of read names: plain containment, and equality of letters and digits."""
-    held = F.contains("c_name", F.lit("00"))
+    held = F.contains("c_name", F.lpad((F.col("c_custkey") % 97).cast("string"), 2, "0"))
     exact = text.alnum_upper(F.col("c_name")) == F.concat(F.lit("CUSTOMER"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
     return (
         table(spark, sf_dir, "customer")
@@ -128,6 +128,49 @@ def fresh_ids(spark, sf_dir):
     return new.select("c_custkey", F.concat(F.lit("tpl"), (F.col("place") + have).cast("string")).alias("fresh"))
 
 
+@query("""
+WITH taken AS (SELECT DISTINCT o_custkey AS t FROM orders WHERE o_custkey % 5 <> 0), have AS (SELECT count(*) AS n FROM taken), new AS (SELECT p_partkey,
+    row_number() OVER (ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0),
+free AS (SELECT f, row_number() OVER (ORDER BY f) AS k FROM (SELECT unnest(range(n, n + (SELECT count(*) FROM new) + n)) AS f FROM have) WHERE f NOT IN (SELECT t FROM taken))
+SELECT p_partkey, 'tpl' || CAST(f AS VARCHAR) AS fresh FROM new JOIN free USING (k)
+""")
+def fresh_ids_past_taken(spark, sf_dir):
+    """New ids counted up from the size of the registry, past those that it has ahead of its size."""
+    taken = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select("o_custkey").distinct()
+    registry = taken.select(F.concat(F.lit("tpl"), F.col("o_custkey").cast("string")).alias("id"))
+    new = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey")
+    return splits.fresh_ids(new, "p_partkey", registry, "id", "tpl")
+
+
+_PROVENANCE = """
+'{"source":{"props":' || props || ',"steps":[{"file":"' || CASE WHEN event_id % 7 = 0 THEN '/srv/' ELSE 'runs/' END || event_type || '"},"/mnt/' || CAST(user_id AS STRING) || '",' ||
+CASE WHEN event_id % 3 = 0 THEN '{"deep":{"er":["x","/tmp/a"]}}' ELSE 'null' END || ']},"value":' || CAST(event_id AS STRING) || '}'
+"""
+
+
+@query(f"""
+SELECT e.event_id, replace(t.fullkey, '$', '') AS path, json_extract_string(e.j, t.fullkey) AS value FROM (SELECT event_id, {_PROVENANCE} AS j FROM events) e, json_tree(e.j) t
+WHERE t.type = 'VARCHAR' AND json_extract_string(e.j, t.fullkey) LIKE '/%'
+""")
+def absolute_paths(spark, sf_dir):
+    """Absolute texts anywhere in nested provenance: path and value of each."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_PROVENANCE).alias("provenance"))
+    return nested.absolute_texts(e, ["event_id"], "provenance")
+
+
+@query("""
+SELECT o_orderkey, sha256('{"custkey":' || o_custkey || ',"lines":[{"a":"' || o_orderstatus || '","b":{"x":null,"y":' || (o_orderkey % 7) || '}},true],"price":' ||
+    regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '[.]?0+$', '') || '}') AS fingerprint FROM orders
+""")
+def canonical_fingerprint(spark, sf_dir):
+    """sha256 of the canonical JSON of nested records; the members are written in another order here."""
+    o = F.col("o_orderkey")
+    inner = F.struct((o % 7).alias("y"), F.lit(None).cast("int").alias("x"))
+    line = F.to_json(F.struct(inner.alias("b"), F.col("o_orderstatus").alias("a")), {"ignoreNullFields": "false"})
+    record = F.concat(F.lit('{"price": '), F.col("o_totalprice").cast("string"), F.lit(', "lines": [ '), line, F.lit(' ,true], "custkey":'), F.col("o_custkey").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "orders").select(o, record.alias("r")).select("o_orderkey", F.sha2(nested.canonical(F.col("r")), 256).alias("fingerprint"))
+
+
 @query("""
 SELECT l_shipmode AS kind, n FROM (SELECT CASE WHEN l_quantity < 10 THEN 'unknown' WHEN l_returnflag = 'A' THEN 'gap' ELSE 'task' END AS l_shipmode, count(*) AS
     n FROM lineitem WHERE NOT (l_quantity >= 10 AND l_returnflag = 'N') GROUP BY 1)
@@ -208,7 +251,7 @@ def rerun_predicate(spark, sf_dir):
 
 @query("""
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY
-    user_id) AS n FROM events) WHERE k IN (1, n, 1 + n // 2)
+    user_id) AS n FROM events) WHERE k IN (1, n, 1 + (n - 1) // 2)
 """)
 def spread_order(spark, sf_dir):
     """The ends and the middle of each user's values: the first three of the spread order."""
@@ -217,7 +260,7 @@ def spread_order(spark, sf_dir):
         table(spark, sf_dir, "events")
         .select("user_id", "event_id", F.row_number().over(w.orderBy("value", "event_id")).alias("k"), F.count("*").over(w).alias("n"))
     )
-    return e.where((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == 1 + F.floor(F.col("n") / 2))).select("user_id", "event_id")
+    return e.where((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == 1 + F.floor((F.col("n") - 1) / 2))).select("user_id", "event_id")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import board, text
-from gridloom.operators import matching, metrics
+from gridloom.operators import matching, metrics, recognition
 from gridloom.plans.registry import query, table
 
 
@@ -297,3 +297,61 @@ def best_checkpoints(spark, sf_dir):
         d.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("acc"), "epoch")).cast("long"))
         .where("place <= 2")
     )
+
+
+LINE_FEATURES = metrics.Features()
+
+
+@LINE_FEATURES.add("quantity")
+def _quantity():
+    return F.col("l_quantity")
+
+
+@LINE_FEATURES.add("price")
+def _price():
+    return F.col("l_extendedprice") / F.col("l_quantity")
+
+
+@LINE_FEATURES.add("day")
+def _day():
+    return F.dayofmonth("l_shipdate")
+
+
+def _of_feature(name: str, value: str, cuts: list[float]) -> str:
+    names = metrics.band_names(len(cuts) + 1)
+    place = " + ".join(f"CASE WHEN {value} >= {c} THEN 1 ELSE 0 END" for c in cuts)
+    return f"SELECT '{name}' AS feature, {names}[1 + {place}] AS band, CAST({place} AS INT) AS place, wrong FROM li"
+
+
+@query(f"""
+WITH li AS (SELECT *, CAST(floor(l_discount * 100 + 0.5) AS INT) AS wrong FROM lineitem), q AS (SELECT l_quantity AS m FROM lineitem ORDER BY 1 LIMIT 1 OFFSET
+    (SELECT count(*) // 2 FROM lineitem)),
+b AS ({_of_feature("quantity", "l_quantity", ["(SELECT m FROM q)"])} UNION ALL {_of_feature("price", "l_extendedprice / l_quantity", ["1000e0", "1500e0"])}
+    UNION ALL {_of_feature("day", "day(l_shipdate)", ["8", "15", "22"])} UNION ALL SELECT 'overall', NULL, NULL, wrong FROM li)
+SELECT feature, band, place, count(*) AS n, {_WITHIN} FROM b GROUP BY 1, 2, 3
+""")
+def feature_bands(spark, sf_dir):
+    """Tolerance shares by bands of three registered features in one scan; quantity is cut at its middle."""
+    li = table(spark, sf_dir, "lineitem")
+    cuts = {**metrics.middle_cuts(li, LINE_FEATURES, ["quantity"]), "price": [1000.0, 1500.0], "day": [8.0, 15.0, 22.0]}
+    wrong = F.floor(F.col("l_discount") * 100 + 0.5).cast("int")
+    return metrics.by_bands(li, LINE_FEATURES, cuts, [F.count("*").alias("n"), *metrics.within(wrong)])
+
+
+@query("""
+WITH s AS (SELECT vec_id, list_transform(range(0, 832), lambda j: CAST(embedding[j % 64 + 1] AS DOUBLE) * ((j // 64) % 5 + 1)) AS s FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda k: list_position(s[k * 13 + 1 : k * 13 + 13], list_max(s[k * 13 + 1 : k * 13 + 13])) - 1), ',') AS
+    labels, CASE WHEN vec_id % 50 = 0 THEN 'not 832 scores' WHEN vec_id % 50 = 1 THEN 'score not finite' END AS problem FROM s WHERE vec_id % 50 > 1
+UNION ALL SELECT vec_id, NULL, CASE vec_id % 50 WHEN 0 THEN 'not 832 scores' ELSE 'score not finite' END FROM s WHERE vec_id % 50 <= 1
+""")
+def recognized_labels(spark, sf_dir):
+    """Labels of boards from 832 scores by the recognizers' hook; rows of broken scores are reported."""
+    e = table(spark, sf_dir, "embeddings")
+    scores = F.transform(F.sequence(F.lit(0), F.lit(831)), lambda j: F.get("embedding", j % 64).cast("double") * (F.floor(j / 64) % 5 + 1))
+    broken = (
+        F.when(F.col("vec_id") % 50 == 0, F.slice(scores, 1, 831))
+        .when(F.col("vec_id") % 50 == 1, F.concat(F.slice(scores, 1, 831), F.array(F.lit(float("nan")))))
+        .otherwise(scores)
+    )
+    out = recognition.recognized(e.select("vec_id", broken.alias("scores")))
+    return out.select("vec_id", F.array_join("labels", ",").alias("labels"), "problem")

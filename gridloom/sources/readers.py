@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from gridloom.functions import board
+from gridloom.sources import npy
 
 COCO = """struct<images:array<struct<id:bigint,file_name:string>>,categories:array<struct<id:int,name:string>>,
 annotations:struct<pieces:array<struct<image_id:bigint,category_id:int,chessboard_position:string>>>,
@@ -141,7 +142,12 @@ def append_log(spark: SparkSession, path: str, schema: str, key: str, sequence:
 
 
 def cached_vectors(spark: SparkSession, path: str, vector: str, width: int) -> DataFrame | None:
-    """Cached vectors, or None, and so to be made anew, if there are none or one has another width."""
+    """Cached vectors, or None, and so to be made anew, if there are none or one has another width.
+
+    A path that ends in .npy is one array of numpy, whose header tells the width before any row is read.
+    """
+    if path.endswith(".npy"):
+        return npy.vectors(spark, path, width, vector)
     found = tolerant(spark, path, None)
     if found is None or vector not in found.columns or found.where((F.size(vector) != width) | F.col(vector).isNull()).limit(1).count():
         return None
@@ -178,19 +184,39 @@ def artifacts(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFram
     return paths.groupBy(video.alias("video")).agg(*[F.bool_or(name.rlike(p)).alias(k) for k, p in kinds.items()])
 
 
+EVENT = "[Event "
+
+
+def game_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, game_no (from 0) and g, the text of every game of files of game text; a game begins with a line [Event.
+
+    Games are Spark's records, told apart by that line, so a large file is read by many tasks. They are numbered within
+    the block that a task reads, and the blocks of a file by how many games each has. What comes before a file's
+    first game is one by itself unless it is blank.
+    """
+    read = (
+        spark.read.text(path, lineSep=f"\n{EVENT}")
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    )
+    first = (F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) == 1) & (F.col("block") == 0)
+    whole = read.select("path", "block", "at", F.when(first, F.col("value")).otherwise(F.concat(F.lit(EVENT), "value")).alias("g")).where(F.col("g").rlike(r"\S"))
+    placed = whole.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
+    counts = placed.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = counts.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    return placed.join(before, ["path", "block"]).select("path", (F.col("before") + F.col("k")).cast("int").alias("game_no"), "g")
+
+
 def games(spark: SparkSession, path: str) -> DataFrame:
-    """game_no, headers and moves (ply, san, clock in seconds) of every game of files of game text.
+    """path, game_no, headers and moves (ply, san, clock in seconds) of every game of files of game text.
 
     A game begins with an [Event line. Comments other than clocks, variations, move numbers, glyphs and results
     are left out. Moves are as written: positions are replayed by whoever needs them.
     """
-    text = (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.posexplode(F.filter(F.split("value", r"(?m)^(?=\[Event )"), lambda g: F.trim(g) != "")).alias("game_no", "g"),
-        )
-    )
+    return moves_of(game_texts(spark, path))
+
+
+def moves_of(text: DataFrame) -> DataFrame:
+    """headers and moves of the game text g, beside path and game_no."""
     keys, values = F.regexp_extract_all("g", F.lit(r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]'), F.lit(1)), F.regexp_extract_all("g", F.lit(r'(?m)^\[(\w+) "((?:[^"\\]|\\.)*)"\]'), F.lit(2))
     body = F.regexp_replace(F.regexp_replace("g", r'(?m)^\[\w+ "(?:[^"\\]|\\.)*"\]', " "), r"\([^()]*\)", " ")
     marks = F.regexp_extract_all(body, F.lit(r"(?s)\{[^}]*\}|[^\s{}]+"), F.lit(0))

@@ -55,6 +55,39 @@ def replace(df: DataFrame, target: str, check: Callable[[DataFrame], None] | Non
     _swap(spark, stage, target, backup)
 
 
+def rebuild(fresh: DataFrame, target: str, by: str, scope: list, key: list[str], report: str | None = None) -> DataFrame:
+    """Builds the partitions of target whose column by has a value of scope anew from fresh; the others keep their files.
+
+    Returns by and key of the rows that these partitions had and fresh lacks, found in the same run before anything is
+    written over, and kept at report (target.dropped if that isn't given). fresh may read target, and must hold no row
+    beyond scope, null included. A partition of scope without fresh rows goes. What was made is staged first, so a
+    rebuild that broke off is repeated with the same fresh rows.
+    """
+    spark, stage, report = fresh.sparkSession, f"{target}.stage-{uuid.uuid4().hex}", report or f"{target}.dropped"
+    fs, staged = _fs(spark, stage)
+    try:
+        fresh.write.parquet(stage)
+        new = spark.read.parquet(stage)
+        within = F.coalesce(F.col(by).isin(*scope), F.lit(False)) if scope else F.lit(False)
+        if beyond := new.where(~within).select(by).limit(1).collect():
+            raise ValueError(f"{by} {beyond[0][0]!r} is beyond the scope")
+        gone = []
+        if fs.exists(_fs(spark, target)[1]):
+            old = spark.read.schema(new.schema).parquet(target).where(within)
+            old.join(new, [by, *key], "left_anti").select(by, *key).write.mode("overwrite").parquet(report)
+            folders = old.select(by, F.regexp_replace("_metadata.file_path", "/[^/]+$", "").alias("folder")).distinct()
+            gone = [r["folder"] for r in folders.join(new.select(by).distinct(), by, "left_anti").collect()]  # one a partition
+        else:
+            new.limit(0).select(by, *key).write.mode("overwrite").parquet(report)
+        if scope:
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(target)
+        for path in gone:
+            fs.delete(_fs(spark, path)[1], True)
+    finally:
+        fs.delete(staged, True)
+    return spark.read.parquet(report)
+
+
 def replace_json(df: DataFrame, target: str) -> None:
     """A small frame as one file of JSON lines at target, whole or not at all."""
     spark, stage = df.sparkSession, f"{target}.stage-{uuid.uuid4().hex}"
