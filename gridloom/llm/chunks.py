@@ -1,12 +1,15 @@
 """Substring duplicates by content-defined chunks with a gear rolling hash.
 
-A chunk ends where the rolling hash of the last WINDOW bytes is low, so what is inserted before a passage moves
-no cut inside it. Chunks with one digest of 96 bits are the same text (of 2.5e12 chunks, 100 TB, two others agree
-with a probability of 4e-5); the first by doc_id and place stays, the others are extra. Neighbouring repeated
-chunks are a run. Cuts agree only inside a passage, so a run lacks what the passage has before its first and after
-its last common cut: with each chunk go short hashes of STEPS characters before and after it, and a run reaches as
-far as these agree with the other copy's (a step too far once in 255 ends). A run of at least MIN_RUN characters is
-a repeated span: shorter repeats, such as stock phrases, are no passages. All places are in characters (code points).
+A chunk ends where the rolling hash of the last WINDOW bytes is the least within APART characters either way, so what
+is inserted before a passage moves no cut inside it, and a chunk has more than APART characters unless its text has
+fewer: none is so short that it repeats by chance everywhere. Chunks with one digest of 96 bits are the same text (of
+2.5e12 chunks, 100 TB, two others agree with a probability of 4e-5); the first by doc_id and place stays, the others
+are extra. Neighbouring repeated chunks are a run. Cuts agree only inside a passage, so a run lacks what the passage
+has before its first and after its last common cut: with each chunk go short hashes of STEPS characters before and
+after it, and a run reaches as far as these agree with the other copy's (a step too far once in 255 ends). A run
+that reaches over at least MIN_RUN characters is a repeated span: shorter repeats, such as stock phrases, are no
+passages. What is cut out of a text are extra chunks alone, never what the short hashes add. All places are in
+characters (code points).
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql.window import Window
 
 from .common import documents, importable, row_key, slices, stored
 
-#: Bytes that a cut depends on, mean bytes of a chunk, greatest characters of one, least characters of a repeated span.
-WINDOW, MEAN, MOST, MIN_RUN = 16, 40, 1023, 200
+#: Bytes that a hash depends on, characters either way in which a cut's is the least (chunks have twice as many and one
+#: in the mean), greatest characters of a chunk, least characters of a repeated span.
+WINDOW, APART, MOST, MIN_RUN = 16, 20, 1023, 200
 #: Characters that are chunked at once.
 BATCH_CHARS = 2_000_000
 #: Characters beyond either end of a chunk that are compared, by a byte of hash each.
@@ -49,16 +53,32 @@ class _Powers:
 _powers = _Powers()
 
 
-def _cut_after(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each character that begins at starts (the last of which is the end), whether the hash is low after it."""
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The rolling hash after each byte: the sum of gear[data[i - j]] << j over j < WINDOW."""
     h = GEAR[data]
     width = 1
-    while width < WINDOW:  # h[i] = sum of gear[data[i-j]] << j over j < width
+    while width < WINDOW:
         moved = np.zeros_like(h)
         moved[width:] = h[:-width] << np.uint32(width)
         h = h + moved
         width *= 2
-    return (h[starts[1:] - 1] & np.uint32(0xFFFF)) < np.uint32(65536 // MEAN)
+    return h
+
+
+def _least(h: np.ndarray, size: int) -> np.ndarray:
+    """The least of each size neighbouring values, by where they begin."""
+    width = 1
+    while 2 * width <= size:
+        h, width = np.minimum(h[:-width], h[width:]), 2 * width
+    return h if width == size else np.minimum(h[: -(size - width)], h[size - width :])
+
+
+def _cuts(h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are less than the APART before them and no more than the APART after them."""
+    if len(h) <= 2 * APART:
+        return np.zeros(0, np.int64)
+    least, own = _least(h, APART), h[APART:-APART]
+    return np.flatnonzero((own < least[: len(own)]) & (own <= least[APART + 1 :])) + APART
 
 
 def _edges(data: np.ndarray, starts: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -80,24 +100,27 @@ def _edges(data: np.ndarray, starts: np.ndarray, begin: np.ndarray, end: np.ndar
 def chunks_of(texts: list[str]) -> tuple:
     """Of several texts at once the text's number, begin and end (in its characters), digest, check (32 more bits of it), and edges, of every chunk.
 
-    The texts lie one after the other with WINDOW zero bytes between them, so no cut depends on another text.
+    The texts lie one after the other with APART zero bytes between them, so no cut depends on another text.
     """
     from xxhash import xxh3_128_digest
 
     each = [t.encode("utf-8", "surrogatepass") for t in texts]
-    gap = bytes(WINDOW)
+    gap = bytes(APART)
     raw = b"".join([gap + e for e in each]) + gap
     data = np.frombuffer(raw, np.uint8)
     starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     size = np.array([len(e) for e in each], np.int64)
-    at = np.cumsum(size + WINDOW) - size
+    at = np.cumsum(size + APART) - size
     low, high = np.searchsorted(starts, at), np.searchsorted(starts, at + size)  # the texts' first characters and ends
-    last = _cut_after(data, starts)
-    last[high[size > 0] - 1] = True
-    end = np.flatnonzero(last) + 1
+    h, edge = _hashes(data)[starts[1:] - 1], np.zeros(len(starts), np.int64)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    h[np.cumsum(edge)[:-1] == 0] = 0xFFFFFFFF  # between the texts
+    cut = _cuts(h) + 1
+    of = np.searchsorted(low, cut - 1, "right") - 1
+    far = (of >= 0) & (cut - low[of] > APART) & (high[of] - cut > APART)
+    end = np.sort(np.append(cut[far], high[size > 0]))
     of = np.searchsorted(low, end - 1, "right") - 1
-    inside = (of >= 0) & (end <= high[np.maximum(of, 0)])
-    end, of = end[inside], of[inside]
     begin = np.maximum(np.append(0, end[:-1])[: len(end)], low[of])
     pieces = (end - begin - 1) // MOST + 1
     if (pieces > 1).any():  # long stretches without a cut, such as one character repeated
@@ -150,8 +173,8 @@ def _reach(own: Column, other: Column, first: int) -> Column:
     return out.otherwise(F.lit(STEPS[-1]))
 
 
-def _runs(keyed: DataFrame, within: bool) -> DataFrame:
-    """Every repeated chunk: row, doc_id, start, end, extra, first_doc_id, before and after (its reach) and run."""
+def _repeated(keyed: DataFrame, within: bool) -> DataFrame:
+    """Every repeated chunk: row, doc_id, start, end, extra, first_doc_id, before and after (its reach)."""
     all_ = chunked(keyed)  # made twice: a table of all chunks is as large as the texts
     here = F.struct("doc_id", "row", "place", "edges")
     met = all_.groupBy("digest", "check").agg(F.min(here).alias("first"), F.max(here).alias("last"))
@@ -160,13 +183,27 @@ def _runs(keyed: DataFrame, within: bool) -> DataFrame:
     extra = at != F.struct("first.doc_id", "first.row", "first.place")
     other = F.when(extra, F.col("first.edges")).otherwise(F.col("last.edges"))
     start = F.shiftright("place", 10)
-    repeated = all_.join(twice, ["digest", "check"]).select(
+    return all_.join(twice, ["digest", "check"]).select(
         "row", "doc_id", start.alias("start"), (start + F.col("place").bitwiseAND(1023)).alias("end"), extra.cast("int").alias("extra"), F.col("first.doc_id").alias("first_doc_id"),
         _reach(F.col("edges"), other, 0).alias("before"), _reach(F.col("edges"), other, len(STEPS)).alias("after"),
     )
+
+
+def _spans(repeated: DataFrame, min_run: int) -> DataFrame:
+    """Runs of neighbouring chunks that reach over min_run characters: low and high without, start and end with their reach."""
     w = Window.partitionBy("row", "doc_id").orderBy("start")
     fresh = F.coalesce(F.lag("end").over(w) != F.col("start"), F.lit(True))
-    return repeated.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w)).drop("fresh")
+    runs = repeated.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
+    spans = runs.groupBy("row", "doc_id", "run").agg(
+        (F.min("start") - F.min_by("before", "start")).cast("int").alias("start"),
+        (F.max("end") + F.max_by("after", "start")).cast("int").alias("end"),
+        F.min("start").cast("int").alias("low"),
+        F.max("end").cast("int").alias("high"),
+        F.count("*").alias("chunks"),
+        F.sum("extra").alias("n_extra"),
+        F.min("first_doc_id").alias("first_doc_id"),
+    )
+    return spans.where(F.col("end") - F.col("start") >= min_run).drop("run")
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within: bool = False) -> DataFrame:
@@ -179,21 +216,15 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within: bool = False
     no spans, an empty table none at all. Other columns than doc_id and text aren't looked at. row tells
     repeated rows apart. docs is read twice, so it should be a stored table.
     """
-    return _spans(_runs(_keyed(docs), within), min_run)
-
-
-def _spans(runs: DataFrame, min_run: int, *more: str) -> DataFrame:
-    start, end = F.min("start") - F.min_by("before", "start"), F.max("end") + F.max_by("after", "start")
-    spans = runs.groupBy("row", "doc_id", "run", *more).agg(
-        start.cast("int").alias("start"), end.cast("int").alias("end"), F.count("*").alias("chunks"), F.sum("extra").alias("n_extra"), F.min("first_doc_id").alias("first_doc_id")
-    )
-    return spans.where(F.col("end") - F.col("start") >= min_run).drop("run")
+    return _spans(_repeated(_keyed(docs), within), min_run).drop("low", "high")
 
 
 def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN, within: bool = True) -> DataFrame:
-    """docs with every extra stretch of at least min_run characters cut out of text; the first of each kind stays.
+    """docs with runs of neighbouring extra chunks, such as reach over min_run characters, cut out of text.
 
-    Null and empty texts, and those without such a stretch, stay as they are; columns of any name stay.
+    What goes is in each case chunks of which the first copies, by doc_id and place, aren't extra and so stay: every
+    character that goes stands there still. What a repeated passage has before its first and after its last common cut,
+    a few tens of characters, stays in all copies. Null and empty texts, and those without such a stretch, stay as they are; columns of any name stay.
     """
     from .pii import cut_out
 
@@ -203,8 +234,8 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN, within: bool = True)
         F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-1)).alias("doc_id"),
         F.col("doc.text").cast("string").alias("text"),
     )
-    extra = _spans(_runs(keyed, within), min_run, "extra").where("extra = 1")
-    found = extra.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    extra = _spans(_repeated(keyed, within).where("extra = 1"), min_run)
+    found = extra.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("low").alias("start"), F.col("high").alias("end")))).alias("spans"))
     left = (
         held.join(found, "row", "left")
         .withColumn(

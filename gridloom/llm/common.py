@@ -24,12 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text of the table, over as many tasks as there are cores at least.
 
     One file of one row group is one task's whatever its size; only tables of fewer files than cores are looked at, and
-    dealt out anew if fewer tasks than cores have rows.
+    dealt out anew if fewer tasks than cores have rows. They are stored so, for rows that come out of a shuffle have no
+    order that stays the same when a task is repeated, and operators number them.
     """
     docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
     if len(docs.inputFiles()) >= cores or docs.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
         return docs
-    return docs.repartition(cores)
+    return stored(docs.repartition(cores), "documents")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -88,11 +88,48 @@ def test_recall_on_short_passages(spark):
     share = len(set(got) & set(held)) / len(held)
     covered = np.mean([(got[d]["end"] - got[d]["start"]) / (b - a) for d, (a, b) in held.items() if d in got])
     print("recall", share, "covered", covered)
-    assert share >= 0.95 and covered >= 0.85 and set(got) <= set(held)
+    assert share >= 0.99 and covered >= 0.9 and set(got) <= set(held)
     beyond = [d for d in got if got[d]["start"] < held[d][0] - 2 or got[d]["end"] > held[d][1] + 2]
     assert len(beyond) <= 0.05 * len(got)
 
 
+def test_the_query_by_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in chunks.op6_chunks(spark, folder).collect())
+    want = brute(rows, chunks.MIN_RUN, False)
+    assert want and len({*got} ^ {*want}) <= 0.03 * len(want) and len(got) == len({*got})
+
+
+def test_no_passage_is_lost(spark):
+    """1,500 passages, each in two documents with prose of their own, of a vocabulary that repeats by chance."""
+    vocab = ["the", "of", "and", "ering", "ionth", "la", "que", "con", "ness", "ly"] + ["".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(R.randrange(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(R.choice(vocab) for _ in range(n))
+    parts = {2 * k + j: (prose(R.randrange(60)), p, prose(30)) for k in range(1500) for p in [prose(60)] for j in (0, 1)}
+    texts = {d: " ".join(x) for d, x in parts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    spans = chunks.repeated_spans(df).collect()
+    assert len(spans) >= 2990
+    for s in spans:  # first copies have nothing extra and name themselves, second ones name them
+        assert s.first_doc_id == s.doc_id // 2 * 2 and (s.n_extra == 0) == (s.doc_id % 2 == 0)
+    for within in (True, False):
+        out = {r.doc_id: r.text for r in chunks.remove_repeats(df, within=within).collect()}
+        for d, text in texts.items():
+            if d % 2 == 0:
+                assert out[d] == text
+            elif out[d] != text:
+                same = next((k for k, (a, b) in enumerate(zip(text, out[d], strict=False)) if a != b), len(out[d]))
+                gone = [text[k : k + len(text) - len(out[d])] for k in range(max(0, same - 80), same + 1) if text[:k] + text[k + len(text) - len(out[d]) :] == out[d]]
+                assert any(g in texts[d - 1] for g in gone)  # one stretch, and it stands in the first copy still
+        assert sum(out[d] != t for d, t in texts.items()) >= 1490
+
+
+def test_chunks_are_not_short():
+    text = " ".join(R.choice(["a", "the", "of", "x,"]) + R.choice(["", "ing", "漢"]) for _ in range(20_000))
+    sizes = [b - a for a, b in pieces(text)]
+    assert min(sizes) > chunks.APART and abs(np.mean(sizes) - 2 * chunks.APART - 1) < 3 and max(sizes) < 400
+
+
 def test_cuts(odd, spark):
     texts = [t or "" for t in ODD]
     of, begin, end, *rest = chunks.chunks_of(texts)
