@@ -5,6 +5,10 @@ neighbouring pair, takes the least rank of each word (a segmented minimum), join
 in the word, leftmost first, and compacts the arrays; words without a pair drop out. Joining at once is what
 the library does one by one, except where the joined piece could join again at an equal or better rank: of
 such pairs only the leftmost is joined in a round.
+
+A word of more than LONG characters has a minimum for each pair instead, over as many neighbours as the longest piece has
+characters: what is joined first further away never reaches it, as no piece is that long. So the rounds don't
+grow with the word, and its time is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ SPACE = "▁"
 REMEMBERED = 200_000
 #: Texts are encoded in batches of about so many characters.
 BATCH_CHARS = 4_000_000
+#: Characters of a word beyond which pairs are held against their neighbours, not against all of the word.
+LONG = 256
 
 
 class Encoder:
@@ -69,6 +75,7 @@ class Encoder:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys, self.ranks, self.made = np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order], np.array(made, np.int32)[order]
         self.n, self.none = n, len(scores)
+        self.longest = max(map(len, self.id_of))
         again = np.zeros(n, bool)  # pieces that can join again at an equal or better rank
         own = np.full(n, self.none, np.int32)
         for p, i in self.id_of.items():
@@ -99,8 +106,70 @@ class Encoder:
         at[self.keys[at] != key] = -1
         return at
 
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each pair, and its rank, none for what is no pair."""
+        row = self._pairs(left, right)
+        rank = self.ranks[row]
+        rank[row < 0] = self.none
+        return row, rank
+
+    def _long(self, sym: np.ndarray) -> np.ndarray:
+        """Symbols of one long word after all rounds.
+
+        A pair is due if no pair within reach has a better rank, and none of those that overlap it from the left, with one
+        rank, has to wait. Pairs due within reach of each other have one rank, and
+        the library would join them from the left; so are they here, up to the first whose piece can join a neighbour at
+        an equal or better rank, for that would come before the pairs to the right of it.
+        """
+        reach = self.longest
+        row, rank = self._ranked(sym[:-1], sym[1:])
+        while len(row) and rank.min() < self.none:
+            least, width = np.pad(rank, reach, constant_values=self.none), 1
+            while 2 * width <= 2 * reach + 1:
+                least, width = np.minimum(least[:-width], least[width:]), 2 * width
+            rest = 2 * reach + 1 - width
+            least = np.minimum(least[: len(least) - rest], least[rest:])
+            due, heads = (rank == least) & (rank < self.none), np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+            # pairs of one rank that overlap decide from the left which of them are joined, however many they are
+            late = np.cumsum(~due)
+            before = np.repeat(late[heads] - ~due[heads], np.diff(np.append(heads, len(rank))))
+            at = np.flatnonzero(due & (late == before))
+            # of a chain of overlapping pairs each other one is joined
+            start = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 0]
+            new, own = self.made[row[at]], rank[at]
+            close = np.append(False, np.diff(at) <= reach)
+            before = np.where(np.append(False, np.diff(at) == 2), np.append(0, new[:-1]), sym[np.maximum(at - 1, 0)])
+            again = (self._ranked(before, new)[1] <= own) & (at > 0)
+            again |= (self._ranked(new, sym[np.minimum(at + 2, len(sym) - 1)])[1] <= own) & (at + 2 < len(sym))
+            if again.any():  # those after the first of these in each group that lies together wait
+                group = np.cumsum(~close) - 1
+                seen = np.cumsum(again) - again
+                waits = seen > seen[np.flatnonzero(~close)][group]
+                at, new = at[~waits], new[~waits]
+            sym[at] = new
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            sym, changed = sym[keep], place[at]
+            row, rank = row[keep[1:]], rank[keep[1:]]  # the pair that ends with a symbol goes with it
+            changed = np.unique(np.concatenate([changed[changed > 0] - 1, changed[changed < len(row)]]))
+            row[changed], rank[changed] = self._ranked(sym[changed], sym[changed + 1])
+        return sym
+
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words one after the other, and where each word ends."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._short(words)
+        sym, ends = self._short([w if len(w) <= LONG else "" for w in words])
+        parts = np.split(sym, ends[:-1])
+        for k in long:
+            parts[k] = self._long(self.symbol[np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), np.uint32)])
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def _short(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """merged() with one minimum for each word."""
         sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         done: list[tuple[np.ndarray, np.ndarray]] = []

@@ -3,9 +3,13 @@
 import hashlib
 import random
 import re
+import string
+import time
 
 import duckdb
+import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, pieces, simhash
@@ -55,6 +59,35 @@ def test_pieces_are_the_library_s(spark, odd):
     assert (row["n_tokens"], row["ids"], row["decoded"]) == (1, "2", "") and got.count() == odd.count() and pieces.tokenize(empty(odd), tokenizer_file(pieces.MODEL)).count() == 0
 
 
+def test_long_words_take_time_in_proportion():
+    """Unbroken words of every kind, as the library encodes them; a million characters in seconds."""
+    path = tokenizer_file(pieces.MODEL)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    keys = string.ascii_letters + string.digits + "+/"
+    kinds = {"base64": [*keys], "syllable": ["the"], "letters": [*"acgt"], "one": ["a"], "line": ["="], "words": ["the", "ing", "tion", "er", "re", "q"], "wide": [*"漢字é日本e语"]}
+    for name, parts in kinds.items():
+        for n in (pieces.LONG - 1, pieces.LONG, 1000, 10_000, 100_000, *([1_000_000] if name in ("base64", "syllable", "letters") else [])):
+            text = "".join(R.choices(parts, k=max(1, n // len(parts[0]))))
+            began = time.perf_counter()
+            ids, decoded = own.encode([text])[0]
+            took = time.perf_counter() - began
+            want = lib.encode(text)
+            assert ids == " ".join(map(str, [*want, lib.eos_id()])) and decoded == lib.decode(want), (name, n)
+            assert took < 1 + 20e-6 * n, (name, n, took)
+
+
+def test_both_ways_of_minima_agree(monkeypatch):
+    """Short words by the minimum over as many neighbours as a long one's, too."""
+    own = pieces.Encoder(tokenizer_file(pieces.MODEL))
+    vocab = [p for p in R.sample(sorted(own.id_of), 3000) if " " not in p]
+    words = ["▁" + "".join(R.choices(R.choice([vocab, [*"abcdeth"], [*"aA=-"], ["in", "g", "ti", "on", "n"]]), k=R.randrange(1, 25))) for _ in range(6000)]
+    sym, ends = own._short(words)
+    want = [p.tolist() for p in np.split(sym, ends[:-1])]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    sym, ends = own.merged(words)
+    assert [p.tolist() for p in np.split(sym, ends[:-1])] == want
+
+
 def test_simhash_groups(spark, odd, monkeypatch):
     import xxhash
 
