@@ -340,7 +340,8 @@ def search(index: Index, queries: DataFrame, k: int, id_: str = "vec_id", vector
             made = [pa.array(piece, pa.int64()), pa.array(part, pa.int64()), pa.array(seen_at, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*b.schema.names, "piece", "part", "leaves"])
 
-    met = stored(asked.mapInArrow(visits, f"q long, id long, v {kind}, own long, piece long, part long, leaves array<int>"), "visits")
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // BLOCK))  # few rows, much work
+    met = stored(asked.repartition(tasks).mapInArrow(visits, f"q long, id long, v {kind}, own long, piece long, part long, leaves array<int>"), "visits")
     blocks = met.groupBy("piece", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     left = met.join(blocks, ["piece", "part"]).withColumn("block", F.pmod(F.xxhash64("q"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

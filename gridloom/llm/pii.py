@@ -5,8 +5,10 @@ key, so the labelled candidates of all texts count up to a table no larger than
 the candidate overlaps a span of the fixed formats, and what defines these formats (an at sign, a plus, the check
 digit, numbers of at most 255) is not among the features: the trees learn where and in which shapes personal data
 stands, and find what is written otherwise there, such as a spelled-out at, a telephone number without its plus or
-a mistyped card number. For each generator the threshold is the least score down to which every score has PRECISION on the
-fold held back; a key at or above it is selected wherever it occurs. Built-in functions and Spark's own trees only.
+a mistyped card number. For each generator the threshold is the least score down to which every score has PRECISION: on the
+fold held back, beside PRIOR candidates of which as many are labelled as the trees say, so few of the fold leave it to
+the trees and many decide alone. A key at or above it is selected wherever it occurs. Built-in functions and Spark's
+own trees only.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ COUNTRY = r"^\+[0-9]{1,3}[ .-]?(?=[0-9(])"
 CUES = [r"(?i)mail[^\p{L}]*$", r"(?i)(phone|tel|call|mobile|fax)[^\p{L}]*$", r"(?i)(card|visa|credit|account|iban)[^\p{L}]*$", r"(?i)(\bip|host|server|addr|address)[^\p{L}]*$"]
 #: Name and number of values of each feature, lowest digit of the key first.
 FEATURES = [("generator", 3), ("shape", 8), ("n_digits", 25), ("n_groups", 9), ("before", 4), ("after", 4), ("cue", 5)]
-PRECISION, LEAST_HELD, TREES, DEPTH = 0.9, 20, 10, 4
+PRECISION, PRIOR, TREES, DEPTH = 0.9, 20.0, 10, 4
 #: Rank of the first generator's spans, after those of the fixed formats.
 FIRST_RANK = 4
 
@@ -117,40 +119,38 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return seen.select("fold", F.inline(F.transform("c", lambda c: F.struct(_key(given, c).alias("key"), meets(c).alias("label")))))
 
 
-def _calibrated(scored: list, precision: float, least: int) -> list[int]:
-    """Keys of one generator down to the least score of which the fold held back has enough labelled rows.
+def _calibrated(scored: list, precision: float, prior: float) -> list[int]:
+    """Keys of one generator down to the threshold: the least score before the first that isn't precise enough.
 
-    Scores are taken from the greatest down, and end before the first that has not the precision for itself: many
-    sure candidates don't make up for a score that stands for as many others as labelled ones.
+    Scores are taken from the greatest down, each for itself: many sure candidates don't make up for a score that
+    stands for as many others as labelled ones.
     """
     levels: dict[float, list[float]] = {}
     for r in scored:
+        level = levels.setdefault(r["p"], [prior * r["p"], prior])
         if r["fold"] == 1:
-            level = levels.setdefault(r["p"], [0.0, 0.0])
             level[0] += r["n"] * r["label"]
             level[1] += r["n"]
-    threshold, hit = None, 0.0
+    threshold = None
     for p in sorted(levels, reverse=True):
         if levels[p][0] < precision * levels[p][1]:
             break
-        hit += levels[p][0]
-        if hit >= least:
-            threshold = p
+        threshold = p
     return [r["key"] for r in scored if threshold is not None and r["p"] >= threshold]
 
 
-def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST_HELD) -> list[int]:
+def fit(docs: DataFrame, precision: float = PRECISION, prior: float = PRIOR) -> list[int]:
     """Keys of the candidates to select beside the fixed formats, found from every text.
 
     At most one row for each key of the grid, label and fold reaches the trees, and the scores of as many the driver.
-    Without both labels in the fitted fold, or for a generator of which no threshold is precise enough in the other,
+    Without both labels in the fitted fold there are no trees, and for a generator of which no score is precise enough
     none is selected.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    counted = stored(_labelled(docs).groupBy("fold", "key", "label").agg(F.count("*").cast("double").alias("n")).coalesce(1), "candidates")
+    counted = stored(_labelled(docs).groupBy("fold", "key", "label").agg(F.count("*").cast("double").alias("n")), "candidates").coalesce(1)
     if counted.where("fold = 0").select("label").distinct().count() < 2:
         return []
     unit, names = 1, [name for name, _ in FEATURES]
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST_HELD)
         .select("fold", "key", "label", "n", "generator", F.round(vector_to_array("probability")[1], 6).alias("p"))
         .collect()
     )
-    chosen = [_calibrated([r for r in scored if r["generator"] == g], precision, least) for g in range(len(GENERATORS))]
+    chosen = [_calibrated([r for r in scored if r["generator"] == g], precision, prior) for g in range(len(GENERATORS))]
     return sorted({k for keys in chosen for k in keys})
 
 

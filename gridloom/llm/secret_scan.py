@@ -31,8 +31,8 @@ FIRST, WIDTH = 43, 80
 #: Weight of the characters' overall shares beside the counts after one character.
 BACKED = 10.0
 #: Least log-likelihood ratio of a secret (odds of 1,000 to 1 against one are made up for), the share of ordinary
-#: tokens held back that may exceed the threshold, the fewest samples of either label that calibrate one, one in so many.
-LEAST_ODDS, MOST_FALSE, LEAST_HELD, FOLDS = 7.0, 1e-4, 20, 4
+#: tokens held back that may exceed the threshold, one sample in so many is held back.
+LEAST_ODDS, MOST_FALSE, FOLDS = 7.0, 1e-4, 4
 
 
 def base_spans(text: Column) -> Column:
@@ -88,29 +88,25 @@ def _ratios(samples: DataFrame) -> list[float]:
     return [round(secret[a][b] - ordinary[a][b], 6) for a in range(WIDTH) for b in range(WIDTH)]
 
 
-def _threshold(held: DataFrame, ratio: list[float]) -> float | None:
-    """From the distinct samples held back; None, by which nothing exceeds it, with too few of them."""
+def _threshold(held: DataFrame, ratio: list[float]) -> float:
+    """From the distinct ordinary samples held back; LEAST_ODDS where these, few or many, don't raise it."""
     value = F.round(score(F.col("token"), constant(ratio, "array<double>")) * 2) / 2
     rows = (
-        held.where(F.length("token") >= LEAST_TOKEN)
-        .groupBy("label", F.least(F.greatest(value, F.lit(-500.0)), F.lit(500.0)).alias("score"))
+        held.where((F.length("token") >= LEAST_TOKEN) & (F.col("label") == 0))
+        .groupBy(F.least(F.greatest(value, F.lit(-500.0)), F.lit(500.0)).alias("score"))
         .count()
         .collect()
     )
-    n = [sum(r["count"] for r in rows if r["label"] == k) for k in (0, 1)]
-    if min(n) < LEAST_HELD:
-        return None
-    for at in sorted({LEAST_ODDS, *(r["score"] + 0.5 for r in rows if r["score"] + 0.5 > LEAST_ODDS)}):
-        if sum(r["count"] for r in rows if r["label"] == 0 and r["score"] > at) <= MOST_FALSE * n[0]:
-            return at
-    return None
+    allowed = MOST_FALSE * sum(r["count"] for r in rows)
+    over = lambda at: sum(r["count"] for r in rows if r["score"] > at)
+    return next(at for at in sorted({LEAST_ODDS, *(r["score"] + 0.5 for r in rows if r["score"] + 0.5 > LEAST_ODDS)}) if over(at) <= allowed)
 
 
-def train(docs: DataFrame) -> tuple[list[float], float | None]:
+def train(docs: DataFrame) -> tuple[list[float], float]:
     """Ratios of all transitions, and the threshold, from the samples of every text.
 
-    The models that calibrate it don't know the samples held back; those returned know all. With too few samples there
-    is no threshold.
+    The models that calibrate it don't know the samples held back; those returned know all. Without samples of a label
+    all ratios are 0 or near, so nothing exceeds the threshold.
     """
     known = stored(samples(docs).withColumn("held", F.pmod(F.xxhash64("token"), F.lit(FOLDS)) == 0), "samples")
     threshold = _threshold(known.where("held"), _ratios(known.where("not held")))
@@ -134,8 +130,6 @@ def scan(docs: DataFrame, log_odds: float | None = None) -> DataFrame:
     threshold = threshold if log_odds is None else log_odds
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("base", base_spans(text))
-    if threshold is None:
-        return out.withColumn("spans", F.col("base"))
     ratio = constant(ratios, "array<double>")
     mixed = lambda t: F.when(~t.rlike("[A-Za-z]") | ~t.rlike("[0-9]"), F.lit(False)).otherwise(score(t, ratio) > threshold)
     added = spans.find(text, LONG_TOKEN, "markov", 3, mixed)

@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
 
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id string, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    total = dict(marked.groupBy("toxic").count().collect())
-    stands_for = tuple(max(1.0, total.get(k, 0) / max(1, most)) for k, most in ((0, most_ordinary), (1, most_toxic)))
+    total = dict(marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("toxic").count().collect())
+    stands_for = tuple(max(1.0, total.get(k, 0) / max(1, n.get(k, 0))) for k in (0, 1))  # labels without a document stand in neither
     return calibrated(
         model,
         np.array([r["x"] for r in rows]).reshape(len(rows), len(blank)),

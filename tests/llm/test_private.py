@@ -41,7 +41,26 @@ def test_secret_models_tell_random_strings(spark):
     left = secret_scan.redact(docs).where("doc_id = 1000").first()["text"]
     assert left == "see [secret] there"
     few = docs.where("doc_id between 990 and 1005")  # without labelled samples no model adds anything
-    assert secret_scan.train(few)[1] is None and all(r["spans"] == [] for r in secret_scan.scan(few).collect())
+    assert secret_scan.train(few)[1] == secret_scan.LEAST_ODDS and all(r["spans"] == [] for r in secret_scan.scan(few).collect())
+
+
+def test_a_text_is_judged_alike_in_tables_of_any_size(spark):
+    """The same planted texts among 40 and 2,000 others of one kind: few samples held back, or many."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(R.choices(letters, k=40))
+    names = ["order", "customer", "invoice", "shipment", "total", "account", "region", "nation", "supplier", "part"]
+    name = lambda: "_".join(R.choices(names, k=4))
+    planted = [(-1 - k, f"see {key()} there, {name()}_{R.randrange(100)} too") for k in range(20)]
+    planted += [(-101 - k, f"mail {R.choice(names)}{k} (at) {R.choice(names)}.example.com please") for k in range(2)]
+    judged = []
+    for n in (40, 2000):
+        others = [(k, f"token={key()} and {name()} {name()} mail {R.choice(names)}{k}@{R.choice(names)}.example.com please, {prose(9)}") for k in range(n)]
+        docs = spark.createDataFrame(planted + others, "doc_id long, text string").repartition(4)
+        secrets = {r.doc_id: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(docs).where("doc_id < 0").collect()}
+        private = {r.doc_id: [s["kind"] for s in r["spans"]] for r in pii.scan(docs).where("doc_id < 0").collect()}
+        judged.append((secrets, private))
+    assert judged[0] == judged[1]
+    assert all(judged[0][0][-1 - k] == ["markov"] for k in range(20)) and all(judged[0][1][-101 - k] == ["boost"] for k in range(2))
 
 
 def luhn(digits):
