@@ -15,18 +15,49 @@ def oriented_else_unordered(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.withColumn("_any", any_oriented).where(F.col("oriented") | ((F.col("_any") == 0) & F.col("unordered"))).drop("_any")
 
 
-def hamming_nearest(obs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+#: Known boards with one part in common beyond which that part alone brings no board to them.
+CROWD = 256
+
+
+def _parts(cells: Column, places: Column, parts: int) -> Column:
+    """number and hash of each of so many parts of the cells at places, an array of their indices."""
+    size = F.size(places)
+    edge = lambda k: F.floor(size * k / parts).cast("int")
+    part = lambda k: F.transform(F.slice(places, edge(k) + 1, edge(k + 1) - edge(k)), lambda i: F.get(cells, i))
+    return F.array(*[F.xxhash64(F.lit(k), part(k)) for k in range(parts)])
+
+
+def hamming_nearest(obs: DataFrame, known: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
     """obs (obs_id, cells) with known_id and diff of the nearest of known (known_id, cells), null beyond most.
 
     Two boards with at most `most` differing cells agree on one of most + 1 parts, so the join is an equal one
-    on the parts; the least known_id wins a tie.
+    on the parts; the least known_id wins a tie. Equal boards of known are one, of the least id. A part that more than
+    `crowd` of them have in common, such as an empty middle, is refined: boards that agree on it and differ in at most
+    `most` cells agree on one of as many parts of the other cells too, so the same boards are found.
     """
     parts = most + 1
     edges = [64 * k // parts for k in range(parts + 1)]
-    keyed = lambda df, id_, name: df.select(id_, F.col("cells").alias(name), F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("cells", a + 1, b - a)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])).alias("part"))
+    every = F.array(*map(F.lit, range(64)))
+    numbered = lambda cells: F.transform(_parts(cells, every, parts), lambda h, k: F.struct(k.alias("at"), h.alias("part")))
+    one = known.groupBy("cells").agg(F.min("known_id").alias("known_id"))
+    own = one.select("known_id", F.col("cells").alias("k"), F.explode(numbered(F.col("cells"))).alias("p")).select("known_id", "k", "p.*")
+    asked = obs.select("obs_id", F.col("cells").alias("o"), F.explode(numbered(F.col("cells"))).alias("p")).select("obs_id", "o", "p.*")
+    crowded = own.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("part", F.lit(True).alias("crowded"))
+
+    def rest(at: Column) -> Column:
+        """The cells beyond part number at."""
+        bounds = F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        inside = F.get(bounds, at)
+        return F.filter(every, lambda i: (i < inside["col1"]) | (i >= inside["col2"]))
+
+    def keyed(df: DataFrame, cells: str) -> DataFrame:
+        told = df.join(crowded, "part", "left")
+        finer = F.transform(_parts(F.col(cells), rest(F.col("at")), parts), lambda h: F.xxhash64("part", h))
+        return told.withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("part")))).drop("part", "at", "crowded")
+
     met = (
-        keyed(obs, "obs_id", "o")
-        .join(keyed(known, "known_id", "k"), "part")
+        keyed(asked, "o")
+        .join(keyed(own, "k"), "key")
         .select("obs_id", "known_id", board.hamming(F.col("o"), F.col("k")).alias("diff"))
         .where(F.col("diff") <= most)
     )

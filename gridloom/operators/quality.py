@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +90,55 @@ def manifest_counts(records: DataFrame, video: str, group: str) -> DataFrame:
     per = pairs.groupBy(group).agg(F.count("*").alias("n"))
     counts = per.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count_if(F.col("n") > 1).alias("cross_video"))
     return pairs.agg(F.count_distinct(video).alias("videos")).join(F.broadcast(counts))
+
+
+def nonempty(df: DataFrame, what: str) -> DataFrame:
+    """df, or an error if it has no rows: a rate of nothing is none. One row is looked at."""
+    if df.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return df
+
+
+def sample_identity(sample_id: Column, image: Column) -> Column:
+    """The id of a record, or else the stem of its image, or null without both."""
+    stem = F.regexp_extract(image, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.coalesce(F.nullif(sample_id, F.lit("")), F.nullif(stem, F.lit("")))
+
+
+def manifest_issues(records: DataFrame, expected: dict[str, int], images: DataFrame, partial: bool = False) -> DataFrame:
+    """issue and what of everything that is wrong with a manifest, none if it is whole.
+
+    records has index, sample_id, image, split and game_id, each but the index null or empty at worst; expected the rows of each
+    split; images the column image of the files that there are. An image must be images/<identity>.jpg; a split
+    must be among expected, with as many rows; identities and images occur once, a game in one split. Every record
+    that breaks a rule has a row; no list is made of any group.
+    """
+    r = records.select("index", sample_identity(F.col("sample_id"), F.col("image")).alias("id"), F.nullif("image", F.lit("")).alias("image"), "split", F.nullif("game_id", F.lit("")).alias("game_id"))
+    valid = F.coalesce(F.col("split").isin(*expected), F.lit(False))
+    canonical = F.concat(F.lit("images/"), F.col("id"), F.lit(".jpg"))
+    number = F.col("index").cast("string")
+    marks = {
+        "no sample identity": F.when(F.col("id").isNull(), number),
+        "no image path": F.when(F.col("image").isNull(), number),
+        "other image path": F.when(F.col("image").isNotNull() & ~F.col("image").eqNullSafe(canonical), F.concat_ws(" ", number, "image")),
+        "invalid split": F.when(~valid, F.concat_ws(" ", number, "split")),
+        "no game": F.when(F.col("game_id").isNull(), number),
+    }
+    broken = F.array_compact(F.array(*[F.when(what.isNotNull(), F.struct(F.lit(name).alias("issue"), what.alias("what"))) for name, what in marks.items()]))
+    of_rows = r.select(F.inline(broken))
+    named = lambda df, name, *what: df.select(F.lit(name).alias("issue"), F.concat_ws(" ", *what).alias("what"))
+    sizes = records.sparkSession.createDataFrame([*expected.items()], "split string, want long")
+    counts = r.groupBy("split").agg(F.count("*").alias("n")).join(sizes, "split", "full").where(F.coalesce("n", F.lit(0)) != F.coalesce("want", F.lit(0)))
+    crops = r.where(F.col("image") == F.concat(F.lit("images/"), F.regexp_extract("image", r"([^/]+?)(\.[^./]*)?$", 1), F.lit(".jpg")))
+    missing = crops.join(images.select("image").distinct(), "image", "left_anti")
+    found = [
+        of_rows,
+        named(duplicates(r.where("id is not null"), "id"), "repeated id", "id"),
+        named(duplicates(r.where("image is not null"), "image"), "repeated image", "image"),
+        named(straddling(r.where(valid & F.col("game_id").isNotNull()), "game_id", "split"), "game in several splits", "game_id"),
+        named(counts, "count of split", F.coalesce("split", F.lit("none")), F.coalesce("n", F.lit(0)).cast("string")),
+        named(missing, "missing image", "image"),
+    ]
+    if partial:
+        found.append(records.sparkSession.createDataFrame([("partial", "the manifest says so itself")], "issue string, what string"))
+    return reduce(DataFrame.unionByName, found)

@@ -155,3 +155,22 @@ def paired(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     p, t = predictions.withColumn("_p", F.lit(True)), truth.withColumn("_t", F.lit(True))
     status = F.when(F.col("_p").isNull(), "missing").when(F.col("_t").isNull(), "unexpected").otherwise("paired")
     return p.join(t, key, "full").withColumn("status", status).drop("_p", "_t")
+
+
+def rounds_of(videos: DataFrame, entries: DataFrame, rounds: DataFrame) -> DataFrame:
+    """video and round of each video: its own list where that has any, or else every round of its tournaments.
+
+    entries has video, round_ids and tournaments, rounds has tournament and round. A video that isn't among entries,
+    or has neither list, ends the job with an error that names it; none goes missing without a word.
+    """
+    known = videos.select("video").distinct().join(entries.select("video", "round_ids", "tournaments", F.lit(True).alias("known")), "video", "left")
+    no_round, no_tournament = (F.lit(None).cast(dict(rounds.dtypes)[c]) for c in ("round", "tournament"))
+    wrong = F.concat(F.when(F.col("known").isNull(), F.lit("unregistered video ")).otherwise(F.lit("no rounds or tournaments for video ")), F.col("video").cast("string"))
+    targets = (  # the error is part of what is taken apart, so no plan can do without it
+        F.when(F.size("round_ids") > 0, F.transform("round_ids", lambda r: F.struct(r.alias("round"), no_tournament.alias("tournament"))))
+        .when(F.size("tournaments") > 0, F.transform("tournaments", lambda t: F.struct(no_round.alias("round"), t.alias("tournament"))))
+        .otherwise(F.raise_error(wrong))
+    )
+    found = known.select("video", F.explode(targets).alias("t")).select("video", "t.*")
+    mapped = found.where("tournament is not null").select("video", "tournament").join(rounds, "tournament").select("video", "round")
+    return found.where("tournament is null").select("video", "round").unionByName(mapped)

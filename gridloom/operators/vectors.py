@@ -121,13 +121,62 @@ def leader_clusters(df: DataFrame, order: str, vector: str, most: float, rows: i
     return now.select(F.col("first").alias("cluster"), unit(F.col("total")).alias("centroid"), "n")
 
 
-def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "label", id_: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "label", id_: str = "vec_id", vector: str = "embedding", block: int = 4096, most_bytes: int = 16 << 20) -> DataFrame:
     """id, neighbours and score: the mean label of the k nearest rows by cosine, weighted by it where positive.
 
-    The queries, a stated set, are held in blocks against all rows in blocks: a task holds `block` of either on average
-    and gives at most k rows a query. Without a positive weight the plain mean is the score. A query isn't its own
-    neighbour; the least id wins a tie.
+    Queries, a stated set, of up to most_bytes travel to all tasks, and each gives at most k of its rows a query; more
+    are held in blocks against all rows in blocks, `block` of either in a task on average, with the same result. Without
+    a positive weight the plain mean is the score. A query isn't its own neighbour; the least id wins a tie.
     """
+    size = queries.agg(F.sum(F.size(vector) * 8 + 8)).first()[0] or 0
+    found = _near_all(queries, rows, k, label, id_, vector) if size <= most_bytes else _near_in_blocks(queries, rows, k, label, id_, vector, block)
+    top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k)
+    weight = F.greatest(F.col("sim"), F.lit(0.0))
+    return (
+        top.groupBy("q")
+        .agg(
+            F.count("*").alias("neighbours"),
+            F.round(F.when(F.sum(weight) > 0, F.sum(weight * F.col("y")) / F.sum(weight)).otherwise(F.avg("y")), 4).alias("score"),
+        )
+        .withColumnRenamed("q", id_)
+    )
+
+
+def _stacked(column) -> np.ndarray:
+    """The vectors of an Arrow column of lists of one length."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _near_all(queries: DataFrame, rows: DataFrame, k: int, label: str, id_: str, vector: str) -> DataFrame:
+    """q, sim, other and y of the k nearest rows of each task to each query."""
+    held = queries.select(F.col(id_).cast("long").alias("q"), vector).toArrow()
+    ids, asked = held.column("q").to_numpy(), _stacked(held.column(vector)) if held.num_rows else np.zeros((0, 1))
+
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        best = [np.zeros(0, t) for t in (np.int64, float, np.int64, float)]
+        for b in batches:
+            if b.num_rows and len(ids):
+                own = b.column("other").to_numpy()
+                sim = np.round(asked @ _stacked(b.column("v")).T, 6)
+                sim[ids[:, None] == own] = -2
+                at = np.argpartition(-sim, min(k, len(own) - 1), axis=1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (len(ids), 1))
+                least = np.take_along_axis(sim, at, 1).min(1, keepdims=True)
+                q, j = np.nonzero((sim >= least) & (sim > -2))  # with all that tie
+                best = [np.append(x, y) for x, y in zip(best, (ids[q], sim[q, j], own[j], b.column("y").to_numpy()[j]), strict=True)]
+                order = np.lexsort((best[2], -best[1], best[0]))
+                order = order[np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order]) < k]
+                best = [x[order] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["q", "sim", "other", "y"])
+
+    own = rows.select(F.col(id_).cast("long").alias("other"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y"))
+    return own.mapInArrow(near, "q bigint, sim double, other bigint, y double")
+
+
+def _near_in_blocks(queries: DataFrame, rows: DataFrame, k: int, label: str, id_: str, vector: str, block: int) -> DataFrame:
+    """q, sim, other and y of the k nearest rows of each block to each query."""
     parts = lambda df: max(1, -(-df.count() // block))
     asked, held = parts(queries), parts(rows)
     place = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
@@ -156,17 +205,7 @@ def neighbour_score(queries: DataFrame, rows: DataFrame, k: int, label: str = "l
         )
         return frame[frame["sim"] > -2]
 
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(near, "q bigint, sim double, other bigint, y double")
-    top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k)
-    weight = F.greatest(F.col("sim"), F.lit(0.0))
-    return (
-        top.groupBy("q")
-        .agg(
-            F.count("*").alias("neighbours"),
-            F.round(F.when(F.sum(weight) > 0, F.sum(weight * F.col("y")) / F.sum(weight)).otherwise(F.avg("y")), 4).alias("score"),
-        )
-        .withColumnRenamed("q", id_)
-    )
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(near, "q bigint, sim double, other bigint, y double")
 
 
 def principal_axes(df: DataFrame, k: int, vector: str = "embedding") -> tuple[list[float], list[list[float]]]:

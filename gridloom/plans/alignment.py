@@ -10,7 +10,7 @@ from gridloom.plans.registry import query, table
 
 #: Places of each user's events, and readings: every purchase reads the clocks of its place, a little off.
 PLACES = """
-e AS (SELECT user_id AS game, user_id % 4 AS round, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ply,
+e AS (SELECT user_id AS game, user_id // 8 AS round, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ply,
       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS clk FROM events),
 f AS (SELECT *, lag(clk) OVER (PARTITION BY game ORDER BY ply) AS before FROM e),
 p AS (SELECT game, round, event_id, event_type, ply, CASE WHEN ply % 2 = 0 THEN 'black' ELSE 'white' END AS turn, CASE WHEN ply % 2 = 0 THEN clk ELSE before END
@@ -33,7 +33,7 @@ def _places(spark, sf_dir):
     clk = F.when(F.col("event_type") != "error", F.floor("value"))
     e = (
         table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("game"), (F.col("user_id") % 4).alias("round"), "event_id", "event_type", "ts", clk.alias("clk"))
+        .select(F.col("user_id").alias("game"), F.floor(F.col("user_id") / 8).alias("round"), "event_id", "event_type", "ts", clk.alias("clk"))
     )
     e = e.withColumn("ply", (F.row_number().over(w) - 1).cast("long")).withColumn("before", F.lag("clk").over(w))
     even = F.col("ply") % 2 == 0

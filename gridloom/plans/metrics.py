@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import board, text
-from gridloom.operators import matching, metrics, recognition
+from gridloom.operators import matching, metrics, quality, recognition
 from gridloom.plans.registry import query, table
 
 
@@ -65,7 +65,7 @@ SELECT CASE WHEN grouping(label) = 1 THEN 'overall' ELSE label END AS label, cou
 FROM s GROUP BY GROUPING SETS ((label), ())
 """)
 def board_metrics_by_label(spark, sf_dir):
-    b = boards(spark, sf_dir)
+    b = quality.nonempty(boards(spark, sf_dir), "board metrics")
     scored = b.select("label", *[c.alias(n) for n, c in board.score(F.col("pred"), F.col("truth")).items()])
     return metrics.with_overall(scored, "label", *metrics.board_measures())
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text
-from gridloom.operators import matching, merging, metrics, splits
+from gridloom.operators import matching, merging, metrics, review, splits
 from gridloom.plans.registry import query, table
 
 
@@ -280,21 +280,12 @@ WITH v AS (SELECT o_orderkey AS video, CASE WHEN o_orderkey % 2 = 0 THEN [o_orde
 SELECT video, n_nationkey AS round FROM v JOIN nation ON CASE WHEN rounds IS NULL THEN n_regionkey = region ELSE n_nationkey = rounds[1] END
 """)
 def rounds_of_videos(spark, sf_dir):
-    """Explicit ids, or else all ids of the group."""
-    n = (
-        table(spark, sf_dir, "nation")
-        .groupBy(F.col("n_regionkey").alias("region"))
-        .agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("all"))
-    )
-    v = (
-        table(spark, sf_dir, "orders")
-        .select(
-            F.col("o_orderkey").alias("video"),
-            F.when(F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderkey") % 25)).alias("rounds"),
-            (F.col("o_custkey") % 5).cast("int").alias("region"),
-        )
-    )
-    return v.join(n, "region", "left").select("video", F.explode(F.coalesce("rounds", "all")).alias("round"))
+    """Explicit ids, or else all ids of the group; a video without either would end the job."""
+    rounds = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("tournament"), F.col("n_nationkey").cast("long").alias("round"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), "o_custkey")
+    own = F.when(F.col("video") % 2 == 0, F.array(F.col("video") % 25))
+    entries = o.select("video", own.alias("round_ids"), F.array((F.col("o_custkey") % 5).cast("int")).alias("tournaments"))
+    return review.rounds_of(o, entries, rounds)
 
 
 @query("""

@@ -241,6 +241,39 @@ def structural_issues(spark, sf_dir):
     )
 
 
+@query("""
+WITH r AS (SELECT event_id AS i, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 'twice' ELSE 's' || event_id END AS given, event_id % 83 = 0 AS bare, user_id,
+    event_type FROM events),
+s AS (SELECT i, given, CASE WHEN bare THEN NULL WHEN i % 79 = 0 THEN '/tmp/s' || i || '.jpg' ELSE 'images/s' || i || '.jpg' END AS image, CASE WHEN i % 71 = 0 THEN NULL
+    WHEN event_type = 'error' THEN 'other' WHEN event_type = 'view' THEN 'train' WHEN event_type = 'click' THEN 'val' ELSE 'test' END AS split, CASE WHEN i % 73 = 0 THEN ''
+    ELSE 'g' || CAST(user_id * 1000 + i // 200 AS VARCHAR) END AS game FROM r),
+m AS (SELECT *, coalesce(given, regexp_extract(image, '([^/]+?)([.][^./]*)?$', 1)) AS id FROM s), w(split, want) AS (VALUES ('train', 100), ('val', 200), ('test', 300)),
+f AS (SELECT 'images/s' || event_id || '.jpg' AS image FROM events WHERE event_id % 67 <> 0)
+SELECT 'no sample identity' AS issue, CAST(i AS VARCHAR) AS what FROM m WHERE id IS NULL UNION ALL SELECT 'no image path', CAST(i AS VARCHAR) FROM m WHERE image IS NULL
+UNION ALL SELECT 'other image path', i || ' ' || image FROM m WHERE image IS NOT NULL AND image IS DISTINCT FROM 'images/' || id || '.jpg'
+UNION ALL SELECT 'invalid split', concat_ws(' ', i, split) FROM m WHERE split IS NULL OR split = 'other' UNION ALL SELECT 'no game', CAST(i AS VARCHAR) FROM m WHERE game = ''
+UNION ALL SELECT 'repeated id', id FROM m WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repeated image', image FROM m WHERE image IS NOT NULL
+    GROUP BY image HAVING count(*) > 1
+UNION ALL SELECT 'game in several splits', game FROM m WHERE game <> '' AND split <> 'other' GROUP BY game HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'count of split', coalesce(split, 'none') || ' ' || n FROM (SELECT split, count(*) AS n FROM m GROUP BY 1) LEFT JOIN w USING (split) WHERE n IS DISTINCT FROM want
+UNION ALL SELECT 'missing image', image FROM m WHERE image LIKE 'images/%' AND image NOT IN (SELECT image FROM f)
+UNION ALL SELECT 'partial', 'the manifest says so itself'
+""")
+def manifest_issues(spark, sf_dir):
+    """Events as records of a manifest with every kind of fault that the structural checks look for."""
+    i = F.col("event_id")
+    name = F.concat(F.lit("s"), i.cast("string"))
+    e = table(spark, sf_dir, "events").select(
+        i.alias("index"),
+        F.when(i % 97 == 0, None).when(i % 89 == 0, "twice").otherwise(name).alias("sample_id"),
+        F.when(i % 83 == 0, None).when(i % 79 == 0, F.concat(F.lit("/tmp/"), name, F.lit(".jpg"))).otherwise(F.concat(F.lit("images/"), name, F.lit(".jpg"))).alias("image"),
+        F.when(i % 71 == 0, None).when(F.col("event_type") == "error", "other").when(F.col("event_type") == "view", "train").when(F.col("event_type") == "click", "val").otherwise("test").alias("split"),
+        F.when(i % 73 == 0, "").otherwise(F.concat(F.lit("g"), (F.col("user_id") * 1000 + F.floor(i / 200)).cast("string"))).alias("game_id"),
+    )
+    there = table(spark, sf_dir, "events").where(i % 67 != 0).select(F.concat(F.lit("images/"), name, F.lit(".jpg")).alias("image"))
+    return quality.manifest_issues(e, {"train": 100, "val": 200, "test": 300}, there, partial=True)
+
+
 @query("""
 WITH p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey % 40 AS video FROM lineitem WHERE l_linenumber = 1) SELECT (SELECT count(DISTINCT video) FROM p) AS
     videos, (SELECT count(DISTINCT grp) FROM p) AS groups, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM (SELECT grp FROM p GROUP BY 1 HAVING

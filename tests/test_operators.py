@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import consensus, matching, merging, metrics, quality, splits, timeline, vectors
+from gridloom.operators import consensus, matching, merging, metrics, quality, review, splits, timeline, vectors
 
 
 def rows(df):
@@ -153,7 +154,6 @@ def test_vectors(spark):
 
 
 def test_nearest_centroid_in_blocks(spark):
-    import numpy as np
 
     r = np.random.default_rng(3)
     df = spark.createDataFrame([(k, r.normal(size=6).tolist(), k) for k in range(90)], "vec_id long, embedding array<double>, row int")
@@ -163,7 +163,6 @@ def test_nearest_centroid_in_blocks(spark):
 
 
 def test_principal_axes(spark):
-    import numpy as np
 
     x = np.random.default_rng(1).normal(size=(60, 4)) * [5, 2, 1, 0.1]
     mean, axes = vectors.principal_axes(spark.createDataFrame([(r.tolist(),) for r in x], "embedding array<double>"), 2)
@@ -174,7 +173,6 @@ def test_principal_axes(spark):
 
 def led(items, most):
     """Greedy leaders over (vector sum, count, first), one after the other."""
-    import numpy as np
 
     out = []
     for v, n, first in items:
@@ -189,7 +187,6 @@ def led(items, most):
 
 def led_by_levels(vectors_, most, rows, fan):
     """vectors_ {id: vector}: pieces of consecutive ids, then pieces of pieces."""
-    import numpy as np
 
     pieces = {}
     for k in sorted(vectors_):
@@ -206,7 +203,6 @@ def led_by_levels(vectors_, most, rows, fan):
 
 @pytest.mark.parametrize("rows, fan", [(512, 16), (16, 2), (7, 3)])
 def test_leader_clusters_by_plain_python(spark, rows, fan):
-    import numpy as np
 
     r = np.random.default_rng(8)
     centres = r.normal(size=(6, 8))
@@ -220,7 +216,6 @@ def test_leader_clusters_by_plain_python(spark, rows, fan):
 
 def test_registered_cluster_queries_by_plain_python(spark):
     """leader_clusters and suppressed_clusters on a given table: assignment, tallies and clusters worked out here."""
-    import numpy as np
 
     from gridloom.plans.registry import load
 
@@ -254,7 +249,6 @@ def test_registered_cluster_queries_by_plain_python(spark):
 
 
 def test_principal_scores_by_numpy(spark):
-    import numpy as np
 
     from gridloom.plans.registry import load
 
@@ -359,3 +353,69 @@ def test_review(spark):
     assert rows(review.patient(steps, "r", "step", ["s", "t"], 2)) == [("a", 1, 3, True), ("b", 3, 3, False)]
     with pytest.raises(ValueError):
         review.grouping_unit("match", F.lit(1), F.lit(1), F.lit(1))
+
+
+def test_hamming_nearest_of_boards_with_a_part_in_common(spark):
+    """All boards share their middle, many share more; some are equal."""
+    r = random.Random(8)
+    base = [r.randrange(4) for _ in range(64)]
+
+    def near(n, free):
+        cells = list(base)
+        for at in r.sample(free, n):
+            cells[at] = r.randrange(13)
+        return cells
+
+    outer = [*range(20), *range(48, 64)]
+    known = [(k, near(r.choice([0, 3, 20]), outer)) for k in range(150)] + [(200 + k, near(40, [*range(64)])) for k in range(30)]
+    obs = [(k, near(r.choice([0, 2, 6, 14]), outer)) for k in range(40)]
+    o, k = spark.createDataFrame(obs, "obs_id int, cells array<int>"), spark.createDataFrame(known, "known_id int, cells array<int>")
+    want = {}
+    for i, a in obs:
+        diff, best = min((sum(x != y for x, y in zip(a, b, strict=True)), j) for j, b in known)
+        want[i] = (best, diff) if diff <= 6 else (None, None)
+    for crowd in (1, 10, 10**6):
+        assert {x.obs_id: (x.known_id, x["diff"]) for x in matching.hamming_nearest(o, k, 6, crowd).collect()} == want
+
+
+def test_neighbours_in_one_pass_or_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.integers(-2, 3, 6).astype(float).tolist() if k else [1.0] + [0.0] * 5, float(k % 2)) for k in range(300)]  # many ties
+    df = spark.createDataFrame([(k, v if any(v) else [1.0] * 6, y) for k, v, y in rows], "vec_id long, embedding array<double>, label double").repartition(4)
+    q = df.where("vec_id % 30 = 0")
+    got = lambda **more: sorted(map(tuple, vectors.neighbour_score(q, df, 7, **more).collect()))
+    once = got()
+    assert len(once) == 10 and once == got(most_bytes=0, block=64)
+    assert vectors.neighbour_score(q.where("vec_id < 0"), df, 7).count() == 0
+
+
+def test_rounds_of_videos_raise(spark):
+    entries = spark.createDataFrame([("a", ["r1", "r2"], None), ("b", [], ["t"]), ("c", None, ["t", "u"]), ("d", None, None)], "video string, round_ids array<string>, tournaments array<string>")
+    rounds = spark.createDataFrame([("t", "t1"), ("t", "t2"), ("u", "u1")], "tournament string, round string")
+    of = lambda *videos: sorted(map(tuple, review.rounds_of(spark.createDataFrame([(v,) for v in videos], "video string"), entries, rounds).collect()))
+    assert of("a", "b", "c") == [("a", "r1"), ("a", "r2"), ("b", "t1"), ("b", "t2"), ("c", "t1"), ("c", "t2"), ("c", "u1")]
+    with pytest.raises(Exception, match="unregistered video x"):
+        of("a", "x")
+    with pytest.raises(Exception, match="no rounds or tournaments for video d"):
+        of("d")
+
+
+def test_no_rates_of_nothing(spark):
+    with pytest.raises(ValueError, match="board metrics: no rows"):
+        quality.nonempty(spark.range(0), "board metrics")
+    assert quality.nonempty(spark.range(1), "board metrics").count() == 1
+
+
+def test_manifest_issues(spark):
+    kind = "index int, sample_id string, image string, split string, game_id string"
+    good = [(k, None if k % 2 else f"s{k}", f"images/s{k}.jpg", "train" if k < 4 else "test", f"g{k // 2}") for k in range(6)]
+    images = spark.createDataFrame([(f"images/s{k}.jpg",) for k in range(6)], "image string")
+    found = lambda rows, expected, there=images, **more: sorted(map(tuple, quality.manifest_issues(spark.createDataFrame(rows, kind), expected, there, **more).collect()))
+    assert found(good, {"train": 4, "test": 2}) == []
+    bad = good + [(6, None, None, None, None), (7, "s0", "images/s0.jpg", "test", "g0"), (8, "x", "/x.jpg", "val", "g9")]
+    assert found(bad, {"train": 4, "test": 2}, images.where("image <> 'images/s5.jpg'"), partial=True) == sorted([
+        ("no sample identity", "6"), ("no image path", "6"), ("invalid split", "6"), ("no game", "6"), ("count of split", "none 1"), ("count of split", "test 3"), ("repeated id", "s0"),
+        ("repeated image", "images/s0.jpg"), ("game in several splits", "g0"), ("other image path", "8 /x.jpg"), ("invalid split", "8 val"), ("count of split", "val 1"),
+        ("missing image", "images/s5.jpg"), ("partial", "the manifest says so itself"),
+    ])
+    assert found([], {"train": 1}) == [("count of split", "train 0")]
