@@ -76,30 +76,33 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(runs)
 
 
+def _rarest(texts: DataFrame, of: str, among: DataFrame) -> DataFrame:
+    """of and _g: of each text's runs of three letters that which the fewest of among (_g, one row each) have; none if one has none."""
+    held = among.groupBy("_g").agg(F.count("*").alias("_n"))
+    runs = texts.select(of, F.explode(_grams(F.col(of))).alias("_g")).join(held, "_g", "left")
+    return runs.groupBy(of).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("r")).where("r.n > 0").select(of, F.col("r.g").alias("_g"))
+
+
 def names_in(names: DataFrame, name: str, blobs: DataFrame, blob: str) -> DataFrame:
     """Pairs (name, blob) of distinct names and blobs in which name_in() reads the name.
 
-    A name within a blob has its first three letters in common with it, a word within a name its own first three, so
-    pairs come from equal joins on these; names and words of fewer letters must be words of the blob, or are looked up as
-    they stand.
+    A name within a blob has all its runs of three letters in common with it, a word within a name all its own, so
+    pairs come from equal joins on the rarest of these, whichever runs are common; names and words of fewer
+    letters are looked up as they stand. Words are held against names once, not once a blob.
     """
     n, b = names.select(name).distinct(), blobs.select(blob).distinct()
-    words = F.filter(F.split(blob, r"\s+"), lambda w: w != "")
+    words = b.select(blob, F.explode(F.array_distinct(F.filter(F.split(blob, r"\s+"), lambda w: w != ""))).alias("_w"))
     short = F.flatten(
         F.transform(
             F.array(F.lit(1), F.lit(2)),
             lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(blob) - k + 1, F.lit(1))), lambda i: F.substring(blob, i, k)),
         ),
     )
-    first = (
-        n.select(name, F.substring(name, 1, 3).alias("_g"))
-        .join(b.select(blob, F.explode(F.array_distinct(F.concat(_grams(F.col(blob)), short))).alias("_g")), "_g")
-    )
-    inside = (
-        n.select(name, F.explode(_grams(F.col(name))).alias("_g"))
-        .join(b.select(blob, F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("_g")), "_g")
-    )
-    pairs = first.select(name, blob).union(inside.select(name, blob))
+    in_blobs = b.select(blob, F.explode(F.array_distinct(F.concat(_grams(F.col(blob)), short))).alias("_g"))
+    within = _rarest(n, name, in_blobs).join(in_blobs, "_g").select(name, blob)
+    in_names = n.select(name, F.explode(_grams(F.col(name))).alias("_g"))
+    inside = _rarest(words.select("_w").distinct(), "_w", in_names).join(in_names, "_g").where(F.contains(name, F.col("_w"))).select(name, "_w")
+    pairs = within.union(inside.join(words, "_w").select(name, blob))
     return pairs.where(text.name_in(F.col(name), F.col(blob))).distinct()
 
 

@@ -102,9 +102,38 @@ def spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return turned.withColumn("place", F.row_number().over(w.orderBy("_d", "_i"))).drop("_i", "_n", "_d")
 
 
-def nearest_of(df: DataFrame, points: DataFrame, value: str, point: str, key: str) -> DataFrame:
-    """Each row with key and point of the nearest of a few points (broadcast), the least key on a tie."""
-    listed = points.agg(F.array_sort(F.collect_list(F.struct(key, point))).alias("_points"))
+def nearest_of(df: DataFrame, points: DataFrame, value: str, point: str, key: str, most: int = 10_000) -> DataFrame:
+    """Each row with the nearest of points, a struct of gap, key and point, the least key on a tie; null without points.
+
+    Up to `most` points travel as one broadcast array. More are held against the distinct values in ranges of the line, with
+    the same result.
+    """
+    listed = points.where(F.col(point).isNotNull()).select(key, point)
+    if listed.limit(most + 1).count() > most:
+        return _nearest_on_the_line(df, listed, value, point, key)
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct(key, point))).alias("_points"))
     gap = lambda p: F.abs(p[point] - F.col(value))
     best = F.array_min(F.transform("_points", lambda p: F.struct(gap(p).alias("gap"), p[key].alias(key), p[point].alias(point))))
+    best = F.when(F.col(value).isNotNull(), best)
     return df.join(F.broadcast(listed)).withColumn("nearest", best).drop("_points")
+
+
+def _nearest_on_the_line(df: DataFrame, points: DataFrame, value: str, point: str, key: str, parts: int = 256) -> DataFrame:
+    """nearest_of() by the point below and the point above each distinct value, within ranges and from the ranges beside them."""
+    one = points.groupBy(F.col(point).alias("at")).agg(F.min(key).alias("k"))  # of equal points the least key
+    bounds = one.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    part = lambda c: F.size(F.filter(edges, lambda b: b <= c)).alias("part")
+    here = F.struct("at", "k").alias("p")
+    ends = one.groupBy(part(F.col("at"))).agg(F.min(F.struct("at", "k")).alias("low"), F.max(F.struct("at", "k")).alias("high"))
+    every = points.sparkSession.range(len(set(bounds)) + 1).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
+    before, after = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    beside = every.select("part", F.last("high", True).over(before).alias("below"), F.first("low", True).over(after).alias("above"))  # a row a range
+    asked = df.select(F.col(value).alias("v")).where("v is not null").distinct()
+    both = asked.select(part(F.col("v")), F.col("v").alias("x"), F.lit(None).cast(one.select(here).schema["p"].dataType).alias("p")).unionByName(one.select(part(F.col("at")), F.col("at").alias("x"), here))
+    down, up = Window.partitionBy("part").orderBy("x").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("part").orderBy("x").rangeBetween(0, Window.unboundedFollowing)
+    near = both.withColumn("_b", F.last("p", True).over(down)).withColumn("_a", F.first("p", True).over(up)).where("p is null")
+    near = near.join(F.broadcast(beside), "part").select("x", F.coalesce("_b", "below").alias("_b"), F.coalesce("_a", "above").alias("_a"))
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("x")).alias("gap"), F.col(c)["k"].alias(key), F.col(c)["at"].alias(point)))
+    found = near.select(F.col("x").alias("_x"), F.array_min(F.array_compact(F.array(gap("_b"), gap("_a")))).alias("nearest"))
+    return df.drop("nearest").join(found, F.col(value) == F.col("_x"), "left").drop("_x")

@@ -419,3 +419,17 @@ def test_manifest_issues(spark):
         ("missing image", "images/s5.jpg"), ("partial", "the manifest says so itself"),
     ])
     assert found([], {"train": 1}) == [("count of split", "train 0")]
+
+
+def test_nearest_of_few_and_of_many_points(spark):
+    r = random.Random(12)
+    df = spark.createDataFrame([(k, float(r.choice([r.randrange(-20, 60), r.randrange(1000), 7]))) for k in range(400)] + [(999, None)], "id int, v double").repartition(3)
+    for made in ([(k, float(r.randrange(0, 900))) for k in range(300)], [(k, float(r.choice([5, 6]))) for k in range(40)], [(3, 1.0)]):
+        points = spark.createDataFrame([*made, (5000, None)], "k int, at double")
+        got = [sorted((x.id, tuple(x.nearest) if x.nearest else None) for x in timeline.nearest_of(df, points, "v", "at", "k", most).collect()) for most in (10_000, 0)]
+        assert got[0] == got[1] and dict(got[0])[999] is None
+        for i, v in df.where("v is not null").collect():
+            gap, k = min((abs(p - v), j) for j, p in made)
+            assert dict(got[0])[i][:2] == (gap, k)
+    none = spark.createDataFrame([], "k int, at double")
+    assert all(x.nearest is None for x in timeline.nearest_of(df, none, "v", "at", "k").collect())
