@@ -332,7 +332,8 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each group of texts linked by near_roots() the least doc_id stays.
 
-    Equal texts are one group, null and empty ones too; of repeated rows one stays, null ids come first. Of texts
+    Equal texts are one group, null and empty ones too; null ids come first. Of rows with one id and text the one whose
+    JSON has the least hash stays, so a retry keeps the same. Of texts
     that share a node by chance, which their checks tell apart, the others stay unlinked: none goes as a copy of what it
     isn't. Columns of any name stay.
     """
@@ -353,6 +354,6 @@ def drop_near(docs: DataFrame) -> DataFrame:
     grouped = nodes.join(roots, nodes["tid"] == roots["node"], "left").select("tid", "check", "id", F.coalesce("root", "tid").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("id", "tid", "check")).alias("m")).select("m.tid", "m.check", "m.id")
     kept = best.unionByName(texts.join(nodes, ["tid", "check"], "left_anti"))
-    one = Window.partitionBy("tid", "check", "id").orderBy(F.lit(1))
+    one = Window.partitionBy("tid", "check", "id").orderBy(F.xxhash64(F.to_json("doc")))
     left = marked.drop("text").join(kept, ["tid", "check", "id"], "left_semi").withColumn("n", F.row_number().over(one))
     return left.where("n = 1").select("doc.*")
