@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from gridloom.functions import text
 from gridloom.operators import merging, nested, splits, timeline, vectors
 from gridloom.plans.registry import query, table
+from gridloom.plans.vectors import CENTS, led_sql
 
 
 @query("""
@@ -263,7 +264,17 @@ def spread_order(spark, sf_dir):
     return e.where((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == 1 + F.floor((F.col("n") - 1) / 2))).select("user_id", "event_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CENTS}, out AS (SELECT vec_id, CASE WHEN near >= 3 AND similarity >= 0.3e0 THEN 'match' WHEN near < 3 AND similarity >= 0.4e0 THEN 'absorb' ELSE
+    'unmatched' END AS outcome FROM best WHERE k = 1),
+{led_sql("SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN out USING (vec_id) WHERE outcome = 'unmatched'", 0.8)},
+cent AS (SELECT label, list(x ORDER BY i) AS w FROM c GROUP BY 1),
+met AS (SELECT cluster, n, round(max(round(list_dot_product(led.c, w), 6)), 4) AS similarity FROM led, cent GROUP BY 1, 2),
+t AS (SELECT outcome, count(*) AS n FROM out GROUP BY 1)
+SELECT 'tally' AS kind, outcome AS name, CAST(n - CASE WHEN outcome = 'unmatched' THEN coalesce((SELECT sum(n) FROM met WHERE similarity >= 0.5e0), 0) ELSE 0 END AS BIGINT) AS n,
+    CAST(NULL AS DOUBLE) AS similarity FROM t
+UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR), n, similarity FROM met WHERE similarity < 0.5e0
+""")
 def suppressed_clusters(spark, sf_dir):
     """Tallies of the assignment of all vectors, and clusters of all unmatched ones together.
 

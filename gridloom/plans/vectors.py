@@ -81,7 +81,28 @@ def knn_weighted_score(spark, sf_dir):
     return vectors.neighbour_score(e.where("vec_id % 100 = 0"), e, 15)
 
 
-@query()
+def led_sql(start: str, most: float) -> str:
+    """Greedy leaders over vectors (k from 1, id, u) one after the other, for as many ids as make one piece: led (cluster, n, c)."""
+    return f"""
+unit_of AS (SELECT row_number() OVER (ORDER BY id) AS k, id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9)) AS u FROM ({start}) WHERE
+    sqrt(list_dot_product(v, v)) >= 1e-6),
+steps AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[][]) AS sums, CAST([] AS BIGINT[]) AS counts, CAST([] AS BIGINT[]) AS firsts
+    UNION ALL SELECT k, CASE WHEN near THEN list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(list_zip(s, u), lambda p: p[1] + p[2]) ELSE s END)
+        ELSE list_append(sums, u) END, CASE WHEN near THEN list_transform(counts, lambda n, i: CASE WHEN i = best THEN n + 1 ELSE n END) ELSE list_append(counts, 1) END,
+        CASE WHEN near THEN firsts ELSE list_append(firsts, id) END
+    FROM (SELECT *, coalesce(1 - list_max(sims) <= {most}e0, FALSE) AS near, list_position(sims, list_max(sims)) AS best FROM (SELECT w.k, id, u, sums, counts, firsts,
+        list_transform(sums, lambda s: list_dot_product(u, s) / sqrt(list_dot_product(s, s)) / sqrt(list_dot_product(u, u))) AS sims FROM steps t JOIN unit_of w ON w.k = t.k + 1))),
+led AS (SELECT cluster, n, list_transform(s, lambda x: x / (sqrt(list_dot_product(s, s)) + 1e-9)) AS c FROM (SELECT unnest(firsts) AS cluster, unnest(counts) AS n, unnest(sums) AS s
+    FROM steps WHERE k = (SELECT count(*) FROM unit_of)))
+"""
+
+
+@query(f"""
+WITH RECURSIVE {led_sql("SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings", 0.7)},
+met AS (SELECT vec_id, cluster, round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 6) AS similarity FROM embeddings, led),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, cluster) AS n FROM met)
+SELECT vec_id, cluster, round(similarity, 4) AS similarity FROM r WHERE n = 1
+""")
 def leader_clusters(spark, sf_dir):
     """Every vector with the nearest cluster of greedy leaders over all, and its size."""
     e = table(spark, sf_dir, "embeddings")
@@ -90,7 +111,36 @@ def leader_clusters(spark, sf_dir):
     return met.select("vec_id", F.col("best.cluster").alias("cluster"), F.round("best.similarity", 4).alias("similarity"))
 
 
-@query()
+def axes_sql(n: int, squarings: int = 13) -> str:
+    """The first n principal axes: columns of a high power of the covariance, which is then taken less what the axis explains."""
+    out = ["""
+e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+mean AS MATERIALIZED (SELECT i, avg(x) AS m FROM e GROUP BY 1), cen AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM e JOIN mean USING (i)),
+cov1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS x FROM cen a JOIN cen b USING (vec_id) GROUP BY 1, 2)"""]
+    for a in range(1, n + 1):
+        out.append(f"p{a}_0 AS (SELECT i, j, x FROM cov{a})")
+        for k in range(1, squarings + 1):
+            was = f"p{a}_{k - 1}"
+            out.append(
+                f"p{a}_{k} AS MATERIALIZED (SELECT l.i, r.j, sum(l.x * r.x) AS x FROM (SELECT i, j, x / (SELECT max(abs(x)) FROM {was}) AS x FROM {was}) l JOIN "
+                f"(SELECT i, j, x / (SELECT max(abs(x)) FROM {was}) AS x FROM {was}) r ON l.j = r.i GROUP BY 1, 2)"
+            )
+        last = f"p{a}_{squarings}"
+        out.append(f"w{a} AS (SELECT i, x FROM {last} WHERE j = (SELECT j FROM {last} GROUP BY 1 ORDER BY sum(x * x) DESC, j LIMIT 1))")
+        out.append(f"axis{a} AS MATERIALIZED (SELECT i, x / sqrt((SELECT sum(x * x) FROM w{a})) * CASE WHEN (SELECT arg_max(x, abs(x)) FROM w{a}) < 0 THEN -1 ELSE 1 END AS x FROM w{a})")
+        out.append(
+            f"cov{a + 1} AS MATERIALIZED (SELECT c.i, c.j, c.x - g.x * l.x * r.x AS x FROM cov{a} c JOIN axis{a} l ON l.i = c.i JOIN axis{a} r ON r.i = c.j, "
+            f"(SELECT sum(c.x * l.x * r.x) AS x FROM cov{a} c JOIN axis{a} l ON l.i = c.i JOIN axis{a} r ON r.i = c.j) g)"
+        )
+    return ",\n".join(out)
+
+
+@query(f"""
+WITH {axes_sql(3)},
+s AS (SELECT vec_id, sum(c.x * a.x) AS p1, sum(c.x * b.x) AS p2, sum(c.x * d.x) AS p3 FROM cen c JOIN axis1 a USING (i) JOIN axis2 b USING (i) JOIN axis3 d USING (i) GROUP BY 1)
+SELECT vec_id, round(p1 / (sqrt(p1 * p1 + p2 * p2 + p3 * p3) + 1e-9), 5) AS pc1, round(p2 / (sqrt(p1 * p1 + p2 * p2 + p3 * p3) + 1e-9), 5) AS pc2,
+    round(p3 / (sqrt(p1 * p1 + p2 * p2 + p3 * p3) + 1e-9), 5) AS pc3 FROM s
+""")
 def principal_scores(spark, sf_dir):
     """First three principal coordinates, of unit length together; the axes come from sums over all rows."""
     e = table(spark, sf_dir, "embeddings")
