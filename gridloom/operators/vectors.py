@@ -68,19 +68,22 @@ def _nearest_in_blocks(df: DataFrame, cents: DataFrame, key: str, vector: str, b
 
 def _led(items: list[tuple[np.ndarray, int, int]], most: float) -> list[tuple[np.ndarray, int, int]]:
     """(sum, count, first) of the clusters of such items, taken in turn: each joins the nearest cluster within most, or leads."""
-    sums: list[np.ndarray] = []
-    counts, firsts = [], []
-    for v, n, first in items:
-        size = np.linalg.norm(v)
-        near = np.array([v @ s / np.linalg.norm(s) / size for s in sums])
-        best = int(near.argmax()) if len(near) else -1
-        if len(near) and 1 - near[best] <= most:
-            sums[best], counts[best] = sums[best] + v, counts[best] + n
+    if not items:
+        return []
+    sums = np.zeros((len(items), len(items[0][0])))
+    units, counts, firsts, n = np.zeros_like(sums), [], [], 0
+    for v, many, first in items:
+        near = units[:n] @ (v / np.linalg.norm(v))
+        at = int(near.argmax()) if n else -1
+        if n and 1 - near[at] <= most:
+            counts[at] += many
         else:
-            sums.append(v)
-            counts.append(n)
+            at, n = n, n + 1
+            counts.append(many)
             firsts.append(first)
-    return list(zip(sums, counts, firsts, strict=True))
+        sums[at] += v
+        units[at] = sums[at] / np.linalg.norm(sums[at])
+    return list(zip(sums[:n], counts, firsts, strict=True))
 
 
 def leader_clusters(df: DataFrame, order: str, vector: str, most: float, rows: int = 512, fan: int = 16) -> DataFrame:
