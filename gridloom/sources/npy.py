@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +25,21 @@ class Header:
     at: int
 
 
-def _opened(path: str):
+def opened(path: str):
     """A file of any store that pyarrow knows, for reading at places."""
     from pyarrow import fs
 
-    store, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        store, inside = fs.LocalFileSystem(), unquote(urlsplit(path).path)
+    else:
+        store, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     return store.open_input_file(inside)
 
 
 def header(path: str) -> Header | None:
     """The file's header, None where there is no file; an error for what isn't a plain two-dimensional array in row order."""
     try:
-        with _opened(path) as f:
+        with opened(path) as f:
             magic = f.read(8)
             if magic[:6] != b"\x93NUMPY":
                 raise ValueError(f"{path} is no .npy file")
@@ -70,7 +74,7 @@ class _Reader(DataSourceReader):
 
         width, kind = self.found.shape[1], self.found.dtype
         size = width * kind.itemsize
-        with _opened(self.path) as f:
+        with opened(self.path) as f:
             for a in range(partition.start, partition.end, BATCH):
                 n = min(BATCH, partition.end - a)
                 f.seek(self.found.at + a * size)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,12 +154,39 @@ def scored_pair(metrics: DataFrame, predictions: DataFrame, truth: DataFrame, ke
     replace(metrics, f"{target}/metrics")
 
 
-def checksums(spark: SparkSession, root: str, leave_out: str = "^$") -> DataFrame:
-    """path below root and sha256 of every file; paths that fit leave_out are no part."""
+#: Bytes of a file up to which Spark reads it as one value; larger ones are read piece by piece.
+WHOLE, PIECE = 64 << 20, 4 << 20
+
+
+def checksums(spark: SparkSession, root: str, leave_out: str = "^$", whole: int = WHOLE) -> DataFrame:
+    """path below root and sha256 of every file, of any size; paths that fit leave_out are no part.
+
+    Spark's reader passes over empty files and those whose names begin with _ or a dot.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = _fs(spark, root)[0].makeQualified(_fs(spark, root)[1]).toUri().getPath().rstrip("/")
+
+    def streamed(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        from gridloom.sources.npy import opened
+
+        for b in batches:
+            digests = []
+            for path in b.column("path").to_pylist():
+                told = hashlib.sha256()
+                with opened(path) as f:
+                    while piece := f.read(PIECE):
+                        told.update(piece)
+                digests.append(told.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(digests, pa.string())], names=["path", "digest"])
+
+    large = files.where(F.col("length") > whole).select("path").mapInArrow(streamed, "path string, digest string")
+    all_ = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("digest")).unionByName(large)
     below = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
-    return files.select(below.alias("path"), F.sha2("content", 256).alias("digest")).where(~F.col("path").rlike(leave_out))
+    return all_.select(below.alias("path"), "digest").where(~F.col("path").rlike(leave_out))
 
 
 def verify(spark: SparkSession, root: str, expected: DataFrame, leave_out: str = "^$") -> DataFrame:

@@ -172,3 +172,14 @@ def test_a_log_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     own.write.parquet(f"{target}.stage/{name}-2")
     shutil.rmtree(f"{target}/bucket={bucket}")
     assert run() == want | {"k7": (9, 99)}
+
+
+def test_checksums_of_large_files(spark, tmp_path):
+    made = {"a.bin": b"a", "b/c.bin": R.randbytes(5000), "b/d e.bin": R.randbytes(100)}
+    for name, data in made.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_bytes(data)
+    want = {name: hashlib.sha256(data).hexdigest() for name, data in made.items()}
+    for whole in (sinks.WHOLE, 100, 99, -1):
+        assert {r.path: r.digest for r in sinks.checksums(spark, str(tmp_path / "r"), whole=whole).collect()} == want
+    assert {r.path for r in sinks.checksums(spark, str(tmp_path / "r"), "^b/").collect()} == {"a.bin"}
