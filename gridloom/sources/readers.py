@@ -190,20 +190,22 @@ EVENT = "[Event "
 def game_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, game_no (from 0) and g, the text of every game of files of game text; a game begins with a line [Event.
 
-    Games are Spark's records, told apart by that line, so a large file is read by many tasks. They are numbered within
-    the block that a task reads, and the blocks of a file by how many games each has. What comes before a file's
-    first game is one by itself unless it is blank.
+    Games are Spark's records, told apart by that line, so a large file is read by many tasks. A first pass counts the
+    games of each block that a task reads, a second numbers them from there: one row a block is shuffled, no text. What
+    comes before a file's first game is one by itself unless it is blank.
     """
     read = (
         spark.read.text(path, lineSep=f"\n{EVENT}")
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
     )
-    first = (F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) == 1) & (F.col("block") == 0)
-    whole = read.select("path", "block", "at", F.when(first, F.col("value")).otherwise(F.concat(F.lit(EVENT), "value")).alias("g")).where(F.col("g").rlike(r"\S"))
-    placed = whole.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
-    counts = placed.groupBy("path", "block").agg(F.count("*").alias("n"))
-    before = counts.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
-    return placed.join(before, ["path", "block"]).select("path", (F.col("before") + F.col("k")).cast("int").alias("game_no"), "g")
+    counts = read.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by(~F.col("value").rlike(r"\S"), "at").alias("blank"))
+    blank = ((F.col("block") == 0) & F.col("blank")).cast("long")
+    games_of = F.col("n") - blank
+    before = F.sum(games_of).over(Window.partitionBy("path").orderBy("block")) - games_of - blank
+    blocks = counts.select("path", "block", "first", before.alias("before"))
+    met = read.join(blocks, ["path", "block"])
+    g = F.when((F.col("at") == F.col("first")) & (F.col("block") == 0), F.col("value")).otherwise(F.concat(F.lit(EVENT), "value"))
+    return met.select("path", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("game_no"), g.alias("g")).where(F.col("g").rlike(r"\S"))
 
 
 def games(spark: SparkSession, path: str) -> DataFrame:
