@@ -31,18 +31,17 @@ def hamming_nearest(obs: DataFrame, known: DataFrame, most: int, crowd: int = CR
     """obs (obs_id, cells) with known_id and diff of the nearest of known (known_id, cells), null beyond most.
 
     Two boards with at most `most` differing cells agree on one of most + 1 parts, so the join is an equal one
-    on the parts; the least known_id wins a tie. Equal boards of known are one, of the least id. A part that more than
-    `crowd` of them have in common, such as an empty middle, is refined: boards that agree on it and differ in at most
+    on the parts; the least known_id wins a tie. Where a part is common to more than `crowd` of known, equal boards of known are one, of
+    the least id, and a part that more than `crowd` of them have in common, such as an empty middle, is refined: boards that agree on it and differ in at most
     `most` cells agree on one of as many parts of the other cells too, so the same boards are found.
     """
     parts = most + 1
     edges = [64 * k // parts for k in range(parts + 1)]
     every = F.array(*map(F.lit, range(64)))
-    numbered = lambda cells: F.transform(_parts(cells, every, parts), lambda h, k: F.struct(k.alias("at"), h.alias("part")))
-    one = known.groupBy("cells").agg(F.min("known_id").alias("known_id"))
-    own = one.select("known_id", F.col("cells").alias("k"), F.explode(numbered(F.col("cells"))).alias("p")).select("known_id", "k", "p.*")
+    numbered = lambda cells: F.array(*[F.struct(F.lit(k).alias("at"), F.xxhash64(F.lit(k), F.slice(cells, a + 1, b - a)).alias("part")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    own = lambda df: df.select("known_id", F.col("cells").alias("k"), F.explode(numbered(F.col("cells"))).alias("p")).select("known_id", "k", "p.*")
     asked = obs.select("obs_id", F.col("cells").alias("o"), F.explode(numbered(F.col("cells"))).alias("p")).select("obs_id", "o", "p.*")
-    crowded = own.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("part", F.lit(True).alias("crowded"))
+    counts = lambda df: own(df).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
 
     def rest(at: Column) -> Column:
         """The cells beyond part number at."""
@@ -55,9 +54,14 @@ def hamming_nearest(obs: DataFrame, known: DataFrame, most: int, crowd: int = CR
         finer = F.transform(_parts(F.col(cells), rest(F.col("at")), parts), lambda h: F.xxhash64("part", h))
         return told.withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("part")))).drop("part", "at", "crowded")
 
+    if counts(known).isEmpty():
+        left, right, key = asked, own(known), "part"
+    else:
+        one = known.groupBy("cells").agg(F.min("known_id").alias("known_id"))
+        crowded = counts(one).select("part", F.lit(True).alias("crowded"))
+        left, right, key = keyed(asked, "o"), keyed(own(one), "k"), "key"
     met = (
-        keyed(asked, "o")
-        .join(keyed(own, "k"), "key")
+        left.join(right, key)
         .select("obs_id", "known_id", board.hamming(F.col("o"), F.col("k")).alias("diff"))
         .where(F.col("diff") <= most)
     )
