@@ -217,8 +217,8 @@ def _valid(df: DataFrame, dims: int, id_: str, vector: str) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """Rows whose hash is low: about that share of them, the same ones on a retry."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """Distinct rows whose hash is low: about that share of them or less, the same ones on a retry, however often one id or row occurs."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
 
 
 def build(df: DataFrame, dims: int, keep: int, id_: str = "vec_id", vector: str = "embedding", leaf: int = LEAF, most_sample: int = MOST_SAMPLE) -> Index:
@@ -294,7 +294,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 def calibrate(index: Index, df: DataFrame, k: int, recall: float = RECALL, rows: int = CALIBRATED, id_: str = "vec_id", vector: str = "embedding") -> float:
     """Widens index.leaves.visits until about so many rows of df find that share of their true neighbours; the share found."""
     valid = _valid(df, index.dims, id_, vector)
-    asked = _sampled(valid, min(1.0, rows / max(index.rows, 1)), SEED + 1).distinct().toArrow()
+    asked = _sampled(valid, min(1.0, rows / max(index.rows, 1)), SEED + 1).toArrow()
     v, leaves = matrix(asked.column("v"), index.dims), index.leaves
     true = _true_neighbours(index, asked.column("id").to_numpy(), v, k).select("q", "leaf").toArrow() if len(v) else None
     every = len(leaves.tree.in_order())
