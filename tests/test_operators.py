@@ -214,6 +214,35 @@ def test_leader_clusters_by_plain_python(spark, rows, fan):
     assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in got)
 
 
+@pytest.mark.parametrize("rows", [1000, 400, 40])
+def test_leaders_in_turn_by_plain_python(spark, rows):
+    """Over more ids than one piece of leader_clusters() as one after the other, however many rows a piece has."""
+    r = np.random.default_rng(8)
+    held = {3 * k: v.tolist() for k, v in enumerate(r.normal(size=(600, 8)))}
+    df = spark.createDataFrame([*held.items(), (5000, [0.0] * 8)], "vec_id long, embedding array<double>").orderBy(F.rand(2))
+    got = {r["cluster"]: (r["n"], r["centroid"]) for r in vectors.leaders_in_turn(df, "vec_id", "embedding", 0.3, rows).collect()}
+    want = {first: (n, s / np.linalg.norm(s)) for s, n, first in led([(np.array(v) / np.linalg.norm(v), 1, k) for k, v in held.items()], 0.3)}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and len(got) > 20
+    assert all(got[k][1] == pytest.approx(want[k][1].tolist(), abs=1e-6) for k in got)
+
+
+def test_cluster_queries_beyond_one_piece(spark, tmp_path):
+    """The registered queries beside their SQL on ids far apart, where pieces of consecutive ids would differ."""
+    import duckdb
+
+    from gridloom.plans.registry import load
+
+    queries, oracles = load()
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    e.withColumn("vec_id", F.col("vec_id") * 11).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name, key in (("leader_clusters", ["vec_id"]), ("suppressed_clusters", ["kind", "name"])):
+        got, want = (f.sort_values(key).reset_index(drop=True) for f in (queries[name](spark, str(tmp_path)).toPandas(), duck.execute(oracles[name]).df()))
+        for column in got:
+            assert got[column].tolist() == pytest.approx(want[column].tolist(), abs=2e-4, nan_ok=True), (name, column)
+
+
 def test_registered_cluster_queries_by_plain_python(spark):
     """leader_clusters and suppressed_clusters on a given table: assignment, tallies and clusters worked out here."""
 
