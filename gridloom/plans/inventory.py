@@ -289,10 +289,10 @@ def suppressed_clusters(spark, sf_dir):
         .otherwise("unmatched")
     )
     named = vectors.nearest_centroid(e, known, "label").withColumn("outcome", outcome).drop("best")
-    led = vectors.leader_clusters(named.where("outcome = 'unmatched'"), "vec_id", "embedding", 0.8)
+    led = vectors.leaders_in_turn(named.where("outcome = 'unmatched'"), "vec_id", "embedding", 0.8)
     met = (
         vectors.nearest_centroid(led.withColumnRenamed("centroid", "embedding"), known, "label")
-        .withColumn("similarity", F.round("best.similarity", 4))
+        .withColumn("similarity", F.round(F.col("best.similarity") * 10000) / 10000)  # as binary numbers round
     )
     gone = met.where("similarity >= 0.5").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gone"))
     tallies = named.groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(gone))
