@@ -243,6 +243,43 @@ def test_cluster_queries_beyond_one_piece(spark, tmp_path):
             assert got[column].tolist() == pytest.approx(want[column].tolist(), abs=2e-4, nan_ok=True), (name, column)
 
 
+@pytest.mark.parametrize("step, most", [(1, 40), (0.25, 12), (1, 20000)])
+def test_identify_against_every_pair(spark, step, most):
+    """Readings without names beside each place of their round: whole seconds, parts of them, and far apart."""
+    from gridloom.operators import alignment
+
+    r = np.random.default_rng(5)
+    clock = lambda: None if r.random() < 0.1 else float(step * r.integers(0, most / step + 1))
+    p = [(g % 2, g, ply, ["black", "white"][ply % 2], clock(), clock(), 1) for g in range(20) for ply in range(10)]
+    o = [(k, k % 2, clock(), clock(), False) for k in range(150)]
+    places = spark.createDataFrame(p, "g int, game int, ply int, turn string, white_clk double, black_clk double, increment int")
+    read = spark.createDataFrame(o, "obs_id int, g int, white_obs double, black_obs double, names_read boolean")
+    want = {}
+    for k, g, *seen, _ in o:
+        fits = []
+        for at, game, ply, turn, white, black, _ in p:
+            if at != g or None in (*seen, white, black):
+                continue
+            still, running, rec, now = (*seen, white, black) if turn == "black" else (*seen[::-1], black, white)
+            after = [q[4 if turn == "white" else 5] for q in p if q[1] == game and q[2] == ply + 1]
+            low = after[0] - 1 if after and after[0] is not None else 0
+            if abs(still - rec) <= 2 and low - 3 <= running <= now + 3:
+                fits.append((-0.5 * (1 - abs(still - rec) / 2), game, abs(still - rec), ply))
+        want[k] = min(fits)[1:] if fits else (None, None, None)
+    got = {x["obs_id"]: (x["game"], x["residual"], x["ply"]) for x in alignment.identify(read, places, ["g"]).collect()}
+    assert got == want and (most > 100 or sum(game is not None for game, *_ in got.values()) > 50)
+
+
+def test_identified_place_in_four_rounds(spark):
+    """Games of a round are all those of one remainder, not a few neighbours."""
+    from gridloom.plans.registry import load
+
+    folder = "/root/testdata/sf0.001"
+    own = {e["event_id"]: e["user_id"] for e in spark.read.parquet(f"{folder}/events.parquet").collect()}
+    got = [(own[x["obs_id"]], x["game"]) for x in load()[0]["identified_place"](spark, folder).where("game is not null").collect()]
+    assert all(a % 4 == b % 4 for a, b in got) and any(a != b for a, b in got)
+
+
 def test_registered_cluster_queries_by_plain_python(spark):
     """leader_clusters and suppressed_clusters on a given table: assignment, tallies and clusters worked out here."""
 
