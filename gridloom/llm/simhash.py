@@ -269,10 +269,19 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def grid_keys(texts: DataFrame) -> DataFrame:
+    """tid and key of every text: one key for all whose fingerprints the grid links, in steps of MAX_BITS bits."""
+    named = texts.select(F.col("tid").alias("doc_id"), "text")
+    found = stored(fingerprints(named).select(F.col("doc_id").alias("tid"), "fp"), "near_fingerprints")
+    roots = components(links(found.select("fp").distinct()), "near_grid")
+    return found.join(roots, found["fp"] == roots["node"], "left").select("tid", F.xxhash64(F.lit("grid"), F.coalesce("root", "fp")).alias("key"))
+
+
 def near_roots(texts: DataFrame) -> DataFrame:
     """node and root of every text (tid, text; each tid once) that is linked: a likeness of NEAR or more in shingles of NEAR_WORDS words.
 
-    Texts with a key in common are held against each other exactly, by their sets of shingle hashes; of a key
+    Texts that op7's grid groups have a key in common, and so have those with a class of shingles alike, which finds
+    links of more bits. Texts with a key in common are held against each other exactly, by their sets of shingle hashes; of a key
     with more than PAIRED texts, each against the first LEADERS. Where that leaves more than one group in such a
     key, all links between the groups are searched by prefix_pairs(), so a crowded key loses none; links
     within a group change nothing.
@@ -290,7 +299,8 @@ def near_roots(texts: DataFrame) -> DataFrame:
                 names=["tid", "key"],
             )
 
-    keyed = stored(texts.select("tid", "text").mapInArrow(run, "tid bigint, key bigint"), "keys")
+    classes = texts.select("tid", "text").mapInArrow(run, "tid bigint, key bigint")
+    keyed = stored(classes.unionByName(grid_keys(texts)), "keys")
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("l0")).where("n > 1")
     few = keyed.join(sized.where(F.col("n") <= PAIRED).select("key"), "key")
     pairs = few.select("key", F.col("tid").alias("a")).join(few.select("key", F.col("tid").alias("b")), "key").where("a < b").select("a", "b")
