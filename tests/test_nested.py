@@ -158,3 +158,16 @@ def test_recognizers_hook(spark):
     with pytest.raises(Exception, match="whole numbers are asked for"):
         recognition.recognized(df, predict=lambda s: s[:, 0]).collect()
     assert recognition.recognized(df.where("id < 0")).count() == 0
+
+
+def test_canonical_takes_zeros_off_in_one_go(spark):
+    """Numbers without exponents beside texts that look like them, and with one; no number is spelled digit by digit without need."""
+    texts = {
+        '{"b":[1.500,-0.0,0.0,100.0,10.050,-2.50,7],"a":"1.50 -0.0 E \\"2.0"}': '{"a":"1.50 -0.0 E \\"2.0","b":[1.5,0,0,100,10.05,-2.5,7]}',
+        '{"b":1e30,"a":[2.50,"3.0"]}': '{"a":[2.5,"3.0"],"b":1000000000000000000000000000000}',
+        "505.0505": "505.0505",
+        "-0.050": "-0.05",
+    }
+    df = spark.createDataFrame([(k,) for k in texts], "j string")
+    assert {r["j"]: r["c"] for r in df.select("j", nested.canonical(F.col("j")).alias("c")).collect()} == texts
+    assert nested.ZEROS in df.select(nested.canonical(F.col("j")))._jdf.queryExecution().analyzed().toString()
