@@ -280,6 +280,16 @@ def test_identified_place_in_four_rounds(spark):
     assert all(a % 4 == b % 4 for a, b in got) and any(a != b for a, b in got)
 
 
+def test_neighbour_score_in_slices_of_queries(spark, monkeypatch):
+    """So many likenesses at once, whatever the number of queries; the same scores by slices of one query."""
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, int(k % 2), r.integers(-2, 3, 3).astype(float).tolist()) for k in range(80)], "vec_id long, label int, embedding array<double>")
+    got = lambda: sorted(map(tuple, vectors.neighbour_score(df, df, 5).collect()))
+    want = got()
+    monkeypatch.setattr(vectors, "CELLS", 1)
+    assert got() == want == sorted(map(tuple, vectors.neighbour_score(df, df, 5, most_bytes=0).collect()))
+
+
 def test_registered_cluster_queries_by_plain_python(spark):
     """leader_clusters and suppressed_clusters on a given table: assignment, tallies and clusters worked out here."""
 
