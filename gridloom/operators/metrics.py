@@ -131,36 +131,87 @@ def nearest_rank(df: DataFrame, key: str, value: str, fractions: list[float]) ->
     )
 
 
-def medians(df: DataFrame, by: str, value: str, parts: int = 1024) -> DataFrame:
-    """by and median, the exact middle of its values, or the mean of the two; null values don't count.
+def medians(df: DataFrame, by: str, value: str, most: int = 1 << 19) -> DataFrame:
+    """by and median, the exact middle of its values, or the mean of the two; null values don't count."""
+    return medians_of(df, by, {"median": value}, most)
 
-    Values are counted in parts of their key's range; only the distinct values of the part, or two, that the middle falls in
-    are then put in order, so no task holds all values of a key.
+
+def medians_of(df: DataFrame, by: str, values: dict[str, str], most: int = 1 << 19) -> DataFrame:
+    """by and, under each name, the median of a column of numbers: null for a key that has null values only.
+
+    Rows are dealt by key to one task for each `most` of them, so that a task's share doesn't grow with the table, and their
+    values are put in order there. Of a key of more than `most` rows only the values about its middle are (`_about_middle`).
     """
-    v = F.col(value).cast("double")
-    rows = df.where(F.col(value).isNotNull()).select(by, v.alias("v"))
-    reach = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    part = (
-        F.when(
-            F.col("hi") > F.col("lo"),
-            F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1)),
-        )
-        .otherwise(F.lit(0))
-    )
-    dealt = rows.join(reach, by).select(by, "v", "n", part.cast("int").alias("part"))
-    counts = dealt.groupBy(by, "part").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    w = Window.partitionBy(by).orderBy("part")
-    upto = counts.withColumn("upto", F.sum("k").over(w))
+    columns = [f"v{i}" for i in range(len(values))]
+    rows = df.select(F.col(by).alias("key"), *[F.col(v).cast("double").alias(c) for c, v in zip(columns, values.values(), strict=True)])
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.array(*map(F.count, columns)).alias("counts"))
+    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    tasks = max(-(-(total or 0) // most), df.sparkSession.sparkContext.defaultParallelism)
+    if (largest or 0) <= most:
+        found = _middles(_stacked(rows.repartition(tasks, "key"), columns), list(values))
+    else:
+        large = F.broadcast(sizes.where(F.col("rows") > most).withColumnRenamed("key", "of"))  # one row for `most` rows at most
+        same = F.col("key").eqNullSafe(F.col("of"))
+        few = _stacked(rows.join(large, same, "left_anti").repartition(tasks, "key"), columns)
+        many = _about_middle(_stacked(rows.join(large, same), columns, "counts"), max(1, most // 64), largest)
+        found = _middles(few, list(values)).unionByName(_middles(many.repartition(tasks, "key"), list(values)))
+    return found.withColumnRenamed("key", by)
+
+
+def _stacked(rows: DataFrame, columns: list[str], *kept: str) -> DataFrame:
+    """key, c, v: a row for each of the columns, numbered from 0."""
+    pairs = [x for i, c in enumerate(columns) for x in (F.lit(i), F.col(c))]
+    return rows.select("key", *kept, F.stack(F.lit(len(columns)), *pairs).alias("c", "v"))
+
+
+def _middles(rows: DataFrame, names: list[str]) -> DataFrame:
+    """key and the median of each number c under its name, of key, c, v; or of v that stand for `times`, `before` others, of n."""
+    w = Window.partitionBy("key", "c").orderBy(F.asc_nulls_last("v"))
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if "times" in rows.columns:
+        ends = rows.withColumn("end", F.col("before") + F.sum("times").over(upto))
+    else:
+        ends = rows.select("*", F.count("v").over(upto).alias("end"), F.count("v").over(whole).alias("n")).withColumn("times", F.col("v").isNotNull().cast("long"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+
+    def held(i: int, at: Column) -> Column:
+        return F.max(F.when((F.col("c") == i) & (F.col("end") > at) & (F.col("end") - F.col("times") <= at), F.col("v")))
+
+    return ends.groupBy("key").agg(*[((held(i, low) + held(i, high)) / 2).alias(name) for i, name in enumerate(names)])
+
+
+def _about_middle(rows: DataFrame, rate: int, largest: int) -> DataFrame:
+    """key, c, v, times (rows of v), before (values less than all here) and n of each key and c of rows: the values about the middle.
+
+    One of `rate` values, told by hash and so the same whenever it is asked, ends a part. Parts are counted, and only the
+    values of the part, or two, that the middle falls in are kept, equal ones as one row: no more of a larger key.
+    """
+    of = ["key", "c"]
+    sample = rows.where((F.pmod(F.xxhash64("v"), F.lit(rate)) == 0) & F.col("v").isNotNull())
+    halvings = (2 * (largest // rate) + 32).bit_length()
+    ends = sample.groupBy(*of).agg(F.slice(F.array_sort(F.collect_set("v")), 1, (1 << halvings) - 1).alias("ends"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = F.broadcast(right.withColumnsRenamed({k: f"{k}_" for k in of}))
+        return left.join(right, F.col("key").eqNullSafe(F.col("key_")) & (F.col("c") == F.col("c_")), how).drop("key_", "c_")
+
+    rows = rows.select(*of, "v", F.get("counts", F.col("c")).alias("n"))
+    dealt = joined(rows, ends, "left").withColumn("part", F.lit(0))
+    for i in reversed(range(halvings)):  # the number of ends below v
+        dealt = dealt.withColumn("part", F.when(F.get("ends", F.col("part") + ((1 << i) - 1)) < F.col("v"), F.col("part") + (1 << i)).otherwise(F.col("part")))
+    counts = dealt.groupBy(*of, "part").agg(F.count("v").alias("k"), F.first("n").alias("n"))
+    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*of).orderBy("part")))
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     hit = (
         upto.where((F.col("upto") > low) & (F.col("upto") - F.col("k") <= high))
-        .select(by, "part", (F.col("upto") - F.col("k")).alias("before"))
+        .groupBy(*of)
+        .agg(F.min("part").alias("first"), F.max("part").alias("last"), F.min(F.col("upto") - F.col("k")).alias("before"))
     )
-    each = (
-        dealt.join(hit, [by, "part"])
-        .groupBy(by, "part", "v")
-        .agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    reach = joined(hit, ends, "left").select(*of, "before", F.get("ends", F.col("first") - 1).alias("above"), F.get("ends", "last").alias("end"))
+    inside = (F.col("above").isNull() | (F.col("v") > F.col("above"))) & (F.col("end").isNull() | F.col("v").isNull() | (F.col("v") <= F.col("end")))
+    return (
+        joined(rows, reach, "inner")
+        .where(inside)
+        .groupBy(*of, "v")
+        .agg(F.count("v").alias("times"), F.first("before").alias("before"), F.first("n").alias("n"))
     )
-    ends = each.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy(by, "part").orderBy("v")))
-    holds = lambda at: F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col("v")))
-    return ends.groupBy(by).agg(((holds(low) + holds(high)) / 2).alias("median"))

@@ -325,12 +325,8 @@ SELECT l_suppkey, CAST(round_even(median(l_quantity), 0) AS BIGINT) AS x, CAST(r
 """)
 def default_rect(spark, sf_dir):
     """Median of each coordinate, rounded half to even."""
-    li = table(spark, sf_dir, "lineitem")
-    x, y = metrics.medians(li, "l_suppkey", "l_quantity"), metrics.medians(li, "l_suppkey", "l_extendedprice").withColumnRenamed("median", "other")
-    return (
-        x.join(y, "l_suppkey")
-        .select("l_suppkey", F.bround("median", 0).cast("long").alias("x"), F.bround("other", 0).cast("long").alias("y"))
-    )
+    m = metrics.medians_of(table(spark, sf_dir, "lineitem"), "l_suppkey", {"x": "l_quantity", "y": "l_extendedprice"})
+    return m.select("l_suppkey", F.bround("x", 0).cast("long").alias("x"), F.bround("y", 0).cast("long").alias("y"))
 
 
 @query("""
